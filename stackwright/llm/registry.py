@@ -3,12 +3,29 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stackwright.llm import quality_rules, url_filter
-from stackwright.llm.common import table
+from stackwright.llm import langid, quality_mil, quality_rules, url_filter
+from stackwright.llm.common import crc_mod, table
 from stackwright.llm.oracles import SQL
 
 
+def op1_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from labelled rows with crc32(doc_id) mod 5 other than 0; scores every text."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality_mil.fit(docs, labels.where(crc_mod(F.col("doc_id"), 5) != 0))
+    held = F.coalesce(crc_mod(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out")
+    return quality_mil.score(spark, docs.select("doc_id", "text"), model).select("doc_id", held, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from rows with crc32(doc_id) mod 4 other than 2; predicts for every text."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(crc_mod(F.col("doc_id"), 4) != 2))
+    held = F.coalesce(crc_mod(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out")
+    return langid.identify(spark, docs.select("doc_id", "text"), model).select("doc_id", held, "lang_pred", "score")
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(spark, table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -19,7 +36,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op9_url_filter, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_quality_mil, op2_language_id, op9_url_filter, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
