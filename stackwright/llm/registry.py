@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackwright.llm import langid, quality_mil, quality_rules, url_filter
+from stackwright.llm import decontam, langid, pii, quality_mil, quality_rules, url_filter
 from stackwright.llm.common import crc_mod, table
 from stackwright.llm.oracles import SQL
 
@@ -26,6 +26,22 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(spark, docs.select("doc_id", "text"), model).select("doc_id", held, "lang_pred", "score")
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the benchmark item that tiles cover best, if one is covered enough."""
+    docs = decontam.with_matches(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    best = F.sort_array(F.transform("matches", lambda m: F.struct(m["coverage"].alias("c"), (-m["item_id"]).alias("i"))), asc=False)
+    best = F.when(F.size("matches") > 0, F.get(best, 0))
+    dirty = F.size("matches") > 0
+    return docs.select("doc_id", dirty.alias("contaminated"), (-best["i"]).alias("item_id"), F.coalesce(best["c"], F.lit(0.0)).alias("coverage"), F.size("matches").alias("n_items"), (~dirty).alias("kept"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its pseudonymised text and how many values of each kind it held."""
+    docs = pii.scrub(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.size(F.filter("pii", lambda x, k=k: x["kind"] == k)).alias(f"n_{k}") for k in pii.KINDS]
+    return docs.select("doc_id", "text", F.size("pii").alias("n_found"), *counts)
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(spark, table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -36,7 +52,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_mil, op2_language_id, op9_url_filter, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_quality_mil, op2_language_id, op4_decontaminate, op6_pii, op9_url_filter, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

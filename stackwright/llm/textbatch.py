@@ -14,6 +14,8 @@ IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: For tokens without punctuation: everything of ASCII but letters and digits stands between them.
+NOT_ALNUM = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 
 
@@ -44,11 +46,11 @@ class Words:
     text's first word, with the number of words at its end.
     """
 
-    def __init__(self, texts, lower: bool = False):
+    def __init__(self, texts, lower: bool = False, between: np.ndarray = IS_SPACE):
         raw = [(t or "").strip(SPACES).encode("utf-8", "surrogatepass") for t in texts]
         self.buf = buf = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
         text_at = np.concatenate([[0], np.cumsum([len(r) + 1 for r in raw])]).astype(np.int64)
-        self.space = space = IS_SPACE[buf]
+        self.space = space = between[buf]
         begins = ~space
         begins[1:] &= space[:-1]
         self.start = np.flatnonzero(begins)
