@@ -38,7 +38,7 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its pseudonymised text and how many values of each kind it held."""
     docs = pii.scrub(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    counts = [F.size(F.filter("pii", lambda x, k=k: x["kind"] == k)).alias(f"n_{k}") for k in pii.KINDS]
+    counts = [F.expr(f"size(filter(pii, x -> x.kind = '{k}'))").alias(f"n_{k}") for k in pii.KINDS]
     return docs.select("doc_id", "text", F.size("pii").alias("n_found"), *counts)
 
 
