@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackwright.llm import decontam, langid, pii, quality_mil, quality_rules, url_filter
+from stackwright.llm import decontam, langid, neardup, pii, quality_mil, quality_rules, url_filter
 from stackwright.llm.common import crc_mod, table
 from stackwright.llm.oracles import SQL
 
@@ -42,6 +42,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "text", F.size("pii").alias("n_found"), *counts)
 
 
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.find_duplicates(spark, table(spark, sf_dir, "documents"), k=2)
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(spark, table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -52,7 +56,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_mil, op2_language_id, op4_decontaminate, op6_pii, op9_url_filter, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_quality_mil, op2_language_id, op4_decontaminate, op6_pii, op7_minhash_dedup, op9_url_filter, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
