@@ -16,6 +16,12 @@ def _rule(host: str, path: str, what: int) -> str:
 
 
 SQL = {
+    "op5_warc_index": r"""
+with p as (select page_id, coalesce(html, '') h from pages),
+d as (select page_id, octet_length(encode(h)) n, from_hex(sha1(h))::bit::varchar b from p),
+e as (select page_id, n, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + substr(b, 5 * i + 1, 5)::bit::integer, 1)), '') s from d)
+select page_id, n::bigint as payload_bytes, s as payload_digest, case when page_id = m then 'response' else 'revisit' end as record_type, case when page_id <> m then m end as refers_to
+from (select *, max(page_id) over (partition by s) m from e)""",
     "op9_url_filter": rf"""
 with recursive p as (
   select page_id, coalesce({_LOW.format(f"regexp_extract(url, '{_URL}', 1)")}, '') host, coalesce(regexp_extract(url, '{_URL}', 2), '') path, {_key('url')} k,

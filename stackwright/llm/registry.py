@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackwright.llm import decontam, langid, neardup, pii, quality_mil, quality_rules, url_filter
-from stackwright.llm.common import crc_mod, table
+from stackwright.llm import decontam, langid, mixing, neardup, pii, quality_mil, quality_rules, token_rollup, url_filter, warc_index
+from stackwright.llm.common import Scratch, crc_mod, table
 from stackwright.llm.oracles import SQL
 
 
@@ -26,6 +26,32 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(spark, docs.select("doc_id", "text"), model).select("doc_id", held, "lang_pred", "score")
 
 
+def op3_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after a history of batches over all documents.
+
+    Two tokenizers' counts of every document are inserted, a batch each; documents labelled as
+    poor are deleted under both; toxic ones have their symbols removed and their counts revised.
+    The first and the third batch arrive twice.
+    """
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), table(spark, sf_dir, "labels")
+    old, new = "byte_bpe_50k", "byte_bpe_multi_50k"
+    scratch = Scratch(spark, "token-rollup")
+    counts = token_rollup.count_tokens(spark, token_rollup.count_tokens(spark, docs, old, name=old), new, name=new)
+    counts = scratch.keep(counts.drop("text"), "counts")
+    of = lambda df, t: df.select("doc_id", "source", "lang", F.lit(t).alias("tokenizer"), F.col(t).alias("n_tokens"))
+    flagged = lambda what: labels.where(what).select("doc_id").distinct()
+    gone = of(counts, old).union(of(counts, new)).join(flagged("quality = 0"), "doc_id", "left_semi")
+    cleaned = docs.join(flagged("toxic = 1 and quality = 1"), "doc_id", "left_semi").withColumn("text", F.regexp_replace("text", r"[#*$%&|<>]+", ""))
+    cleaned = token_rollup.count_tokens(spark, cleaned, new).select("doc_id", "n_tokens")
+    was = of(counts, new).select("doc_id", *[F.col(c).alias(f"old_{c}") for c in ("source", "lang", "tokenizer", "n_tokens")], "source", "lang", "tokenizer")
+    rollup = token_rollup.Rollup(spark, scratch.path("rollup"))
+    insert, delete, revise = ("op", F.lit("insert")), ("op", F.lit("delete")), ("op", F.lit("revise"))
+    history = [("load-1", of(counts, old).withColumn(*insert)), ("load-2", of(counts, new).withColumn(*insert)), ("drop-poor", gone.withColumn(*delete)), ("load-1", of(counts, old).withColumn(*insert)), ("clean-toxic", was.join(cleaned, "doc_id").withColumn(*revise)), ("drop-poor", gone.withColumn(*delete))]
+    for batch, changes in history:
+        rollup.commit(batch, changes)
+    return rollup.totals()
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the benchmark item that tiles cover best, if one is covered enough."""
     docs = decontam.with_matches(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
@@ -35,6 +61,14 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", dirty.alias("contaminated"), (-best["i"]).alias("item_id"), F.coalesce(best["c"], F.lit(0.0)).alias("coverage"), F.size("matches").alias("n_items"), (~dirty).alias("kept"))
 
 
+def op5_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the archives and their index, then finds and reads every page's record by its key."""
+    pages, path = table(spark, sf_dir, "pages"), Scratch(spark, "warc").root
+    shards = warc_index.build_index(spark, warc_index.write_archives(spark, pages, path), path)
+    found = warc_index.look_up(spark, pages.select(warc_index.url_key(F.col("url")).alias("key")), path, shards)
+    return warc_index.read_records(found, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its pseudonymised text and how many values of each kind it held."""
     docs = pii.scrub(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -46,6 +80,11 @@ def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.find_duplicates(spark, table(spark, sf_dir, "documents"), k=2)
 
 
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(spark, table(spark, sf_dir, "documents"), mixing.domains_of(table(spark, sf_dir, "labels")))
+    return mixed.select("doc_id", "domain", "n_tokens", F.transform("posterior", lambda p: F.round(p, 6)).alias("posterior"), "rate")
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(spark, table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -56,7 +95,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_mil, op2_language_id, op4_decontaminate, op6_pii, op7_minhash_dedup, op9_url_filter, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_quality_mil, op2_language_id, op3_token_rollup, op4_decontaminate, op5_warc_index, op6_pii, op7_minhash_dedup, op8_mix_sources, op9_url_filter, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
