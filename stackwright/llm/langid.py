@@ -178,8 +178,8 @@ def predict(model: dict, texts) -> tuple[np.ndarray, np.ndarray]:
     return np.array(model["langs"], object)[np.concatenate(best)], np.concatenate(score).astype(np.float64)
 
 
-def identify(spark: SparkSession, docs: DataFrame, model: dict) -> DataFrame:
-    """docs with lang_pred and score; 'und' with score 0 where text is null or has no letter.
+def identify(spark: SparkSession, docs: DataFrame, model: dict, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with columns of the predicted language and its score; 'und' with score 0 where text is null or has no letter.
 
     Columns of these names are replaced. Texts without a letter never reach Python.
     """
@@ -196,5 +196,5 @@ def identify(spark: SparkSession, docs: DataFrame, model: dict) -> DataFrame:
             yield pd.DataFrame({"lang": lang, "score": score})
 
     text = F.when(F.col("text").rlike(r"\p{L}"), F.col("text"))
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.select(*kept, of(text).alias("_p")).select(*kept, F.col("_p.lang").alias("lang_pred"), F.col("_p.score").alias("score"))
+    kept = [c for c in docs.columns if c not in names]
+    return docs.select(*kept, of(text).alias("_p")).select(*kept, F.col("_p.lang").alias(names[0]), F.col("_p.score").alias(names[1]))

@@ -136,6 +136,15 @@ def fit_rates(weighed: DataFrame, names: list[str], targets: dict[str, float], s
     return history, [float(x) for x in total / whole]
 
 
+def _n_tokens():
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def _weighed(spark: SparkSession, docs: DataFrame, model: dict) -> DataFrame:
+    rows = posteriors(spark, docs.select("doc_id", "text"), model).select("doc_id", "posterior", _n_tokens().alias("n_tokens"))
+    return Scratch(spark, "mixing").keep(rows, "posteriors")
+
+
 def mix(spark: SparkSession, docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, max_docs: int = MAX_TRAIN_DOCS, steps: int = STEPS) -> DataFrame:
     """Per document doc_id, domain (the likeliest), posterior, n_tokens (words) and rate.
 
@@ -144,17 +153,28 @@ def mix(spark: SparkSession, docs: DataFrame, labelled: DataFrame, targets: dict
     labels there are no domains and every rate is 1. Repeated rows are counted and rated each.
     """
     model = fit_domains(docs, labelled, max_docs)
-    n = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     if not model["names"]:
-        return docs.select("doc_id", F.lit(None).cast("string").alias("domain"), F.expr("cast(array() as array<double>)").alias("posterior"), n.alias("n_tokens"), F.lit(1.0).alias("rate"))
-    scratch = Scratch(spark, "mixing")
-    weighed = scratch.keep(posteriors(spark, docs.select("doc_id", "text"), model).select("doc_id", "posterior", n.alias("n_tokens")), "posteriors")
+        return docs.select("doc_id", F.lit(None).cast("string").alias("domain"), F.expr("cast(array() as array<double>)").alias("posterior"), _n_tokens().alias("n_tokens"), F.lit(1.0).alias("rate"))
+    weighed = _weighed(spark, docs, model)
     history, _ = fit_rates(weighed, model["names"], targets, steps)
     names = F.array(*[F.lit(x) for x in model["names"]])
     best = F.get(names, F.array_position("posterior", F.array_max("posterior")).cast("int") - 1)
     return weighed.select("doc_id", best.alias("domain"), "posterior", "n_tokens", F.round(_rate(history), 6).alias("rate"))
 
 
+def with_rates(spark: SparkSession, docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, max_docs: int = MAX_TRAIN_DOCS, steps: int = STEPS, name: str = "rate") -> DataFrame:
+    """docs with a column of the rates that mix() gives; one of that name is replaced.
+
+    Posteriors are computed again beside the texts, so that no text is shuffled.
+    """
+    model = fit_domains(docs, labelled, max_docs)
+    docs = docs.drop(name)
+    if not model["names"]:
+        return docs.withColumn(name, F.lit(1.0))
+    history, _ = fit_rates(_weighed(spark, docs, model), model["names"], targets, steps)
+    return posteriors(spark, docs, model, "_posterior").select(*docs.columns, F.round(_rate(history, "_posterior"), 6).alias(name))
+
+
 def domains_of(labels: DataFrame) -> DataFrame:
     """(doc_id, domain) from quality and toxic flags; a null flag labels nothing."""
     return labels.select("doc_id", F.concat(F.when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor"), F.when(F.col("toxic") == 1, "-toxic").when(F.col("toxic") == 0, "")).alias("domain"))
