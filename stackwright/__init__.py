@@ -1,0 +1 @@
+"""Document retrieval, quality and corpus jobs as Spark DataFrames."""

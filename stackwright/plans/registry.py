@@ -1,17 +1,606 @@
-"""Registered queries of the document operators, and their SQL."""
+"""Registered queries of the document operators."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stackwright.functions import text as X
+from stackwright.operators import analytics as A
+from stackwright.operators import checker as C
+from stackwright.operators import chunking as K
+from stackwright.operators import evaluation as E
+from stackwright.operators import rerank as R
+from stackwright.operators import retrieval as S
+from stackwright.operators import sync as Y
+from stackwright.operators import understanding as U
+from stackwright.plans import answer
+from stackwright.plans import fixtures as D
+from stackwright.plans.oracles import SQL
+from stackwright.sources import files as N
 
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").count()
 
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
 
-def queries() -> dict:
-    return {}
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+# ---- the flagship
+
+
+def _hits(spark: SparkSession, sf: str) -> DataFrame:
+    chunks = D.kb_chunks(spark, sf)
+    return S.bm25_corpus(D.passages(spark, sf), S.postings(chunks), 20).join(chunks.select("id", "source", "content"), "id")
+
+
+@query
+def passage_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents for each benchmark passage: corpus BM25 over line chunks, at most 5 chunks a source, top 5."""
+    top = R.dedupe_sources(_hits(spark, sf), 5)
+    return top.select("query_id", "rank", "source", F.round("bm25", 4).alias("bm25"))
+
+
+flagship = passage_sources
+
+
+# ---- sources
+
+
+def _files(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as files, with a sidecar beside those that have a doc_type; one in seven is broken."""
+    docs = D.kb_docs(spark, sf).withColumn("m", F.timestamp_seconds(F.col("doc_id")))
+    fields = F.struct("doc_type", F.regexp_replace("version", "V", "").alias("version"), "department", F.lit("secret").alias("classification"))
+    meta = F.when(F.col("doc_id") % 7 == 0, "{").otherwise(F.to_json(fields))
+    row = lambda s, c: (s.alias("source"), F.col("m").alias("modificationTime"), c.cast("binary").alias("content"))
+    return docs.select(*row(F.col("source"), F.col("text"))).unionByName(docs.where("doc_type != ''").select(*row(F.concat("source", F.lit(N.SIDECAR)), meta)))
+
+
+@query
+def doc_state(spark, sf):
+    return N.doc_state(_files(spark, sf)).select("source", "file_hash", "meta_hash", (F.col("mtime_ns") / 1000000000).cast("long").alias("mtime_s"))
+
+
+@query
+def load_metadata(spark, sf):
+    return N.load_metadata(_files(spark, sf)).select("source", "doc_type", "version", "department", "confidentiality", "status")
+
+
+@query
+def extract_xml_metadata(spark, sf):
+    docs = D.kb_docs(spark, sf).select("source", F.format_string('<topic xmlns="urn:x"><prodinfo><prodname> %s </prodname><vrm version="%s"/></prodinfo><othermeta name="owner" content="%s"/><othermeta name="other" content="z"/></topic>', "product_line", "version", "department").alias("text"))
+    return N.extract_xml_metadata(docs).select("source", "product_line", "version", "owner")
+
+
+@query
+def fill_metadata(spark, sf):
+    meta = N.load_metadata(_files(spark, sf))
+    found = D.kb_docs(spark, sf).select("source", "product_line", *[F.lit("x").alias(f) if f in ("owner", "status") else F.lit(None).cast("string").alias(f) for f in N.META_FIELDS if f != "product_line"])
+    return N.fill_metadata(meta, found).select("source", "product_line", "owner", "status", "version")
+
+
+@query
+def normalize_version(spark, sf):
+    return D.kb_docs(spark, sf).select("source", X.normalize_version(F.expr("case doc_id % 3 when 0 then ' ' || version when 1 then substr(version, 2) || ' ' else '' end")).alias("version"))
+
+
+# ---- chunking
+
+
+@query
+def parse_track(spark, sf):
+    d = D.kb_docs(spark, sf).select("source", K.suffix_of("source").alias("s"))
+    return d.groupBy(K.parse_track(F.col("s")).alias("track"), K.file_format(F.col("s")).alias("format")).agg(F.count("*").alias("n"))
+
+
+@query
+def chunk_records(spark, sf):
+    return D.kb_chunks(spark, sf).select("id", "source", "chunk_index", "content_hash", "parse_track", "file_format", "doc_type", "confidentiality")
+
+
+@query
+def chunk_paragraphs(spark, sf):
+    return K.chunk_paragraphs(D.md_docs(spark, sf))
+
+
+@query
+def chunk_log(spark, sf):
+    return K.chunk_log(D.kb_docs(spark, sf))
+
+
+@query
+def chunk_markdown(spark, sf):
+    return K.chunk_markdown(D.md_docs(spark, sf))
+
+
+@query
+def md_blocks(spark, sf):
+    return K.md_blocks(D.md_docs(spark, sf))
+
+
+@query
+def md_overlap(spark, sf):
+    return K.md_overlap(K.md_sections(K.md_blocks(D.md_docs(spark, sf))))
+
+
+@query
+def chunk_window_split(spark, sf):
+    return D.md_docs(spark, sf).select("source", F.posexplode(K.chunk_window_split(F.col("text"))).alias("pos", "content"))
+
+
+@query
+def chunk_merge_short(spark, sf):
+    return D.kb_docs(spark, sf).select("source", F.posexplode(K.chunk_merge_short(F.split("text", "\n"))).alias("pos", "content"))
+
+
+@query
+def chunk_rows(spark, sf):
+    p = D.table(spark, sf, "part").select(F.concat(F.lit("parts-"), (F.col("p_partkey") % 10).cast("string"), F.lit(".csv")).alias("source"), F.col("p_partkey").alias("row_no"), "p_name", F.when(F.col("p_size") > 25, F.col("p_size")).alias("p_size"))
+    return K.chunk_rows(p, ["p_name", "p_size"])
+
+
+@query
+def chunk_json(spark, sf):
+    return K.chunk_json(D.table(spark, sf, "events").select(F.col("event_id").alias("source"), F.col("props").alias("text")))
+
+
+@query
+def chunk_xml(spark, sf):
+    body = F.array_join(F.transform(F.filter(X.lines("text"), lambda x: X.strip(x) != ""), lambda x: F.concat(F.lit("<sec><p>"), F.regexp_replace(x, "[<>&]", " "), F.lit("</p></sec>"))), "")
+    return K.chunk_xml(D.kb_docs(spark, sf).select("source", F.concat(F.lit("<topic><title>"), F.col("product_line"), F.lit("</title>"), body, F.lit("</topic>")).alias("text")))
+
+
+def _paragraphs(spark, sf):
+    rows = D.kb_docs(spark, sf).select("source", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    return rows.withColumn("style", F.when(F.col("pos") % 5 == 0, "Heading 1").otherwise("Normal")).withColumn("text", F.when(F.col("pos") % 5 == 3, "").otherwise(F.col("text")))
+
+
+@query
+def chunk_runs(spark, sf):
+    return K.chunk_runs(_paragraphs(spark, sf))
+
+
+@query
+def chunk_slides(spark, sf):
+    return K.chunk_slides(_paragraphs(spark, sf).withColumn("slide_no", (F.col("pos") / 4).cast("int") + 1))
+
+
+@query
+def route_pdf_pages(spark, sf):
+    pages = _paragraphs(spark, sf).groupBy("source", (F.col("pos") / 10).cast("int").alias("page_no")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
+    text, ocr = K.route_pdf_pages(pages, 400)
+    return text.select("source", "chunk_index", "content", F.lit(False).alias("needs_ocr")).unionByName(ocr.select("source", F.lit(None).cast("int").alias("chunk_index"), F.lit(None).cast("string").alias("content"), F.lit(True).alias("needs_ocr")))
+
+
+@query
+def load_chunks(spark, sf):
+    docs = D.md_docs(spark, sf)
+    return K.load_chunks(docs, sources=docs.where(K.suffix_of("source") != ".log").select("source")).select("id", "source", "chunk_index", "content_hash", "parse_track")
+
+
+# ---- sync
+
+
+@query
+def diff_states(spark, sf):
+    return Y.diff_states(*D.states(spark, sf))
+
+
+@query
+def diff_chunks(spark, sf):
+    return Y.diff_chunks(D.old_chunks(spark, sf), D.changed_chunks(spark, sf)).select("id", "source", "action")
+
+
+@query
+def chunks_by_source(spark, sf):
+    return Y.chunks_by_source(D.kb_chunks(spark, sf))
+
+
+@query
+def delete_by_sources(spark, sf):
+    kept, deleted = Y.delete_by_sources(D.kb_chunks(spark, sf), Y.diff_states(*D.states(spark, sf)).where("change in ('changed', 'deleted')"))
+    return kept.agg(F.count("*").alias("kept")).select(F.lit("kept").alias("what"), F.col("kept").alias("n")).unionByName(deleted.select(F.lit("deleted").alias("what"), F.col("deleted").alias("n")))
+
+
+@query
+def sync_incremental(spark, sf):
+    return Y.sync_incremental(D.old_chunks(spark, sf), Y.diff_states(*D.states(spark, sf)), D.changed_chunks(spark, sf)).select("id", "content_hash")
+
+
+@query
+def upsert_chunks(spark, sf):
+    return Y.upsert_chunks(D.old_chunks(spark, sf), D.changed_chunks(spark, sf)).select("id", "content_hash")
+
+
+@query
+def sync_summary(spark, sf):
+    return Y.sync_summary(Y.diff_states(*D.states(spark, sf)), Y.diff_chunks(D.old_chunks(spark, sf), D.changed_chunks(spark, sf)))
+
+
+@query
+def ingest_summary(spark, sf):
+    return Y.ingest_summary(D.kb_chunks(spark, sf))
+
+
+# ---- text
+
+
+@query
+def tokenize(spark, sf):
+    return D.kb_docs(spark, sf).select("source", F.explode(X.tokenize("text")).alias("token")).groupBy("token").agg(F.count("*").alias("n"), F.count_distinct("source").alias("docs"))
+
+
+@query
+def text_functions(spark, sf):
+    t = F.col("text")
+    return D.kb_docs(spark, sf).select("source", F.md5(X.norm_query(t)).alias("norm"), F.md5(X.clean_text(t)).alias("clean"), F.size(X.query_tokens_for_source(t)).alias("source_tokens"), F.size(X.overlap_terms(t)).alias("overlap"), X.count_token_hits(X.overlap_terms("source"), t).alias("hits"), X.normalize_source(F.concat(F.lit(" "), F.regexp_replace("source", "/", "\\\\"), F.lit(" "))).alias("normal"))
+
+
+@query
+def strip_inline_markup(spark, sf):
+    lines = D.checked_docs(spark, sf).select("file_path", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return lines.select("file_path", "pos", X.strip_inline_markup("line").alias("plain"))
+
+
+@query
+def exact_terms(spark, sf):
+    q = D.questions(spark, sf)
+    return q.select("query_id", X.identifiers("question").alias("rerank_terms"), X.model_terms("question").alias("models"), X.contains_exact_term(F.col("question"), F.lit("wps-3100")).alias("has_3100"))
+
+
+@query
+def han_terms(spark, sf):
+    return D.questions(spark, sf).select("query_id", X.exact_terms("question").alias("terms"))
+
+
+@query
+def model_replies(spark, sf):
+    """A model's lists and verdicts, derived from events' properties: fenced, bare and broken."""
+    e = D.table(spark, sf, "events").select("event_id", "event_type")
+    lists = F.expr("case event_id % 3 when 0 then '```json\n[\" ' || event_type || '\", \"\", \"b\", \"c\"]\n```' when 1 then '[\"' || event_type || '\"]' else 'no' end")
+    verdict = F.expr("case event_id % 2 when 0 then 'so: {\"relevant\": false, \"confidence\": \"high\", \"reason\": \"' || event_type || '\"} .' else 'none' end")
+    return e.select("event_id", X.json_strings(lists, 2, F.array("event_type")).alias("texts"), X.judge_reply(verdict).alias("j")).select("event_id", "texts", "j.relevant", "j.confidence")
+
+
+# ---- understanding
+
+
+def _plans(spark, sf):
+    return U.build_query_plans(D.questions(spark, sf))
+
+
+@query
+def extract_entities(spark, sf):
+    return D.questions(spark, sf).select("query_id", U.extract_entities("question").alias("e")).select("query_id", "e.model_types", "e.versions", "e.fault_codes", "e.doc_ids")
+
+
+@query
+def classify_intent(spark, sf):
+    return D.questions(spark, sf).select("query_id", U.classify_intent("question").alias("intent"))
+
+
+@query
+def suggest_filters(spark, sf):
+    return _plans(spark, sf).select("query_id", "suggested_filters.version", "suggested_filters.doc_type", "suggested_filters.department", "is_complex", U.is_vague("question", F.col("entities"), F.col("intent")).alias("vague"))
+
+
+@query
+def merge_where(spark, sf):
+    """User filters over suggested ones, their names, and what is left without doc_type."""
+    q = D.questions(spark, sf).withColumn("doc_type", F.expr("case when query_id % 3 = 0 then 'fmea' else '' end")).withColumn("version", F.expr("case when query_id % 2 = 0 then '9.1' end"))
+    p = U.build_query_plans(q)
+    return p.select("query_id", "where.version", "where.doc_type", F.size(U.where_fields(F.col("where"))).alias("n_fields"), U.drop_doc_type(F.col("where"))["doc_type"].isNull().alias("dropped"))
+
+
+@query
+def expand_queries(spark, sf):
+    return U.expand_queries(D.questions(spark, sf), U.synonym_table(spark))
+
+
+@query
+def execution_plan(spark, sf):
+    return U.execution_plan(_plans(spark, sf)).select("query_id", "route", "tools", F.col("policy.strategy").alias("strategy"), F.col("policy.trigger_conditions").alias("triggers"), U.stub_answer(F.col("route")).alias("stub"))
+
+
+# ---- retrieval
+
+
+@query
+def vector_topk(spark, sf):
+    return S.vector_topk(D.vector_queries(spark, sf), D.vectors(spark, sf), 10).select("query_id", "id", "rank", F.round("distance", 6).alias("distance"), F.round(1 - F.col("distance"), 4).alias("score"))
+
+
+@query
+def vector_topk_filtered(spark, sf):
+    q = D.vector_queries(spark, sf).withColumn("label", F.when(F.col("query_id") % 200 == 0, F.lit(3)).cast("int"))
+    v = D.vectors(spark, sf).withColumn("label", F.col("label").cast("int"))
+    return S.vector_topk(q, v, 10, ("label",)).select("query_id", "id", "rank")
+
+
+@query
+def bm25_corpus(spark, sf):
+    return S.bm25_corpus(D.passages(spark, sf), S.postings(D.kb_chunks(spark, sf)), 10).select("query_id", "id", "rank", F.round("bm25", 4).alias("bm25"))
+
+
+def _pool(spark, sf):
+    """A pool of each passage's lexical hits, in another order."""
+    hits = _hits(spark, sf).withColumn("vector_rank", F.row_number().over(S.Window.partitionBy("query_id").orderBy("id")))
+    return hits.select("query_id", "id", "content", "source", "vector_rank"), D.passages(spark, sf).withColumnRenamed("question", "variant")
+
+
+@query
+def bm25_rank(spark, sf):
+    return S.bm25_rank(*_pool(spark, sf)).select("query_id", "id", "bm25_rank", F.round("bm25", 4).alias("bm25"))
+
+
+@query
+def rrf_fuse(spark, sf):
+    ranked = S.bm25_rank(*_pool(spark, sf))
+    both = ranked.select("query_id", "id", F.col("vector_rank").alias("rank")).unionByName(ranked.select("query_id", "id", F.col("bm25_rank").alias("rank")))
+    return S.rrf_fuse(both).select("query_id", "id", F.round("rrf", 6).alias("rrf"))
+
+
+@query
+def candidate_pool(spark, sf):
+    """Two rankings of a question's chunks, joined as one pool: of each chunk the better rank stays."""
+    hits = _hits(spark, sf).select("query_id", "id", "rank")
+    twice = hits.unionByName(hits.withColumn("rank", F.col("rank") * 2 + 1))
+    return S.candidate_pool(twice, D.kb_chunks(spark, sf)).select("query_id", "id", "vector_rank")
+
+
+def _boosted(spark, sf):
+    chunks = D.kb_chunks(spark, sf)
+    return _hits(spark, sf).select("query_id", "id", "rank").join(chunks, "id").join(D.questions(spark, sf), "query_id")
+
+
+@query
+def boosts(spark, sf):
+    rows = _boosted(spark, sf)
+    return rows.select("query_id", "id", F.round(S.exact_match_boost(X.identifiers("question")), 4).alias("exact"), S.model_match_adjustment("question").alias("model"), F.round(S.doc_type_adjustment("question"), 4).alias("kind"), F.round(S.source_overlap_boost("question"), 4).alias("overlap"))
+
+
+@query
+def rerank_bonus(spark, sf):
+    return _boosted(spark, sf).select("query_id", "id", F.round(R.rerank_bonus("question"), 4).alias("bonus"))
+
+
+def hashed_vectors(texts) -> np.ndarray:
+    """A stand-in for an embedding model: hashed words, 64 dimensions."""
+    from zlib import crc32
+
+    out = np.zeros((len(texts), 64), np.float32)
+    for i, t in enumerate(texts):
+        for w in t.lower().split():
+            h = crc32(w.encode())
+            out[i, h % 64] += 1 if h & 64 else -1
+    return out
+
+
+def _vectors(spark, sf):
+    chunks = D.kb_chunks(spark, sf)
+    return chunks, S.embed(chunks.select("id", "content"), hashed_vectors).select("id", "embedding")
+
+
+def _embed(variants: DataFrame) -> DataFrame:
+    return S.embed(variants, hashed_vectors, "variant")
+
+
+@query
+def retrieve_hybrid_multi(spark, sf):
+    chunks, vectors = _vectors(spark, sf)
+    variants = U.expand_queries(D.questions(spark, sf), U.synonym_table(spark))
+    return S.retrieve_hybrid_multi(_embed(variants), chunks, vectors, 5).select("query_id", "rank", "id", "score")
+
+
+@query
+def answer_questions(spark, sf):
+    chunks, vectors = _vectors(spark, sf)
+    keep = lambda df, name: df.persist()
+    vectors = keep(vectors, "vectors")
+    _, audit = answer.answer_questions(D.questions(spark, sf), chunks, vectors, U.synonym_table(spark), _embed, keep)
+    return audit.select("query_id", "intent", "route", "retry_policy", "retried", "evidence_sources", "max_rerank_score", "low_confidence")
+
+
+@query
+def retrieve_text(spark, sf):
+    hits = _hits(spark, sf).select("query_id", "id", "rank")
+    return S.retrieve_text(hits, D.kb_chunks(spark, sf)).select("query_id", F.md5(F.array_join("contents", "\n")).alias("contents"))
+
+
+# ---- reranking and checks
+
+
+def _reranked(spark, sf):
+    chunks = D.kb_chunks(spark, sf)
+    evidence = _hits(spark, sf).select("query_id", "id", "rank").join(chunks, "id")
+    return R.rerank_with_scores(evidence, D.questions(spark, sf), R.rerank_pool(3))
+
+
+@query
+def rerank_with_scores(spark, sf):
+    return _reranked(spark, sf).select("query_id", "rank", "id", F.round("rerank_score", 3).alias("rerank_score"), F.round("max_score", 3).alias("max_score"))
+
+
+@query
+def rerank_texts(spark, sf):
+    return R.simple_answer_pool(D.passages(spark, sf), _hits(spark, sf).select("query_id", "id", "rank"), D.kb_chunks(spark, sf)).select("query_id", "rank", F.md5("content").alias("content"), F.round("rerank_score", 4).alias("rerank_score"))
+
+
+@query
+def dedupe_sources(spark, sf):
+    return R.dedupe_sources(_hits(spark, sf), 5, 1).select("query_id", "rank", "id", "source")
+
+
+@query
+def critique_evidence(spark, sf):
+    return R.critique_evidence(_plans(spark, sf), R.dedupe_sources(_reranked(spark, sf), 3)).select("query_id", "passed", "issues", "type_ok", "score_ok", "matched_entities", "missing_entities")
+
+
+@query
+def build_retry_query(spark, sf):
+    p = U.execution_plan(_plans(spark, sf))
+    c = R.critique_evidence(p, R.dedupe_sources(_reranked(spark, sf), 3))
+    rows = p.join(c.select("query_id", "issues", "missing_entities"), "query_id")
+    q, w = R.build_retry_query(F.col("policy.strategy"))
+    return rows.select("query_id", R.should_retry(F.col("issues"), F.col("policy")).alias("retry"), q.alias("retry_query"), w["doc_type"].alias("doc_type"), w["version"].alias("version"))
+
+
+@query
+def critique_answer(spark, sf):
+    """Answers are the passages' own text with the model, but without the version."""
+    p = _plans(spark, sf).join(D.passages(spark, sf).select("query_id", F.col("question").alias("t")), "query_id")
+    return p.select("query_id", R.critique_answer(F.col("entities"), F.concat("t", F.lit(" wps-3000 vis-1001"))).alias("c")).select("query_id", "c.passed", "c.coverage_rate", "c.covered_keywords", "c.missing_keywords")
+
+
+@query
+def assemble_context(spark, sf):
+    top = R.dedupe_sources(_hits(spark, sf).select("query_id", "id", "rank").join(D.kb_chunks(spark, sf), "id"), 5)
+    return R.assemble_context(top).select("query_id", F.md5("context").alias("context"))
+
+
+# ---- analytics
+
+
+@query
+def meta_options(spark, sf):
+    return A.meta_options(D.kb_docs(spark, sf))
+
+
+@query
+def knowledge_gaps(spark, sf):
+    return A.knowledge_gaps(D.audit(spark, sf)).select("ts", "question", "max_rerank_score", "total")
+
+
+@query
+def corpus_by_dir(spark, sf):
+    return A.corpus_by_dir(D.kb_docs(spark, sf))
+
+
+def _sidecars(spark, sf):
+    return D.kb_docs(spark, sf).where("doc_type != 'test_case'")
+
+
+@query
+def meta_coverage(spark, sf):
+    return A.meta_coverage(D.kb_docs(spark, sf), _sidecars(spark, sf))
+
+
+@query
+def missing_sidecars(spark, sf):
+    return A.missing_sidecars(D.kb_docs(spark, sf), _sidecars(spark, sf))
+
+
+@query
+def doc_type_distribution(spark, sf):
+    return A.doc_type_distribution(_sidecars(spark, sf))
+
+
+# ---- checker
+
+
+def _lines(spark, sf):
+    return C.explode_lines(D.checked_docs(spark, sf))
+
+
+def _rule(name: str, f) -> None:
+    def run(spark, sf):
+        return f(_lines(spark, sf)).select("file_path", "line", "col", "level", "category", "message", "context", "suggestion")
+
+    run.__name__ = name
+    query(run)
+
+
+for _name in ("repeated_words", "heading_format", "empty_sections", "consecutive_blank_lines", "long_paragraphs", "mixed_digits", "note_format", "cjk_latin_spacing", "duplicate_lines", "numbered_list", "terminology"):
+    _rule(f"check_{_name}", getattr(C, f"check_{_name}"))
+
+
+@query
+def code_block_flag(spark, sf):
+    return C.code_block_flag(D.checked_docs(spark, sf))
+
+
+@query
+def check_broken_links(spark, sf):
+    return C.check_broken_links(_lines(spark, sf), D.kb_docs(spark, sf).select(F.col("source").alias("path"))).select("file_path", "line", "col", "message")
+
+
+@query
+def check_documents(spark, sf):
+    files = D.kb_docs(spark, sf).select(F.col("source").alias("path"))
+    return C.filter_level(C.check_documents(D.checked_docs(spark, sf), files=files), "warning").select("file_path", "line", "col", "level", "category", "message")
+
+
+@query
+def check_summary(spark, sf):
+    return C.check_summary(C.check_documents(D.checked_docs(spark, sf)))
+
+
+# ---- evaluation
+
+
+def _cases(spark, sf):
+    none = F.array().cast("array<string>")
+    rows = D.passages(spark, sf).join(D.expected(spark, sf), "query_id", "left")
+    return rows.select("query_id", "question", F.coalesce("expected_sources", none).alias("expected_sources"), F.when(F.col("query_id") % 4 == 0, F.coalesce("expected_sources", none)).otherwise(none).alias("forbidden_sources"), F.expr("case when query_id % 2 = 0 then 'retrieval' else 'metadata_filter' end").alias("category"), F.slice(X.overlap_terms("question"), 1, 2).alias("expected_keywords"))
+
+
+@query
+def generate_synonym_cases(spark, sf):
+    return E.generate_synonym_cases(D.kb_chunks(spark, sf), U.synonym_table(spark))
+
+
+@query
+def top_sources(spark, sf):
+    return E.top_sources(_hits(spark, sf), 5)
+
+
+@query
+def ab_hit_rate(spark, sf):
+    hits = _hits(spark, sf)
+    return E.ab_hit_rate(E.ab_hits(_cases(spark, sf), hits.where("rank > 1").withColumn("rank", F.col("rank") - 1), hits))
+
+
+@query
+def stats_by_category(spark, sf):
+    return E.stats_by_category(E.retrieval_checks(_cases(spark, sf), E.top_sources(_hits(spark, sf), 5)))
+
+
+@query
+def improved_degraded(spark, sf):
+    hits, cases = _hits(spark, sf), _cases(spark, sf)
+    base = E.retrieval_checks(cases, E.top_sources(hits.where("rank > 1").withColumn("rank", F.col("rank") - 1), 5))
+    return E.improved_degraded(base, E.retrieval_checks(cases, E.top_sources(hits, 5)))
+
+
+def _scored(spark, sf):
+    cases = _cases(spark, sf).withColumn("expected_chunk_keywords", F.col("expected_keywords"))
+    answers = D.passages(spark, sf).select("query_id", F.expr("case when query_id % 3 = 0 then '' else question end").alias("answer"))
+    return E.score_case(cases, _hits(spark, sf).where("rank <= 5"), answers)
+
+
+@query
+def score_case(spark, sf):
+    return _scored(spark, sf).select("query_id", "top1_matches_expected", "top3_contains_expected", "top3_excludes_forbidden", "answer_contains_keywords", "chunks_contain_keywords", "score", "passed", "top1_source")
+
+
+@query
+def pass_rate_summary(spark, sf):
+    return E.pass_rate_summary(_scored(spark, sf))
+
+
+@query
+def routing_scorecard(spark, sf):
+    want = D.questions(spark, sf).select("query_id", F.expr("case query_id % 8 when 4 then 'sql' when 6 then 'web' when 7 then 'manual' else 'kb' end").alias("expected_route"), F.expr("case when query_id % 8 = 2 then 'exact_match_boost' end").alias("expected_strategy"))
+    return E.routing_scorecard(U.execution_plan(_plans(spark, sf)), want)
