@@ -2,15 +2,16 @@
 
 A document's set is its distinct k-word shingles. Documents of equal sets form a class with one
 representative. Representatives get PERMUTATIONS universal-hash minima; bands of ROWS minima are
-bucket keys, so that two sets of similarity 0.8 share no bucket with probability below 1e-7.
+bucket keys: two sets of similarity 0.8 share no bucket with probability 5e-6, two of 0.3 share
+one with probability 0.01.
 Pairs of a bucket are verified on the signatures, then on the full sets, and the links' connected
 components come from alternating large-star and small-star.
 
-No bucket is ever gathered, and its pairs are not listed: first every member is paired with its
-bucket's smallest id, then, in buckets that still hold several components, with the largest id and
-with one picked by hash, and last, in buckets still not settled, the members outside the largest
-component are paired with those of other components. So a bucket that is one component costs a
-pair a member, however large it is, and no pair that could join two components is left out.
+No bucket is ever gathered, and its pairs are not listed. Every member is paired with its bucket's
+smallest id, so a bucket that is then one component costs a pair a member, however large it is.
+Buckets that still hold several components are merged into families, and in each family the
+documents outside its largest component are held against all others, in cells of at most about
+BLOCK by GROUP documents that emit links only: no pair that could join two components is left out.
 """
 
 from __future__ import annotations
@@ -20,31 +21,31 @@ from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stackwright.llm.common import Scratch, connected_components, small_batches
 from stackwright.llm.textbatch import Words, mix, shingles
 
-PERMUTATIONS, ROWS = 128, 4
-#: A pair whose signatures agree on less than the threshold by this much (5.6 standard deviations
-#: at 0.8) is not compared in full.
-SLACK = 0.2
-#: Members compared with one text in one group.
-GROUP = 256
+PERMUTATIONS, ROWS = 364, 7
+#: Signatures for verification are a bit of each minimum; a pair whose bits agree less often than
+#: its threshold lets expect, by so many standard deviations, is not compared in full.
+SIGMAS = 5.5
+#: Members compared with one text in one group, and texts held at once in a cell of a family.
+GROUP, BLOCK = 1024, 256
 
 _rng = np.random.default_rng(977)
-_A = _rng.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
-_B = _rng.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)
+_A = _rng.integers(1, 2**31, PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_B = _rng.integers(0, 2**32, PERMUTATIONS, dtype=np.uint32)
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """The minima, uint32 [sets, PERMUTATIONS]; no set may be empty."""
+    """The minima of a x + b (mod 2**32) over 32 bits of each shingle, [sets, PERMUTATIONS]; no set may be empty."""
     at = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
-    x, out = np.concatenate(sets), np.empty((len(sets), PERMUTATIONS), np.uint32)
+    x, out = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32), np.empty((len(sets), PERMUTATIONS), np.uint32)
     with np.errstate(over="ignore"):
         for j in range(PERMUTATIONS):
-            out[:, j] = np.minimum.reduceat(((x * _A[j] + _B[j]) >> np.uint64(32)).astype(np.uint32), at)
+            out[:, j] = np.minimum.reduceat(x * _A[j] + _B[j], at)
     return out
 
 
@@ -58,6 +59,22 @@ def band_keys(minima: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return key.view(np.int64)
 
 
+def bits(minima: np.ndarray) -> np.ndarray:
+    """A bit of each minimum, mixed, packed into int64 words."""
+    one = (minima * np.uint32(0x9E3779B1) >> np.uint32(31)).astype(np.uint8)
+    one = np.pad(one, ((0, 0), (0, -one.shape[1] % 64)))
+    return np.packbits(one, axis=1).view(np.int64)
+
+
+def alike(x: str, y: str, percent: int) -> Column:
+    """May the sets behind rows x and y (sig, n) be as similar as percent asks: sizes and signatures."""
+    j = percent / 100
+    most = PERMUTATIONS * (1 - j) / 2 + SIGMAS * (PERMUTATIONS * (1 + j) * (1 - j)) ** 0.5 / 2
+    words = -(-PERMUTATIONS // 64)
+    apart = " + ".join(f"bit_count({x}.sig[{i}] ^ {y}.sig[{i}])" for i in range(words))
+    return F.expr(f"100L * least({x}.n, {y}.n) >= {percent}L * greatest({x}.n, {y}.n) and {apart} <= {int(most)}")
+
+
 def _digests(k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -69,25 +86,14 @@ def _digests(k: int):
                 key, bands, sig = [None] * len(sets), [None] * len(sets), [None] * len(sets)
                 if some:
                     minima = signatures([sets[j] for j in some])
-                    keys, low = band_keys(minima), (minima & np.uint32(255)).astype(np.uint8)
+                    keys, low = band_keys(minima), bits(minima)
                     for n, j in enumerate(some):
-                        key[j], bands[j], sig[j] = blake2b(sets[j].tobytes(), digest_size=16).digest(), keys[n], low[n].tobytes()
+                        key[j], bands[j], sig[j] = blake2b(sets[j].tobytes(), digest_size=16).digest(), keys[n], low[n]
                 yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "n_shingles": [len(s) for s in sets], "key": key, "bands": bands, "sig": sig})
 
     return run
 
 
-def _alike(least: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                x, y = (np.frombuffer(b"".join(pdf[c]), np.uint8).reshape(len(pdf), -1) for c in ("sig_hub", "sig_leaf"))
-                share = ((x == y).mean(1) - 1 / 256) / (1 - 1 / 256)
-                yield pdf.loc[share >= least, ["hub", "leaf"]]
-
-    return run
-
-
 def _confirmed(k: int, percent: int):
     """Rows sorted by (hub, salt, role): a hub's text comes before its leaves' and is kept for them."""
 
@@ -110,8 +116,8 @@ def _confirmed(k: int, percent: int):
 
 def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of the pairs (hub, leaf) whose full sets are as similar as percent asks."""
-    sig = lambda c: reps.select(F.col("rep").alias(c), F.col("sig").alias(f"sig_{c}"))
-    likely = pairs.join(sig("hub"), "hub").join(sig("leaf"), "leaf").mapInPandas(_alike(percent / 100 - SLACK), "hub long, leaf long")
+    of = lambda c: reps.select(F.col("rep").alias(c), F.struct("sig", "n").alias(f"_{c}"))
+    likely = pairs.join(of("hub"), "hub").join(of("leaf"), "leaf").where(alike("_hub", "_leaf", percent)).select("hub", "leaf")
     groups = likely.groupBy("hub").agg(F.ceil(F.count("*") / GROUP).alias("groups"))
     dealt = likely.join(groups, "hub").select("hub", "leaf", F.expr("pmod(xxhash64(leaf), groups)").alias("salt"))
     leaves = dealt.join(texts, dealt["leaf"] == texts["rep"]).select("hub", "salt", F.lit(1).alias("role"), F.col("leaf").alias("id"), "text")
@@ -125,6 +131,69 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return rows.where("hub != leaf").groupBy(F.least("hub", "leaf").alias("a"), F.greatest("hub", "leaf").alias("b")).agg(F.min("hub").alias("hub")).select("hub", F.expr("a + b - hub").alias("leaf"))
 
 
+def _open(members: DataFrame, linked: DataFrame) -> DataFrame:
+    """rep, its component c, and the largest component main of a bucket of several that it is in."""
+    of = members.select("bucket", "rep").join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("c"))
+    sizes = of.groupBy("bucket", "c").agg(F.count("*").alias("n"))
+    several = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.max_by("c", F.struct("n", "c")).alias("main")).where("parts > 1").drop("parts")
+    return of.join(several, "bucket").select("rep", "c", "main").distinct()
+
+
+def _cells(k: int, percent: int):
+    """Rows sorted by (family, block, salt, role): the held texts of a cell come before those compared with them."""
+    width = -(-PERMUTATIONS // 64)
+    j = percent / 100
+    most = int(PERMUTATIONS * (1 - j) / 2 + SIGMAS * (PERMUTATIONS * (1 + j) * (1 - j)) ** 0.5 / 2)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held, index = None, [], None
+        for pdf in batches:
+            w, linked = Words(pdf["text"], lower=True), []
+            for i, (cell, role, rep, c, sig) in enumerate(zip(zip(pdf["family"], pdf["block"], pdf["salt"], strict=True), pdf["role"], pdf["rep"], pdf["c"], pdf["sig"], strict=True)):
+                if cell != at:
+                    at, held, index = cell, [], None
+                if role == 0:
+                    held.append((rep, c, np.asarray(sig, np.int64).view(np.uint64), shingles(w.of(i), k)))
+                    continue
+                if not held:
+                    continue
+                if index is None:
+                    ids, own = np.array([h[0] for h in held]), np.array([h[1] for h in held])
+                    sigs, size = np.stack([h[2] for h in held]).reshape(-1, width), np.array([len(h[3]) for h in held])
+                    all_, of = np.concatenate([h[3] for h in held]), np.repeat(np.arange(len(held)), size)
+                    order = np.argsort(all_, kind="stable")
+                    index = all_[order], of[order]
+                may = (own != c) & (np.bitwise_count(sigs ^ np.asarray(sig, np.int64).view(np.uint64)).sum(1) <= most)
+                if not may.any():
+                    continue
+                s = shingles(w.of(i), k)
+                lo, hi = np.searchsorted(index[0], s), np.searchsorted(index[0], s, "right")
+                times = hi - lo
+                spots = np.repeat(lo, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                both = np.bincount(index[1][spots], minlength=len(ids))
+                linked += [(int(x), rep) for x in ids[may & (100 * both >= percent * (size + len(s) - both))]]
+            yield pd.DataFrame(linked, columns=["u", "v"], dtype="int64")
+
+    return run
+
+
+def _rest(spark: SparkSession, left: DataFrame, reps: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between components that share a bucket, found in families of such components."""
+    near = connected_components(spark, left.where("c != main").select(F.col("c").alias("u"), F.col("main").alias("v")), "neardup-families").distinct()
+    docs = left.select("rep", "c").distinct().join(near.select(F.col("node").alias("c"), F.col("component").alias("family")), "c")
+    parts = docs.groupBy("family", "c").agg(F.count("*").alias("n"))
+    families = parts.groupBy("family").agg(F.max_by("c", F.struct("n", "c")).alias("largest"), F.sum("n").alias("n"), F.max("n").alias("most"))
+    families = families.select("family", "largest", F.ceil((F.col("n") - F.col("most")) / BLOCK).alias("blocks"), F.ceil(F.col("n") / GROUP).alias("salts"))
+    docs = docs.join(families, "family")
+    up_to = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    part = lambda c: F.expr(f"pmod(xxhash64(rep), {c})")
+    held = docs.where("c != largest").select("family", part("blocks").alias("block"), up_to("salts").alias("salt"), F.lit(0).alias("role"), "rep", "c")
+    seen = docs.select("family", up_to("blocks").alias("block"), part("salts").alias("salt"), F.lit(1).alias("role"), "rep", "c")
+    told = texts.join(reps.select("rep", "sig"), "rep")
+    rows = held.union(seen).join(told, "rep").repartition("family", "block", "salt").sortWithinPartitions("family", "block", "salt", "role", "rep")
+    return rows.mapInPandas(_cells(k, percent), "u long, v long")
+
+
 def find_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs (doc_id, text; others ignored).
 
@@ -137,35 +206,26 @@ def find_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
     """
     small_batches(spark)
     scratch = Scratch(spark, "neardup")
-    digests = scratch.keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_digests(k), "doc_id long, n_shingles long, key binary, bands array<long>, sig binary"), "digests")
+    digests = scratch.keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_digests(k), "doc_id long, n_shingles long, key binary, bands array<long>, sig array<long>"), "digests")
     # equal sets have equal bands and signatures
-    reps = scratch.keep(digests.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "reps")
+    reps = scratch.keep(digests.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")), "reps")
     rows = reps.select("rep", F.explode("bands").alias("bucket"))
-    buckets = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("low"), F.max("rep").alias("high"), F.min_by("rep", F.xxhash64("rep", "bucket")).alias("any")).where("n > 1").drop("n")
+    buckets = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("low")).where("n > 1").drop("n")
     members = scratch.keep(rows.join(buckets, "bucket"), "members")
     texts = scratch.keep(docs.select(F.col("doc_id").alias("rep"), "text").join(members.select("rep").distinct(), "rep", "left_semi"), "texts")
 
     first = _pairs(members.select(F.col("low").alias("hub"), F.col("rep").alias("leaf")))
     linked = connected_components(spark, _verified(first, reps, texts, k, percent), "neardup-cc")
-    for step in ("second", "rest"):
-        linked = scratch.keep(linked.distinct(), f"linked-{step}")
-        of = members.join(linked.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
-        sizes = of.groupBy("bucket", "c").agg(F.count("*").alias("n"))
-        open_ = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.max_by("c", F.struct("n", "c")).alias("main")).where("parts > 1").drop("parts")
-        left = scratch.keep(of.join(open_, "bucket"), f"open-{step}")
-        if left.isEmpty():
-            break
-        if step == "second":
-            more = left.select(F.col("high").alias("hub"), F.col("rep").alias("leaf")).union(left.select("any", "rep"))
-        else:
-            apart = left.where("c != main").select("bucket", F.col("rep").alias("hub"), F.col("c").alias("c_hub"))
-            more = apart.join(left.select("bucket", F.col("rep").alias("leaf"), F.col("c").alias("c_leaf")), "bucket").where("c_hub != c_leaf").select("hub", "leaf")
-        links = _verified(_pairs(more), reps, texts, k, percent)
-        linked = connected_components(spark, links.union(linked.select("node", "component")), "neardup-cc")
+    linked = scratch.keep(linked.distinct(), "linked")
+    left = scratch.keep(_open(members, linked), "open")
+    if not left.isEmpty():
+        links = scratch.keep(_rest(spark, left, reps, texts, k, percent), "links")
+        if not links.isEmpty():
+            linked = connected_components(spark, links.union(linked.select("node", "component")), "neardup-cc")
     classes = reps.select("key", "rep").join(linked.distinct().withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("c"))
     named = digests.select("doc_id", "n_shingles", "key").join(classes, "key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id")).alias("component_id"))
     out = scratch.keep(named.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "result")
-    for name in ("digests", "reps", "members", "texts", "linked-second", "linked-rest", "open-second", "open-rest"):
+    for name in ("digests", "reps", "members", "texts", "linked", "open", "links"):
         scratch.drop(name)
     return out
 
