@@ -36,17 +36,22 @@ def op3_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), table(spark, sf_dir, "labels")
     old, new = "byte_bpe_50k", "byte_bpe_multi_50k"
     scratch = Scratch(spark, "token-rollup")
-    counts = token_rollup.count_tokens(spark, token_rollup.count_tokens(spark, docs, old, name=old), new, name=new)
-    counts = scratch.keep(counts.drop("text"), "counts")
+    # all counts in one scan; the cleaned text is counted again only where it differs
+    symbols = r"[#*$%&|<>]+"
+    cleaned = F.when(F.col("text").rlike(symbols), F.regexp_replace("text", symbols, ""))
+    counts = docs
+    for name in (old, new):
+        counts = token_rollup.count_tokens(spark, counts, name, name=name)
+    counts = token_rollup.count_tokens(spark, counts.withColumn("cleaned", cleaned), new, name="n_tokens", column="cleaned")
+    counts = scratch.keep(counts.select("doc_id", "source", "lang", old, new, F.when(F.col("cleaned").isNull(), F.col(new)).otherwise(F.col("n_tokens")).alias("n_cleaned")), "counts")
     of = lambda df, t: df.select("doc_id", "source", "lang", F.lit(t).alias("tokenizer"), F.col(t).alias("n_tokens"))
     flagged = lambda what: labels.where(what).select("doc_id").distinct()
     gone = of(counts, old).union(of(counts, new)).join(flagged("quality = 0"), "doc_id", "left_semi")
-    cleaned = docs.join(flagged("toxic = 1 and quality = 1"), "doc_id", "left_semi").withColumn("text", F.regexp_replace("text", r"[#*$%&|<>]+", ""))
-    cleaned = token_rollup.count_tokens(spark, cleaned, new).select("doc_id", "n_tokens")
-    was = of(counts, new).select("doc_id", *[F.col(c).alias(f"old_{c}") for c in ("source", "lang", "tokenizer", "n_tokens")], "source", "lang", "tokenizer")
+    was = [F.col(c).alias(f"old_{c}") for c in ("source", "lang")] + [F.lit(new).alias("old_tokenizer"), F.col(new).alias("old_n_tokens")]
+    revised = counts.join(flagged("toxic = 1 and quality = 1"), "doc_id", "left_semi").select(*was, "source", "lang", F.lit(new).alias("tokenizer"), F.col("n_cleaned").alias("n_tokens"))
     rollup = token_rollup.Rollup(spark, scratch.path("rollup"))
     insert, delete, revise = ("op", F.lit("insert")), ("op", F.lit("delete")), ("op", F.lit("revise"))
-    history = [("load-1", of(counts, old).withColumn(*insert)), ("load-2", of(counts, new).withColumn(*insert)), ("drop-poor", gone.withColumn(*delete)), ("load-1", of(counts, old).withColumn(*insert)), ("clean-toxic", was.join(cleaned, "doc_id").withColumn(*revise)), ("drop-poor", gone.withColumn(*delete))]
+    history = [("load-1", of(counts, old).withColumn(*insert)), ("load-2", of(counts, new).withColumn(*insert)), ("drop-poor", gone.withColumn(*delete)), ("load-1", of(counts, old).withColumn(*insert)), ("clean-toxic", revised.withColumn(*revise)), ("drop-poor", gone.withColumn(*delete))]
     for batch, changes in history:
         rollup.commit(batch, changes)
     return rollup.totals()

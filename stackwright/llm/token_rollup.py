@@ -44,16 +44,16 @@ def _counter(spark: SparkSession, vocabulary: str):
     return count
 
 
-def count_tokens(spark: SparkSession, docs: DataFrame, tokenizer: str, folder: str = TOKENIZERS, name: str = "n_tokens") -> DataFrame:
-    """docs with the number of tokens of text: 'words', or a .tiktoken file of the folder.
+def count_tokens(spark: SparkSession, docs: DataFrame, tokenizer: str, folder: str = TOKENIZERS, name: str = "n_tokens", column: str = "text") -> DataFrame:
+    """docs with the number of tokens of a text column: 'words', or a .tiktoken file of the folder.
 
     Null and empty texts have none. A column of the given name is replaced.
     """
     if tokenizer == "words":
-        n = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+        n = F.coalesce(F.regexp_count(column, F.lit(WORD)), F.lit(0)).cast("long")
     else:
         small_batches(spark)
-        n = _counter(spark, os.path.join(folder, f"{tokenizer}.tiktoken"))("text")
+        n = _counter(spark, os.path.join(folder, f"{tokenizer}.tiktoken"))(column)
     return docs.withColumn(name, n)
 
 
