@@ -63,35 +63,32 @@ def tfidf(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9)
 
 
-def ftrl(x: np.ndarray, y: np.ndarray, classes: int, epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 2e-4, l2: float = 1e-3, seed: int = 3) -> np.ndarray:
-    """Weights [features + 1, classes] by FTRL-proximal on the softmax loss, one row at a time.
+def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: int, width: int = BUCKETS, epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 2e-4, l2: float = 1e-3, seed: int = 3) -> np.ndarray:
+    """Weights [width + 1, classes] by FTRL-proximal on the softmax loss, one row (places, values) at a time.
 
     Only the coordinates of a row's features are read and moved; a coordinate whose gradient sum
     stays within l1 is exactly 0. The last row is the bias, which has no penalty.
     """
     rng = np.random.default_rng(seed)
-    z, n = np.zeros((x.shape[1] + 1, classes), np.float64), np.zeros((x.shape[1] + 1, classes), np.float64)
+    z, n = np.zeros((width + 1, classes), np.float64), np.zeros((width + 1, classes), np.float64)
+    lasso, ridge = l1 * len(rows), l2 * len(rows)
 
     def weights(z, n):
-        return np.where(np.abs(z) <= l1 * len(x), 0.0, -(z - np.sign(z) * l1 * len(x)) / ((beta + np.sqrt(n)) / alpha + l2 * len(x)))
+        return np.where(np.abs(z) <= lasso, 0.0, -(z - np.sign(z) * lasso) / ((beta + np.sqrt(n)) / alpha + ridge))
+
+    def moved(at, g, w):
+        new = n[at] + g * g
+        z[at] += g - (np.sqrt(new) - np.sqrt(n[at])) / alpha * w
+        n[at] = new
 
     for _ in range(epochs):
-        for i in rng.permutation(len(x)):
-            at = np.flatnonzero(x[i])
-            v = x[i, at].astype(np.float64)
-            w = weights(z[at], n[at])
-            bias = -z[-1] / ((beta + np.sqrt(n[-1])) / alpha)
-            s = v @ w + bias
-            p = np.exp(s - s.max())
-            p /= p.sum()
+        for i in rng.permutation(len(rows)):
+            at, v = rows[i]
+            w, bias = weights(z[at], n[at]), -z[-1] / ((beta + np.sqrt(n[-1])) / alpha)
+            p = _softmax((v @ w + bias)[None])[0]
             p[y[i]] -= 1
-            g = v[:, None] * p
-            sigma = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / alpha
-            z[at] += g - sigma * w
-            n[at] += g * g
-            sigma = (np.sqrt(n[-1] + p * p) - np.sqrt(n[-1])) / alpha
-            z[-1] += p - sigma * bias
-            n[-1] += p * p
+            moved(at, v[:, None] * p, w)
+            moved(-1, p, bias)
     return np.vstack([weights(z[:-1], n[:-1]), -z[-1:] / ((beta + np.sqrt(n[-1:])) / alpha)]).astype(np.float32)
 
 
@@ -157,13 +154,12 @@ def fit(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> dict:
     langs = sorted({r["lang"] for r in got})
     if not langs:
         return {"langs": [UNKNOWN], "idf": idf, "w": np.zeros((BUCKETS + 1, 1), np.float32), "t": 1.0}
-    x = np.zeros((len(got), BUCKETS), np.float32)
-    for i, r in enumerate(got):
-        x[i, np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["x"], np.float16)
+    rows = [(np.frombuffer(r["at"], np.uint16).astype(np.int64), np.frombuffer(r["x"], np.float16).astype(np.float64)) for r in got]
     y = np.array([langs.index(r["lang"]) for r in got])
     held = np.arange(len(y)) % 5 == 4
-    w = ftrl(x[~held], y[~held], len(langs))
-    return {"langs": langs, "idf": idf, "w": w, "t": temperature(x[held] @ w[:-1] + w[-1], y[held])}
+    w = ftrl([r for r, h in zip(rows, held, strict=True) if not h], y[~held], len(langs))
+    logits = np.array([v @ w[at] + w[-1] for (at, v), h in zip(rows, held, strict=True) if h])
+    return {"langs": langs, "idf": idf, "w": w, "t": temperature(logits, y[held])}
 
 
 def predict(model: dict, texts) -> tuple[np.ndarray, np.ndarray]:

@@ -63,8 +63,9 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, max_docs: int = MAX_TRAIN_
     names = sorted({r["domain"] for r in got})
     if not names:
         return {"names": [], "w": np.zeros((1, 0), np.float32)}
-    x = np.stack([np.frombuffer(r["x"], np.float16) for r in got]).astype(np.float32)
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
+    x = np.ones((len(got), BUCKETS + 257), np.float32)  # the last column is the bias's
+    for i, r in enumerate(got):
+        x[i, :-1] = np.frombuffer(r["x"], np.float16)
     y = np.array([names.index(r["domain"]) for r in got])
     w, m, v = (np.zeros((x.shape[1], len(names)), np.float32) for _ in range(3))
     step = 0
