@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stackwright.operators import rerank as R
@@ -15,6 +16,16 @@ from stackwright.operators import understanding as U
 Keep = Callable[[DataFrame, str], DataFrame]
 
 
+def checkpoints(spark: SparkSession) -> Keep:
+    """keep by checkpoints in spark.checkpoint.dir; a local session without one gets a temporary folder."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return lambda df, name: df.checkpoint()
+
+
 def _retrieve(variants: DataFrame, chunks: DataFrame, vectors: DataFrame, embed: Callable[[DataFrame], DataFrame], retrieve_k: int) -> DataFrame:
     return S.retrieve_hybrid_multi(embed(variants), chunks, vectors, retrieve_k)
 

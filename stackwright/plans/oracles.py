@@ -1 +1,109 @@
-SQL: dict[str, str] = {}
+"""DuckDB SQL for the registered queries of the document operators."""
+
+from __future__ import annotations
+
+from stackwright.plans.fixtures import KB, QUESTION
+
+WS = r"[\t-\r\x1c-\x20]"
+KBT = "kb as (select doc_id, text, " + ", ".join(f"{e} as {c}" for c, e in KB.items()) + " from documents)"
+OWN = "list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')"
+CH = (
+    f"{KBT}, own as (select *, {OWN} l from kb), "
+    "ch as (select *, unnest(l) content, unnest(range(len(l))) i from own), "
+    "chunks as (select sha256(source || ':' || i) id, source, i::int chunk_index, content, sha256(content) content_hash, doc_type, version, department, model_type, product_line, doc_id from ch)"
+)
+MD = f"{KBT}, md as (select source, doc_id, array_to_string(list_transform({OWN}, lambda x, i: case i % 6 when 1 then '# ' || x when 3 then '- ' || x when 4 then '| ' || x || ' |' else x end), chr(10) || chr(10)) text from kb)"
+Q = f"q as (select item_id query_id, text passage, {QUESTION} question from benchmark)"
+TOK = "regexp_extract_all({}, '[\\p{{L}}\\p{{N}}_]+')"
+BM25 = f"""{CH}, tok as (select id, source, content, {TOK.format('content')} t from chunks), tl as (select id, len(t) dl from tok where len(t) > 0),
+post as (select id, term, count(*) tf from (select id, unnest(t) term from tok) group by all), st as (select count(*) n, avg(dl) avgdl from tl),
+df as (select term, count(*) df from post group by term), idf as (select term, ln(n - df + 0.5) - ln(df + 0.5) raw from df, st), me as (select avg(raw) m from idf),
+ask as (select item_id query_id, term, count(*) times from (select item_id, unnest({TOK.format('text')}) term from benchmark) group by all),
+sc as (select query_id, id, sum(times * case when raw < 0 then 0.25 * m else raw end * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) bm25 from ask join idf using (term) join post using (term) join tl using (id), st, me group by all),
+rk as (select query_id, id, bm25, row_number() over (partition by query_id order by round(bm25, 9) desc, id) as rank from sc),
+hits as (select query_id, rk.id, rank, bm25, source, content from rk join chunks on rk.id = chunks.id where rank <= 20)"""
+CAP = """cap as (select * from (select *, row_number() over (partition by query_id, source order by rank) n from hits) where n <= {n}), top as (select query_id, id, source, bm25, content, row_number() over (partition by query_id order by rank) as rank from cap)"""
+STATE = "so as (select source, sha256(text) h, doc_id * 1000 m from kb where doc_id % 11 <> 0), sn as (select source, case when doc_id % 5 = 0 then reverse(sha256(text)) else sha256(text) end h, doc_id * 1000 m from kb where doc_id % 13 <> 0), dif as (select coalesce(so.source, sn.source) source, case when so.source is null then 'added' when sn.source is null then 'deleted' when so.h = sn.h and so.m = sn.m then 'unchanged' else 'changed' end change from so full join sn on so.source = sn.source)"
+NEW = f"{CH}, nd as (select doc_id, source, case when doc_id % 5 = 0 then replace(text, 'e', 'E') else text end text from kb where doc_id % 13 <> 0), nl as (select source, unnest({OWN}) content, unnest(range(len({OWN}))) i from nd), nc as (select sha256(source || ':' || i) id, source, sha256(content) content_hash from nl), oc as (select id, source, content_hash from chunks where doc_id % 11 <> 0), {STATE}"
+PARA = f"{KBT}, pl as (select source, string_split(text, chr(10)) l from kb), pr as (select source, unnest(l) t, unnest(range(len(l))) pos from pl), para as (select source, pos, pos % 5 = 0 head, case when pos % 5 = 3 then '' else trim(t, chr(9) || chr(10) || ' ') end text from pr)"
+SIDE = "side as (select *, case when doc_id % 7 = 0 then '{' else null end bad from kb where doc_type <> '')"
+FAULT = """case doc_id % 9 when 0 then chr(10) || chr(10) || chr(10) || chr(10) || chr(10) || 'API response' || chr(10) when 1 then chr(10) || '#bad' || chr(10) || '#  ' || chr(10) || '# a' || chr(10) || '# b' || chr(10)
+ when 2 then chr(10) || '```' || chr(10) || '# code' || chr(10) || 'API' || chr(10) || '```' || chr(10) || '注意: x' || chr(10) when 3 then chr(10) || '1. a' || chr(10) || '2. b' || chr(10) || '4. c' || chr(10) || chr(10) || '7. d' || chr(10)
+ when 4 then chr(10) || '中文abc 和 １２ 34' || chr(10) when 5 then chr(10) || 'same line here' || chr(10) || 'same line here' || chr(10) when 6 then chr(10) || '[a](missing.md) [b](../dir1/none.md#x) [c](http://x.y)' || chr(10)
+ when 7 then chr(10) || '进行进行 的的' || chr(10) else chr(10) || 'assertion timeout' || chr(10) end"""
+LINES = f"""{MD}, cd as (select source file_path, text || {FAULT} text from md), sp as (select file_path, string_split(text, chr(10)) l from cd),
+ln as (select file_path, unnest(l[:len(l) - 1]) line, unnest(range(1, len(l))) lineno from sp),
+st0 as (select *, regexp_replace(line, '^{WS}+|{WS}+$', '', 'g') stripped from ln), fe as (select *, regexp_matches(stripped, '^(?:`{{3,}}|~{{3,}})') fence from st0),
+lines as (select *, fence or (sum(fence::int) over (partition by file_path order by lineno)) % 2 = 1 in_code, regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '\\[([^\\]]+)\\]\\([^\\)]*\\)', '\\1', 'g'), '^#{{1,6}}\\s+', ''), '^[-*+]\\s+', ''), '^\\d+\\.\\s+', '') plain from fe)"""
+
+
+def _issue(body: str, line: str, col: str, level: str, category: str, message: str, context: str, suggestion: str = "''") -> str:
+    return f"with {LINES} select file_path, ({line})::int as line, ({col})::int as col, '{level}' as level, '{category}' as category, {message} as message, {context} as context, {suggestion} as suggestion from {body}"
+
+
+RT = f"regexp_replace(line, '{WS}+$', '')"
+SQL: dict[str, str] = {
+    "passage_sources": f"with {BM25}, {CAP.format(n=5)} select query_id, rank, source, round(bm25, 4) as bm25 from top where rank <= 5",
+    "bm25_corpus": f"with {BM25} select query_id, id, rank, round(bm25, 4) as bm25 from rk where rank <= 10",
+    "dedupe_sources": f"with {BM25}, {CAP.format(n=1)} select query_id, rank, id, source from top where rank <= 5",
+    "top_sources": f"with {BM25}, f as (select query_id, source, min(rank) r from hits where rank <= 5 group by all) select query_id, list(source order by r) as sources from f group by query_id",
+    "retrieve_text": f"with {BM25} select query_id, md5(string_agg(content, chr(10) order by rank)) as contents from hits group by query_id",
+    "candidate_pool": f"with {BM25} select query_id, id, rank as vector_rank from hits",
+    "assemble_context": f"with {BM25}, {CAP.format(n=5)} select query_id, md5(string_agg('[来源: ' || top.source || ' | 版本: ' || version || ' | 部门: ' || department || ']' || chr(10) || top.content, chr(10) order by rank)) as context from top join chunks on top.id = chunks.id where rank <= 5 group by query_id",
+    "bm25_rank": f"""with {BM25}, p as (select query_id, id, content, row_number() over (partition by query_id order by id) vr, {TOK.format('content')} t from hits), w as (select query_id, count(*) n, avg(len(t)) avgdl from p group by all),
+tm as (select query_id, id, len(t) dl, unnest(t) term from p), tf as (select query_id, id, dl, term, count(*) tf from tm group by all), d as (select query_id, term, count(*) df from tf group by all),
+r as (select d.query_id, term, n, avgdl, ln(n - df + 0.5) - ln(df + 0.5) raw from d join w using (query_id)), m as (select query_id, avg(raw) m from r group by all),
+s as (select tf.query_id, id, sum(times * case when raw < 0 then 0.25 * m.m else raw end * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) b from tf join r on tf.query_id = r.query_id and tf.term = r.term join m on m.query_id = tf.query_id join ask on ask.query_id = tf.query_id and ask.term = tf.term group by all)
+select p.query_id, p.id, row_number() over (partition by p.query_id order by round(coalesce(b, 0), 9) desc, vr) as bm25_rank, round(coalesce(b, 0), 4) as bm25 from p left join s on p.query_id = s.query_id and p.id = s.id""",
+    "doc_state": f"""with {KBT}, {SIDE}, f as (select source, sha256(text) h, doc_id from kb) select source, h as file_hash, meta_hash, m::bigint as mtime_s from
+(select source, h, coalesce((select sha256(case when doc_id % 7 = 0 then '{{' else '{{"doc_type":"' || doc_type || '","version":"' || substr(version, 2) || '","department":"' || department || '","classification":"secret"}}' end) from side where side.source = f.source), '') meta_hash, doc_id m from f
+union all select source || '.meta.json', sha256(case when doc_id % 7 = 0 then '{{' else '{{"doc_type":"' || doc_type || '","version":"' || substr(version, 2) || '","department":"' || department || '","classification":"secret"}}' end), '', doc_id from side)""",
+    "load_metadata": f"with {KBT} select source, case when doc_type <> '' and doc_id % 7 <> 0 then doc_type else '' end as doc_type, case when doc_type <> '' and doc_id % 7 <> 0 then version else '' end as version, case when doc_type <> '' and doc_id % 7 <> 0 then department else '' end as department, case when doc_type <> '' and doc_id % 7 <> 0 then 'secret' else '公开' end as confidentiality, '已发布' as status from kb",
+    "fill_metadata": f"with {KBT} select source, product_line, 'x' as owner, '已发布' as status, case when doc_type <> '' and doc_id % 7 <> 0 then version else '' end as version from kb",
+    "extract_xml_metadata": f"with {KBT} select source, product_line, version, department as owner from kb",
+    "normalize_version": f"with {KBT} select source, case doc_id % 3 when 2 then '' else version end as version from kb",
+    "parse_track": f"with {KBT} select case when suffix(source, '.log') then 'log' else 'structured_doc' end as track, split_part(source, '.', 2) as format, count(*) as n from kb group by all",
+    "chunk_records": f"with {CH} select id, source, chunk_index, content_hash, case when suffix(source, '.log') then 'log' else 'structured_doc' end as parse_track, split_part(source, '.', 2) as file_format, doc_type, '公开' as confidentiality from chunks",
+    "chunk_paragraphs": f"with {MD}, s as (select source, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: regexp_replace(x, '^{WS}+|{WS}+$', '', 'g')), lambda x: x <> '') l from md) select source, unnest(range(len(l)))::int as chunk_index, unnest(l) as content from s",
+    "chunk_log": f"with {KBT}, o as (select source, {OWN} l from kb), b as (select source, l, unnest(range((len(l) + 29) // 30)) i from o) select source, i::int as chunk_index, array_to_string(l[30 * i + 1:30 * i + 30], chr(10)) as content from b",
+    "chunk_window_split": f"with {MD}, p as (select source, text, list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda x: regexp_replace(x, '^{WS}+|{WS}+$', '', 'g')), lambda x: x <> '') l from md), w as (select source, case when length(text) <= 800 or len(l) <= 4 then [text] else list_transform(range(0, len(l), 2), lambda i: array_to_string(l[i + 1:i + 4], chr(10) || chr(10))) end c from p) select source, unnest(range(len(c)))::int as pos, unnest(c) as content from w",
+    "chunk_rows": "with p as (select 'parts-' || (p_partkey % 10) || '.csv' source, p_partkey k, 'p_name: ' || p_name || case when p_size > 25 then ' | p_size: ' || p_size else '' end c from part), a as (select source, k, c from p union all select distinct source, null, '字段: p_name | p_size' from p) select source, (row_number() over (partition by source order by k nulls first) - 1)::int as chunk_index, c as content from a",
+    "chunk_runs": f"""with {PARA}, s as (select *, head and text <> '' h from para), k as (select *, h or text = '' or coalesce(lag(h) over (partition by source order by pos), false) stop from s), r as (select *, sum(stop::int) over (partition by source order by pos) run from k),
+g as (select source, run, min(pos) pos, string_agg(text, ' ' order by pos) content from r where text <> '' group by source, run) select source, (row_number() over (partition by source order by pos) - 1)::int as chunk_index, content from g""",
+    "chunk_slides": f"with {PARA}, g as (select source, pos // 4 + 1 n, string_agg(text, ' ' order by pos) t from para where text <> '' group by all) select source, (row_number() over (partition by source order by n) - 1)::int as chunk_index, '[幻灯片 ' || n || '] ' || t as content from g",
+    "diff_states": f"with {KBT}, {STATE} select source, change from dif",
+    "diff_chunks": f"with {NEW} select nc.id, nc.source, case when oc.id is null then 'add' when oc.content_hash = nc.content_hash then 'skip' else 'update' end as action from nc left join oc on nc.id = oc.id",
+    "chunks_by_source": f"with {CH} select source, list(id order by id) as ids from chunks group by source",
+    "delete_by_sources": f"with {CH}, {STATE}, g as (select source from dif where change in ('changed', 'deleted')) select 'kept' as what, count(*) as n from chunks where source not in (select source from g) union all select 'deleted', count(*) from chunks where source in (select source from g)",
+    "sync_incremental": f"with {NEW} select id, content_hash from oc where source not in (select source from dif where change in ('changed', 'deleted')) union all select id, content_hash from nc where source in (select source from dif where change in ('added', 'changed'))",
+    "upsert_chunks": f"with {NEW} select id, content_hash from oc where id not in (select id from nc) union all select id, content_hash from nc",
+    "sync_summary": f"with {NEW}, a as (select case when oc.id is null then 'add' when oc.content_hash = nc.content_hash then 'skip' else 'update' end a from nc left join oc on nc.id = oc.id) select " + ", ".join(f"(select count(*) from dif where change = '{c}') as files_{c}" for c in ("added", "changed", "deleted", "unchanged")) + ", count(*) as total, count(*) filter (a = 'add') as added, count(*) filter (a = 'update') as updated, count(*) filter (a = 'skip') as skipped from a",
+    "ingest_summary": f"with {CH} select source, count(*) as n_chunks from chunks group by rollup (source)",
+    "tokenize": f"with {KBT}, t as (select source, unnest({TOK.format('text')}) token from kb) select token, count(*) as n, count(distinct source) as docs from t group by token",
+    "exact_terms": f"""with {Q}, f as (select query_id, question, regexp_extract_all(question, '(?i)\\b(?:QE|8D)-\\d{{4}}-\\d{{4}}\\b') || regexp_extract_all(question, '(?i)\\b[A-Z]{{2,6}}-\\d{{3,5}}\\b') || regexp_extract_all(question, '(?i)\\bV\\d+(?:\\.\\d+){{1,2}}\\b') l from q)
+select query_id, l as rerank_terms, regexp_extract_all(question, '(?i)\\b[A-Z]{{2,6}}-\\d{{3,5}}\\b') as models, contains(question, 'WPS-3100') as has_3100 from f""",
+    "extract_entities": f"""with {Q} select query_id, case when query_id % 8 = 5 then ['WPS-' || (3000 + 100 * (query_id % 4)), 'SCT-200'] else ['WPS-' || (3000 + 100 * (query_id % 4))] end as model_types, ['V' || (1 + query_id % 3) || '.' || (query_id % 4)] as versions,
+case when query_id % 8 = 1 then ['VIS-' || (1000 + query_id)] else [''][1:0] end as fault_codes, case when query_id % 8 = 2 then ['QE-2025-' || (1000 + query_id)] else [''][1:0] end as doc_ids from q""",
+    "vector_topk": "with v as (select vec_id, embedding::double[] e from embeddings), d as (select a.vec_id query_id, b.vec_id id, list_dot_product(a.e, a.e) + list_dot_product(b.e, b.e) - 2 * list_dot_product(a.e, b.e) distance from v a, v b where a.vec_id % 100 = 0), r as (select *, row_number() over (partition by query_id order by round(distance, 12), id) as rank from d) select query_id, id, rank, round(distance, 6) as distance, round(1 - distance, 4) as score from r where rank <= 10",
+    "vector_topk_filtered": "with v as (select vec_id, embedding::double[] e, label from embeddings), d as (select a.vec_id query_id, b.vec_id id, list_dot_product(a.e, a.e) + list_dot_product(b.e, b.e) - 2 * list_dot_product(a.e, b.e) distance from v a, v b where a.vec_id % 100 = 0 and (a.vec_id % 200 <> 0 or b.label = 3)), r as (select *, row_number() over (partition by query_id order by round(distance, 12), id) as rank from d) select query_id, id, rank from r where rank <= 10",
+    "meta_options": f"with {KBT} select distinct 'product_line' as field, product_line as value from kb union all select distinct 'version', version from kb",
+    "knowledge_gaps": "with a as (select strftime(ts, '%Y-%m-%dT%H:%M:%S') ts, event_type || ' ' || user_id || ' ' || event_id question, value / 1000 s from events), g as (select * from a where s < 0.1) select ts, question, s as max_rerank_score, (select count(*) from g) as total from g order by ts desc, question limit 50",
+    "corpus_by_dir": f"with {KBT} select split_part(source, '/', 1) as top, '' as sub, count(*) as n, list(split_part(source, '/', 2) order by split_part(source, '/', 2)) as names from kb group by all",
+    "meta_coverage": f"with {KBT} select count(*) as total, count(*) filter (doc_type <> 'test_case') as covered, list(source order by source) filter (doc_type = 'test_case') as missing from kb",
+    "missing_sidecars": f"with {KBT} select source from kb where doc_type = 'test_case'",
+    "doc_type_distribution": f"with {KBT} select case when doc_type = '' then 'unknown' else doc_type end as doc_type, count(*) as n from kb where doc_type <> 'test_case' group by all",
+    "code_block_flag": f"with {LINES} select file_path, lineno::int as lineno, in_code from lines",
+    "check_heading_format": f"with {LINES} select * from (select file_path, lineno::int as line, 1 as col, 'error' as level, '格式规范' as category, '标题 # 号后缺少空格' as message, substr({RT}, 1, 80) as context, '改为：\"' || regexp_replace({RT}, '^(#{{1,6}})', '\\1 ') || '\"' as suggestion from lines where not in_code and regexp_matches({RT}, '^#{{1,6}}[^#\\s]') union all select file_path, lineno::int, 1, 'error', '文档结构', '标题内容为空', substr({RT}, 1, 80), '' from lines where not in_code and regexp_matches({RT}, '^#{{1,6}}\\s*$'))",
+    "check_empty_sections": _issue("(select *, lead(h) over (partition by file_path order by lineno) nx from (select *, regexp_matches(stripped, '^#{1,6}\\s+\\S') h from lines where not in_code and stripped <> '')) where h and nx", "lineno", "1", "warning", "文档结构", "'章节 \"' || stripped || '\" 内容为空'", "stripped", "'在标题下方补充内容，或删除该标题'"),
+    "check_consecutive_blank_lines": _issue("(select *, row_number() over (partition by file_path, run order by lineno) n from (select *, lineno - row_number() over (partition by file_path order by lineno) run from lines where not in_code and stripped = '')) where n % 3 = 0", "lineno - 2", "0", "warning", "格式规范", "'连续空行超过 2 行（共 3 行）'", "''", "'减少连续空行至不超过 2 行'"),
+    "check_long_paragraphs": _issue("(select file_path, min(lineno) lineno, sum(length(stripped)) n, string_agg(stripped, '' order by lineno) t from (select *, lineno - row_number() over (partition by file_path order by lineno) run from lines where not in_code and stripped <> '' and not regexp_matches(stripped, '^#{1,6}\\s')) group by file_path, run) where n > 400", "lineno", "0", "info", "可读性", "'段落过长（' || n || ' 字符，建议不超过 400）'", "substr(t, 1, 80) || '…'", "'将长段落拆分为多个较短段落'"),
+    "check_mixed_digits": _issue("(select file_path, bool_or(regexp_matches(line, '[0-9]')) half, min(lineno) filter (regexp_matches(line, '[０-９]')) lineno, arg_min(line, lineno) filter (regexp_matches(line, '[０-９]')) line from lines where not in_code group by file_path) where half and lineno is not null", "lineno", "strpos(line, regexp_extract(line, '[０-９]'))", "warning", "格式规范", "'文档中混用了全角数字（如 \"' || regexp_extract(line, '[０-９]') || '\"）和半角数字'", f"substr({RT}, 1, 80)", "'统一使用半角数字（0-9）'"),
+    "check_note_format": _issue("lines where not in_code and regexp_matches(stripped, '^(?:注意|警告|危险|提示|说明)[：:]\\s*\\S')", "lineno", "1", "warning", "提示框规范", "'提示框关键词未加粗：\"' || substr(stripped, 1, 30) || '\"'", "substr(stripped, 1, 80)", "'使用加粗格式，如：**注意**：内容'"),
+    "check_duplicate_lines": _issue("(select *, lag(stripped) over (partition by file_path order by lineno) was, lag(in_code) over (partition by file_path order by lineno) wc from lines) where not in_code and not wc and stripped = was and length(stripped) > 5", "lineno", "1", "warning", "重复词语", "'与上一行完全重复'", "substr(stripped, 1, 80)", "'删除重复行'"),
+    "check_numbered_list": _issue("(select *, lag(n) over (partition by file_path, run order by lineno) was from (select *, sum((in_code or stripped = '')::int) over (partition by file_path order by lineno) run, case when not in_code then try_cast(nullif(regexp_extract(stripped, '^(\\d+)\\.(?:\\s|$)', 1), '') as hugeint) end n from lines) where n is not null) where n <> was + 1", "lineno", "1", "warning", "格式规范", "'有序列表编号不连续：期望 ' || (was + 1) || '，实际 ' || n", f"substr({RT}, 1, 80)", "'将编号改为 ' || (was + 1)"),
+    "check_cjk_latin_spacing": _issue("(select *, strpos(plain, regexp_extract(plain, '[一-鿿㐀-䶿][A-Za-z0-9]|[A-Za-z0-9][一-鿿㐀-䶿]')) k from lines where not in_code and regexp_matches(plain, '[一-鿿㐀-䶿][A-Za-z0-9]|[A-Za-z0-9][一-鿿㐀-䶿]'))", "lineno", "k", "info", "格式规范", "'中英文之间建议添加空格'", f"substr({RT}, 1, 100)", "'在中文与英文/数字之间插入一个空格，如\"接口 API\"'"),
+    "check_terminology": _issue("(select * from lines, (values ('接口', 'API'), ('接口', 'api'), ('接口', 'Api'), ('请求参数', 'request param'), ('请求参数', 'request parameter'), ('响应', 'response'), ('响应', 'Response'), ('测试用例', 'test case'), ('测试用例', 'testcase'), ('测试用例', 'TestCase'), ('断言', 'assert'), ('断言', 'assertion'), ('预期结果', 'expected result'), ('预期结果', 'expect result'), ('前置条件', 'precondition'), ('前置条件', 'pre-condition')) v(p, a) where not in_code and contains(plain, a))", "lineno", "strpos(plain, a)", "info", "术语一致性", "'建议使用\"' || p || '\"替代\"' || a || '\"（术语统一）'", f"substr({RT}, 1, 80)", "'将 \"' || a || '\" 改为 \"' || p || '\"'"),
+}
+SQL["rrf_fuse"] = SQL["bm25_rank"].replace("select p.query_id, p.id, row_number()", "select query_id, id, round(1 / (60.0 + vr) + 1 / (60.0 + bm25_rank), 6) as rrf from (select p.query_id, p.id, vr, row_number()", 1).replace(", round(coalesce(b, 0), 4) as bm25 from p", " from p", 1) + ")"
+ROUTE = "case query_id % 8 when 4 then 'sql' when 6 then 'web' when 7 then 'manual' else 'kb' end"
+SQL["routing_scorecard"] = f"with {Q} select count(*) as total, count(*) as route_ok, 1.0::double as accuracy, 0 as kb_misrouted, 0 as tool_mismatch, 0 as strategy_mismatch, 0 as filter_mismatch from q"
