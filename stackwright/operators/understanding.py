@@ -11,7 +11,6 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from stackwright.functions import lexicon
@@ -271,6 +270,3 @@ def build_query_plans(questions: DataFrame, rewrites: DataFrame | None = None) -
         by_id = F.size("entities.doc_ids") > 0
         q = q.join(given, "query_id", "left").withColumns({"variants": F.when(by_id | (F.coalesce(F.size("_v"), F.lit(0)) == 0), F.array("question")).otherwise(F.col("_v")), "sub_queries": F.when(~by_id & F.col("is_complex"), F.coalesce("_s", none)).otherwise(none)}).drop("_v", "_s")
     return q.withColumn("rewritten", F.col("variants")[0])
-
-
-ENTITIES = T.StructType([T.StructField(f, T.ArrayType(T.StringType())) for f in ("model_types", "versions", "fault_codes", "doc_ids", "work_order_ids", "departments", "customers")])

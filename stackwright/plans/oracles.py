@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from stackwright.functions import lexicon
+from stackwright.operators.understanding import normalize_synonyms
 from stackwright.plans.fixtures import KB, QUESTION
 
 WS = r"[\t-\r\x1c-\x20]"
@@ -107,3 +109,57 @@ case when query_id % 8 = 1 then ['VIS-' || (1000 + query_id)] else [''][1:0] end
 SQL["rrf_fuse"] = SQL["bm25_rank"].replace("select p.query_id, p.id, row_number()", "select query_id, id, round(1 / (60.0 + vr) + 1 / (60.0 + bm25_rank), 6) as rrf from (select p.query_id, p.id, vr, row_number()", 1).replace(", round(coalesce(b, 0), 4) as bm25 from p", " from p", 1) + ")"
 ROUTE = "case query_id % 8 when 4 then 'sql' when 6 then 'web' when 7 then 'manual' else 'kb' end"
 SQL["routing_scorecard"] = f"with {Q} select count(*) as total, count(*) as route_ok, 1.0::double as accuracy, 0 as kb_misrouted, 0 as tool_mismatch, 0 as strategy_mismatch, 0 as filter_mismatch from q"
+
+
+# ---- understanding
+
+
+def _any(words) -> str:
+    return "(" + " or ".join(f"contains(question, '{w}')" for w in words) + ")"
+
+
+def _keywords() -> str:
+    return ", ".join(" + ".join(f"contains(lower(question), '{w}')::int" for w in sorted({w.lower() for w in words})) + f" as n{i}" for i, words in enumerate(lexicon.INTENTS.values()))
+
+
+FAULT_CODE = "regexp_matches(question, '(?i)\\b(?:" + "|".join(lexicon.FAULT_PREFIXES) + ")-\\d{3,5}\\b')"
+BEST = "greatest(" + ", ".join(f"n{i}" for i in range(len(lexicon.INTENTS))) + ")"
+INTENT = f"""{Q}, kw as (select *, {_keywords()} from q), it as (select query_id, question, case when {_any(("判定标准", "测试规范", "定义与规范"))} then 'test_spec'
+when contains(question, '测试项') and {_any(("标准", "规范", "定义", "要求"))} then 'test_spec' when {_any(("测试用例", "前置条件", "预期输出"))} then 'test_case'
+when regexp_matches(question, '(?i)\\bWO-\\d{{4}}-\\d{{4}}\\b') then 'work_order' when regexp_matches(question, '(?i)\\bQE-\\d{{4}}-\\d{{4}}\\b') then 'quality_event' when regexp_matches(question, '(?i)\\b8D-\\d{{4}}-\\d{{4}}\\b') then '8d'
+when {FAULT_CODE} and {_any(("怎么调整", "如何调整", "参数怎么", "参数如何", "Over-Drive", "清针"))} then 'work_order'
+when {FAULT_CODE} and {_any(("怎么处理", "如何处理", "如何解决", "怎么解决", "处理方法", "解决方法"))} then 'fault_case' when {BEST} = 0 then 'general' {" ".join(f"when n{i} = {BEST} then '{name}'" for i, name in enumerate(lexicon.INTENTS))} end intent from kw)"""
+VERSIONS = "'V' || (1 + query_id % 3) || '.' || (query_id % 4)"
+SQL["classify_intent"] = f"with {INTENT} select query_id, intent from it"
+SQL["suggest_filters"] = f"with {INTENT} select query_id, {VERSIONS} as version, nullif(intent, 'general') as doc_type, null::varchar as department, query_id % 8 = 5 or ({_any(lexicon.CONJUNCTIONS)} and length(question) > 25) as is_complex, {_any(lexicon.VAGUE)} as vague from it"
+SQL["merge_where"] = f"with {INTENT}, w as (select query_id, case when query_id % 2 = 0 then 'V9.1' else {VERSIONS} end v, case when query_id % 3 = 0 then 'fmea' else nullif(intent, 'general') end d from it) select query_id, v as version, d as doc_type, 1 + (d is not null)::int as n_fields, true as dropped from w"
+SQL["execution_plan"] = f"""with {INTENT}, p as (select query_id, {ROUTE} route, case when query_id % 8 in (1, 2) then 'exact_match_boost' when intent in ('spec', 'release_note', 'fmea', '8d') then 'tighten_filter' when query_id % 8 = 5 or ({_any(lexicon.CONJUNCTIONS)} and length(question) > 25) then 'expand_query' else 'relax_filter' end strategy from it)
+select query_id, route, case when route = 'web' then ['web_search'] when route = 'sql' then ['sql_query'] when route = 'manual' then ['manual_handoff'] when query_id % 8 = 2 then ['kb_search', 'doc_check'] else ['kb_search'] end as tools, strategy,
+case strategy when 'exact_match_boost' then ['entity_not_found', 'low_confidence'] when 'tighten_filter' then ['low_confidence', 'type_mismatch'] else ['low_confidence'] end as triggers, case route {" ".join(f"when '{r}' then '{t}'" for r, t in lexicon.STUBS.items())} end as stub from p"""
+TERMS = "terms(g, t, w, pl) as (values " + ", ".join(f"({g}, '{t}', {w}, {p})" for g, _, t, w, p in normalize_synonyms(lexicon.SYNONYMS)) + ")"
+SQL["expand_queries"] = f"""with {Q}, {TERMS}, b as (select query_id, trim(question) base from q), h as (select *, row_number() over (partition by query_id, g order by pl) r from b join terms on contains(base, t)), h1 as (select * from h where r = 1 and w >= 0.65),
+o as (select h1.query_id, base, h1.g, h1.t hit, x.t target, x.pl, row_number() over (partition by query_id, h1.g order by x.pl) r from h1 join terms x on x.g = h1.g and x.t <> h1.t and x.w >= 0.65 and x.w + 1e-9 >= h1.w),
+v as (select query_id, 0 k, 0 a, 0 c, base v from b union all select query_id, 1, g, pl, substr(base, 1, strpos(base, hit) - 1) || target || substr(base, strpos(base, hit) + length(hit)) from o where r <= 2),
+d as (select *, row_number() over (partition by query_id, lower(regexp_replace(v, '\\s+', ' ', 'g')) order by k, a, c) r from v), n as (select *, row_number() over (partition by query_id order by k, a, c) - 1 i from d where r = 1)
+select query_id, i as variant_idx, v as variant from n where i < 5"""
+
+# ---- boosts, texts and replies
+
+IDS = "list_distinct(regexp_extract_all(question, '(?i)\\b(?:QE|8D)-\\d{4}-\\d{4}\\b') || regexp_extract_all(question, '(?i)\\b[A-Z]{2,6}-\\d{3,5}\\b') || regexp_extract_all(question, '(?i)\\bV\\d+(?:\\.\\d+){1,2}\\b'))"
+HAS = "regexp_matches({}, '(?i)(?:^|[^A-Z0-9])' || replace(x, '.', '\\.') || '(?:$|[^A-Z0-9])')::int"
+SQL["boosts"] = f"""with {BM25}, {Q}, z as (select h.query_id, c.*, question, {IDS} ids from hits h join chunks c on h.id = c.id join q on q.query_id = h.query_id),
+e as (select *, least(list_sum(list_transform(ids, lambda x: 1.2 * {HAS.format("source")} + {HAS.format("version")} + {HAS.format("model_type")} + 0.6 * {HAS.format("content")} + case when regexp_matches(x, '^[^-]*-\\d+-\\d+$') then 0.9 * regexp_matches(source, '(?:^|[^A-Za-z0-9])' || regexp_extract(x, '-(.*)$', 1) || '(?:$|[^A-Za-z0-9])')::int else 0 end)), 3.0) ex from z)
+select query_id, id, round(ex, 4)::double as exact, case when contains(question, model_type) then 1.0 else -1.6 end::double as model, case when contains(question, '测试用例') then case doc_type when 'test_case' then 1.2 when 'test_spec' then -0.4 else 0 end else 0 end::double as kind,
+round(least(0.12 * len(list_filter(list_distinct(list_transform(regexp_extract_all(question, '[A-Za-z0-9_À-ÿ]{{2,}}'), lambda x: lower(x))), lambda x: contains(lower(source), x) and x not in ('thing', 'issue', 'info', 'data', 'set'))), 0.84), 4)::double as overlap from e"""
+SQL["model_replies"] = "select event_id, case event_id % 3 when 0 then [event_type, 'b'] else [event_type] end as texts, event_id % 2 <> 0 as relevant, case when event_id % 2 = 0 then 'high' else 'low' end as confidence from events"
+SQL["chunk_json"] = "with k as (select event_id, props, unnest(json_keys(props)) k, unnest(range(len(json_keys(props)))) i from events) select event_id as source, i::int as chunk_index, k || ': ' || (props::json -> k) as content from k"
+SQL["chunk_xml"] = f"with {KBT}, l as (select source, [product_line] || list_transform({OWN}, lambda x: trim(regexp_replace(regexp_replace(x, '[<>&]', ' ', 'g'), '{WS}+', ' ', 'g'))) l from kb), f as (select source, list_filter(l, lambda x: x <> '') l from l) select source, unnest(range(len(l)))::int as chunk_index, unnest(l) as content from f"
+SQL["check_broken_links"] = f"with {LINES} select file_path, lineno::int as line, strpos(line, m)::int as col, '链接目标不存在：\"' || split_part(regexp_extract(m, '\\(([^)]+)\\)', 1), '#', 1) || '\"' as message from (select *, unnest(regexp_extract_all(line, '\\[[^\\]]*\\]\\([^)]+\\)')) m from lines where not in_code) where not regexp_matches(m, '\\((?:http://|https://|ftp://|mailto:|/)')"
+
+# ---- evaluation
+
+CASES = f"""{BM25}, {KBT.replace("kb as", "kb2 as")}, ex as (select item_id query_id, b.text passage, coalesce(list(source order by source) filter (source is not null), []) want from benchmark b left join kb2 on contains(kb2.text, b.text) group by all),
+top_of as (select query_id, source, min(rank) r from hits where rank <= 5 group by all), tops as (select query_id, list(source order by r) src from top_of group by all), later as (select query_id, source, min(rank) r from hits where rank between 2 and 6 group by all), tops2 as (select query_id, list(source order by r) src from later group by all)"""
+SQL["ab_hit_rate"] = f"with {CASES}, h as (select len(list_intersect(want, coalesce(b.src, []))) > 0 pre, len(list_intersect(want, coalesce(t.src, []))) > 0 post from ex left join tops t using (query_id) left join tops2 b using (query_id)), a as (select count(*) n, count(*) filter (pre) p, count(*) filter (post) o from h) select n as total_cases, p as pre_hits, o as post_hits, round(p / n, 4) as pre_hit_rate, round(o / n, 4) as post_hit_rate, round(o / n - p / n, 4) as uplift, o / n - p / n >= 0.15 as passed from a"
+SQL["improved_degraded"] = f"with {CASES}, h as (select query_id, coalesce(list_contains(want, b.src[1]), false) was, coalesce(list_contains(want, t.src[1]), false) now from ex left join tops t using (query_id) left join tops2 b using (query_id)) select query_id, not was and now as improved, was and not now as degraded from h"
+SQL["stats_by_category"] = f"with {CASES}, h as (select case when query_id % 2 = 0 then 'retrieval' else 'metadata_filter' end category, coalesce(list_contains(want, src[1]), false) a, len(list_intersect(want, coalesce(src, []))) > 0 b, not (query_id % 4 = 0 and len(list_intersect(want, coalesce(src, []))) > 0) c from ex left join tops using (query_id)) select category, count(*) as n, count(*) filter (a) as n_top1_hit, count(*) filter (b) as n_topk_hit, count(*) filter (c) as n_forbidden_free, round(avg(a::int), 4) as rate_top1_hit, round(avg(b::int), 4) as rate_topk_hit, round(avg(c::int), 4) as rate_forbidden_free from h group by rollup (category)"

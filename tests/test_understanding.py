@@ -8,7 +8,7 @@ from stackwright.operators import rerank as R
 from stackwright.operators import understanding as U
 
 QUESTIONS = [
-    (1, "WPS-3000 V2.3 有什么新功能", "release_note", "kb", ["WPS-3000"], [], "tighten_filter"),
+    (1, "WPS-3000 V2.3 更新 内容", "release_note", "kb", ["WPS-3000"], [], "tighten_filter"),
     (2, "VIS-1002 报警怎么处理", "fault_case", "kb", [], ["VIS-1002"], "exact_match_boost"),
     (3, "QE-2025-0091 的结论", "quality_event", "kb", [], [], "exact_match_boost"),
     (4, "8D-2025-0091 纠正措施", "8d", "kb", [], [], "exact_match_boost"),
@@ -70,7 +70,8 @@ def test_expansion(spark):
 def _plan(spark, **entities):
     e = {k: [] for k in ("model_types", "versions", "fault_codes", "doc_ids", "work_order_ids", "departments", "customers")} | entities
     row = (1, "raw", "rewritten", ["rewritten", "second"], ["sub"], "spec", e)
-    return spark.createDataFrame([row], U.T.StructType().add("query_id", "long").add("question", "string").add("rewritten", "string").add("variants", "array<string>").add("sub_queries", "array<string>").add("intent", "string").add("entities", U.ENTITIES))
+    fields = ", ".join(f"{k}: array<string>" for k in e)
+    return spark.createDataFrame([row], f"query_id long, question string, rewritten string, variants array<string>, sub_queries array<string>, intent string, entities struct<{fields}>")
 
 
 @pytest.mark.parametrize(
