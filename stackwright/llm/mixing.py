@@ -110,30 +110,35 @@ def _rate(history: list[list[float]], posterior="posterior"):
 def fit_rates(weighed: DataFrame, names: list[str], targets: dict[str, float], steps: int = STEPS, tolerance: float = TOLERANCE) -> tuple[list[list[float]], list[float]]:
     """Step vectors for _rate, and the shares they reach; weighed: posterior, n_tokens.
 
-    Least squares of (total - target), each domain weighed by one over its own curvature; the step
-    is one over the largest eigenvalue, so the projected gradient descends. Targets are shares of
+    Least squares of (total - target) in the metric of the inverse curvature of the documents that
+    are free to move: a projected step is exact where it pushes no rate to 0. Targets are shares of
     all tokens; domains without one keep what they have, and shares are scaled to sum to 1.
     Ends when every domain is within tolerance of its target, as a share of all tokens.
     """
     d = range(len(names))
     p = [F.col("posterior")[i] for i in d]
     n = F.col("n_tokens")
-    first = weighed.agg(F.coalesce(F.sum(n), F.lit(0)).alias("all"), *[F.sum(n * p[i]).alias(f"t{i}") for i in d], *[F.sum(n * p[i] * p[j]).alias(f"g{i}_{j}") for i in d for j in d if i <= j]).first()
-    whole = float(first["all"])
+    pairs = [(i, j) for i in d for j in d if i <= j]
+
+    def state(history):
+        """Totals, and the curvature over documents whose rate is above 0, after these steps."""
+        r = _rate(history)
+        rows = weighed.select("posterior", "n_tokens", r.alias("r"))
+        free = F.when(F.col("r") > 0, n).otherwise(0)
+        one = rows.agg(F.coalesce(F.sum(n), F.lit(0)).alias("all"), *[F.sum(F.col("r") * n * p[i]).alias(f"t{i}") for i in d], *[F.sum(free * p[i] * p[j]).alias(f"g{i}_{j}") for i, j in pairs]).first()
+        g = np.array([[one[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in d] for i in d])
+        return float(one["all"]), np.array([one[f"t{i}"] or 0.0 for i in d]), g
+
+    history: list[list[float]] = []
+    whole, total, g = state(history)
     if not whole:
         return [], [0.0] * len(names)
-    total = np.array([first[f"t{i}"] for i in d])
-    g = np.array([[first[f"g{min(i, j)}_{max(i, j)}"] for j in d] for i in d]) / whole
     aim = np.array([targets.get(x, total[i] / whole) for i, x in enumerate(names)])
     aim = aim / aim.sum()
-    weight = 1 / np.maximum(np.diag(g), 1e-12)
-    root = np.sqrt(weight)
-    rate = 1 / np.linalg.eigvalsh(root[:, None] * g * root).max()
-    history: list[list[float]] = []
     while np.abs(total / whole - aim).max() > tolerance and len(history) < steps:
-        history.append([round(float(c), 12) for c in rate * weight * (total / whole - aim)])
-        r = _rate(history)
-        total = np.array(weighed.select(n.alias("n"), "posterior", r.alias("r")).agg(*[F.sum(F.col("r") * F.col("n") * F.col("posterior")[i]) for i in d]).first())
+        curve = g + (1e-6 * np.trace(g) / len(names) + 1e-9) * np.eye(len(names))
+        history.append([round(float(c), 12) for c in np.linalg.solve(curve, total - aim * whole)])
+        _, total, g = state(history)
     return history, [float(x) for x in total / whole]
 
 
