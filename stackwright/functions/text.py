@@ -102,7 +102,7 @@ def query_tokens_for_source(c: Column | str, weak: Sequence[str] = lexicon.WEAK_
 
 
 def overlap_terms(c: Column | str, stop: Sequence[str] = lexicon.STOP_WORDS) -> Column:
-    return unique_by(F.filter(overlap_tokens(c), lambda t: ~F.lower(t).isin(*stop) & ~t.rlike(r"^[\W_]+$")), F.lower)
+    return unique_by(F.filter(overlap_tokens(c), lambda t: ~F.lower(t).isin(*stop) & ~t.rlike(r"(?U)^[\W_]+$")), F.lower)
 
 
 def count_token_hits(tokens: Column, text: Column | str) -> Column:

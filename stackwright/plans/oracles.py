@@ -163,3 +163,34 @@ top_of as (select query_id, source, min(rank) r from hits where rank <= 5 group
 SQL["ab_hit_rate"] = f"with {CASES}, h as (select len(list_intersect(want, coalesce(b.src, []))) > 0 pre, len(list_intersect(want, coalesce(t.src, []))) > 0 post from ex left join tops t using (query_id) left join tops2 b using (query_id)), a as (select count(*) n, count(*) filter (pre) p, count(*) filter (post) o from h) select n as total_cases, p as pre_hits, o as post_hits, round(p / n, 4) as pre_hit_rate, round(o / n, 4) as post_hit_rate, round(o / n - p / n, 4) as uplift, o / n - p / n >= 0.15 as passed from a"
 SQL["improved_degraded"] = f"with {CASES}, h as (select query_id, coalesce(list_contains(want, b.src[1]), false) was, coalesce(list_contains(want, t.src[1]), false) now from ex left join tops t using (query_id) left join tops2 b using (query_id)) select query_id, not was and now as improved, was and not now as degraded from h"
 SQL["stats_by_category"] = f"with {CASES}, h as (select case when query_id % 2 = 0 then 'retrieval' else 'metadata_filter' end category, coalesce(list_contains(want, src[1]), false) a, len(list_intersect(want, coalesce(src, []))) > 0 b, not (query_id % 4 = 0 and len(list_intersect(want, coalesce(src, []))) > 0) c from ex left join tops using (query_id)) select category, count(*) as n, count(*) filter (a) as n_top1_hit, count(*) filter (b) as n_topk_hit, count(*) filter (c) as n_forbidden_free, round(avg(a::int), 4) as rate_top1_hit, round(avg(b::int), 4) as rate_topk_hit, round(avg(c::int), 4) as rate_forbidden_free from h group by rollup (category)"
+
+
+def _unique(tokens: str, but) -> str:
+    """Tokens of two characters and more, without some words, the first of each lower-case form."""
+    words = ", ".join(f"'{w}'" for w in but)
+    own = f"list_filter({tokens}, lambda x: length(x) >= 2 and lower(x) not in ({words}) and not regexp_matches(x, '^_+$'))"
+    return f"list_filter({own}, lambda x, i: list_position(list_transform({own}, lambda y: lower(y)), lower(x)) = i)"
+
+
+CLEAN = f"trim(regexp_replace(text, '{WS}+', ' ', 'g'))"
+SQL["text_functions"] = f"""with {KBT}, t as (select source, text, {TOK.format("text")} t, {TOK.format("source")} u from kb) select source, md5(lower({CLEAN})) as norm, md5({CLEAN}) as clean,
+len(list_distinct(list_transform(list_filter(t, lambda x: length(x) >= 2 and x not in ({", ".join(f"'{w}'" for w in lexicon.WEAK_WORDS)})), lambda x: lower(x)))) as source_tokens,
+len(list_distinct(list_transform(list_filter(t, lambda x: length(x) >= 2 and not regexp_matches(x, '^_+$')), lambda x: lower(x)))) as overlap,
+len(list_filter(list_distinct(list_transform(list_filter(u, lambda x: length(x) >= 2), lambda x: lower(x))), lambda x: contains(lower(text), x))) as hits, source as normal from t"""
+SQL["critique_answer"] = f"""with {Q}, k as (select query_id, lower(passage || ' wps-3000 vis-1001') a, case when query_id % 8 = 1 then ['VIS-' || (1000 + query_id)] else [''][1:0] end || case when query_id % 8 = 2 then ['QE-2025-' || (1000 + query_id)] else [''][1:0] end || ['WPS-' || (3000 + 100 * (query_id % 4))] || case when query_id % 8 = 5 then ['SCT-200'] else [''][1:0] end || [{VERSIONS}] k from q),
+c as (select query_id, k, list_filter(k, lambda x: contains(a, lower(x))) y, list_filter(k, lambda x: not contains(a, lower(x))) z from k) select query_id, round(len(y) / len(k), 2) >= 0.5 as passed, round(len(y) / len(k), 2) as coverage_rate, y as covered_keywords, z as missing_keywords from c"""
+SCORED = f"""{CASES}, ev as (select query_id, list(source order by rank) s, string_agg(content, ' ' order by rank) told from hits where rank <= 5 group by query_id),
+kw as (select query_id, passage, want, {_unique(TOK.format("passage"), lexicon.STOP_WORDS)}[1:2] k from ex), ch5 as (select kw.query_id, len(want) = 0 or coalesce(list_contains(want, s[1]), false) a, len(want) = 0 or len(list_intersect(want, coalesce(s[1:3], []))) > 0 b,
+not (kw.query_id % 4 = 0 and len(list_intersect(want, coalesce(s[1:3], []))) > 0) c, kw.query_id % 3 <> 0 or len(k) = 0 d, len(list_filter(k, lambda x: not contains(coalesce(told, ''), x))) = 0 e, coalesce(s[1], '') top1 from kw left join ev on kw.query_id = ev.query_id),
+sc5 as (select *, a::int + b::int + c::int + d::int + e::int p from ch5)"""
+SQL["score_case"] = f"with {SCORED} select query_id, a as top1_matches_expected, b as top3_contains_expected, c as top3_excludes_forbidden, d as answer_contains_keywords, e as chunks_contain_keywords, p as score, p = 5 as passed, top1 as top1_source from sc5"
+SQL["pass_rate_summary"] = f"with {SCORED} select count(*) as selected, count(*) filter (p = 5) as passed, count(*) filter (p < 5) as failed, round(100.0 * count(*) filter (p = 5) / count(*), 2)::double as pass_rate from sc5"
+
+BLOCKS = f"""{MD}, bl as (select source, unnest(string_split(text, chr(10) || chr(10))) b, unnest(range(len(string_split(text, chr(10) || chr(10))))) pos from md where text <> ''),
+blk as (select source, pos, case when regexp_matches(b, '^#{{1,6}}\\s+\\S') then 'heading' when regexp_matches(b, '^\\s*\\|') then 'table' when regexp_matches(b, '^\\s*(?:[-*+]|\\d+\\.)\\s+\\S') then 'list' else 'para' end kind, regexp_replace(b, '{WS}+$', '') body from bl)"""
+SQL["md_blocks"] = f"with {BLOCKS} select source, pos::int as pos, kind, body from blk"
+SQL["md_overlap"] = f"""with {BLOCKS}, nb as (select *, sum((kind = 'heading')::int) over (partition by source order by pos) section from blk), sec as (select source, section, list(body order by pos) l, list(body order by pos) filter (kind <> 'heading') o from nb group by all),
+pre as (select *, coalesce(lag(o) over (partition by source order by section), []) p from sec) select source, section::bigint as section, trim(array_to_string(p[-2:] || l, chr(10) || chr(10))) as content from pre"""
+SQL["route_pdf_pages"] = f"""with {PARA}, pg as (select source, pos // 10 page_no, array_to_string(list(t order by pos), chr(10) || chr(10)) t from (select source, pos, case when pos % 5 = 3 then '' else (string_split(text2, chr(10)))[pos + 1] end t from (select p.source, pos, kb.text text2 from pr p join kb on p.source = kb.source)) group by all),
+av as (select source, sum(length(regexp_replace(t, '^{WS}+|{WS}+$', '', 'g'))) / count(*) m from pg group by source), ps as (select source, page_no, list_filter(list_transform(string_split(t, chr(10) || chr(10)), lambda x: regexp_replace(x, '^{WS}+|{WS}+$', '', 'g')), lambda x: x <> '') l from pg where source in (select source from av where m >= 400)),
+un as (select source, page_no, unnest(l) content, unnest(range(len(l))) i from ps) select source, (row_number() over (partition by source order by page_no, i) - 1)::int as chunk_index, content, false as needs_ocr from un union all select source, null, null, true from av where m < 400"""
