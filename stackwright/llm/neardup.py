@@ -233,7 +233,8 @@ def find_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
 def drop_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs with one row of each component, one with the smallest doc_id; rows without an id stay."""
     gone = find_duplicates(spark, docs, k, percent).where("not kept").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # the ids that go have no bound on their number, so they are never broadcast
+    left = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
     if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         return left
     return left.where("doc_id is not null").dropDuplicates(["doc_id"]).union(left.where("doc_id is null"))
