@@ -189,7 +189,7 @@ def _secret(key: bytes, text: str) -> str | None:
     return m[0] + _mixed(key, "secret", text[m.end() :])
 
 
-#: Tried at each place in this order; a match that fails validation is passed over.
+#: Tried at each place in this order; where no reading validates, the search goes on at the next place.
 PATTERNS = {
     "email": r"(?<![\w.%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+",
     "secret": r"(?i:(?<=\btoken = \")|(?<=\btoken=\")|(?<=\btoken: \")|(?<=\bsecret = \")|(?<=\bsecret=\")|(?<=\bpassword = \")|(?<=\bpassword=\")|(?<=\bapi_key = \")|(?<=\bapi_key=\"))[^\s\"]{8,}(?=\")|\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36}\b|\bsk-[A-Za-z0-9_-]{20,}\b|\bxox[abprs]-[A-Za-z0-9-]{10,}\b",
@@ -205,20 +205,58 @@ _ANY = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()), re.ASC
 _BY_KIND = {k: re.compile(p, re.ASCII) for k, p in PATTERNS.items()}
 
 
+#: Where a reading may be cut short: before the separators of its groups.
+_CUT = re.compile(r"(?<=[A-Za-z0-9)])(?=[ .(-])")
+
+
+def _readings(text: str, kind: str, at: int) -> Iterator[re.Match]:
+    """How text reads as this kind at a place: the whole match, then without its last groups, one by one."""
+    if own := _BY_KIND[kind].match(text, at):
+        yield own
+        if kind in ("iban", "phone"):  # the only ones of open length that can fail
+            for cut in reversed([c.start() for c in _CUT.finditer(text, at, own.end()) if c.start() < own.end()]):
+                if less := _BY_KIND[kind].fullmatch(text, at, cut):
+                    yield less
+
+
+def _cuts_into(text: str, own: re.Match, key: bytes) -> bool:
+    """Does a reading end inside a valid value of fixed form that begins in it?"""
+    for c in _CUT.finditer(text, own.start(), own.end()):
+        for kind in ("ipv4", "date", "ssn", "card"):
+            other = _BY_KIND[kind].match(text, c.start() + 1)
+            if other and c.start() + 1 < own.end() < other.end() and _WORK[kind](key, other[0]) is not None:
+                return True
+    return False
+
+
+def _value(text: str, kind: str, at: int, key: bytes) -> tuple[re.Match, str] | None:
+    """The longest valid reading that cuts into no other value, else the longest valid one; and its pseudonym."""
+    first = None
+    for own in _readings(text, kind, at):
+        if (new := _WORK[kind](key, own[0])) is not None:
+            if kind not in ("iban", "phone") or not _cuts_into(text, own, key):
+                return own, new
+            first = first or (own, new)
+    return first
+
+
 def pseudonymise(text: str, key: bytes, kinds: tuple[str, ...] = KINDS) -> tuple[str, list[dict]]:
     """The text with pseudonyms, and its finds (kind, place and length in the text as given)."""
     out, done, finds = [], 0, []
-    at = 0
+    at, order = 0, sorted(PATTERNS, key=lambda k: k not in kinds)
     while m := _ANY.search(text, at):
-        # the first kind in order that validates here wins
-        for kind in PATTERNS:
-            if kind in kinds and (own := _BY_KIND[kind].match(text, m.start())) and (new := _WORK[kind](key, own[0])) is not None:
-                out += [text[done : own.start()], new]
-                done = at = own.end()
-                finds.append({"kind": kind, "at": own.start(), "n": len(own[0])})
+        # the first kind in order that validates here wins; a valid value of a kind not asked for is passed over
+        for kind in order:
+            if got := _value(text, kind, m.start(), key):
+                own, new = got
+                at = own.end()
+                if kind in kinds:
+                    out += [text[done : own.start()], new]
+                    done = at
+                    finds.append({"kind": kind, "at": own.start(), "n": len(own[0])})
                 break
         else:
-            at = m.end() if m.end() > m.start() else m.start() + 1
+            at = m.start() + 1  # a value may begin inside what did not validate
     return "".join([*out, text[done:]]), finds
 
 

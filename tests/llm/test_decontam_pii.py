@@ -82,6 +82,34 @@ def test_what_is_not_valid_stays(text):
     assert pii.pseudonymise(text, KEY) == (text, [])
 
 
+@pytest.mark.parametrize(
+    ("text", "values"),
+    [
+        ("ES91 2100 0418 4502 0005 1332 EUR", {"iban": "ES91 2100 0418 4502 0005 1332"}),
+        ("AT61 1904 3002 3457 3201 BIC", {"iban": "AT61 1904 3002 3457 3201"}),
+        ("AT611904300234573201 BANK AUSTRIA WIEN", {"iban": "AT611904300234573201"}),
+        ("AB12 ES91 2100 0418 4502 0005 1332", {"iban": "ES91 2100 0418 4502 0005 1332"}),
+        ("+44 20 7946 0958 2024-01-05", {"phone": "+44 20 7946 0958", "date": "2024-01-05"}),
+        ("+49 30 1234567 2024-01-05", {"phone": "+49 30 1234567", "date": "2024-01-05"}),
+        ("+49 30 1234567 10.0.0.1", {"phone": "+49 30 1234567", "ipv4": "10.0.0.1"}),
+        ("+49 30 12345 4111 1111 1111 1111", {"phone": "+49 30 12345", "card": "4111 1111 1111 1111"}),
+        ("ID20 4111 1111 1111 1111", {"card": "4111 1111 1111 1111"}),
+    ],
+)
+def test_values_beside_others(text, values):
+    new, finds = pii.pseudonymise(text, KEY)
+    assert {f["kind"]: text[f["at"] : f["at"] + f["n"]] for f in finds} == values
+    for kind, value in values.items():
+        alone, _ = pii.pseudonymise(value, KEY)
+        assert value not in new and alone in new, kind
+
+
+def test_kinds_not_asked_for_stay():
+    text = "a555-123-4567@x.com (555) 123-4567"
+    assert pii.pseudonymise(text, KEY, ("ssn",)) == (text, [])
+    assert [f["at"] for f in pii.pseudonymise(text, KEY, ("phone",))[1]] == [20]
+
+
 def test_scrub(spark):
     df = spark.createDataFrame([(1, 'token = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda"', 1), (2, None, 2), (3, "", 3), (4, "plain", 4), (5, "x " * 100_000 + "10.0.0.1", 5)], "doc_id int, text string, pii int")
     got = {r["doc_id"]: r for r in pii.scrub(df).collect()}
