@@ -24,6 +24,24 @@ def test_vector_topk_with_filters_and_passes(spark, monkeypatch):
         assert [b for _, b in sorted(got[i])] == ids
 
 
+def test_the_driver_holds_one_block_of_queries(spark, monkeypatch):
+    v = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(40)], "id long, embedding array<float>")
+    q = spark.createDataFrame([(i, [i + 0.1, 1.0] if i != 5 else None) for i in range(20)], "query_id long, embedding array<float>").repartition(3)
+    held, whole = [], type(q).toLocalIterator
+
+    def counted(self, *args, **kwargs):
+        rows = list(whole(self, *args, **kwargs))
+        held.append(len(rows))
+        return iter(rows)
+
+    monkeypatch.setattr(type(q), "toLocalIterator", counted)
+    monkeypatch.setattr(S, "QUERIES_A_PASS", 7)
+    got = {r["query_id"]: r["id"] for r in S.vector_topk(q, v, 1).collect()}
+    assert got == {i: i for i in range(20) if i != 5}
+    assert held == [7, 7, 5]
+    assert S.vector_topk(q.limit(0), v, 1).count() == 0
+
+
 def test_bm25_in_a_pool(spark):
     docs = ["a b b", "a c", "a d e f"]
     pool = spark.createDataFrame([(1, str(i), t, i + 1) for i, t in enumerate(docs)], "query_id long, id string, content string, vector_rank int")
