@@ -18,8 +18,14 @@ LEAST_CERTAIN = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter, and those whose language the model cannot tell."""
-    seen = langid.identify(spark, docs, langid.fit(docs), names=("_lang", "_certain"))
+    """Rejects documents without a letter, and those whose language the model cannot tell.
+
+    Where no row teaches a language (lang is null or 'und' in all), only those without a letter go.
+    """
+    model = langid.fit(docs)
+    if model["langs"] == [langid.UNKNOWN]:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    seen = langid.identify(spark, docs, model, names=("_lang", "_certain"))
     return seen.where((F.col("_lang") != langid.UNKNOWN) & (F.col("_certain") >= LEAST_CERTAIN)).select(*docs.columns)
 
 

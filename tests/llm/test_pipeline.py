@@ -35,3 +35,11 @@ def test_stages_take_empty_and_odd_rows(spark):
         assert set(df.columns) <= set(stage(spark, df, SF).columns)
         stage(spark, df, SF).collect()
         assert stage(spark, df.limit(0), SF).count() == 0
+
+
+def test_no_language_learned_keeps_what_has_letters(spark):
+    texts = {1: "the of and to in", 2: "la de el que", 3: "12 34 !", 4: "", 5: None, 6: "Ä"}
+    for lang in (None, "und"):
+        df = spark.createDataFrame([(i, t, lang, "s", 1) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+        kept = P.language_id(spark, df, SF)
+        assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 6]
