@@ -9,9 +9,11 @@ components come from alternating large-star and small-star.
 
 No bucket is ever gathered, and its pairs are not listed. Every member is paired with its bucket's
 smallest id, so a bucket that is then one component costs a pair a member, however large it is.
-Buckets that still hold several components are merged into families, and in each family the
-documents outside its largest component are held against all others, in cells of at most about
-BLOCK by GROUP documents that emit links only: no pair that could join two components is left out.
+Buckets that still hold several components are open. In those of at most LISTED members the members
+outside the largest component are joined with the others, and only pairs whose sizes and signatures
+allow it meet as texts. Larger ones are compared in cells of at most about BLOCK by GROUP documents
+that emit links only, each bucket for itself or merged into families of such buckets, whichever
+makes fewer pairs. No pair of one bucket that could join two components is left out.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ PERMUTATIONS, ROWS = 364, 7
 SIGMAS = 5.5
 #: Members compared with one text in one group, and texts held at once in a cell of a family.
 GROUP, BLOCK = 1024, 256
+#: Members of an open bucket whose pairs are listed, so that a member has fewer pairs than that in it.
+LISTED = 32
 
 _rng = np.random.default_rng(977)
 _A = _rng.integers(1, 2**31, PERMUTATIONS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -132,11 +136,36 @@ def _pairs(rows: DataFrame) -> DataFrame:
 
 
 def _open(members: DataFrame, linked: DataFrame) -> DataFrame:
-    """rep, its component c, and the largest component main of a bucket of several that it is in."""
+    """The rows of buckets of several components: bucket, rep, its component c, the bucket's largest component main and size."""
     of = members.select("bucket", "rep").join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("c"))
     sizes = of.groupBy("bucket", "c").agg(F.count("*").alias("n"))
-    several = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.max_by("c", F.struct("n", "c")).alias("main")).where("parts > 1").drop("parts")
-    return of.join(several, "bucket").select("rep", "c", "main").distinct()
+    several = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("size")).where("parts > 1").drop("parts")
+    return of.join(several, "bucket").select("bucket", "rep", "c", "main", "size")
+
+
+def _listed(left: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Pairs (hub, leaf) of the smaller open buckets that sizes and signatures allow."""
+    rows = left.where(F.col("size") <= LISTED).join(reps.select("rep", F.struct("sig", "n").alias("s")), "rep")
+    of = lambda c: rows.select("bucket", F.col("rep").alias(c), F.col("c").alias(f"c_{c}"), F.col("main").alias(f"m_{c}"), F.col("s").alias(f"_{c}"))
+    # of two members outside the largest component, the smaller id is the hub
+    apart = F.expr("c_hub != c_leaf and (c_leaf = m_hub or hub < leaf)")
+    return _pairs(of("hub").where("c_hub != m_hub").join(of("leaf"), "bucket").where(apart & alike("_hub", "_leaf", percent)).select("hub", "leaf"))
+
+
+def _grouped(spark: SparkSession, left: DataFrame) -> DataFrame:
+    """rep, c and family for the larger open buckets: a family is a bucket, or all that share components if that makes fewer pairs."""
+    left = left.where(F.col("size") > LISTED)
+    near = connected_components(spark, left.where("c != main").select(F.col("c").alias("u"), F.col("main").alias("v")), "neardup-families").distinct()
+    docs = left.join(near.select(F.col("node").alias("c"), "component"), "c")
+
+    def pairs(rows: DataFrame, *keys: str) -> DataFrame:
+        sizes = rows.groupBy(*keys, "c").agg(F.count("*").alias("n")).groupBy(*keys).agg(F.sum("n").alias("n"), F.max("n").alias("most"))
+        return sizes.select(*keys, F.expr("(n - most) * cast(n as double)").alias("pairs"))
+
+    apart = pairs(docs, "component", "bucket").groupBy("component").agg(F.sum("pairs").alias("apart"))
+    whole = pairs(docs.select("component", "rep", "c").distinct(), "component")
+    how = whole.join(apart, "component").select("component", (F.col("apart") < F.col("pairs")).alias("split"))
+    return docs.join(how, "component").select("rep", "c", F.when(F.col("split"), F.col("bucket")).otherwise(F.col("component")).alias("family")).distinct()
 
 
 def _cells(k: int, percent: int):
@@ -178,9 +207,11 @@ def _cells(k: int, percent: int):
 
 
 def _rest(spark: SparkSession, left: DataFrame, reps: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links between components that share a bucket, found in families of such components."""
-    near = connected_components(spark, left.where("c != main").select(F.col("c").alias("u"), F.col("main").alias("v")), "neardup-families").distinct()
-    docs = left.select("rep", "c").distinct().join(near.select(F.col("node").alias("c"), F.col("component").alias("family")), "c")
+    """Links between components that share a bucket."""
+    few = _verified(_listed(left, reps, percent), reps, texts, k, percent)
+    if left.where(F.col("size") > LISTED).isEmpty():
+        return few
+    docs = _grouped(spark, left)
     parts = docs.groupBy("family", "c").agg(F.count("*").alias("n"))
     families = parts.groupBy("family").agg(F.max_by("c", F.struct("n", "c")).alias("largest"), F.sum("n").alias("n"), F.max("n").alias("most"))
     families = families.select("family", "largest", F.ceil((F.col("n") - F.col("most")) / BLOCK).alias("blocks"), F.ceil(F.col("n") / GROUP).alias("salts"))
@@ -191,7 +222,7 @@ def _rest(spark: SparkSession, left: DataFrame, reps: DataFrame, texts: DataFram
     seen = docs.select("family", up_to("blocks").alias("block"), part("salts").alias("salt"), F.lit(1).alias("role"), "rep", "c")
     told = texts.join(reps.select("rep", "sig"), "rep")
     rows = held.union(seen).join(told, "rep").repartition("family", "block", "salt").sortWithinPartitions("family", "block", "salt", "role", "rep")
-    return rows.mapInPandas(_cells(k, percent), "u long, v long")
+    return few.union(rows.mapInPandas(_cells(k, percent), "u long, v long"))
 
 
 def find_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import uuid
 
 import pytest
 
@@ -54,3 +55,42 @@ def test_long_chain_of_links(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(100, 100), (None, 5), (200, 201)], "u long, v long").where("u is not null")
     got = {r["node"]: r["component"] for r in connected_components(spark, edges).distinct().collect()}
     assert got == {i: 0 for i in range(n + 1)} | {200: 200, 201: 200}
+
+
+@pytest.mark.parametrize("listed", [0, 2])
+def test_larger_buckets_against_all_pairs(spark, monkeypatch, listed):
+    monkeypatch.setattr(N, "LISTED", listed)
+    rows = _corpus(9)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in N.find_duplicates(spark, spark.createDataFrame(rows, DOCS), 2).collect()}
+    assert got == brute.components(rows, 2)
+
+
+@pytest.mark.parametrize(("listed", "most"), [(32, 0), (2, 400)])
+def test_a_template_of_low_similarity_is_not_one_family(spark, monkeypatch, tmp_path, listed, most):
+    rng = random.Random(4)
+    own = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(9)) for _ in range(n))
+    shared = own(46)
+    rows = [(i, f"{shared} {own(54)}") for i in range(400)]  # similarity 0.3
+    rows += [(400, rows[7][1] + " x"), (401, rows[8][1] + " y")]
+    cells, folder = N._cells, str(tmp_path)
+
+    def counting(k, percent):
+        real = cells(k, percent)
+
+        def run(batches):
+            def seen():
+                for pdf in batches:
+                    with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+                        f.write(str(len(pdf)))
+                    yield pdf
+
+            return real(seen())
+
+        return run
+
+    monkeypatch.setattr(N, "_cells", counting)
+    if hasattr(N, "LISTED"):
+        monkeypatch.setattr(N, "LISTED", listed)
+    got = {r["doc_id"]: r["component_id"] for r in N.find_duplicates(spark, spark.createDataFrame(rows, DOCS), 1).collect()}
+    assert got == {i: i for i in range(400)} | {400: 7, 401: 8}
+    assert sum(int(f.read_text()) for f in tmp_path.iterdir()) <= most
