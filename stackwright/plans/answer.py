@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,19 +11,16 @@ from pyspark.sql import functions as F
 from stackwright.operators import rerank as R
 from stackwright.operators import retrieval as S
 from stackwright.operators import understanding as U
+from stackwright.sources.scratch import Scratch
 
 #: Cuts lineage between the passes: a written or checkpointed copy of a table.
 Keep = Callable[[DataFrame, str], DataFrame]
 
 
 def checkpoints(spark: SparkSession) -> Keep:
-    """keep by checkpoints in spark.checkpoint.dir; a local session without one gets a temporary folder."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return lambda df, name: df.checkpoint()
+    """keep by tables written to the folder that executors share."""
+    scratch, numbers = Scratch(spark, "answer"), itertools.count()
+    return lambda df, name: scratch.keep(df, f"{name}-{next(numbers)}")
 
 
 def _retrieve(variants: DataFrame, chunks: DataFrame, vectors: DataFrame, embed: Callable[[DataFrame], DataFrame], retrieve_k: int) -> DataFrame:
