@@ -58,7 +58,21 @@ def has_any(c: Column | str, words: Sequence[str]) -> Column:
 
 def unique_by(array: Column, key=F.upper) -> Column:
     """The first of each group of equal keys, in order."""
-    return let(array, lambda a: let(F.transform(a, key), lambda k: F.filter(a, lambda x, i: F.array_position(k, key(x)) == i + 1)))
+    placed = F.array_sort(F.transform(array, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x"))))
+    firsts = let(placed, lambda p: F.filter(p, lambda x, i: ~F.coalesce(F.get(p, i - 1)["k"] == x["k"], F.lit(False))))
+    return F.transform(F.array_sort(F.transform(firsts, lambda x: F.struct(x["i"], x["x"]))), lambda x: x["x"])
+
+
+def runs(array: Column, first: Column) -> Column:
+    """array cut before each of the places in first (from 0, ascending, its own first place among them): arrays in order."""
+    return let(first, lambda f: F.transform(f, lambda a, i: F.slice(array, a + 1, F.coalesce(F.get(f, i + 1), F.size(array)) - a)))
+
+
+def counts(array: Column) -> Column:
+    """Each of an array's strings once, with how often it occurs: structs of term and n."""
+    heads = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: ~F.coalesce(F.get(s, i - 1) == F.get(s, i), F.lit(False)))
+    of = lambda s: let(heads(s), lambda h: F.transform(h, lambda a, i: F.struct(F.get(s, a).alias("term"), (F.coalesce(F.get(h, i + 1), F.size(s)) - a).cast("long").alias("n"))))
+    return let(F.array_sort(array), lambda s: F.when(F.size(s) > 0, of(s)).otherwise(F.array().cast("array<struct<term:string,n:bigint>>")))
 
 
 def normalize_version(c: Column | str) -> Column:
@@ -81,8 +95,12 @@ def normalize_source(c: Column | str) -> Column:
 
 def token_pattern(user_words: Sequence[str] = lexicon.USER_WORDS) -> str:
     """User words, longest first; else runs of letters and digits; else single Han characters."""
-    known = "|".join(re.escape(w) for w in sorted(user_words, key=lambda w: (-len(w), w)))
-    return (f"{known}|" if known else "") + r"[\p{L}\p{N}_&&[^\p{IsHan}]]+|\p{IsHan}"
+    words = sorted(user_words, key=lambda w: (-len(w), w))
+    begins_han = lambda w: re.match("[\u4e00-\u9fff]", w) is not None
+    known = "|".join(re.escape(w) for w in words if not begins_han(w))
+    han = "|".join(re.escape(w) for w in words if begins_han(w))
+    # words that begin with a Han character are only tried where one stands
+    return (f"{known}|" if known else "") + (rf"(?=\p{{IsHan}})(?:{han})|" if han else "") + r"[\p{L}\p{N}_&&[^\p{IsHan}]]+|\p{IsHan}"
 
 
 def tokenize(c: Column | str, user_words: Sequence[str] = lexicon.USER_WORDS) -> Column:

@@ -1,7 +1,7 @@
 """Twelve rules for Markdown documents: documents become issues.
 
-All rules read one table of lines (file_path, lineno, line, plain, in_code), partitioned by file
-once, so that their windows need no further exchange.
+All rules read one table of lines (file_path, lineno, line, plain, in_code). Rules on a single line
+shuffle nothing; those that look at neighbours shuffle only the lines and columns they ask for.
 """
 
 from __future__ import annotations
@@ -33,12 +33,16 @@ def check_config(overrides: Mapping | None = None) -> dict:
 def explode_lines(docs: DataFrame) -> DataFrame:
     """file_path, lineno (from 1), line, stripped, plain and in_code of every line of (file_path, text).
 
-    The fence state is a running count over a file's lines: a window, linear in the file.
+    A document is cut at its fences, and every second part is code: all of it within the row, so
+    that rules which look at one line alone need no shuffle at all.
     """
-    rows = docs.select("file_path", F.posexplode(X.lines("text")).alias("p", "line")).select("file_path", (F.col("p") + 1).alias("lineno"), "line", X.strip("line").alias("stripped"))
-    fence = F.col("stripped").rlike(FENCE)
-    opened = F.sum(fence.cast("int")).over(Window.partitionBy("file_path").orderBy("lineno"))
-    return rows.withColumn("in_code", fence | (opened % 2 == 1)).withColumn("plain", X.strip_inline_markup("line"))
+    fenced = lambda a: F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: X.strip(F.get(a, i)).rlike(FENCE))
+    parts = lambda a, f: X.runs(a, F.array_distinct(F.concat(F.array(F.lit(0)), f)))
+    # a part that begins with a fence is code if an even number of fences came before it; the fence that ends code is code itself
+    flags = lambda p: F.transform(p, lambda x, i: X.let(F.when(X.strip(F.get(p, 0)[0]).rlike(FENCE), i).otherwise(i - 1), lambda n: F.transform(x, lambda y, j: F.struct(y.alias("line"), ((n >= 0) & ((n % 2 == 0) | (j == 0))).alias("in_code")))))
+    own = X.let(X.lines("text"), lambda a: F.when(F.size(a) > 0, F.flatten(X.let(X.let(fenced(a), lambda f: parts(a, f)), flags))))
+    rows = docs.select("file_path", F.posexplode(own).alias("p", "x")).select("file_path", (F.col("p") + 1).alias("lineno"), "x.line", X.strip("x.line").alias("stripped"), "x.in_code")
+    return rows.withColumn("plain", X.strip_inline_markup("line"))
 
 
 def code_block_flag(docs: DataFrame) -> DataFrame:

@@ -60,12 +60,17 @@ def chunk_window_split(chunk: Column, most: int = MAX_CHARS, window: int = WINDO
 
 
 def chunk_merge_short(chunks: Column, least: int = MIN_CHARS) -> Column:
-    """A short chunk is joined with the next one, and both are done with; the last is never joined."""
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("held"))
-    step = lambda s, c: F.when(s["held"].isNotNull(), F.struct(F.concat(s["out"], F.array(F.concat(s["held"], F.lit("\n\n"), c))).alias("out"), F.lit(None).cast("string").alias("held"))).when(F.length(c) < least, F.struct(s["out"].alias("out"), c.alias("held"))).otherwise(F.struct(F.concat(s["out"], F.array(c)).alias("out"), F.lit(None).cast("string").alias("held")))
-    return F.aggregate(chunks, start, step, lambda s: F.when(s["held"].isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(s["held"]))))
+    """A short chunk is joined with the next one, and both are done with; the last is never joined.
+
+    Of a run of short chunks and what follows it, every two are joined, from the first on.
+    """
+    pairs = lambda c, a, end: F.transform(F.sequence(a, end - 1, F.lit(2)), lambda i: F.array_join(F.slice(c, i + 1, F.least(F.lit(2), end - i)), "\n\n"))
+    heads = lambda c: F.filter(F.sequence(F.lit(0), F.size(c) - 1), lambda i: (i == 0) | (F.length(F.get(c, i - 1)) >= least))
+    joined = lambda c: X.let(heads(c), lambda h: F.flatten(F.transform(h, lambda a, i: pairs(c, a, F.coalesce(F.get(h, i + 1), F.size(c))))))
+    return X.let(chunks, lambda c: F.when(F.size(c) > 0, joined(c)).otherwise(c))
 
 
+# What begins a heading, a table's line and a list's item.
 _HEADING, _TABLE, _ITEM = re.compile(r"#{1,6}\s+\S"), re.compile(r"\s*\|"), re.compile(r"\s*(?:[-*+]|\d+\.)\s+\S")
 
 
@@ -92,38 +97,67 @@ def blocks_of(text: str) -> list[tuple[str, str]]:
     return [(k, "\n".join(b)) for k, b in out]
 
 
-def md_blocks(docs: DataFrame) -> DataFrame:
-    """source, pos, kind and body of every block; one pass over each text."""
-
+def _blocks(text: Column | str) -> Column:
     @F.pandas_udf("array<struct<kind: string, body: string>>")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"kind": k, "body": b} for k, b in blocks_of(t or "")] for t in texts], index=texts.index, dtype=object)
+    def of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in parts:
+            yield pd.Series([[{"kind": k, "body": b} for k, b in blocks_of(t)] if t else [] for t in texts], index=texts.index, dtype=object)
+
+    return of(text)
+
+
+def _sections(blocks: Column) -> Column:
+    """The blocks from each heading to the next, and those before the first, as arrays."""
+    heads = lambda b: F.filter(F.sequence(F.lit(0), F.size(b) - 1), lambda i: (i == 0) | (F.get(b, i)["kind"] == "heading"))
+    return X.let(blocks, lambda b: F.when(F.size(b) > 0, X.runs(b, heads(b))))
+
+
+def _overlapped(sections: Column, overlap: int) -> Column:
+    """Each section's text after the last blocks of the one before that are no heading; '' where nothing is left."""
+    before = lambda s, i: F.filter(F.coalesce(F.get(s, i - 1), F.slice(F.get(s, i), 1, 0)), lambda b: b["kind"] != "heading")
+    tail = lambda b: F.slice(b, F.greatest(F.size(b) - overlap + 1, F.lit(1)), overlap)
+    bodies = lambda b: X.strip(F.array_join(F.filter(F.transform(b, lambda x: x["body"]), lambda x: X.strip(x) != ""), "\n\n"))
+    return X.let(sections, lambda s: F.transform(s, lambda own, i: bodies(F.concat(X.let(before(s, i), tail), own) if overlap > 0 else own)))
+
+
+def _markdown(docs: DataFrame) -> DataFrame:
+    """Rows with their blocks, so that no row is mixed with another of its source."""
+    return docs.select("source", "text", _blocks("text").alias("blocks"))
 
-    return docs.select("source", F.posexplode(of("text")).alias("pos", "b")).select("source", "pos", "b.kind", "b.body")
 
+def _number(blocks: str = "blocks") -> Column:
+    """The number of a text's first section: 0 if it comes before any heading, else 1."""
+    return F.when(F.get(F.col(blocks), 0)["kind"] == "heading", 1).otherwise(0)
 
-def md_sections(blocks: DataFrame) -> DataFrame:
+
+def md_blocks(docs: DataFrame) -> DataFrame:
+    """source, pos, kind and body of every block; one pass over each text."""
+    return _markdown(docs).select("source", F.posexplode("blocks").alias("pos", "b")).select("source", "pos", "b.kind", "b.body")
+
+
+def md_sections(docs: DataFrame) -> DataFrame:
     """source, section and its blocks in order; a heading begins a section, what comes before the first is one too."""
-    number = F.sum((F.col("kind") == "heading").cast("int")).over(Window.partitionBy("source").orderBy("pos"))
-    rows = blocks.withColumn("section", number).groupBy("source", "section").agg(F.array_sort(F.collect_list(F.struct("pos", "kind", "body"))).alias("blocks"))
-    return rows
+    return _markdown(docs).select("source", _number().alias("n"), F.posexplode(_sections(F.col("blocks"))).alias("p", "blocks")).select("source", (F.col("p") + F.col("n")).alias("section"), "blocks")
 
 
-def md_overlap(sections: DataFrame, overlap: int = OVERLAP) -> DataFrame:
+def md_overlap(docs: DataFrame, overlap: int = OVERLAP) -> DataFrame:
     """source, section and content: each section after the last blocks of the one before that are no heading."""
-    before = F.lag("blocks").over(Window.partitionBy("source").orderBy("section"))
-    rows = sections.withColumn("before", F.filter(F.coalesce(before, F.expr("array()").cast("array<struct<pos:int,kind:string,body:string>>")), lambda b: b["kind"] != "heading"))
-    tail = F.when(F.lit(overlap) > 0, F.slice("before", F.greatest(F.size("before") - overlap + 1, F.lit(1)), overlap)).otherwise(F.slice("before", 1, 0))
-    bodies = F.transform(F.concat(tail, F.col("blocks")), lambda b: b["body"])
-    return rows.select("source", "section", X.strip(F.array_join(F.filter(bodies, lambda b: X.strip(b) != ""), "\n\n")).alias("content")).where("content != ''")
+    rows = _markdown(docs).select("source", _number().alias("n"), F.posexplode(_overlapped(_sections(F.col("blocks")), overlap)).alias("p", "content"))
+    return rows.select("source", (F.col("p") + F.col("n")).alias("section"), "content").where("content != ''")
+
+
+def _markdown_chunks(text: Column, blocks: Column, overlap: int = OVERLAP) -> Column:
+    parts = F.filter(F.coalesce(_overlapped(_sections(blocks), overlap), F.array().cast("array<string>")), lambda x: x != "")
+    cut = lambda p: chunk_merge_short(F.flatten(F.transform(p, lambda c: chunk_window_split(c))))
+    return X.let(parts, lambda p: F.when(F.size(p) > 0, cut(p)).otherwise(F.array(X.strip(F.coalesce(text, F.lit(""))))))
 
 
 def chunk_markdown(docs: DataFrame, overlap: int = OVERLAP) -> DataFrame:
-    """Blocks, sections, overlap, windows of long chunks, joining of short ones; else the whole text."""
-    parts = md_overlap(md_sections(md_blocks(docs)), overlap).groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("section", "content"))), lambda x: x["content"]).alias("parts"))
-    cut = F.flatten(F.transform("parts", lambda c: chunk_window_split(c)))
-    rows = docs.select("source", "text").join(parts, "source", "left")
-    return _chunks(rows, F.when(F.size("parts") > 0, chunk_merge_short(cut)).otherwise(F.array(X.strip(F.coalesce("text", F.lit(""))))))
+    """Blocks, sections, overlap, windows of long chunks, joining of short ones; else the whole text.
+
+    All of it is within a row: nothing is shuffled, and rows of equal source stay apart.
+    """
+    return _chunks(_markdown(docs), _markdown_chunks(F.col("text"), F.col("blocks"), overlap))
 
 
 def chunk_rows(rows: DataFrame, columns: list[str], order: str = "row_no") -> DataFrame:
@@ -138,10 +172,14 @@ def chunk_rows(rows: DataFrame, columns: list[str], order: str = "row_no") -> Da
     return head.unionByName(body).select("source", place.alias("chunk_index"), "content")
 
 
+def _log_chunks(text: Column, n: int = LOG_LINES) -> Column:
+    own = F.filter(X.lines(text), lambda x: X.strip(x) != "")
+    return X.let(own, lambda a: F.when(F.size(a) == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), F.size(a) - 1, F.lit(n)), lambda i: F.array_join(F.slice(a, i + 1, n), "\n"))))
+
+
 def chunk_log(docs: DataFrame, n: int = LOG_LINES) -> DataFrame:
     """Blocks of n lines that are not blank."""
-    own = F.filter(X.lines("text"), lambda x: X.strip(x) != "")
-    return _chunks(docs, X.let(own, lambda a: F.when(F.size(a) == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), F.size(a) - 1, F.lit(n)), lambda i: F.array_join(F.slice(a, i + 1, n), "\n")))))
+    return _chunks(docs, _log_chunks(F.col("text"), n))
 
 
 def json_chunks(text: str) -> list[str]:
@@ -177,22 +215,22 @@ def xml_chunks(text: str) -> list[str]:
     return [first] * bool(first) + [p for e in root if _local(e.tag) != "title" for p in plain(_readable(e))]
 
 
-def _by_text(docs: DataFrame, cut: Callable[[str], list[str]]) -> DataFrame:
+def _cutter(cut: Callable[[str], list[str]]):
     @F.pandas_udf("array<string>")
     def of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in parts:
             yield pd.Series([cut(t) if t else [] for t in texts], index=texts.index, dtype=object)
 
-    return _chunks(docs, of("text"))
+    return of
 
 
 def chunk_json(docs: DataFrame) -> DataFrame:
     """An array's items or an object's keys; what is no JSON as paragraphs."""
-    return _by_text(docs, json_chunks)
+    return _chunks(docs, _cutter(json_chunks)("text"))
 
 
 def chunk_xml(docs: DataFrame) -> DataFrame:
-    return _by_text(docs, xml_chunks)
+    return _chunks(docs, _cutter(xml_chunks)("text"))
 
 
 def chunk_runs(paras: DataFrame) -> DataFrame:
@@ -222,14 +260,16 @@ def route_pdf_pages(pages: DataFrame, least: int = OCR_CHARS) -> tuple[DataFrame
 
 
 def chunk_dispatch(docs: DataFrame) -> DataFrame:
-    """Each document by the chunker of its suffix; unknown ones as plain text. Tables come as rows elsewhere."""
-    suffix = suffix_of("source")
-    branches = [(suffix == ".md", chunk_markdown), (suffix.isin(".xml", ".dita", ".ditamap"), chunk_xml), (suffix == ".log", chunk_log), (suffix == ".json", chunk_json)]
-    out = docs.where(F.coalesce(~suffix.isin(".md", ".xml", ".dita", ".ditamap", ".log", ".json"), F.lit(True)))
-    out = chunk_paragraphs(out)
-    for when, cut in branches:
-        out = out.unionByName(cut(docs.where(when)))
-    return out
+    """Each document by the chunker of its suffix; unknown ones as plain text. Tables come as rows elsewhere.
+
+    One scan: a row is read by one chunker only, the others get a null.
+    """
+    suffix, text = F.col("suffix"), F.col("text")
+    md, xml, js = suffix == ".md", suffix.isin(".xml", ".dita", ".ditamap"), suffix == ".json"
+    rows = docs.select("source", "text", suffix_of("source").alias("suffix"))
+    rows = rows.select("*", _blocks(F.when(md, text)).alias("blocks"), _cutter(xml_chunks)(F.when(xml, text)).alias("xml"), _cutter(json_chunks)(F.when(js, text)).alias("json"))
+    own = F.when(md, _markdown_chunks(text, F.col("blocks"))).when(xml, F.col("xml")).when(js, F.col("json")).when(suffix == ".log", _log_chunks(text)).otherwise(paragraphs(text))
+    return _chunks(rows, own)
 
 
 def make_chunk_records(chunks: DataFrame, meta: DataFrame | None = None) -> DataFrame:

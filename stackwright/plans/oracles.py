@@ -194,3 +194,88 @@ pre as (select *, coalesce(lag(o) over (partition by source order by section), [
 SQL["route_pdf_pages"] = f"""with {PARA}, pg as (select source, pos // 10 page_no, array_to_string(list(t order by pos), chr(10) || chr(10)) t from (select source, pos, case when pos % 5 = 3 then '' else (string_split(text2, chr(10)))[pos + 1] end t from (select p.source, pos, kb.text text2 from pr p join kb on p.source = kb.source)) group by all),
 av as (select source, sum(length(regexp_replace(t, '^{WS}+|{WS}+$', '', 'g'))) / count(*) m from pg group by source), ps as (select source, page_no, list_filter(list_transform(string_split(t, chr(10) || chr(10)), lambda x: regexp_replace(x, '^{WS}+|{WS}+$', '', 'g')), lambda x: x <> '') l from pg where source in (select source from av where m >= 400)),
 un as (select source, page_no, unnest(l) content, unnest(range(len(l))) i from ps) select source, (row_number() over (partition by source order by page_no, i) - 1)::int as chunk_index, content, false as needs_ocr from un union all select source, null, null, true from av where m < 400"""
+
+# ---- Markdown chunks, joined short chunks
+
+
+def _joined(parts: str) -> str:
+    """Short chunks of (source, i, c) joined with the next; a run of them and what follows in twos."""
+    return f"""sh as (select *, lag(length(c) < 60) over (partition by source order by i) was from {parts}), sg as (select *, sum((was is null or not was)::int) over (partition by source order by i) g from sh),
+tw as (select *, (row_number() over (partition by source, g order by i) - 1) // 2 h from sg), jo as (select source, min(i) i, string_agg(c, chr(10) || chr(10) order by i) c from tw group by source, g, h),
+joined as (select source, (row_number() over (partition by source order by i) - 1)::int pos, c as content from jo)"""
+
+
+PARAS = "list_filter(list_transform(string_split({}, chr(10) || chr(10)), lambda x: regexp_replace(x, '^" + WS + "+|" + WS + "+$', '', 'g')), lambda x: x <> '')"
+SQL["chunk_merge_short"] = f"with {KBT}, l as (select source, string_split(text, chr(10)) l from kb), parts as (select source, unnest(l) c, unnest(range(len(l))) i from l), {_joined('parts')} select source, pos, content from joined"
+MDC = f"""{BLOCKS}, nb as (select *, sum((kind = 'heading')::int) over (partition by source order by pos) section from blk), sec as (select source, section, list(body order by pos) l, list(body order by pos) filter (kind <> 'heading') o from nb group by all),
+pre as (select *, coalesce(lag(o) over (partition by source order by section), []) p from sec), ov as (select source, section, regexp_replace(array_to_string(p[-2:] || l, chr(10) || chr(10)), '^{WS}+|{WS}+$', '', 'g') c from pre),
+pa as (select source, section, c, {PARAS.format("c")} p from ov where c <> ''), wi as (select source, section, case when length(c) <= 800 or len(p) <= 4 then [c] else list_transform(range(0, len(p), 2), lambda i: array_to_string(p[i + 1:i + 4], chr(10) || chr(10))) end w from pa),
+fl as (select source, section, unnest(w) c, unnest(range(len(w))) k from wi), parts as (select source, c, row_number() over (partition by source order by section, k) i from fl), {_joined('parts')},
+mdc as (select source, pos chunk_index, content from joined union all select source, 0, regexp_replace(text, '^{WS}+|{WS}+$', '', 'g') from md where source not in (select source from parts))"""
+SQL["chunk_markdown"] = f"with {MDC} select source, chunk_index, content from mdc"
+SQL["load_chunks"] = f"""with {MDC}, tx as (select source, {PARAS.format("text")} p from md where suffix(source, '.txt')), lc as (select source, chunk_index, content from mdc where suffix(source, '.md') union all select source, unnest(range(len(p)))::int, unnest(p) from tx)
+select sha256(source || ':' || chunk_index) as id, source, chunk_index, sha256(content) as content_hash, 'structured_doc' as parse_track from lc"""
+_PLAIN = "line"
+for _pattern, _to in ((r"`[^`\n]+`", "  "), (r"!\[[^\]]*\]\([^\)]*\)", " "), (r"\[([^\]]+)\]\([^\)]*\)", r"\1"), (r"\*{1,2}([^*\n]+)\*{1,2}", r"\1"), (r"_{1,2}([^_\n]+)_{1,2}", r"\1"), (r"^#{1,6}\s+", ""), (r"^[-*+]\s+", ""), (r"^\d+\.\s+", ""), (r"^>\s*", "")):
+    _PLAIN = f"regexp_replace({_PLAIN}, '{_pattern}', '{_to}', 'g')"
+SQL["strip_inline_markup"] = f"with {LINES}, al as (select file_path, unnest(l) line, unnest(range(len(l)))::int pos from sp) select file_path, pos, {_PLAIN} as plain from al"
+
+# ---- terms of questions, reranking
+
+_DASHED = "(?i)\\b[A-Z]{2,}(?:-[A-Z0-9]+)+\\b"
+_WINDOW = "case when length(r) >= {n} then list_transform(range(1, length(r) - {n} + 2), lambda i: substr(r, i, {n})) else [''][1:0] end"
+SQL["han_terms"] = f"""with {Q}, f as (select query_id, question, list_filter({IDS.removeprefix("list_distinct(").removesuffix(")")} || regexp_extract_all(question, '{_DASHED}'), lambda x: length(x) >= 3) l from q),
+u as (select query_id, list_filter(l, lambda x, i: list_position(list_transform(l, lambda y: upper(y)), upper(x)) = i) l, flatten(list_transform(regexp_extract_all(question, '[\\x{{4e00}}-\\x{{9fff}}]+'), lambda r: {" || ".join(_WINDOW.format(n=n) for n in (4, 5, 6))})) h from f),
+d as (select query_id, l, list_filter(h, lambda x, i: list_position(h, x) = i) h from u) select query_id, l || h as terms from d"""
+_USER = "|".join(sorted(lexicon.USER_WORDS, key=lambda w: (-len(w), w)))
+
+
+def _terms(source: str, text: str, name: str) -> str:
+    """A table of query_id and terms: what a text shares with others is counted by these."""
+    stop = ", ".join(f"'{w}'" for w in lexicon.STOP_WORDS)
+    return f"""{name}0 as (select query_id, list_filter(regexp_extract_all({text}, '{_USER}|[0-9A-Za-z_À-ɏ]+|\\p{{Han}}'), lambda x: length(x) >= 2) || flatten(list_transform(regexp_extract_all({text}, '\\p{{Han}}{{2,}}'), lambda r: list_transform(range(1, length(r)), lambda i: substr(r, i, 2)))) o from {source}),
+{name}1 as (select query_id, list_filter(o, lambda x: lower(x) not in ({stop}) and not regexp_matches(x, '^_+$')) o from {name}0), {name} as (select query_id, list_filter(o, lambda x, i: list_position(list_transform(o, lambda y: lower(y)), lower(x)) = i) terms from {name}1)"""
+
+
+_SHARE = "case when len(terms) = 0 then 0 else len(list_filter(terms, lambda x: contains(lower({}), lower(x)))) / len(terms) end"
+SQL["rerank_texts"] = f"""with {BM25}, pq as (select item_id query_id, text from benchmark), {_terms("pq", "text", "te")}, s as (select query_id, rank as was, content, {_SHARE.format("content")} s from hits join te using (query_id)),
+r as (select *, row_number() over (partition by query_id order by s desc, was) as rank from s) select query_id, rank, md5(content) as content, round(s, 4) as rerank_score from r where rank <= 3"""
+_MODELS = "list_transform(regexp_extract_all({}, '(?i)\\b[A-Z]{{2,6}}-\\d{{3,5}}\\b'), lambda x: upper(x))"
+_PREFIX = "list_transform({}, lambda x: split_part(x, '-', 1))"
+BONUS = f"""{BM25}, {Q}, {_terms("q", "question", "te")}, z as (select h.query_id, h.rank as was, c.*, question, terms, {IDS} ids, c.source || ' ' || c.doc_id || ' ' || c.version || ' ' || c.doc_type as told from hits h join chunks c on h.id = c.id join q on q.query_id = h.query_id join te on te.query_id = h.query_id),
+y as (select *, {_MODELS.format("question")} asked, {_MODELS.format("told || ' ' || content")} have from z),
+bo as (select *, len(list_filter(ids, lambda x: contains(lower(told), lower(x)))) + 0.8 * len(list_filter(ids, lambda x: contains(lower(content), lower(x))))
+ + least(0.18 * len(list_filter(terms, lambda x: contains(lower(told), lower(x)))), 0.9) + least(0.06 * len(list_filter(terms, lambda x: contains(lower(content), lower(x)))), 0.9)
+ + case when len(asked) = 0 or len(have) = 0 then 0 when list_has_any(asked, have) then 0.6 when list_has_any({_PREFIX.format("asked")}, {_PREFIX.format("have")}) then -1.0 else 0 end
+ + case when contains(question, '测试用例') then case doc_type when 'test_case' then 1.0 when 'test_spec' then -0.3 else 0 end else 0 end b from y),
+bonus as (select *, round(greatest(least(b, 2.5), -1.5), 4)::double bonus from bo)"""
+SQL["rerank_bonus"] = f"with {BONUS} select query_id, id, bonus from bonus"
+RERANKED = f"""{BONUS}, rs as (select query_id, id, source, doc_type, content, was, round({_SHARE.format("'[来源: ' || source || ']' || chr(10) || content")} + bonus, 4) s from bonus), rr as (select *, row_number() over (partition by query_id order by s desc, was) as rank from rs)"""
+SQL["rerank_with_scores"] = f"with {RERANKED} select query_id, rank, id, round(s, 3) as rerank_score, round(max(s) over (partition by query_id), 3) as max_score from rr where rank <= 12"
+
+# ---- doubled words, all rules together
+
+_HAN = "[\\x{4e00}-\\x{9fff}]"
+_AT = f"hw as (select file_path, lineno, line, plain, unnest(range(1, length(plain))) i from lines where not in_code and regexp_matches(plain, '{_HAN}'))"
+_TWICE = " ".join(f"when regexp_matches(substr(plain, i, {n}), '^{_HAN}{{{n}}}$') and substr(plain, i, {n}) = substr(plain, i + {n}, {n}) then {n}" for n in (4, 3, 2))
+SQL["check_repeated_words"] = f"""with {LINES}, {_AT}, ph as (select *, case {_TWICE} else 0 end n, 0 kind from hw), pt as (select *, case when substr(plain, i, 1) = substr(plain, i + 1, 1) and regexp_matches(substr(plain, i, 1), '[的了着过地得也都就还]') then 1 else 0 end n, 1 kind from hw),
+mm as (select * from ph where n > 0 union all select * from pt where n > 0), ok as (select * from mm a where not exists (select 1 from mm b where b.file_path = a.file_path and b.lineno = a.lineno and b.kind = a.kind and b.i < a.i and b.i + 2 * b.n > a.i)),
+w as (select *, substr(plain, i, n) w from ok) select file_path, lineno::int as line, i::int as col, 'error' as level, '重复词语' as category, case kind when 0 then '疑似重复词语："' || w || w || '"' else '助词/副词重复："' || w || w || '"' end as message,
+substr({RT}, 1, 100) as context, case kind when 0 then '检查是否误写重复，应为："' || w || '"' else '删除多余的"' || w || '"' end as suggestion from w"""
+_RULES = ("repeated_words", "heading_format", "empty_sections", "consecutive_blank_lines", "long_paragraphs", "mixed_digits", "note_format", "cjk_latin_spacing", "duplicate_lines", "numbered_list", "terminology")
+_ALL = " union all ".join(f"select file_path, line, col, level, category, message from ({SQL[f'check_{r}']})" for r in _RULES)
+SQL["check_documents"] = f"select * from ({_ALL} union all select file_path, line, col, 'error', '链接有效性', message from ({SQL['check_broken_links']})) where level <> 'info'"
+SQL["check_summary"] = f"select file_path, count(*) filter (level = 'error') as n_error, count(*) filter (level = 'warning') as n_warning, count(*) filter (level = 'info') as n_info, count(*) as total from ({_ALL}) group by rollup (file_path)"
+
+# ---- what is written and read again
+
+SQL["manifest"] = SQL["doc_state"]
+SQL["chunk_table"] = f"with {CH} select id, source, chunk_index, content_hash, department from chunks"
+_AUDIT = "select strftime(ts, '%Y-%m-%dT%H:%M:%S') ts, event_type || ' ' || user_id || ' ' || event_id question, value / 1000 s from events"
+SQL["audit_log"] = f"select ts, 'query' as event, question, round(s, 6) as max_rerank_score, s < 0.1 as low_confidence from ({_AUDIT})"
+SQL["knowledge_gaps_stream"] = f"select ts, question, round(s, 6) as max_rerank_score from ({_AUDIT}) where s < 0.1"
+SQL["case_file"] = "with c as (select *, row_number() over (order by item_id) n from benchmark where item_id % 5 <> 0) select case when item_id % 2 = 0 then 'B' || item_id else printf('T%03d', n) end as id, trim(text) as query, ['s' || item_id] as expected_sources from c"
+SQL["ingest_stream"] = f"""with {KBT}, tx as (select source, {PARAS.format("text")} p from kb where suffix(source, '.txt')), o as (select source, {OWN} l from kb where suffix(source, '.log')), b as (select source, l, unnest(range((len(l) + 29) // 30)) i from o),
+c as (select source, unnest(range(len(p))) i, unnest(p) content from tx union all select source, i, array_to_string(l[30 * i + 1:30 * i + 30], chr(10)) from b) select sha256(source || ':' || i) as id, source, i::int as chunk_index, sha256(content) as content_hash from c"""
+SQL["retrieve_with_metadata"] = f"with {BM25} select query_id, h.id, h.source, version, doc_type, round(1 - rank / 20, 4) as score from hits h join chunks c on h.id = c.id"
+SQL["report"] = f"with {SCORED} select query_id, p as score, p = 5 as passed, top1 as top1_source from sc5"

@@ -21,6 +21,8 @@ from stackwright.plans import answer
 from stackwright.plans import fixtures as D
 from stackwright.plans.oracles import SQL
 from stackwright.sources import files as N
+from stackwright.sources.scratch import Scratch
+from stackwright.streaming import jobs as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -41,10 +43,14 @@ def oracle_sql() -> dict[str, str]:
 # ---- the flagship
 
 
+def _index(chunks: DataFrame) -> DataFrame:
+    """Postings, written once: they are read for frequencies, for lengths and for scores."""
+    return Scratch(chunks.sparkSession, "index").keep(S.postings(chunks), "postings")
+
+
 def _hits(spark: SparkSession, sf: str) -> DataFrame:
     chunks = D.kb_chunks(spark, sf)
-    # the index is read three times: for frequencies, for lengths and for postings
-    return S.bm25_corpus(D.passages(spark, sf), S.postings(chunks).persist(), 20).join(chunks.select("id", "source", "content"), "id")
+    return S.bm25_corpus(D.passages(spark, sf), _index(chunks), 20).join(chunks.select("id", "source", "content"), "id")
 
 
 @query
@@ -97,6 +103,40 @@ def normalize_version(spark, sf):
     return D.kb_docs(spark, sf).select("source", X.normalize_version(F.expr("case doc_id % 3 when 0 then ' ' || version when 1 then substr(version, 2) || ' ' else '' end")).alias("version"))
 
 
+@query
+def manifest(spark, sf):
+    """The state of all files, written as a manifest twice and read again."""
+    path = Scratch(spark, "manifest").path("state")
+    state = N.doc_state(_files(spark, sf))
+    N.write_manifest(state.limit(0), path)
+    N.write_manifest(state, path)
+    return N.read_manifest(spark, path).select("source", "file_hash", "meta_hash", (F.col("mtime_ns") / 1000000000).cast("long").alias("mtime_s"))
+
+
+@query
+def chunk_table(spark, sf):
+    path = Scratch(spark, "chunk-table").path("chunks")
+    N.write_chunk_table(D.kb_chunks(spark, sf), path, by=("department",))
+    return N.read_chunk_table(spark, path).select("id", "source", "chunk_index", "content_hash", "department")
+
+
+@query
+def audit_log(spark, sf):
+    path = Scratch(spark, "audit").path("log")
+    N.write_audit(D.audit(spark, sf), path)
+    return N.read_audit(spark, path).select("ts", "event", "question", F.round("max_rerank_score", 6).alias("max_rerank_score"), "low_confidence")
+
+
+@query
+def case_file(spark, sf):
+    """Passages as a case file of JSON lines, in the order of their ids; every second case has no id."""
+    path = Scratch(spark, "cases").path("cases")
+    rows = D.passages(spark, sf).orderBy("query_id")
+    none = F.lit(None).cast("string")
+    rows.select(F.when(F.col("query_id") % 2 == 0, F.concat(F.lit("B"), F.col("query_id").cast("string"))).alias("id"), F.when(F.col("query_id") % 5 == 0, none).otherwise(F.col("question")).alias("query"), F.array(F.concat(F.lit(" s"), F.col("query_id").cast("string"))).alias("expected_sources")).coalesce(1).write.json(path)
+    return N.read_cases_jsonl(spark, path).select("id", "query", "expected_sources")
+
+
 # ---- chunking
 
 
@@ -133,7 +173,7 @@ def md_blocks(spark, sf):
 
 @query
 def md_overlap(spark, sf):
-    return K.md_overlap(K.md_sections(K.md_blocks(D.md_docs(spark, sf))))
+    return K.md_overlap(D.md_docs(spark, sf))
 
 
 @query
@@ -235,6 +275,35 @@ def ingest_summary(spark, sf):
     return Y.ingest_summary(D.kb_chunks(spark, sf))
 
 
+def _arriving(spark, df: DataFrame, label: str, form: str = "parquet") -> DataFrame:
+    """A table as a stream: written to a folder, and read from there as files that arrive."""
+    path = Scratch(spark, label).path("arriving")
+    df.write.format(form).save(path)
+    return spark.readStream.schema(df.schema).format(form).load(path)
+
+
+@query
+def ingest_stream(spark, sf):
+    """Plain texts and logs arrive as a stream of documents and become a chunk table."""
+    docs = D.kb_docs(spark, sf).where(K.suffix_of("source") != ".md").select("source", "text")
+    scratch, at = Scratch(spark, "ingest"), {}
+
+    def write(table: DataFrame, number: int) -> None:
+        at["now"] = scratch.keep(table, f"chunks-{number}")
+
+    T.ingest_stream(_arriving(spark, docs, "ingest"), lambda: at.get("now"), write, scratch.path("progress")).awaitTermination()
+    return at["now"].select("id", "source", "chunk_index", "content_hash")
+
+
+@query
+def knowledge_gaps_stream(spark, sf):
+    log, scratch = Scratch(spark, "audit").path("log"), Scratch(spark, "gaps")
+    N.write_audit(D.audit(spark, sf), log)
+    gaps = T.knowledge_gaps_stream(T.audit_stream(spark, log)).select("ts", "question", F.round("max_rerank_score", 6).alias("max_rerank_score"))
+    gaps.writeStream.format("parquet").option("checkpointLocation", scratch.path("progress")).option("path", scratch.path("gaps")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(gaps.schema).parquet(scratch.path("gaps"))
+
+
 # ---- text
 
 
@@ -332,7 +401,7 @@ def vector_topk_filtered(spark, sf):
 
 @query
 def bm25_corpus(spark, sf):
-    return S.bm25_corpus(D.passages(spark, sf), S.postings(D.kb_chunks(spark, sf)).persist(), 10).select("query_id", "id", "rank", F.round("bm25", 4).alias("bm25"))
+    return S.bm25_corpus(D.passages(spark, sf), _index(D.kb_chunks(spark, sf)), 10).select("query_id", "id", "rank", F.round("bm25", 4).alias("bm25"))
 
 
 def _pool(spark, sf):
@@ -420,6 +489,12 @@ def retrieve_text(spark, sf):
     return S.retrieve_text(hits, D.kb_chunks(spark, sf)).select("query_id", F.md5(F.array_join("contents", "\n")).alias("contents"))
 
 
+@query
+def retrieve_with_metadata(spark, sf):
+    hits = _hits(spark, sf).select("query_id", "id", "rank", (F.col("rank") / 20).alias("distance"))
+    return S.retrieve_with_metadata(hits, D.kb_chunks(spark, sf)).select("query_id", "id", "source", "version", "doc_type", "score")
+
+
 # ---- reranking and checks
 
 
@@ -601,6 +676,14 @@ def pass_rate_summary(spark, sf):
     return E.pass_rate_summary(_scored(spark, sf))
 
 
+@query
+def report(spark, sf):
+    """The summary and the cases of a run, written as a report; its cases are read again."""
+    path, scored = Scratch(spark, "report").path("report"), _scored(spark, sf)
+    N.write_report(E.pass_rate_summary(scored), scored.select("query_id", "score", "passed", "top1_source"), path)
+    return spark.read.schema("query_id long, score int, passed boolean, top1_source string").json(f"{path}/details")
+
+
 @query
 def routing_scorecard(spark, sf):
     want = D.questions(spark, sf).select("query_id", F.expr("case query_id % 8 when 4 then 'sql' when 6 then 'web' when 7 then 'manual' else 'kb' end").alias("expected_route"), F.expr("case when query_id % 8 = 2 then 'exact_match_boost' end").alias("expected_strategy"))
