@@ -1,13 +1,14 @@
-"""Shared parts of the training-data operators: tables, scratch space, connected components."""
+"""Shared parts of the training-data operators: names, slices of batches, skewed joins, connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stackwright.sources.scratch import Scratch
+
 #: White space of the word rule: words are runs of anything else.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,43 +17,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only a local session (tests) may leave it unset; it then gets a temporary folder.
-    """
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if base is None:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        sc.setCheckpointDir(base)
-    return base.rstrip("/")
-
+def _same(df: DataFrame):
+    """What two names must have in common to be one name to this session."""
+    return str if df.sparkSession.conf.get("spark.sql.caseSensitive") == "true" else str.lower
 
-class Scratch:
-    """Tables of one operator run, written to the shared folder to cut lineage.
 
-    A written table survives lost executors, so later stages never recompute what made it.
-    """
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
+def columns_of(df: DataFrame, *but: str) -> list[Column]:
+    """The columns of df, whatever characters their names have, without those named."""
+    key = _same(df)
+    gone = {key(n) for n in but}
+    return [F.col(quoted(c)) for c in df.columns if key(c) not in gone]
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def drop(self, name: str) -> None:
-        """Delete a table that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path(name))
-        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with as many _ as make it none of df's columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def crc_mod(col: Column, n: int) -> Column:
@@ -60,48 +46,84 @@ def crc_mod(col: Column, n: int) -> Column:
     return F.crc32(col.cast("string").cast("binary")) % n
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Rows per Arrow batch for columns of whole texts, so that a batch stays a few MB."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(texts, rows: int = 64, chars: int = 1 << 20) -> Iterator[slice]:
+    """Runs of at most so many texts and characters (a longer text is a run of its own).
+
+    Arrow batches are bounded by the session's spark.sql.execution.arrow settings, rows and bytes;
+    these runs bound what a task builds from one, so no setting needs to be changed for long texts.
+    """
+    first = n = 0
+    for i, t in enumerate(texts):
+        size = len(t) if isinstance(t, str) else 0
+        if i > first and (i - first == rows or n + size > chars):
+            yield slice(first, i)
+            first, n = i, 0
+        n += size
+    if len(texts) > first:
+        yield slice(first, len(texts))
+
+
+#: A key of more than one in so many rows is joined by broadcast; there can be no more such keys than this.
+HEAVY = 1000
+
+
+def join_keyed(rows: DataFrame, facts: DataFrame, key: str, total: int, count: str = "n") -> DataFrame:
+    """rows.join(facts, key) that no frequent key sends to one task.
+
+    facts has one row a key, with the number of rows that hold it in a column, which is left out of
+    the result; total is at least the number of rows. Keys of more than total / HEAVY rows, at most
+    HEAVY of them, are broadcast; the rest are dealt by hash. facts should be a written table: it is read thrice.
+    """
+    often = F.col(count) * HEAVY > total
+    heavy, light = facts.where(often).drop(count), facts.where(~often).drop(count)
+    # at most HEAVY rows are broadcast, because the counts add up to total
+    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light.hint("merge"), key)
+    return rest.unionByName(rows.join(F.broadcast(heavy), key))
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _stars(scratch: Scratch, name: str, near: DataFrame, total: int) -> DataFrame:
+    """Rows (u, v) with the least v of each u as m."""
+    low = scratch.keep(near.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), name)
+    return join_keyed(near, low, "u", total)
+
+
+def _large_star(scratch: Scratch, name: str, edges: DataFrame, total: int) -> DataFrame:
     """Every neighbour above a node moves to the node's smallest neighbour."""
-    near = _both_ways(edges)
-    low = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return near.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+    near = _stars(scratch, name, _both_ways(edges), 2 * total)
+    return near.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u != v")
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(scratch: Scratch, name: str, edges: DataFrame, total: int) -> DataFrame:
     """A node and its smaller neighbours move to the smallest of them."""
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(low.select("u", F.col("m").alias("v")))
+    down = _stars(scratch, name, edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), total)
+    return down.select(F.when(F.col("v") != F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v"))
 
 
-def connected_components(spark: SparkSession, edges: DataFrame, label: str = "cc", most_rounds: int = 60) -> DataFrame:
+def connected_components(spark: SparkSession, edges: DataFrame, label: str = "cc", most_rounds: int = 60, scratch: Scratch | None = None) -> DataFrame:
     """Components of an undirected graph by alternating large-star and small-star.
 
     edges: columns u, v of one comparable type; null ends and self-loops are ignored.
     Returns (node, component): every node that has an edge, with the smallest node it reaches.
-    Each round is joins and grouped minima only (no list of neighbours is ever built, so a hub
-    is split by the join), and is written to the shared folder. Rounds grow with the logarithm
-    of the longest path. Raises if ``most_rounds`` do not suffice, rather than return a part.
+    Each round is joins and grouped minima only: no list of neighbours is built, and a hub's edges
+    stay where they are while its minimum is broadcast to them. Tables are written to the shared
+    folder (under the label, if a scratch is given); all but the last are deleted. Rounds grow with
+    the logarithm of the longest path. Raises if ``most_rounds`` do not suffice, rather than return a part.
     """
-    scratch = Scratch(spark, label)
-    now = scratch.keep(edges.where("u != v").select("u", "v").distinct(), "e0")
+    scratch = scratch or Scratch(spark, label)
+    at = lambda name: f"{label}-{name}"
+    now = scratch.keep(edges.where("u != v").select("u", "v").distinct(), at("e0"))
     count = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     was = count(now)
     for i in range(1, most_rounds + 1):
         if not was[0]:
             break
-        after = scratch.keep(_small_star(_large_star(now).distinct()).distinct(), f"e{i}")
-        scratch.drop(f"e{i - 1}")
+        half = scratch.keep(_large_star(scratch, at(f"l{i}"), now, was[0]).distinct(), at(f"h{i}"))
+        after = scratch.keep(_small_star(scratch, at(f"s{i}"), half, was[0]).distinct(), at(f"e{i}"))
+        scratch.drop(at(f"e{i - 1}"), at(f"l{i}"), at(f"h{i}"), at(f"s{i}"))
         now, mark = after, count(after)
         if mark == was:
             break

@@ -21,13 +21,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackwright.llm.common import Scratch, small_batches
+from stackwright.llm.common import columns_of, free_name, slices
 from stackwright.llm.textbatch import NOT_ALNUM, Words, windows
+from stackwright.sources.scratch import Scratch
 
 MIN_MATCH = 5
 COVERAGE = 0.8
 BLOCK_BYTES = 4 << 20
 BLOCKS_AT_ONCE = 8
+#: Pairs of equal windows of a text and the items that are held at once.
+PAIRS = 4 << 20
 MATCHES = "array<struct<item_id: bigint, coverage: double, tiles: array<struct<item_at: int, text_at: int, words: int>>>>"
 
 
@@ -66,35 +69,67 @@ def blocks(items: DataFrame, min_match: int = MIN_MATCH, size: int = BLOCK_BYTES
         yield Block(now, min_match)
 
 
-def tile(pairs: np.ndarray, k: int, n_item: int, n_text: int) -> list[tuple[int, int, int]]:
-    """Greedy tiling of an item and a text from their equal k-windows (rows: item_at, text_at).
+def maximal(item: np.ndarray, at: np.ndarray, where: np.ndarray, size: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Matches of an item's windows from ``at`` and a text's from ``where`` on, joined where one follows another on a diagonal.
 
-    Equal windows next to each other on a diagonal form a maximal match. The longest match is
-    marked; matches that touch marked tokens are cut to their unmarked runs of at least k.
+    size: how many windows each has (default 1). Returns item, at, where and size.
     """
-    d = pairs[:, 1] - pairs[:, 0]
-    order = np.lexsort((pairs[:, 0], d))
-    p, t, d = pairs[order, 0], pairs[order, 1], d[order]
-    new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (p[1:] != p[:-1] + 1)]))
-    length = np.diff(np.append(new, len(p))) + k - 1
-    heap = list(zip((-length).tolist(), p[new].tolist(), t[new].tolist(), strict=True))
-    heapq.heapify(heap)
+    size = np.ones(len(at), np.int64) if size is None else size
+    order = np.lexsort((at, where - at, item))
+    item, at, where, size = item[order], at[order], where[order], size[order]
+    same = (item[1:] == item[:-1]) & (where[1:] - at[1:] == where[:-1] - at[:-1]) & (at[1:] == at[:-1] + size[:-1])
+    new = np.flatnonzero(np.concatenate([[True], ~same])) if len(at) else np.zeros(0, np.int64)
+    return item[new], at[new], where[new], np.add.reduceat(size, new) if len(new) else size
+
+
+def tile(at: np.ndarray, where: np.ndarray, size: np.ndarray, k: int, n_item: int, n_text: int) -> list[tuple[int, int, int]]:
+    """Greedy tiling of an item and a text from their maximal matches (starts, and length in tokens).
+
+    The longest match is marked, of equal ones the first of the item, then of the text; matches
+    that touch marked tokens are cut to their unmarked runs of at least k. Ends early where the
+    item has no k unmarked tokens in a row.
+    """
+    order = np.lexsort((where, at, -size))
+    first = lambda i: (-int(size[order[i]]), int(at[order[i]]), int(where[order[i]]))
+    cut, i = [], 0
     in_item, in_text = np.zeros(n_item, bool), np.zeros(n_text, bool)
     out = []
-    while heap:
-        n, a, b = heapq.heappop(heap)
+    while i < len(order) or cut:
+        if cut and (i == len(order) or cut[0] <= first(i)):
+            n, a, b = heapq.heappop(cut)
+        else:
+            (n, a, b), i = first(i), i + 1
         free = ~(in_item[a : a - n] | in_text[b : b - n])
         if free.all():
             in_item[a : a - n] = in_text[b : b - n] = True
             out.append((a, b, -n))
+            if max((y - x for x, y in _runs(~in_item)), default=0) < k:
+                break
             continue
-        edge = np.flatnonzero(np.diff(np.concatenate([[False], free, [False]]).astype(np.int8)))
-        for x, y in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+        for x, y in _runs(free):
             if y - x >= k:
-                heapq.heappush(heap, (x - y, a + x, b + x))
+                heapq.heappush(cut, (x - y, a + x, b + x))
     return sorted(out)
 
 
+def _runs(free: np.ndarray) -> list[tuple[int, int]]:
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], free, [False]]).astype(np.int8)))
+    return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
+
+
+def _matches(near: np.ndarray, lo: np.ndarray, times: np.ndarray, item: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The maximal matches of one text's windows near with the items' seeds; at most about PAIRS pairs of windows are held at once."""
+    ends, parts = np.cumsum(times), []
+    first = 0
+    while first < len(near):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + PAIRS, "right")))
+        t = times[first:last]
+        rows = np.repeat(lo[first:last], t) + np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t)
+        parts.append(maximal(item[rows], at[rows], np.repeat(near[first:last], t)))
+        first = last
+    return parts[0] if len(parts) == 1 else maximal(*[np.concatenate(x) for x in zip(*parts, strict=True)])
+
+
 def find(texts, block: Block, coverage: float) -> list[list[dict]]:
     """For each text the items of the block that tiles cover to at least coverage."""
     w = tokens(texts)
@@ -110,23 +145,21 @@ def find(texts, block: Block, coverage: float) -> list[list[dict]]:
         text = np.searchsorted(w.first, near, "right") - 1
         whole = near + k <= w.first[text + 1]  # a window does not cross into the next text
         near, lo, text = near[whole], lo[whole], text[whole]
+        times = np.searchsorted(seed, h[near], "right") - lo
         for i in np.unique(text):
-            mine = text == i
-            times = np.searchsorted(seed, h[near[mine]], "right") - lo[mine]
-            rows = np.repeat(lo[mine], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            where, of = np.repeat(near[mine] - w.first[i], times), item[rows]
-            for j in np.unique(of):
-                own = of == j
-                item_id, words = block.items[j]
-                reach = np.zeros(len(words) + 1, np.int64)
-                np.add.at(reach, at[rows[own]], 1)
-                np.add.at(reach, np.minimum(at[rows[own]] + k, len(words)), -1)
+            mine = slice(*np.searchsorted(text, [i, i + 1]))
+            of, a, b, n = _matches(near[mine] - w.first[i], lo[mine], times[mine], item, at)
+            n = n + k - 1
+            edges = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+            for x, y in zip(edges, np.append(edges[1:], len(of)), strict=True):
+                item_id, words = block.items[of[x]]
+                reach = np.bincount(a[x:y], minlength=len(words) + 1) - np.bincount(a[x:y] + n[x:y], minlength=len(words) + 1)
                 if (np.cumsum(reach)[:-1] > 0).sum() < coverage * len(words):
-                    continue  # tiles lie within the seeds' reach
-                tiles = tile(np.column_stack([at[rows[own]], where[own]]), k, len(words), w.first[i + 1] - w.first[i])
-                share = sum(x[2] for x in tiles) / len(words)
+                    continue  # tiles lie within the matches
+                tiles = tile(a[x:y], b[x:y], n[x:y], k, len(words), w.first[i + 1] - w.first[i])
+                share = sum(t[2] for t in tiles) / len(words)
                 if share >= coverage:
-                    out[i].append({"item_id": item_id, "coverage": share, "tiles": [{"item_at": a, "text_at": b, "words": n} for a, b, n in tiles]})
+                    out[i].append({"item_id": item_id, "coverage": share, "tiles": [{"item_at": p, "text_at": q, "words": m} for p, q, m in tiles]})
     return out
 
 
@@ -134,17 +167,18 @@ def with_matches(spark: SparkSession, docs: DataFrame, items: DataFrame, coverag
     """docs with an array of (item_id, coverage, tiles) of the items that each text holds.
 
     docs: text and any other columns; items: item_id, text. A column of the given name is
-    replaced. Null or empty texts match nothing; items shorter than min_match must occur whole;
-    equal items under several ids each match; without items every array is empty.
+    replaced. Null or empty texts match nothing, texts of any length are read whole; items shorter
+    than min_match must occur whole; equal items under several ids each match, a repeated row of
+    items once, a repeated row of docs each time; of equally long matches the first of the item is
+    marked first; without items every array is empty, without docs there are no rows.
     """
-    small_batches(spark)
     scratch, n = Scratch(spark, "decontam"), 0
 
     def column(held):
         @F.pandas_udf(MATCHES)
         def of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for texts in parts:
-                yield pd.Series(find(texts, held.value, coverage), index=texts.index)
+                yield pd.Series([m for part in slices(texts) for m in find(texts.iloc[part], held.value, coverage)], index=texts.index, dtype=object)
 
         return of("text")
 
@@ -158,5 +192,6 @@ def with_matches(spark: SparkSession, docs: DataFrame, items: DataFrame, coverag
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, min_match: int = MIN_MATCH) -> DataFrame:
-    """The documents that hold no item, with their own columns."""
-    return with_matches(spark, docs, items, coverage, min_match, "_matches").where(F.size("_matches") == 0).select(*docs.columns)
+    """The documents that hold no item, with their own columns; for odd rows see with_matches."""
+    name = free_name(docs, "_matches")
+    return with_matches(spark, docs, items, coverage, min_match, name).where(F.size(name) == 0).select(*columns_of(docs))

@@ -17,12 +17,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackwright.llm.common import small_batches
+from stackwright.llm.common import columns_of, free_name, slices
 
 BUCKETS = 1 << 14
 MAX_TRAIN_DOCS = 3000
 UNKNOWN = "und"
-_STEP = 64  # texts counted at once
 
 
 @lru_cache(maxsize=1)
@@ -111,13 +110,12 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         df, n = np.zeros(BUCKETS, np.int64), 0
         for pdf in batches:
-            for i in range(0, len(pdf), _STEP):
-                df += (gram_counts(pdf["text"][i : i + _STEP]) > 0).sum(0)
+            for run in slices(pdf["text"]):
+                df += (gram_counts(pdf["text"].iloc[run]) > 0).sum(0)
             n += len(pdf)
         at = np.flatnonzero(df)
         yield pd.DataFrame({"bucket": np.append(at, -1), "n": np.append(df[at], n)})
 
-    small_batches(docs.sparkSession)
     got = docs.select("text").where("text is not null").mapInPandas(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     total, df = 0, np.zeros(BUCKETS, np.int64)
     for r in got:
@@ -144,8 +142,8 @@ def fit(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> dict:
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for i in range(0, len(pdf), _STEP):
-                part = pdf.iloc[i : i + _STEP]
+            for run in slices(pdf["text"]):
+                part = pdf.iloc[run]
                 x = tfidf(gram_counts(part["text"]), idf)
                 at = [np.flatnonzero(r) for r in x]
                 yield pd.DataFrame({"lang": part["lang"].to_numpy(), "h": part["h"].to_numpy(), "at": [a.astype(np.uint16).tobytes() for a in at], "x": [r[a].astype(np.float16).tobytes() for r, a in zip(x, at, strict=True)]})
@@ -165,8 +163,8 @@ def fit(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> dict:
 def predict(model: dict, texts) -> tuple[np.ndarray, np.ndarray]:
     """Language and calibrated probability of each text."""
     best, score = [], []
-    for i in range(0, len(texts), _STEP):
-        p = _softmax((tfidf(gram_counts(texts[i : i + _STEP]), model["idf"]) @ model["w"][:-1] + model["w"][-1]) / model["t"])
+    for run in slices(texts):
+        p = _softmax((tfidf(gram_counts(texts[run]), model["idf"]) @ model["w"][:-1] + model["w"][-1]) / model["t"])
         best.append(p.argmax(1))
         score.append(p.max(1))
     if not best:
@@ -177,9 +175,10 @@ def predict(model: dict, texts) -> tuple[np.ndarray, np.ndarray]:
 def identify(spark: SparkSession, docs: DataFrame, model: dict, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """docs with columns of the predicted language and its score; 'und' with score 0 where text is null or has no letter.
 
-    Columns of these names are replaced. Texts without a letter never reach Python.
+    Columns of these names are replaced; all others stay, whatever their names. Whole texts of any
+    length are read; repeated rows give repeated results; an empty table gives none; of equally
+    likely languages the first by name is taken. Texts without a letter never reach Python.
     """
-    small_batches(spark)
     held = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double")
@@ -192,5 +191,5 @@ def identify(spark: SparkSession, docs: DataFrame, model: dict, names: tuple[str
             yield pd.DataFrame({"lang": lang, "score": score})
 
     text = F.when(F.col("text").rlike(r"\p{L}"), F.col("text"))
-    kept = [c for c in docs.columns if c not in names]
-    return docs.select(*kept, of(text).alias("_p")).select(*kept, F.col("_p.lang").alias(names[0]), F.col("_p.score").alias(names[1]))
+    made = free_name(docs, "_predicted")
+    return docs.withColumn(made, of(text)).select(*columns_of(docs, *names), F.col(f"{made}.lang").alias(names[0]), F.col(f"{made}.score").alias(names[1]))

@@ -4,8 +4,8 @@ A classifier fitted to a labelled table gives every document posterior probabili
 domains. Rates r >= 0 of documents are then fitted by distributed projected-gradient least squares
 so that expected domain totals, the sums of r * tokens * posterior, match the target shares. The
 start is one everywhere; a step moves each document along its posteriors, so a rate depends only on
-posteriors and the few step vectors so far: rates are never stored, and an iteration is one pass
-over the table of posteriors that gives one number a domain.
+posteriors and the few step vectors so far, and an iteration is one pass
+over the table of posteriors that gives a few numbers a pair of domains.
 
 The classifier is a multinomial logistic regression on hashed words, fitted to at most
 MAX_TRAIN_DOCS labelled documents of the smallest hashes.
@@ -13,15 +13,18 @@ MAX_TRAIN_DOCS labelled documents of the smallest hashes.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackwright.llm.common import WORD, Scratch, small_batches
+from stackwright.llm.common import WORD, columns_of, free_name, slices
 from stackwright.llm.textbatch import Words
+from stackwright.sources.scratch import Scratch
 
 BUCKETS = 4096
 MAX_TRAIN_DOCS = 3000
@@ -29,6 +32,10 @@ MAX_TRAIN_DOCS = 3000
 TARGETS = {"good": 0.84, "good-toxic": 0.05, "poor": 0.1, "poor-toxic": 0.01}
 STEPS = 40
 TOLERANCE = 1e-4
+#: A step that makes the squared distance to the targets less by a smaller share than this has gained nothing.
+SETTLED = 1e-9
+#: Steps after which the rates so far are written out.
+REST = 8
 
 
 def features(texts) -> np.ndarray:
@@ -38,8 +45,8 @@ def features(texts) -> np.ndarray:
     text = np.repeat(np.arange(len(n)), n)
     x = np.bincount(text * BUCKETS + (w.hash >> np.uint64(52)).astype(np.int64), minlength=len(n) * BUCKETS).reshape(len(n), BUCKETS).astype(np.float32)
     x = np.sqrt(x / np.maximum(n, 1)[:, None]) * 8
-    by_text = text[w.word_of_byte] if len(text) else np.zeros(0, np.int64)
-    chars = np.bincount(by_text * 256 + w.buf[: len(by_text)], minlength=len(n) * 256).reshape(len(n), 256).astype(np.float32)
+    by_text = np.repeat(np.arange(len(n)), np.diff(w.text_at))
+    chars = np.bincount(by_text * 256 + w.buf, minlength=len(n) * 256).reshape(len(n), 256).astype(np.float32)
     return np.hstack([x, np.sqrt(chars / np.maximum(chars.sum(1, keepdims=True), 1)) * 4])
 
 
@@ -55,10 +62,10 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, max_docs: int = MAX_TRAIN_
 
     def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if len(pdf):
-                yield pd.DataFrame({"domain": pdf["domain"], "place": pdf["place"], "x": [r.astype(np.float16).tobytes() for r in features(pdf["text"])]})
+            for run in slices(pdf["text"]):
+                part = pdf.iloc[run]
+                yield pd.DataFrame({"domain": part["domain"], "place": part["place"], "x": [r.astype(np.float16).tobytes() for r in features(part["text"])]})
 
-    small_batches(docs.sparkSession)
     got = sorted(rows.mapInPandas(encoded, "domain string, place long, x binary").collect(), key=lambda r: r["place"])
     names = sorted({r["domain"] for r in got})
     if not names:
@@ -85,61 +92,110 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, max_docs: int = MAX_TRAIN_
 
 def posteriors(spark: SparkSession, docs: DataFrame, model: dict, name: str = "posterior") -> DataFrame:
     """docs with an array of the domains' probabilities, in the order of model['names']."""
-    small_batches(spark, 128)
     held = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("array<double>")
     def of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in parts:
-            w = held.value["w"]
-            x = features(texts)
-            yield pd.Series(list(_softmax(x @ w[:-1] + w[-1]).astype(np.float64)), index=texts.index, dtype=object)
+            w, p = held.value["w"], []
+            for run in slices(texts):
+                p += list(_softmax(features(texts.iloc[run]) @ w[:-1] + w[-1]).astype(np.float64))
+            yield pd.Series(p, index=texts.index, dtype=object)
 
     return docs.withColumn(name, of("text"))
 
 
-def _rate(history: list[list[float]], posterior="posterior"):
-    """The rate after these steps; one expression, evaluated row by row in the JVM."""
-    if not history:
-        return F.lit(1.0)
-    steps = F.array(*[F.array(*[F.lit(float(c)) for c in h]) for h in history])
-    dot = lambda h: F.aggregate(F.zip_with(F.col(posterior), h, lambda p, c: p * c), F.lit(0.0), lambda s, x: s + x)
-    return F.aggregate(steps, F.lit(1.0), lambda r, h: F.greatest(F.lit(0.0), r - dot(h)))
+@dataclass
+class Fit:
+    """Step vectors, the shares of tokens that they reach, the shares aimed at, and whether more steps would gain nothing."""
 
+    steps: list[list[float]]
+    reached: list[float]
+    aimed: list[float]
+    settled: bool
 
-def fit_rates(weighed: DataFrame, names: list[str], targets: dict[str, float], steps: int = STEPS, tolerance: float = TOLERANCE) -> tuple[list[list[float]], list[float]]:
-    """Step vectors for _rate, and the shares they reach; weighed: posterior, n_tokens.
+    def report(self, names: list[str], tolerance: float, strict: bool) -> None:
+        """Warns, or raises, where a domain is off its target by more than the tolerance."""
+        if not names or max(abs(r - a) for r, a in zip(self.reached, self.aimed, strict=True)) <= tolerance:
+            return
+        said = ", ".join(f"{x} {r:.4f} (target {a:.4f})" for x, r, a in zip(names, self.reached, self.aimed, strict=True))
+        said = f"shares reached {'are the nearest possible' if self.settled else 'may be off for want of steps'}: {said}"
+        if strict:
+            raise ValueError(said)
+        warnings.warn(said, stacklevel=3)
 
-    Least squares of (total - target) in the metric of the inverse curvature of the documents that
-    are free to move: a projected step is exact where it pushes no rate to 0. Targets are shares of
-    all tokens; domains without one keep what they have, and shares are scaled to sum to 1.
-    Ends when every domain is within tolerance of its target, as a share of all tokens.
+
+def _rate(history: list[list[float]], posterior="posterior", start=None):
+    """The rate after these steps from the start (1); one expression, evaluated row by row in the JVM."""
+    start = F.lit(1.0) if start is None else start
+    if not history:
+        return start
+    steps = F.array(*[F.array(*[F.lit(float(c)) for c in h]) for h in history])
+    dot = lambda h: F.aggregate(F.zip_with(F.col(posterior), h, lambda p, c: p * c), F.lit(0.0), lambda s, x: s + x)
+    return F.aggregate(steps, start, lambda r, h: F.greatest(F.lit(0.0), r - dot(h)))
+
+
+def fit_rates(weighed: DataFrame, names: list[str], targets: dict[str, float], steps: int = STEPS, tolerance: float = TOLERANCE) -> Fit:
+    """Fits rates to weighed (posterior, n_tokens): the step vectors for _rate, and how far they came.
+
+    Least squares of the distance between totals and targets over rates of at least 0. A step is
+    taken in the metric of the inverse curvature of the documents that are free to move, where it
+    is exact if it pushes no rate to 0. As projection may spoil that, several dampings and lengths
+    of the step, and the plain gradient step, which always gains, are tried in one pass, and the
+    best is taken. Targets are shares of all tokens; domains without one keep what they have, and
+    shares are scaled to sum to 1.
+    Ends when every domain is within tolerance of its target, as a share of all tokens; when no
+    step gains anything, so that the targets cannot be met and the totals are the nearest that
+    can; or after so many steps. Rates are written out every REST steps, so that a pass evaluates
+    few of them.
     """
     d = range(len(names))
     p = [F.col("posterior")[i] for i in d]
     n = F.col("n_tokens")
     pairs = [(i, j) for i in d for j in d if i <= j]
+    scratch = Scratch(weighed.sparkSession, "rates")
+    rated, since = weighed.select("posterior", "n_tokens", F.lit(1.0).alias("at")), []
 
-    def state(history):
-        """Totals, and the curvature over documents whose rate is above 0, after these steps."""
-        r = _rate(history)
-        rows = weighed.select("posterior", "n_tokens", r.alias("r"))
+    def rows(more):
+        return rated.select("posterior", "n_tokens", _rate(more, "posterior", F.col("at")).alias("r"))
+
+    def state(more):
+        """Totals, and the curvature over documents whose rate is above 0, after these further steps."""
         free = F.when(F.col("r") > 0, n).otherwise(0)
-        one = rows.agg(F.coalesce(F.sum(n), F.lit(0)).alias("all"), *[F.sum(F.col("r") * n * p[i]).alias(f"t{i}") for i in d], *[F.sum(free * p[i] * p[j]).alias(f"g{i}_{j}") for i, j in pairs]).first()
+        one = rows(more).agg(F.coalesce(F.sum(n), F.lit(0)).alias("all"), *[F.sum(F.col("r") * n * p[i]).alias(f"t{i}") for i in d], *[F.sum(free * p[i] * p[j]).alias(f"g{i}_{j}") for i, j in pairs]).first()
         g = np.array([[one[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in d] for i in d])
         return float(one["all"]), np.array([one[f"t{i}"] or 0.0 for i in d]), g
 
+    def totals(more, tried):
+        """Totals after these further steps and each of those tried."""
+        moved = [F.greatest(F.lit(0.0), F.col("r") - sum((F.lit(c) * p[i] for i, c in enumerate(step)), F.lit(0.0))) for step in tried]
+        one = rows(more).select("posterior", "n_tokens", *[m.alias(f"m{j}") for j, m in enumerate(moved)]).agg(*[F.sum(F.col(f"m{j}") * n * p[i]) for j in range(len(tried)) for i in d]).first()
+        return np.array(one, float).reshape(len(tried), len(names))
+
     history: list[list[float]] = []
-    whole, total, g = state(history)
+    whole, total, g = state([])
     if not whole:
-        return [], [0.0] * len(names)
+        return Fit([], [0.0] * len(names), [0.0] * len(names), True)
     aim = np.array([targets.get(x, total[i] / whole) for i, x in enumerate(names)])
     aim = aim / aim.sum()
+    steepest = np.linalg.eigvalsh(g).max()
+    settled = False
     while np.abs(total / whole - aim).max() > tolerance and len(history) < steps:
-        curve = g + (1e-6 * np.trace(g) / len(names) + 1e-9) * np.eye(len(names))
-        history.append([round(float(c), 12) for c in np.linalg.solve(curve, total - aim * whole)])
-        _, total, g = state(history)
-    return history, [float(x) for x in total / whole]
+        off, size = total - aim * whole, np.trace(g) / len(names)
+        tried = [t * np.linalg.solve(g + (damp * size + 1e-9) * np.eye(len(names)), off) for damp in (1e-6, 1e-3, 1e-1) for t in (1, 2, 0.3, 0.1)]
+        tried = [[float(c) for c in step] for step in (*tried, off / steepest)]
+        gap = np.square(totals(since, tried) / whole - aim).sum(1)
+        best = int(gap.argmin())
+        if settled := bool(gap[best] > np.square(off / whole).sum() * (1 - SETTLED)):
+            break
+        history.append(tried[best])
+        since.append(tried[best])
+        if len(since) == REST:
+            rated, since = scratch.keep(rated.withColumn("at", _rate(since, "posterior", F.col("at"))), f"after{len(history)}"), []
+        _, total, g = state(since)
+    scratch.drop()
+    share = total / whole
+    return Fit(history, [float(x) for x in share], [float(x) for x in aim], bool(settled or np.abs(share - aim).max() <= tolerance))
 
 
 def _n_tokens():
@@ -151,34 +207,38 @@ def _weighed(spark: SparkSession, docs: DataFrame, model: dict) -> DataFrame:
     return Scratch(spark, "mixing").keep(rows, "posteriors")
 
 
-def mix(spark: SparkSession, docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, max_docs: int = MAX_TRAIN_DOCS, steps: int = STEPS) -> DataFrame:
+def mix(spark: SparkSession, docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, max_docs: int = MAX_TRAIN_DOCS, steps: int = STEPS, strict: bool = False) -> DataFrame:
     """Per document doc_id, domain (the likeliest), posterior, n_tokens (words) and rate.
 
     A rate is how often a document should be drawn, in expectation; 0 means never. Null and empty
     texts have no tokens and no say; their rate follows their posteriors like any other's. Without
-    labels there are no domains and every rate is 1. Repeated rows are counted and rated each.
+    labels there are no domains and every rate is 1. Repeated rows are counted and rated each; of
+    equally likely domains the first by name is the document's; other columns are ignored; an
+    empty table gives no rows. Targets that are missed give a warning, or raise if strict.
     """
     model = fit_domains(docs, labelled, max_docs)
     if not model["names"]:
         return docs.select("doc_id", F.lit(None).cast("string").alias("domain"), F.expr("cast(array() as array<double>)").alias("posterior"), _n_tokens().alias("n_tokens"), F.lit(1.0).alias("rate"))
     weighed = _weighed(spark, docs, model)
-    history, _ = fit_rates(weighed, model["names"], targets, steps)
+    fit = fit_rates(weighed, model["names"], targets, steps)
+    fit.report(model["names"], TOLERANCE, strict)
     names = F.array(*[F.lit(x) for x in model["names"]])
     best = F.get(names, F.array_position("posterior", F.array_max("posterior")).cast("int") - 1)
-    return weighed.select("doc_id", best.alias("domain"), "posterior", "n_tokens", F.round(_rate(history), 6).alias("rate"))
+    return weighed.select("doc_id", best.alias("domain"), "posterior", "n_tokens", F.round(_rate(fit.steps), 6).alias("rate"))
 
 
-def with_rates(spark: SparkSession, docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, max_docs: int = MAX_TRAIN_DOCS, steps: int = STEPS, name: str = "rate") -> DataFrame:
-    """docs with a column of the rates that mix() gives; one of that name is replaced.
+def with_rates(spark: SparkSession, docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, max_docs: int = MAX_TRAIN_DOCS, steps: int = STEPS, name: str = "rate", strict: bool = False) -> DataFrame:
+    """docs with a column of the rates that mix() gives; one of that name is replaced, the others stay.
 
     Posteriors are computed again beside the texts, so that no text is shuffled.
     """
     model = fit_domains(docs, labelled, max_docs)
-    docs = docs.drop(name)
     if not model["names"]:
         return docs.withColumn(name, F.lit(1.0))
-    history, _ = fit_rates(_weighed(spark, docs, model), model["names"], targets, steps)
-    return posteriors(spark, docs, model, "_posterior").select(*docs.columns, F.round(_rate(history, "_posterior"), 6).alias(name))
+    fit = fit_rates(_weighed(spark, docs, model), model["names"], targets, steps)
+    fit.report(model["names"], TOLERANCE, strict)
+    made = free_name(docs, "_posterior")
+    return posteriors(spark, docs, model, made).select(*columns_of(docs, name), F.round(_rate(fit.steps, made), 6).alias(name))
 
 
 def domains_of(labels: DataFrame) -> DataFrame:

@@ -60,8 +60,10 @@ b as (select x.r, doc_id, source, len(w) n_words, length(array_to_string(w, ''))
     coalesce(c.n, 0) n_repeat_words from x left join c on x.r = c.r),
 f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed from b),
 h as (select source, count(*) n, count(*) filter (base_failed) k from f group by source),
-p as (select avg(k / n) m, var_pop(k / n) v from h),
-s as (select m, case when v > 0 then least(greatest(m * (1 - m) / v - 1, 1), 10000) else 10000 end s from p),
+p as (select count(*) c, sum(n)::double n, sum(k)::double k, sum(k::double * k / n) q, sum(n::double * n) w from h),
+m as (select k / n m, (k / n) * (1 - k / n) noise, n - w / n - (c - 1) known, q - k * k / n spread, c from p),
+r as (select m, case when noise > 0 and known > 0 then (spread / noise - (c - 1)) / known else 0 end r from m),
+s as (select m, case when r > 0 then least(greatest(1 / r - 1, 1), 10000) else 10000 end s from r),
 z as (select source, (k + m * s) / (n + s) > 0.5 bad from h, s)
 select doc_id, n_words::bigint n_words, word_chars::bigint word_chars, n_symbols::bigint n_symbols, n_dup_lines::bigint n_dup_lines, n_repeat_words::bigint n_repeat_words, base_failed, not base_failed and not bad as kept
 from f join z on f.source is not distinct from z.source""",

@@ -14,15 +14,16 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+import warnings
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackwright.llm.common import small_batches
+from stackwright.llm.common import columns_of, free_name, quoted
 
-#: For tests and examples; a deployment passes its own.
+#: Public, so good for tests and demonstrations only: whoever has it can undo pseudonyms. Operators take a key and have no default.
 DEMO_KEY = b"demonstration key, not a secret"
 ROUNDS = 8
 KINDS = ("card", "iban", "ssn", "phone", "ipv4", "date", "email", "secret")
@@ -197,9 +198,11 @@ PATTERNS = {
     "ipv4": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)",
     "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}-\d{1,2}-\d{4})(?![\d/-])(?!\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\d+])(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|\+[2-9]\d{0,2}(?:[ .-]?(?:\(\d{1,4}\)|\d{2,5})){2,5}|(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4})(?!\d)",
-    "card": r"(?<![\d.-])(?:\d{13,19}|\d{4} \d{4} \d{4} \d{1,7}|\d{4}-\d{4}-\d{4}-\d{1,7}|\d{4} \d{6} \d{5}|\d{4}-\d{6}-\d{5})(?!\d)",
+    "phone": r"(?<![\d+])(?<!\d[.-])(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|\+[2-9]\d{0,2}(?:[ .-]?(?:\(\d{1,4}\)|\d{2,5})){2,5}|(?:1[ .-])?(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4})(?!\d)",
+    "card": r"(?<![\d.])(?<!\d-)(?:\d{13,19}|\d{4} \d{4} \d{4} \d{1,7}|\d{4}-\d{4}-\d{4}-\d{1,7}|\d{4} \d{6} \d{5}|\d{4}-\d{6}-\d{5})(?!\d)",
 }
+#: What a text must contain to hold a value of a kind; every match of PATTERNS has it.
+NEEDS = {k: "[0-9]" for k in PATTERNS} | {"email": "@", "secret": r"[=:] ?\"|AKIA|ASIA|gh[pousr]_|sk-|xox[abprs]-"}
 _WORK = {"card": _card, "iban": _iban, "ssn": _ssn, "phone": _phone, "ipv4": _ipv4, "date": _date, "email": _email, "secret": _secret}
 _ANY = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()), re.ASCII)
 _BY_KIND = {k: re.compile(p, re.ASCII) for k, p in PATTERNS.items()}
@@ -260,13 +263,26 @@ def pseudonymise(text: str, key: bytes, kinds: tuple[str, ...] = KINDS) -> tuple
     return "".join([*out, text[done:]]), finds
 
 
-def scrub(docs: DataFrame, key: bytes = DEMO_KEY, kinds: tuple[str, ...] = KINDS, column: str = "text", finds: str = "pii") -> DataFrame:
+def key_of(spark: SparkSession) -> bytes:
+    """The key that a session names in spark.stackwright.pii.key; the demonstration key, with a warning, where it names none."""
+    if key := spark.conf.get("spark.stackwright.pii.key", None):
+        return key.encode()
+    warnings.warn("spark.stackwright.pii.key is not set: pseudonyms with the demonstration key can be undone by anyone", stacklevel=2)
+    return DEMO_KEY
+
+
+def scrub(docs: DataFrame, key: bytes, kinds: tuple[str, ...] = KINDS, column: str = "text", finds: str = "pii") -> DataFrame:
     """docs with column pseudonymised and an array of finds (kind, at, n) beside it.
 
-    Null and empty texts stay as they are, with no finds; a column named like finds is replaced.
-    Only texts with a digit, an @ or a quoted assignment go to Python; nothing is shuffled.
+    key is the caller's secret: with it, pseudonyms can be made and undone. Null and empty texts
+    stay as they are, with no finds; a text of any length is read whole; repeated rows give repeated
+    results; an empty table gives none. Where values overlap, the one that begins first wins, of
+    those at one place the first kind of PATTERNS that validates. A column named like finds is
+    replaced; all others stay, whatever their names. Only texts that have what NEEDS lists go to
+    Python; nothing is shuffled.
     """
-    small_batches(docs.sparkSession)
+    if not key:
+        raise ValueError("pseudonyms need a secret key")
 
     @F.pandas_udf("text string, finds array<struct<kind: string, at: int, n: int>>")
     def of(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -274,6 +290,8 @@ def scrub(docs: DataFrame, key: bytes = DEMO_KEY, kinds: tuple[str, ...] = KINDS
             got = [pseudonymise(t, key, kinds) if t else (None, []) for t in texts]
             yield pd.DataFrame({"text": [t for t, _ in got], "finds": [f for _, f in got]})
 
-    kept = [c for c in docs.columns if c != finds]
-    some = F.when(F.col(column).rlike(r"[0-9@]|[=:] ?\""), F.col(column))
-    return docs.select(*kept, of(some).alias("_pii")).select(*[F.coalesce("_pii.text", column).alias(c) if c == column else c for c in kept], F.col("_pii.finds").alias(finds))
+    kept, made = columns_of(docs, finds), free_name(docs, "_pii")
+    text = F.col(quoted(column))
+    some = F.when(text.rlike("|".join(dict.fromkeys(NEEDS.values()))), text)
+    rows = docs.select(*kept, of(some).alias(made))
+    return rows.withColumns({column: F.coalesce(F.col(f"{made}.text"), text), finds: F.col(f"{made}.finds")}).drop(made)

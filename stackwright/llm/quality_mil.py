@@ -4,8 +4,9 @@ A document is a bag of passages of 64 words. Every passage is encoded (hashed by
 a few densities, through a learned tanh layer); gated attention, learned from document labels
 alone, weighs the passages; the weighted passage representation is scored by a logistic unit.
 
-Fitting uses a bounded sample: at most MAX_TRAIN_DOCS labelled documents, each with at most
-MAX_TRAIN_PASSAGES passages spread evenly over it. Scoring encodes every passage of every text.
+Fitting uses a bounded sample of rows: at most MAX_TRAIN_DOCS labelled documents, which hold at most
+MAX_TRAIN_PASSAGES passages together, each document with all of its passages. Scoring encodes every
+passage of every text.
 """
 
 from __future__ import annotations
@@ -17,13 +18,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackwright.llm.common import small_batches
+from stackwright.llm.common import WORD, slices
 from stackwright.llm.textbatch import Words
 
 PASSAGE_WORDS = 64
 BUCKETS = 256
 MAX_TRAIN_DOCS = 3000
-MAX_TRAIN_PASSAGES = 64
+MAX_TRAIN_PASSAGES = 100_000
 HIDDEN, GATES = 24, 12
 
 #: Byte classes whose share of a passage is a feature.
@@ -48,13 +49,17 @@ def encode(texts) -> tuple[np.ndarray, np.ndarray]:
         return x, at[:-1]
     text = np.repeat(np.arange(len(n)), n)
     passage = at[text] + (np.arange(len(text)) - w.first[text]) // PASSAGE_WORDS
-    by_byte = passage[w.word_of_byte]
+    # bytes of texts that have words; a trigram may reach the space after its text, not the next text
+    of = np.repeat(np.arange(len(n)), np.diff(w.text_at))
+    at_byte = np.flatnonzero(n[of] > 0)
+    by_byte = passage[w.word_of_byte[at_byte]]
+    within = at_byte + 2 < w.text_at[of[at_byte] + 1]
     b = w.buf.astype(np.uint32)
     with np.errstate(over="ignore"):
         h = (b[:-2] * np.uint32(0x9E3779B1) + b[1:-1] * np.uint32(0x85EBCA77) + b[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(24)
-    grams = np.bincount(by_byte[:-2] * BUCKETS + h, minlength=len(x) * BUCKETS).reshape(-1, BUCKETS)
+    grams = np.bincount(by_byte[within] * BUCKETS + h[at_byte[within]], minlength=len(x) * BUCKETS).reshape(-1, BUCKETS)
     x[:, :BUCKETS] = np.sqrt(grams / np.maximum(grams.sum(1, keepdims=True), 1)) * 4
-    counts = np.bincount(by_byte * 256 + w.buf, minlength=len(x) * 256).reshape(-1, 256).astype(np.float32)
+    counts = np.bincount(by_byte * 256 + w.buf[at_byte], minlength=len(x) * 256).reshape(-1, 256).astype(np.float32)
     size = np.maximum(counts.sum(1), 1)
     k = BUCKETS + len(CLASSES)
     x[:, BUCKETS:k] = np.sqrt(counts @ _CLASS.T / size[:, None]) * 2
@@ -110,7 +115,7 @@ def train(x: np.ndarray, at: np.ndarray, y: np.ndarray, epochs: int = 40, decay:
             own = np.concatenate([[0], np.cumsum(size)[:-1]])
             rows = np.repeat(ends[docs] - own, size) + np.arange(size.sum())
             step += 1
-            for k, grad in _gradients(p, x[rows], own, y[docs]).items():
+            for k, grad in _gradients(p, x[rows].astype(np.float32), own, y[docs]).items():
                 grad = grad + decay * p[k] if k in "EVUwc" else grad
                 m[k] = 0.9 * m[k] + 0.1 * grad
                 v[k] = 0.999 * v[k] + 0.001 * grad * grad
@@ -120,26 +125,37 @@ def train(x: np.ndarray, at: np.ndarray, y: np.ndarray, epochs: int = 40, decay:
 
 def _encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        if len(pdf):
-            x, at = encode(pdf["text"])
-            bags = []
-            for a, b in zip(at, np.append(at[1:], len(x)), strict=True):
-                rows = np.unique(np.linspace(a, b - 1, min(b - a, MAX_TRAIN_PASSAGES)).astype(np.int64))
-                bags.append(x[rows].astype(np.float16).tobytes())
-            yield pd.DataFrame({"label": pdf["label"].astype("int64"), "bag": bags, "place": pdf["place"]})
+        for run in slices(pdf["text"]):
+            part = pdf.iloc[run]
+            x, at = encode(part["text"])
+            bags = [x[a:b].astype(np.float16).tobytes() for a, b in zip(at, np.append(at[1:], len(x)), strict=True)]
+            yield pd.DataFrame({"label": part["label"].astype("int64"), "bag": bags, "place": part["place"]})
 
 
-def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", max_docs: int = MAX_TRAIN_DOCS) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", max_docs: int = MAX_TRAIN_DOCS, max_passages: int = MAX_TRAIN_PASSAGES) -> dict:
     """A model of the 0/1 column target of labels, from the texts of docs with the same doc_id.
 
-    The sample is the max_docs labelled ids of the smallest hash, whatever the table's order.
-    Without labelled texts the model is a constant 0.5; with one class, that class's share.
+    The sample is the max_docs labelled ids of the smallest hash, whatever the table's order; of
+    these a row that would bring the passages over max_passages is left out, whole. An id that is
+    labelled twice has the larger label; a row of docs that is repeated counts as often as it is
+    there. Null ids and labels other than 0 and 1 teach nothing, null and empty texts are empty
+    bags. Without labelled texts the model is a constant 0.5; with one class, that class's share.
     """
     wanted = labels.select("doc_id", F.col(target).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
     wanted = wanted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
-    rows = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").select("label", "text", F.xxhash64("doc_id", "text").alias("place"))  # at most max_docs ids
-    got = sorted(rows.mapInPandas(_encoded, "label long, bag binary, place long").collect(), key=lambda r: r["place"])
-    bags = [np.frombuffer(r["bag"], np.float16).reshape(-1, FEATURES).astype(np.float32) for r in got]
+    rows = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").select("doc_id", "label", "text", F.xxhash64("doc_id", "text").alias("place"))  # at most max_docs ids
+    words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))
+    sizes = rows.groupBy("doc_id").agg(F.sum(F.greatest(F.lit(1), F.ceil(words / PASSAGE_WORDS))).alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()  # at most max_docs rows
+    total, over = 0, []
+    for doc_id, n in sizes:
+        if total + n > max_passages:
+            over.append(doc_id)
+        else:
+            total += n
+    if over:
+        rows = rows.where(~F.col("doc_id").isin(over))
+    got = sorted(rows.drop("doc_id").mapInPandas(_encoded, "label long, bag binary, place long").collect(), key=lambda r: r["place"])
+    bags = [np.frombuffer(r["bag"], np.float16).reshape(-1, FEATURES) for r in got]
     y = np.array([r["label"] for r in got], np.float32)
     if len(set(y)) < 2:
         share = (y.sum() + 1) / (len(y) + 2)
@@ -157,13 +173,16 @@ def predict(model: dict, texts) -> np.ndarray:
 
 
 def score(spark: SparkSession, docs: DataFrame, model: dict, name: str = "score") -> DataFrame:
-    """docs with a column of scores from 0 to 1; null and empty texts are scored as empty bags."""
-    small_batches(spark)
+    """docs with a column of scores from 0 to 1, one of that name being replaced.
+
+    Null and empty texts are scored as empty bags, texts of any length whole; repeated rows get
+    equal scores; an empty table gives an empty one. Other columns stay, whatever their names.
+    """
     held = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in parts:
-            yield pd.Series(predict(held.value, texts), index=texts.index)
+            yield pd.Series([s for run in slices(texts) for s in predict(held.value, texts.iloc[run])], index=texts.index, dtype="float64")
 
     return docs.withColumn(name, of("text"))

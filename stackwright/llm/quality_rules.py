@@ -2,8 +2,8 @@
 
 Base rules count words, symbols, repeated lines and repeated windows in every whole text. Failures
 are then aggregated by host (``source``): each host's failure rate is shrunk with a beta prior
-whose parameters are fitted to all hosts by the method of moments, and documents of a host whose
-shrunk rate is over the limit are dropped with it.
+whose parameters are fitted to all hosts by the moments of the beta-binomial, and documents of a
+host whose shrunk rate is over the limit are dropped with it.
 
 Main path: DataFrame functions only. Texts never leave the scan: only the counts are shuffled.
 """
@@ -13,13 +13,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackwright.llm.common import Scratch
+from stackwright.sources.scratch import Scratch
+
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 
 #: A host is dropped if over this share of its documents fails, after shrinking.
 HOST_LIMIT = 0.5
+#: The most documents that the prior may weigh.
+STRONGEST = 10_000.0
 
 
 def _let(value: Column, body) -> Column:
@@ -73,18 +76,31 @@ def base_counts(docs: DataFrame, host: str = "source") -> DataFrame:
     )
 
 
+def _prior(hosts: int, n: float | None, k: float | None, k2_n: float | None, n2: float | None) -> tuple[float, float]:
+    """Mean and strength from the number of hosts and the sums of n, k, k^2/n and n^2 over them."""
+    if not n:
+        return 0.0, STRONGEST
+    m = k / n
+    noise = m * (1 - m)
+    known = n - n2 / n - (hosts - 1)
+    if noise == 0 or known <= 0:
+        return m, STRONGEST
+    r = ((k2_n - k * k / n) / noise - (hosts - 1)) / known
+    return m, min(max(1 / r - 1, 1.0), STRONGEST) if r > 0 else STRONGEST
+
+
 def host_verdicts(counted: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
     """host, n, failed, shrunk rate and host_failed.
 
-    The prior's mean m is the mean of the hosts' rates and its strength s fits their variance v
-    (s = m(1-m)/v - 1, kept between 1 and 10,000); the shrunk rate is (failed + m s)/(n + s).
-    A null host is a host of its own.
+    The prior's mean m is the share of all documents that fail. Of the spread of the hosts' rates
+    around it, weighted by n, what drawing n documents a host would give anyway is taken off; the
+    rest, as a correlation r within hosts, gives the strength s = 1/r - 1, kept between 1 and 10,000
+    (10,000 where hosts of one document each tell nothing of it). The shrunk rate is
+    (failed + m s)/(n + s). A null host is a host of its own; without rows there are none.
     """
     hosts = counted.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
-    rate = F.col("failed") / F.col("n")
-    m, v = hosts.agg(F.avg(rate), F.var_pop(rate)).first()  # two numbers, whatever the size
-    m, v = m or 0.0, v or 0.0
-    strength = min(max(m * (1 - m) / v - 1, 1.0), 10_000.0) if v else 10_000.0
+    k, n = F.col("failed").cast("double"), F.col("n").cast("double")
+    m, strength = _prior(*hosts.agg(F.count("*"), F.sum(n), F.sum(k), F.sum(k * k / n), F.sum(n * n)).first())  # five numbers, whatever the size
     shrunk = hosts.withColumn("rate", (F.col("failed") + m * strength) / (F.col("n") + strength))
     return shrunk.select("host", "n", "failed", "rate", (F.col("rate") > limit).alias("host_failed"))
 

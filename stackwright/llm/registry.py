@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stackwright.llm import decontam, langid, mixing, neardup, pii, quality_mil, quality_rules, token_rollup, url_filter, warc_index
-from stackwright.llm.common import Scratch, crc_mod, table
+from stackwright.llm.common import crc_mod, table
 from stackwright.llm.oracles import SQL
+from stackwright.sources.scratch import Scratch
 
 
 def op1_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +77,7 @@ def op5_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its pseudonymised text and how many values of each kind it held."""
-    docs = pii.scrub(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = pii.scrub(table(spark, sf_dir, "documents").select("doc_id", "text"), pii.key_of(spark))
     counts = [F.expr(f"size(filter(pii, x -> x.kind = '{k}'))").alias(f"n_{k}") for k in pii.KINDS]
     return docs.select("doc_id", "text", F.size("pii").alias("n_found"), *counts)
 

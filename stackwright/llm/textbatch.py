@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 
+from stackwright.llm.common import slices
+
 _rng = np.random.default_rng(20240229)
 #: Fixed random values of the 256 bytes, and an odd base for positions, for word hashes.
 BYTE_VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
@@ -42,14 +45,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Words:
     """The words of a batch of texts (null: none): runs of bytes that are no white space.
 
-    buf: the bytes; start: where each word starts; hash: 64 bits a word; first: index of each
-    text's first word, with the number of words at its end.
+    buf: the bytes, each text stripped and with one space after it; text_at: where each text starts,
+    with the length of all at its end; start: where each word starts; hash: 64 bits a word; first:
+    index of each text's first word, with the number of words at its end.
     """
 
     def __init__(self, texts, lower: bool = False, between: np.ndarray = IS_SPACE):
         raw = [(t or "").strip(SPACES).encode("utf-8", "surrogatepass") for t in texts]
         self.buf = buf = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
-        text_at = np.concatenate([[0], np.cumsum([len(r) + 1 for r in raw])]).astype(np.int64)
+        self.text_at = text_at = np.concatenate([[0], np.cumsum([len(r) + 1 for r in raw])]).astype(np.int64)
         self.space = space = between[buf]
         begins = ~space
         begins[1:] &= space[:-1]
@@ -72,6 +76,14 @@ class Words:
         return self.hash[self.first[i] : self.first[i + 1]]
 
 
+def each_text(texts, lower: bool = False, between: np.ndarray = IS_SPACE) -> Iterator[np.ndarray]:
+    """The hashed words of each text (a pandas column), built some texts at a time."""
+    for part in slices(texts):
+        w = Words(texts.iloc[part], lower, between)
+        for i in range(len(w)):
+            yield w.of(i)
+
+
 def shingles(words: np.ndarray, k: int) -> np.ndarray:
     """Sorted distinct hashes of a text's k-word windows; of fewer words, one of them all."""
     if not len(words):

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackwright.llm.common import WORD, small_batches
+from stackwright.llm.common import WORD
 
 KEYS = ("source", "lang", "tokenizer")
 DELTA = "source string, lang string, tokenizer string, docs long, tokens long"
@@ -52,7 +52,6 @@ def count_tokens(spark: SparkSession, docs: DataFrame, tokenizer: str, folder: s
     if tokenizer == "words":
         n = F.coalesce(F.regexp_count(column, F.lit(WORD)), F.lit(0)).cast("long")
     else:
-        small_batches(spark)
         n = _counter(spark, os.path.join(folder, f"{tokenizer}.tiktoken"))(column)
     return docs.withColumn(name, n)
 

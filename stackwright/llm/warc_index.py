@@ -7,8 +7,9 @@ beside it. A look-up finds shards by their first keys, then a block by binary se
 directory, then lines by binary search in the block, and reads a record by its byte range.
 
 Tasks write files to a folder that all executors share (any file system that pyarrow.fs knows by
-its URI), under a name of their own attempt, and move them into place: a task that runs again
-writes the same bytes.
+its URI), under names of their own attempt, which are never changed. Which attempts count is what
+the captures and the list of shards say, tables that only tasks that succeeded get into; files of
+other attempts are deleted once those are written.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackwright.llm.common import Scratch, small_batches
+from stackwright.llm.common import join_keyed
+from stackwright.sources.scratch import Scratch
 
 BLOCK = 3000
 FILE_BYTES = 1 << 30
@@ -83,7 +85,7 @@ def parse(raw: bytes) -> dict:
 
 
 class _Out:
-    """Files part-PPPPP-N of one task, each moved into place when it is full or the task ends."""
+    """Files part-PPPPP-N-ATTEMPT of one task."""
 
     def __init__(self, uri: str, suffix: str):
         self.fs, self.root = _files(uri)
@@ -95,8 +97,8 @@ class _Out:
         if self.out is not None and self.at + len(data) > most:
             self.close()
         if self.out is None:
-            self.name, self.at = f"part-{self.part:05}-{self.n}{self.suffix}", 0
-            self.out = self.fs.open_output_stream(f"{self.root}/.{self.name}.{self.attempt}", compression=None)
+            self.name, self.at = f"part-{self.part:05}-{self.n}-{self.attempt}{self.suffix}", 0
+            self.out = self.fs.open_output_stream(f"{self.root}/{self.name}", compression=None)
         self.out.write(data)
         self.at += len(data)
         return self.name, self.at - len(data)
@@ -104,24 +106,35 @@ class _Out:
     def close(self) -> None:
         if self.out is not None:
             self.out.close()
-            self.fs.move(f"{self.root}/.{self.name}.{self.attempt}", f"{self.root}/{self.name}")
             self.out, self.n = None, self.n + 1
 
 
+def _only(uri: str, names: set[str]) -> None:
+    """Deletes the files of a folder that attempts which did not count have left."""
+    from pyarrow import fs
+
+    system, root = _files(uri)
+    for found in system.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+        if found.base_name.startswith("part-") and found.base_name not in names:
+            system.delete_file(found.path)
+
+
 def write_archives(spark: SparkSession, pages: DataFrame, path: str, least: int = 0, date: str = DATE) -> DataFrame:
     """Writes pages (page_id, url, html) as records under path/archive; returns their captures.
 
     Of equal payloads of at least ``least`` bytes the largest page_id is the response and the
     others are revisits. A null html is an empty payload; rows that repeat the largest page_id
     are responses too; a null page_id refers to its group's largest, or is a response if the
-    group has none. The captures (key, page_id, file, offset, length) are a written table.
+    group has none. The captures (key, page_id, file, offset, length) are a written table. A path
+    takes one call: files that are there already and not in its captures are deleted. Other columns
+    are ignored; an empty table gives no captures; a record holds its whole payload in memory.
     """
-    small_batches(spark)
     scratch = Scratch(spark, "warc-captures")
     body = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     facts = scratch.keep(pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha1(body).alias("sha"), F.octet_length(body).cast("long").alias("n")), "facts")
-    firsts = facts.where(F.col("n") >= least).groupBy("sha").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("times")).where("times > 1 and refers_to is not null").drop("times")
-    revisits = facts.where(F.col("n") >= least).join(firsts, "sha").where("not page_id <=> refers_to").select(F.col("page_id").alias("id"), F.col("sha").alias("same"), "refers_to").distinct()
+    large = facts.where(F.col("n") >= least)
+    firsts = scratch.keep(large.groupBy("sha").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("times")).where("times > 1 and refers_to is not null"), "firsts")
+    revisits = join_keyed(large, firsts, "sha", facts.count(), "times").where("not page_id <=> refers_to").select(F.col("page_id").alias("id"), F.col("sha").alias("same"), "refers_to").distinct()
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", url_key(F.col("url")).alias("key"), "html", F.sha1(body).alias("sha"))
     rows = rows.join(revisits, rows["page_id"].eqNullSafe(revisits["id"]) & (F.col("sha") == F.col("same")), "left")
     rows = rows.select("key", "page_id", "url", F.when(F.col("refers_to").isNull(), F.col("html")).alias("html"), "sha", F.octet_length(body).cast("long").alias("n"), "refers_to").sortWithinPartitions("page_id", "url", "sha")
@@ -141,7 +154,8 @@ def write_archives(spark: SparkSession, pages: DataFrame, path: str, least: int
         out.close()
 
     captures = scratch.keep(rows.mapInPandas(write, f"key string, {CAPTURE}"), "captures")
-    scratch.drop("facts")
+    scratch.drop("facts", "firsts")
+    _only(f"{path}/archive", {r[0] for r in captures.select("file").distinct().collect()})  # a file a task, or a GB
     return captures
 
 
@@ -178,11 +192,13 @@ def build_index(spark: SparkSession, captures: DataFrame, path: str, block: int
         out.close()
         if name:
             side = _Out(f"{path}/index", ".dir")
+            side.attempt = out.attempt
             side.put("".join(f"{k} {a} {n}\n" for k, a, n in directory).encode("utf-8", "surrogatepass"))
             side.close()
             yield pd.DataFrame({"first": [directory[0][0]], "shard": [name.removesuffix(".cdx.gz")]})
 
     shards = sorted((r["first"], r["shard"]) for r in laid.mapInPandas(write, "first string, shard string").collect())  # one row a shard
+    _only(f"{path}/index", {x for _, shard in shards for x in (f"{shard}.cdx.gz", f"{shard}.dir")})
     fs, root = _files(f"{path}/index")
     fs.create_dir(root, recursive=True)
     with fs.open_output_stream(f"{root}/shards.json") as f:
@@ -220,7 +236,11 @@ class Shard:
 
 
 def look_up(spark: SparkSession, keys: DataFrame, path: str, shards: list[tuple[str, str]]) -> DataFrame:
-    """Captures (key, page_id, file, offset, length) of every distinct key of a table with a column key."""
+    """Captures (key, page_id, file, offset, length) of every distinct key of a table with a column key.
+
+    A null key finds nothing, and nothing is found in an index without shards; a key that several
+    captures share gives all of them.
+    """
     firsts, names = [s[0] for s in shards], [s[1] for s in shards]
 
     @F.pandas_udf("array<int>")
@@ -246,14 +266,17 @@ def look_up(spark: SparkSession, keys: DataFrame, path: str, shards: list[tuple[
 
 
 def read_records(captures: DataFrame, path: str, payload: bool = False) -> DataFrame:
-    """The records at the captures' byte ranges, in file order; each response's digest is checked."""
+    """The records at the captures' byte ranges, in file order; each response's digest is checked.
+
+    A capture that is repeated is read each time; without captures there are no records.
+    """
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payload
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, root = _files(f"{path}/archive")
         at, f = None, None
         for pdf in batches:
-            got = []
+            got, held = [], 0
             for file, offset, length in zip(pdf["file"], pdf["offset"], pdf["length"], strict=True):
                 if file != at:
                     at, f = file, fs.open_input_file(f"{root}/{file}")
@@ -262,10 +285,17 @@ def read_records(captures: DataFrame, path: str, payload: bool = False) -> DataF
                 if r["type"] == "response" and (payload_digest(r["payload"]) != r["digest"] or len(r["payload"]) != r["bytes"]):
                     raise ValueError(f"{file} at {offset}: the payload does not have its digest")
                 got.append((r["page_id"], r["url"], r["bytes"], r["digest"], r["type"], r["refers_to"], *[r["payload"]] * payload))
-            frame = pd.DataFrame(got, columns=[x.split()[0] for x in schema.split(", ")])
-            for c in ("page_id", "refers_to"):
-                frame[c] = frame[c].astype("Int64")
-            yield frame
+                held += len(r["payload"]) * payload
+                if held > 16 << 20:
+                    yield frame(got)
+                    got, held = [], 0
+            yield frame(got)
+
+    def frame(got: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(got, columns=[x.split()[0] for x in schema.split(", ")])
+        for c in ("page_id", "refers_to"):
+            out[c] = out[c].astype("Int64")
+        return out
 
     laid = captures.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
     return laid.mapInPandas(read, schema)

@@ -1,5 +1,6 @@
 from stackwright.llm import quality_rules as Q
 from stackwright.llm import url_filter as U
+from stackwright.llm.oracles import SQL
 from tests.llm.brute import WORD
 
 LINK = '<html><head><LINK href="{}" rel="canonical"></head>'
@@ -59,3 +60,52 @@ def test_hosts(spark):
     got = {r["doc_id"]: (r["base_failed"], r["host_failed"], r["kept"]) for r in Q.judge_documents(spark, spark.createDataFrame(rows, "doc_id int, source string, text string")).collect()}
     assert got[40] == (False, True, False) and got[100] == (False, False, True) and got[300] == (False, False, True) and got[200][0]
     assert Q.judge_documents(spark, spark.createDataFrame([], "doc_id int, source string, text string")).count() == 0
+
+
+def _by_sql(name, table, df, columns):
+    """The rows of a registered query's SQL over a table of one's own."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.register(table, df.toPandas())
+    return sorted(map(str, con.sql(f"select {', '.join(columns)} from ({SQL[name]})").fetchall()))
+
+
+def test_small_hosts_are_drawn_to_the_mean(spark):
+    good = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, f"h{i}", "x" if i % 3 == 1 else good) for i in range(200)]
+    judged = Q.judge_documents(spark, spark.createDataFrame(rows, "doc_id int, source string, text string"))
+    assert not any(r["host_failed"] for r in judged.collect())
+    rates = [r["rate"] for r in Q.host_verdicts(Q.base_counts(spark.createDataFrame(rows, "doc_id int, source string, text string"))).collect()]
+    assert max(rates) < 0.336 and min(rates) > 0.334
+    # beside large hosts that differ, a failing document of a small host weighs something, but little
+    large = [(1000 + i, f"l{i % 10}", "x" if i % 100 < 10 * (i % 10) // 4 else good) for i in range(1000)]
+    per = {r["host"]: r["rate"] for r in Q.host_verdicts(Q.base_counts(spark.createDataFrame(rows + large, "doc_id int, source string, text string"))).collect()}
+    assert 0.05 < per["h0"] < per["h1"] < 0.6
+
+
+def test_host_verdicts_against_sql(spark):
+    good, dup = " ".join(f"w{i}" for i in range(60)), "a b c d " * 20
+    rows = [(i, f"one{i}", "x" if i % 3 == 0 else good) for i in range(60)] + [(100 + i, "bad", dup) for i in range(30)] + [(200 + i, "bad", good) for i in range(5)] + [(300 + i, "fine", good) for i in range(50)] + [(400, None, None), (401, None, ""), (402, None, good), (402, None, good)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    judged = Q.judge_documents(spark, df)
+    assert sorted(str(tuple(r)) for r in judged.select(*columns).collect()) == _by_sql("op10_quality_rules", "documents", df, columns)
+    assert {(r["host"], r["kept"]) for r in judged.collect() if r["host"] in ("bad", "fine")} == {("bad", False), ("fine", True)}
+
+
+def test_aliases_against_sql_and_both_ways_to_match(spark):
+    link = LINK.format
+    rows = [
+        (1, "http://one.info/a", link("http://bad.net/z")), (2, "http://two.info/", '<meta http-equiv="refresh" content="0; url=/b?q=1&amp;r">'), (3, "http://two.info/b?q=1&r", link("//bad.net/z")),
+        (4, "http://three.info/", link("http://worse.net/")), (5, "http://worse.net/", link("http://x.org/fr/ok")), (6, "http://four.info/d/e", link("../f")), (7, "http://four.info/d/../f", link("http://www.example.com/de/")),
+        (8, None, link("http://bad.net/")), (9, "http://five.info", link("mailto:x")), (10, "http://example.net/en/a", link("http://bad.net/z")), (11, "http://six.info/", link("#top")), (12, "http://A.B.net", None), (12, "http://A.B.net", ""),
+    ]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    columns = ["page_id", "host", "path", "rule", "verdict"]
+    got = U.judge_urls(spark, df).select(*columns).collect()
+    assert sorted(str(tuple(r)) for r in got) == _by_sql("op9_url_filter", "pages", df, columns)
+    assert {r["page_id"] for r in got if r["verdict"] == "block" and r["rule"] is None} >= {7}
+    hosts = df.select(U.host_of(df["url"]).alias("host"), U.path_of(df["url"]).alias("path"))
+    inline, joined = (sorted(map(str, U.match_rules(spark, hosts, inline=n).collect())) for n in (64, 0))
+    assert inline == joined

@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import os
 import zlib
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stackwright.llm import mixing, token_rollup, warc_index
-from stackwright.llm.common import Scratch
+from stackwright.sources.scratch import Scratch
 
 PAGES = [
     (1, "http://a.example.com/x?q=1#f", "<p>é</p>"), (2, "https://b.example.com", "<p>é</p>"), (3, None, None), (4, "http://a.example.com/x?q=1", ""),
@@ -57,7 +58,23 @@ def test_records_are_plain_gzip_members():
 def test_empty_pages(spark):
     path = Scratch(spark, "warc-test").root
     captures = warc_index.write_archives(spark, spark.createDataFrame([], "page_id long, url string, html string"), path)
-    assert warc_index.build_index(spark, captures, path) == []
+    assert warc_index.build_index(spark, captures, path) == [] == warc_index.open_index(path)
+    found = warc_index.look_up(spark, spark.createDataFrame([("a)/",), (None,)], "key string"), path, [])
+    assert found.count() == 0 and warc_index.read_records(found, path).count() == 0
+
+
+def test_files_of_attempts_that_did_not_count_go(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://h{i}.org/", f"body {i}") for i in range(20)], "page_id long, url string, html string").repartition(2)
+    path = f"file://{tmp_path}/w"
+    for folder, stale in (("archive", "part-00000-0-dead.warc.gz"), ("index", "part-00000-0-dead.dir")):
+        os.makedirs(f"{tmp_path}/w/{folder}")
+        open(f"{tmp_path}/w/{folder}/{stale}", "w").close()
+    captures = warc_index.write_archives(spark, pages, path)
+    shards = warc_index.build_index(spark, captures, path)
+    files = {r["file"] for r in captures.select("file").collect()}
+    assert set(os.listdir(f"{tmp_path}/w/archive")) == files
+    assert {x for x in os.listdir(f"{tmp_path}/w/index") if x.startswith("part-")} == {f"{s}{e}" for _, s in shards for e in (".cdx.gz", ".dir")}
+    assert warc_index.read_records(warc_index.look_up(spark, captures.select("key"), path, shards), path).count() == 20
 
 
 CHANGE = "op string, source string, lang string, tokenizer string, n_tokens long, old_source string, old_lang string, old_tokenizer string, old_n_tokens long"
@@ -98,8 +115,9 @@ def test_rates_reach_their_targets(spark):
     p = rng.dirichlet([5, 1, 0.3], 400)
     n = rng.integers(0, 500, 400)
     df = spark.createDataFrame([(x.tolist(), int(k)) for x, k in zip(p, n, strict=True)], "posterior array<double>, n_tokens long").cache()
-    for target in ({"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 0.9, "b": 0.08, "c": 0.02}, {"a": 1.0, "b": 0.0, "c": 0.0}):
-        history, share = mixing.fit_rates(df, ["a", "b", "c"], target, steps=60)
+    for target in ({"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 0.9, "b": 0.08, "c": 0.02}):
+        fit = mixing.fit_rates(df, ["a", "b", "c"], target, steps=12)
+        history, share = fit.steps, fit.reached
         r = np.ones(400)
         for step in history:  # the same projected steps by hand
             r = np.maximum(0, r - p @ np.array(step))
