@@ -11,9 +11,13 @@ No bucket is ever gathered, and its pairs are not listed. Every member is paired
 smallest id, so a bucket that is then one component costs a pair a member, however large it is.
 Buckets that still hold several components are open. In those of at most LISTED members the members
 outside the largest component are joined with the others, and only pairs whose sizes and signatures
-allow it meet as texts. Larger ones are compared in cells of at most about BLOCK by GROUP documents
-that emit links only, each bucket for itself or merged into families of such buckets, whichever
-makes fewer pairs. No pair of one bucket that could join two components is left out.
+allow it meet as texts. Larger ones are compared in cells of at most about BLOCK by GROUP documents,
+each bucket for itself or merged into families of such buckets, whichever makes fewer rows: first
+by sizes and signatures alone, then, with the texts of those that have a possible partner in their
+cell, in full. Cells emit links only. No pair of one bucket that could join two components is left out.
+
+Joins on buckets, hubs, components and families go through join_keyed, so none of them, however
+frequent, is dealt to one task.
 """
 
 from __future__ import annotations
@@ -26,15 +30,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackwright.llm.common import Scratch, connected_components, small_batches
-from stackwright.llm.textbatch import Words, mix, shingles
+from stackwright.llm.common import columns_of, connected_components, join_keyed, slices
+from stackwright.llm.textbatch import Words, each_text, mix, shingles
+from stackwright.sources.scratch import Scratch
 
 PERMUTATIONS, ROWS = 364, 7
 #: Signatures for verification are a bit of each minimum; a pair whose bits agree less often than
 #: its threshold lets expect, by so many standard deviations, is not compared in full.
 SIGMAS = 5.5
-#: Members compared with one text in one group, and texts held at once in a cell of a family.
-GROUP, BLOCK = 1024, 256
+#: Members compared with one text in one group; signatures, and texts, held at once in a cell of a family.
+GROUP, BLOCK, HELD = 256, 2048, 256
 #: Members of an open bucket whose pairs are listed, so that a member has fewer pairs than that in it.
 LISTED = 32
 
@@ -70,20 +75,24 @@ def bits(minima: np.ndarray) -> np.ndarray:
     return np.packbits(one, axis=1).view(np.int64)
 
 
+def _most_apart(percent: int) -> int:
+    """How many bits of two signatures may differ."""
+    j = percent / 100
+    return int(PERMUTATIONS * (1 - j) / 2 + SIGMAS * (PERMUTATIONS * (1 + j) * (1 - j)) ** 0.5 / 2)
+
+
 def alike(x: str, y: str, percent: int) -> Column:
     """May the sets behind rows x and y (sig, n) be as similar as percent asks: sizes and signatures."""
-    j = percent / 100
-    most = PERMUTATIONS * (1 - j) / 2 + SIGMAS * (PERMUTATIONS * (1 + j) * (1 - j)) ** 0.5 / 2
     words = -(-PERMUTATIONS // 64)
     apart = " + ".join(f"bit_count({x}.sig[{i}] ^ {y}.sig[{i}])" for i in range(words))
-    return F.expr(f"100L * least({x}.n, {y}.n) >= {percent}L * greatest({x}.n, {y}.n) and {apart} <= {int(most)}")
+    return F.expr(f"100L * least({x}.n, {y}.n) >= {percent}L * greatest({x}.n, {y}.n) and {apart} <= {_most_apart(percent)}")
 
 
 def _digests(k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for i in range(0, len(pdf), 64):
-                part = pdf.iloc[i : i + 64]
+            for run_ in slices(pdf["text"]):
+                part = pdf.iloc[run_]
                 w = Words(part["text"], lower=True)
                 sets = [shingles(w.of(j), k) for j in range(len(part))]
                 some = [j for j, s in enumerate(sets) if len(s)]
@@ -104,9 +113,9 @@ def _confirmed(k: int, percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, own = None, None
         for pdf in batches:
-            w, linked = Words(pdf["text"], lower=True), []
-            for j, (hub, role, leaf) in enumerate(zip(pdf["hub"], pdf["role"], pdf["id"], strict=True)):
-                s = shingles(w.of(j), k)
+            linked = []
+            for hub, role, leaf, words in zip(pdf["hub"], pdf["role"], pdf["id"], each_text(pdf["text"], lower=True), strict=True):
+                s = shingles(words, k)
                 if role == 0:
                     at, own = hub, s
                 elif at == hub:
@@ -118,15 +127,17 @@ def _confirmed(k: int, percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+def _verified(scratch: Scratch, name: str, pairs: DataFrame, reps: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of the pairs (hub, leaf) whose full sets are as similar as percent asks."""
+    pairs = scratch.keep(pairs, f"{name}-pairs")
     of = lambda c: reps.select(F.col("rep").alias(c), F.struct("sig", "n").alias(f"_{c}"))
-    likely = pairs.join(of("hub"), "hub").join(of("leaf"), "leaf").where(alike("_hub", "_leaf", percent)).select("hub", "leaf")
-    groups = likely.groupBy("hub").agg(F.ceil(F.count("*") / GROUP).alias("groups"))
-    dealt = likely.join(groups, "hub").select("hub", "leaf", F.expr("pmod(xxhash64(leaf), groups)").alias("salt"))
-    leaves = dealt.join(texts, dealt["leaf"] == texts["rep"]).select("hub", "salt", F.lit(1).alias("role"), F.col("leaf").alias("id"), "text")
-    hubs = groups.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("salt")).join(texts, F.col("hub") == texts["rep"]).select("hub", "salt", F.lit(0).alias("role"), F.col("hub").alias("id"), "text")
-    laid = hubs.union(leaves).repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role", "id")
+    hubs = scratch.keep(pairs.groupBy("hub").agg(F.count("*").alias("leaves"), F.ceil(F.count("*") / GROUP).alias("groups")).join(of("hub"), "hub"), f"{name}-hubs")
+    likely = join_keyed(pairs, hubs, "hub", pairs.count(), "leaves").join(of("leaf"), "leaf").where(alike("_hub", "_leaf", percent))
+    # the leaves of a hub are dealt to groups, and its text goes to those that have one
+    likely = scratch.keep(likely.select("hub", "leaf", F.expr("pmod(xxhash64(leaf), groups)").alias("salt")), f"{name}-likely")
+    leaves = likely.join(texts, likely["leaf"] == texts["rep"]).select("hub", "salt", F.lit(1).alias("role"), F.col("leaf").alias("id"), "text")
+    heads = likely.select("hub", "salt").distinct().join(texts, F.col("hub") == texts["rep"]).select("hub", "salt", F.lit(0).alias("role"), F.col("hub").alias("id"), "text")
+    laid = heads.union(leaves).repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role", "id")
     return laid.mapInPandas(_confirmed(k, percent), "u long, v long")
 
 
@@ -135,54 +146,98 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return rows.where("hub != leaf").groupBy(F.least("hub", "leaf").alias("a"), F.greatest("hub", "leaf").alias("b")).agg(F.min("hub").alias("hub")).select("hub", F.expr("a + b - hub").alias("leaf"))
 
 
-def _open(members: DataFrame, linked: DataFrame) -> DataFrame:
-    """The rows of buckets of several components: bucket, rep, its component c, the bucket's largest component main and size."""
-    of = members.select("bucket", "rep").join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("c"))
-    sizes = of.groupBy("bucket", "c").agg(F.count("*").alias("n"))
-    several = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("size")).where("parts > 1").drop("parts")
-    return of.join(several, "bucket").select("bucket", "rep", "c", "main", "size")
+def _open(sizes: DataFrame) -> DataFrame:
+    """Buckets of several components, from (bucket, component c, its n members): the largest component main and its size most, parts and members n."""
+    found = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.max_by("c", F.struct("n", "c")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"))
+    return found.where("parts > 1")
 
 
-def _listed(left: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+def _listed(scratch: Scratch, buckets: DataFrame, members: DataFrame, named: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Pairs (hub, leaf) of the smaller open buckets that sizes and signatures allow."""
-    rows = left.where(F.col("size") <= LISTED).join(reps.select("rep", F.struct("sig", "n").alias("s")), "rep")
+    rows = join_keyed(members.select("bucket", "rep"), buckets.select("bucket", "main", "n"), "bucket", members.count()).join(named, "rep")
+    rows = scratch.keep(rows.join(reps.select("rep", F.struct("sig", "n").alias("s")), "rep"), "of-small")
     of = lambda c: rows.select("bucket", F.col("rep").alias(c), F.col("c").alias(f"c_{c}"), F.col("main").alias(f"m_{c}"), F.col("s").alias(f"_{c}"))
     # of two members outside the largest component, the smaller id is the hub
     apart = F.expr("c_hub != c_leaf and (c_leaf = m_hub or hub < leaf)")
     return _pairs(of("hub").where("c_hub != m_hub").join(of("leaf"), "bucket").where(apart & alike("_hub", "_leaf", percent)).select("hub", "leaf"))
 
 
-def _grouped(spark: SparkSession, left: DataFrame) -> DataFrame:
-    """rep, c and family for the larger open buckets: a family is a bucket, or all that share components if that makes fewer pairs."""
-    left = left.where(F.col("size") > LISTED)
-    near = connected_components(spark, left.where("c != main").select(F.col("c").alias("u"), F.col("main").alias("v")), "neardup-families").distinct()
-    docs = left.join(near.select(F.col("node").alias("c"), "component"), "c")
+def _grouped(scratch: Scratch, buckets: DataFrame, sizes: DataFrame, members: DataFrame, named: DataFrame) -> DataFrame:
+    """rep, c and family for the larger open buckets.
 
-    def pairs(rows: DataFrame, *keys: str) -> DataFrame:
-        sizes = rows.groupBy(*keys, "c").agg(F.count("*").alias("n")).groupBy(*keys).agg(F.sum("n").alias("n"), F.max("n").alias("most"))
-        return sizes.select(*keys, F.expr("(n - most) * cast(n as double)").alias("pairs"))
+    Buckets that share components belong together. Their components' documents are one family, or
+    each bucket is one with its members alone, if that makes fewer rows of cells.
+    """
+    cells = F.expr(f"n * ceil((n - most) / {BLOCK})").alias("rows")
+    edges = join_keyed(sizes.select("bucket", "c"), buckets.select("bucket", "main", "parts"), "bucket", sizes.count(), "parts").where("c != main")
+    near = connected_components(scratch.spark, edges.select(F.col("c").alias("u"), F.col("main").alias("v")), "families", scratch=scratch).distinct()
+    known = scratch.keep(named.groupBy("c").agg(F.count("*").alias("n")).join(near.select(F.col("node").alias("c"), "component"), "c"), "family-of")
+    whole = known.groupBy("component").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("parts")).select("component", cells, "parts")
+    placed = scratch.keep(buckets.join(known.select(F.col("c").alias("main"), "component"), "main").select("component", "bucket", "n", cells), "placed")
+    apart = placed.groupBy("component").agg(F.sum("rows").alias("apart"), F.count("*").alias("buckets"))
+    how = scratch.keep(whole.join(apart, "component").select("component", "parts", "buckets", (F.col("apart") < F.col("rows")).alias("split")), "how")
+    families = scratch.keep(join_keyed(known, how.drop("buckets"), "component", known.count(), "parts").where("not split").select("c", "n", F.col("component").alias("family")), "whole")
+    alone = scratch.keep(join_keyed(placed, how.where("split").select("component", "buckets"), "component", placed.count(), "buckets").select("bucket", "n"), "apart")
+    both = join_keyed(named, families, "c", named.count()).select("rep", "c", "family")
+    return both.union(join_keyed(members.select("bucket", "rep"), alone, "bucket", members.count()).join(named, "rep").select("rep", "c", F.col("bucket").alias("family")))
+
+
+def _possible(percent: int):
+    """Rows sorted by (family, block, salt, role): those that sizes and signatures let link with another of their cell.
+
+    What a cell holds is cut into subs of HELD rows; a row comes out once for every sub with a possible partner.
+    """
+    width, most = -(-PERMUTATIONS // 64), _most_apart(percent)
+    columns = ["family", "block", "salt", "sub", "role", "rep", "c"]
 
-    apart = pairs(docs, "component", "bucket").groupBy("component").agg(F.sum("pairs").alias("apart"))
-    whole = pairs(docs.select("component", "rep", "c").distinct(), "component")
-    how = whole.join(apart, "component").select("component", (F.col("apart") < F.col("pairs")).alias("split"))
-    return docs.join(how, "component").select("rep", "c", F.when(F.col("split"), F.col("bucket")).otherwise(F.col("component")).alias("family")).distinct()
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held, hit, sigs, size, own = None, [], None, None, None, None
+        out: list[tuple] = []
+
+        def close():
+            if hit is not None:
+                out.extend((*at, i // HELD, 0, held[i][0], held[i][1]) for i in np.flatnonzero(hit))
+
+        for pdf in batches:
+            sig_of = np.stack(pdf["sig"].to_numpy()).astype(np.int64).view(np.uint64) if len(pdf) else None
+            for i, (cell, role, rep, c, n) in enumerate(zip(zip(pdf["family"], pdf["block"], pdf["salt"], strict=True), pdf["role"], pdf["rep"], pdf["c"], pdf["n"], strict=True)):
+                if cell != at:
+                    close()
+                    at, held, hit = cell, [], None
+                if role == 0:
+                    held.append((rep, c, n, sig_of[i]))
+                    continue
+                if not held:
+                    continue
+                if hit is None:
+                    hit, sigs = np.zeros(len(held), bool), np.stack([h[3] for h in held]).reshape(-1, width)
+                    own, size = np.array([h[1] for h in held]), np.array([h[2] for h in held])
+                may = (own != c) & (100 * np.minimum(size, n) >= percent * np.maximum(size, n)) & (np.bitwise_count(sigs ^ sig_of[i]).sum(1) <= most)
+                if may.any():
+                    hit |= may
+                    out.extend((*cell, sub, 1, rep, c) for sub in np.unique(np.flatnonzero(may) // HELD))
+            yield pd.DataFrame(out, columns=columns, dtype="int64")
+            out.clear()
+        close()
+        yield pd.DataFrame(out, columns=columns, dtype="int64")
+
+    return run
 
 
 def _cells(k: int, percent: int):
-    """Rows sorted by (family, block, salt, role): the held texts of a cell come before those compared with them."""
-    width = -(-PERMUTATIONS // 64)
-    j = percent / 100
-    most = int(PERMUTATIONS * (1 - j) / 2 + SIGMAS * (PERMUTATIONS * (1 + j) * (1 - j)) ** 0.5 / 2)
+    """Rows sorted by (family, block, salt, sub, role): the held texts of a cell come before those compared with them."""
+    width, most = -(-PERMUTATIONS // 64), _most_apart(percent)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, held, index = None, [], None
         for pdf in batches:
-            w, linked = Words(pdf["text"], lower=True), []
-            for i, (cell, role, rep, c, sig) in enumerate(zip(zip(pdf["family"], pdf["block"], pdf["salt"], strict=True), pdf["role"], pdf["rep"], pdf["c"], pdf["sig"], strict=True)):
+            linked = []
+            for cell, role, rep, c, sig, words in zip(zip(pdf["family"], pdf["block"], pdf["salt"], pdf["sub"], strict=True), pdf["role"], pdf["rep"], pdf["c"], pdf["sig"], each_text(pdf["text"], lower=True), strict=True):
                 if cell != at:
                     at, held, index = cell, [], None
+                sig = np.asarray(sig, np.int64).view(np.uint64)
                 if role == 0:
-                    held.append((rep, c, np.asarray(sig, np.int64).view(np.uint64), shingles(w.of(i), k)))
+                    held.append((rep, c, sig, shingles(words, k)))
                     continue
                 if not held:
                     continue
@@ -192,10 +247,10 @@ def _cells(k: int, percent: int):
                     all_, of = np.concatenate([h[3] for h in held]), np.repeat(np.arange(len(held)), size)
                     order = np.argsort(all_, kind="stable")
                     index = all_[order], of[order]
-                may = (own != c) & (np.bitwise_count(sigs ^ np.asarray(sig, np.int64).view(np.uint64)).sum(1) <= most)
+                may = (own != c) & (np.bitwise_count(sigs ^ sig).sum(1) <= most)
                 if not may.any():
                     continue
-                s = shingles(w.of(i), k)
+                s = shingles(words, k)
                 lo, hi = np.searchsorted(index[0], s), np.searchsorted(index[0], s, "right")
                 times = hi - lo
                 spots = np.repeat(lo, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
@@ -206,22 +261,25 @@ def _cells(k: int, percent: int):
     return run
 
 
-def _rest(spark: SparkSession, left: DataFrame, reps: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links between components that share a bucket."""
-    few = _verified(_listed(left, reps, percent), reps, texts, k, percent)
-    if left.where(F.col("size") > LISTED).isEmpty():
+def _rest(scratch: Scratch, buckets: DataFrame, sizes: DataFrame, members: DataFrame, named: DataFrame, reps: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between components that share one of the open buckets."""
+    few = _verified(scratch, "listed", _listed(scratch, buckets.where(F.col("n") <= LISTED), members, named, reps, percent), reps, texts, k, percent)
+    buckets = buckets.where(F.col("n") > LISTED)
+    if buckets.isEmpty():
         return few
-    docs = _grouped(spark, left)
+    docs = scratch.keep(_grouped(scratch, buckets, sizes, members, named), "families")
     parts = docs.groupBy("family", "c").agg(F.count("*").alias("n"))
     families = parts.groupBy("family").agg(F.max_by("c", F.struct("n", "c")).alias("largest"), F.sum("n").alias("n"), F.max("n").alias("most"))
-    families = families.select("family", "largest", F.ceil((F.col("n") - F.col("most")) / BLOCK).alias("blocks"), F.ceil(F.col("n") / GROUP).alias("salts"))
-    docs = docs.join(families, "family")
+    families = families.select("family", "largest", "n", F.ceil((F.col("n") - F.col("most")) / BLOCK).alias("blocks"), F.ceil(F.col("n") / GROUP).alias("salts"))
+    docs = join_keyed(docs, scratch.keep(families, "cells"), "family", docs.count()).join(reps.select("rep", "sig", F.col("n").alias("n")), "rep")
     up_to = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     part = lambda c: F.expr(f"pmod(xxhash64(rep), {c})")
-    held = docs.where("c != largest").select("family", part("blocks").alias("block"), up_to("salts").alias("salt"), F.lit(0).alias("role"), "rep", "c")
-    seen = docs.select("family", up_to("blocks").alias("block"), part("salts").alias("salt"), F.lit(1).alias("role"), "rep", "c")
-    told = texts.join(reps.select("rep", "sig"), "rep")
-    rows = held.union(seen).join(told, "rep").repartition("family", "block", "salt").sortWithinPartitions("family", "block", "salt", "role", "rep")
+    held = docs.where("c != largest").select("family", part("blocks").alias("block"), up_to("salts").alias("salt"), F.lit(0).alias("role"), "rep", "c", "sig", "n")
+    seen = docs.select("family", up_to("blocks").alias("block"), part("salts").alias("salt"), F.lit(1).alias("role"), "rep", "c", "sig", "n")
+    dealt = lambda rows, *cell: rows.repartition(*cell).sortWithinPartitions(*cell, "role", "rep")
+    # sizes and signatures first: only rows with a possible partner in their cell come again, with their texts
+    likely = dealt(held.union(seen), "family", "block", "salt").mapInPandas(_possible(percent), "family long, block long, salt long, sub long, role int, rep long, c long")
+    rows = dealt(scratch.keep(likely, "possible").join(texts.join(reps.select("rep", "sig"), "rep"), "rep"), "family", "block", "salt", "sub")
     return few.union(rows.mapInPandas(_cells(k, percent), "u long, v long"))
 
 
@@ -235,29 +293,31 @@ def find_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
     Repeated rows give repeated results; ids are taken to name one text. The result is a written
     table; everything else that was written is deleted again.
     """
-    small_batches(spark)
     scratch = Scratch(spark, "neardup")
     digests = scratch.keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_digests(k), "doc_id long, n_shingles long, key binary, bands array<long>, sig array<long>"), "digests")
     # equal sets have equal bands and signatures
-    reps = scratch.keep(digests.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")), "reps")
+    whole = "key is not null and doc_id is not null"
+    reps = scratch.keep(digests.where(whole).groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"), F.count("*").alias("copies")), "reps")
     rows = reps.select("rep", F.explode("bands").alias("bucket"))
-    buckets = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("low")).where("n > 1").drop("n")
-    members = scratch.keep(rows.join(buckets, "bucket"), "members")
-    texts = scratch.keep(docs.select(F.col("doc_id").alias("rep"), "text").join(members.select("rep").distinct(), "rep", "left_semi"), "texts")
+    buckets = scratch.keep(rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("low")).where("n > 1"), "buckets")
+    members = scratch.keep(join_keyed(rows, buckets, "bucket", reps.count() * (PERMUTATIONS // ROWS)), "members")
+    texts = scratch.keep(docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(members.select("rep").distinct(), "rep", "left_semi"), "texts")
 
     first = _pairs(members.select(F.col("low").alias("hub"), F.col("rep").alias("leaf")))
-    linked = connected_components(spark, _verified(first, reps, texts, k, percent), "neardup-cc")
-    linked = scratch.keep(linked.distinct(), "linked")
-    left = scratch.keep(_open(members, linked), "open")
-    if not left.isEmpty():
-        links = scratch.keep(_rest(spark, left, reps, texts, k, percent), "links")
+    linked = connected_components(spark, _verified(scratch, "first", first, reps, texts, k, percent), "first-cc", scratch=scratch)
+    of = lambda rows, linked: rows.join(linked.distinct().withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
+    named = scratch.keep(of(reps.select("rep"), linked), "named")
+    sizes = scratch.keep(members.select("bucket", "rep").join(named, "rep").groupBy("bucket", "c").agg(F.count("*").alias("n")), "sizes")
+    buckets = scratch.keep(_open(sizes), "open")
+    if not buckets.isEmpty():
+        links = scratch.keep(_rest(scratch, buckets, sizes, members, named, reps, texts, k, percent), "links")
         if not links.isEmpty():
-            linked = connected_components(spark, links.union(linked.select("node", "component")), "neardup-cc")
-    classes = reps.select("key", "rep").join(linked.distinct().withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("c"))
-    named = digests.select("doc_id", "n_shingles", "key").join(classes, "key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id")).alias("component_id"))
-    out = scratch.keep(named.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "result")
-    for name in ("digests", "reps", "members", "texts", "linked", "open", "links"):
-        scratch.drop(name)
+            linked = connected_components(spark, links.union(named.where("rep != c")), "cc", scratch=scratch)
+    classes = of(reps.select("key", "rep", "copies"), linked).select("key", "copies", F.col("c").alias("component_id"))
+    known = join_keyed(digests.where(whole).select("doc_id", "n_shingles", "key"), scratch.keep(classes, "classes"), "key", digests.count(), "copies").drop("key")
+    alone = digests.where(f"not ({whole})").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = Scratch(spark, "neardup-result").keep(known.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "result")
+    scratch.drop()
     return out
 
 
@@ -265,7 +325,7 @@ def drop_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
     """docs with one row of each component, one with the smallest doc_id; rows without an id stay."""
     gone = find_duplicates(spark, docs, k, percent).where("not kept").select("doc_id").distinct()
     # the ids that go have no bound on their number, so they are never broadcast
-    left = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    left = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*columns_of(docs))
     if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         return left
     return left.where("doc_id is not null").dropDuplicates(["doc_id"]).union(left.where("doc_id is null"))
