@@ -15,6 +15,7 @@ WS = r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x
 BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
 HAN = r"\x{4e00}-\x{9fff}"
 
+# How identifiers look.
 DOC_ID = r"(?iU)\b(?:QE|8D)-\d{4}-\d{4}\b"
 MODEL = r"(?iU)\b[A-Z]{2,6}-\d{3,5}\b"
 VERSION = r"(?iU)\bV\d+(?:\.\d+){1,2}\b"

@@ -29,21 +29,26 @@ def knowledge_gaps(audit: DataFrame, limit: int = 50) -> DataFrame:
 
 
 def corpus_by_dir(files: DataFrame) -> DataFrame:
-    """Top folder, sub folder ('' if none), number of files and their sorted names."""
+    """Top folder, sub folder ('' if none) and number of files; files_by_dir has their names."""
+    return files_by_dir(files).groupBy("top", "sub").agg(F.count("*").alias("n"))
+
+
+def files_by_dir(files: DataFrame) -> DataFrame:
+    """Top folder, sub folder ('' if none) and name of every file, a row each, as a folder may hold any number."""
     parts = F.split("source", "/")
     sub = F.when(F.size(parts) > 2, parts[1]).otherwise("")
     top = F.when(F.size(parts) > 1, parts[0]).otherwise("")
-    return files.select(top.alias("top"), sub.alias("sub"), F.element_at(parts, -1).alias("name")).groupBy("top", "sub").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("name")).alias("names"))
+    return files.select(top.alias("top"), sub.alias("sub"), F.element_at(parts, -1).alias("name"))
 
 
 def meta_coverage(files: DataFrame, sidecars: DataFrame) -> DataFrame:
-    """One row: files, those with a sidecar, and the sorted sources of those without."""
+    """One row: files, those with a sidecar, and those without; missing_sidecars has the sources of these."""
     has = sidecars.select("source", F.lit(True).alias("has")).distinct()
-    return files.join(has, "source", "left").agg(F.count("*").alias("total"), F.count_if("has").alias("covered"), F.array_sort(F.collect_list(F.when(F.col("has").isNull(), F.col("source")))).alias("missing"))
+    return files.join(has, "source", "left").agg(F.count("*").alias("total"), F.count_if("has").alias("covered"), F.count_if(F.col("has").isNull()).alias("missing"))
 
 
 def missing_sidecars(files: DataFrame, sidecars: DataFrame) -> DataFrame:
-    """The sources without a sidecar, as rows: the same list where it is too long for one."""
+    """The sources without a sidecar, a row each."""
     return files.join(sidecars.select("source").distinct(), "source", "left_anti").select("source")
 
 

@@ -132,7 +132,9 @@ def check_long_paragraphs(lines: DataFrame, most: int = 400) -> DataFrame:
     """Paragraphs (neighbouring lines outside code that are neither blank nor headings) of too many characters."""
     own = (~F.col("in_code")) & (F.col("stripped") != "") & ~F.col("stripped").rlike(r"^#{1,6}\s")
     rows = lines.select("file_path", "lineno", "stripped", own.alias("own")).where("own").withColumn("run", F.col("lineno") - F.row_number().over(Window.partitionBy("file_path").orderBy("lineno")))
-    whole = rows.groupBy("file_path", "run").agg(F.min("lineno").alias("lineno"), F.sum(F.length("stripped")).alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("lineno", F.substring("stripped", 1, 80).alias("t"), F.length("stripped").alias("k")))), lambda x: x["t"]), "").alias("text")).where(F.col("n") > most)
+    # no line is empty, so the first 80 have the 80 characters that are shown
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("file_path", "run").orderBy("lineno")))
+    whole = rows.groupBy("file_path", "run").agg(F.min("lineno").alias("lineno"), F.sum(F.length("stripped")).alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("place") <= 80, F.struct("lineno", F.substring("stripped", 1, 80).alias("t"))))), lambda x: x["t"]), "").alias("text")).where(F.col("n") > most)
     return _issue(whole, F.col("lineno"), 0, "info", READABILITY, _said(f"段落过长（%d 字符，建议不超过 {most}）", F.col("n")), F.concat(F.substring("text", 1, 80), F.lit("…")), "将长段落拆分为多个较短段落")
 
 

@@ -19,7 +19,7 @@ def generate_synonym_cases(chunks: DataFrame, synonyms: DataFrame, size: int = 1
     term in its place; else the first 36 characters are it. At most per_source of each source and
     size in all. synonyms: the small table of groups, which goes to every task.
     """
-    rows = chunks.where("coalesce(source, '') != ''").select(X.strip("source").alias("source"), X.clean_text("content").alias("doc")).where(F.length("doc") >= 20).withColumn("at", F.xxhash64(F.lit(seed), "source", "doc"))
+    rows = chunks.where("coalesce(source, '') != ''").select(X.strip("source").alias("source"), X.clean_text("content").alias("doc")).where(F.length("doc") >= 20).withColumn("at", F.md5(F.concat_ws(":", F.lit(str(seed)), "source", "doc")))
     groups = synonyms.groupBy("group_id").agg(F.transform(F.array_sort(F.collect_list(F.struct((F.col("text") != F.col("canonical")).alias("c"), "place", "text"))), lambda x: x["text"]).alias("terms"))
     # one row: all groups in order
     table = groups.agg(F.array_sort(F.collect_list(F.struct("group_id", "terms"))).alias("groups"))

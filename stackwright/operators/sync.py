@@ -27,7 +27,7 @@ def diff_chunks(existing: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def chunks_by_source(chunks: DataFrame) -> DataFrame:
-    """source and its sorted chunk ids; chunks without a source are left out."""
+    """source and its sorted chunk ids, of which a row has as many as its one document has chunks; chunks without a source are left out."""
     return chunks.where("source != ''").groupBy("source").agg(F.sort_array(F.collect_list("id")).alias("ids"))
 
 

@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from stackwright.functions import lexicon
 from stackwright.functions import text as X
 
+# How identifiers look.
 MODEL_CASED = r"(?U)\b[A-Z]{2,6}-\d{3,5}\b"
 DOC_IDS = r"(?iU)\b(?:QE|8D|FMEA|NCR|CAR)-\d{4}-\d{4}\b"
 WORK_ORDER = r"(?iU)\bWO-\d{4}-\d{4}\b"
@@ -68,6 +69,7 @@ def classify_intent(question: Column | str, intents: Mapping[str, Sequence[str]]
     fault = q.rlike(fault_pattern())
     counts = [F.struct(F.size(F.filter(_texts(sorted({w.lower() for w in words})), lambda w: F.contains(low, w))).alias("n"), F.lit(-i).alias("place"), F.lit(name).alias("intent")) for i, (name, words) in enumerate(intents.items())]
     best = F.array_max(F.array(*counts))
+    # The words of the rules.
     return (
         F.when(X.has_any(q, ("判定标准", "测试规范", "定义与规范")), "test_spec")
         .when(F.contains(q, F.lit("测试项")) & X.has_any(q, ("标准", "规范", "定义", "要求")), "test_spec")
@@ -136,6 +138,9 @@ def where_matches(where: Column, row) -> Column:
 
 # ---- synonyms
 
+#: Rows of a synonym table that may go to every task, a few MB.
+MOST_TERMS = 50_000
+
 
 def normalize_synonyms(payload: Mapping | str, weak: Sequence[str] = lexicon.WEAK_WORDS) -> list[tuple[int, str, str, float, int]]:
     """(group, canonical, text, weight, place) rows of a synonym dictionary: a small configuration.
@@ -179,8 +184,10 @@ def expand_queries(questions: DataFrame, synonyms: DataFrame, rewrites: DataFram
     In each group the heaviest contained term is replaced, at its first occurrence, by at most
     per_group other terms that are heavy enough and not lighter. Variants that are equal but for
     case and white space are dropped; max_variants stay. rewrites: query_id, place, rewrite.
-    The synonym table is a configuration and goes to every task.
+    The synonym table is a configuration and goes to every task; one of more than MOST_TERMS rows is refused.
     """
+    if synonyms.limit(MOST_TERMS + 1).count() > MOST_TERMS:
+        raise ValueError(f"a synonym table of more than {MOST_TERMS} terms is no configuration")
     base = questions.select("query_id", X.strip("question").alias("base")).where("base != ''")
     terms = synonyms.select("group_id", "text", "weight", "place")
     hits = base.join(F.broadcast(terms), F.contains(F.col("base"), F.col("text")))

