@@ -13,9 +13,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stackwright.llm.common import join_keyed
 from stackwright.sources.scratch import Scratch
 
-
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 
@@ -111,7 +111,9 @@ def judge_documents(spark: SparkSession, docs: DataFrame, host: str = "source",
     A null or blank text has no words and fails; a null host groups with the other null hosts;
     repeated rows give repeated results; an empty table gives none. Other columns are ignored.
     """
-    counted = Scratch(spark, "quality-rules").keep(base_counts(docs, host), "counts")
-    verdicts = host_verdicts(counted, limit).select(F.col("host").alias("h"), "host_failed")
-    both = counted.join(verdicts, F.col("host").eqNullSafe(F.col("h")), "left").drop("h")
+    scratch = Scratch(spark, "quality-rules")
+    counted = scratch.keep(base_counts(docs, host), "counts")
+    named = F.coalesce(F.concat(F.lit("="), F.col("host").cast("string")), F.lit("")).alias("_host")  # a null host is one, too
+    verdicts = scratch.keep(host_verdicts(counted, limit).select(named, "n", "host_failed"), "verdicts")
+    both = join_keyed(counted.select("*", named), verdicts, "_host", counted.count()).drop("_host")
     return both.withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed"))
