@@ -2,8 +2,8 @@
 
 Texts are lower-cased, everything but letters becomes a space, and n-grams of 1 to 3 characters
 are hashed into 2**14 buckets. Document frequencies are counted over every learnable document;
-the weights are fitted to a bounded sample (MAX_TRAIN_DOCS rows) by follow-the-regularised-leader
-with L1 and L2 penalties, which leaves most weights exactly 0; a temperature fitted to a part of
+the weights are fitted to a bounded sample (MAX_TRAIN_DOCS rows, some of every language) by
+follow-the-regularised-leader with L1 and L2 penalties, which leaves most weights exactly 0; a temperature fitted to a part of
 the sample that the weights never saw calibrates the probabilities.
 """
 
@@ -16,11 +16,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from stackwright.llm.common import columns_of, free_name, slices
 
 BUCKETS = 1 << 14
 MAX_TRAIN_DOCS = 3000
+LEAST_DOCS = 100
 UNKNOWN = "und"
 
 
@@ -126,19 +128,38 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
     return total, df
 
 
+def _quotas(counts: dict[str, int], max_docs: int) -> list[tuple[str, int, int]]:
+    """(language, rows to take, hash under which they are found) from each language's number of rows."""
+    whole, least = sum(counts.values()), min(LEAST_DOCS, max_docs // (2 * max(len(counts), 1)))
+    out = []
+    for lang, n in counts.items():
+        quota = max(1, least + (max_docs - least * len(counts)) * n // whole)
+        # hashes are spread evenly: twice the quota and some more are under this one, of which the smallest are taken
+        share = min(1.0, (2 * quota + 100) / n)
+        out.append((lang, quota, min(2**63 - 1, -(2**63) + int(2**64 * share))))
+    return out
+
+
 def fit(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> dict:
     """A model from (text, lang) of docs; rows with null or letterless text or null lang teach nothing.
 
-    The sample is the max_docs rows of the smallest hash of their text; every fifth of them only
-    sets the temperature. Without any row the model predicts 'und'; with one language, that one.
+    The sample is of at most max_docs rows, those of each language with the smallest hashes of their
+    text: LEAST_DOCS of every language, however rare, as far as they go, and more by its share of all
+    rows. (Of more than max_docs languages the rarest are not learned.) Every fifth row only sets the
+    temperature. Without any row the model predicts 'und'; with one language, that one.
     """
     usable = docs.select("text", "lang").where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     total, df = document_frequencies(usable)
     idf = (np.log((1 + total) / (1 + df)) + 1).astype(np.float32)
-    place = F.xxhash64("text", "lang")
-    edge = usable.select(place.alias("h")).distinct().orderBy("h").limit(max_docs).agg(F.max("h")).first()[0]
+    quota = _quotas({r[0]: r[1] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_docs).collect()}, max_docs)
+    rows = usable.select("text", "lang", F.xxhash64("text", "lang").alias("h"))
+    if quota:
+        known = docs.sparkSession.createDataFrame(quota, "lang string, quota long, edge long")
+        rows = rows.join(F.broadcast(known), "lang").where("h <= edge")  # a row a language, at most max_docs
     # copies of one text share a hash: one row of each stands for all
-    rows = usable.select("text", "lang", place.alias("h")).where(F.col("h") <= edge if edge is not None else F.lit(False)).dropDuplicates(["h"])
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    rows = rows.dropDuplicates(["lang", "h"]).withColumn("place", place).where("place <= quota") if quota else rows.where("false")
+    rows = rows.select("lang", "h", "text")
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -59,6 +59,19 @@ def test_language_edge_cases(spark):
     assert {r["lang_pred"] for r in langid.identify(spark, new, nothing).collect()} == {"und"}
 
 
+def test_a_rare_language_is_learned(spark):
+    """One row in some hundred, where the sample holds fewer rows than that."""
+    text = {"en": "the house and the garden with the dog and of", "de": "das haus und der garten mit dem hund und von", "fi": "talo ja puutarha koiran kanssa on suuri"}
+    rows = [(f"{text[g]} {i}{'xyz'[i % 3]}", g) for i in range(400) for g in ("en", "de")] + [(f"{text['fi']} {i}{'abc'[i % 3]}", "fi") for i in range(4)]
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string"), max_docs=60)
+    assert model["langs"] == ["de", "en", "fi"]
+    seen = langid.identify(spark, spark.createDataFrame([(text["fi"],), (text["en"],)], "text string"), model).collect()
+    assert [r["lang_pred"] for r in seen] == ["fi", "en"]
+    quotas = langid._quotas({"a": 10**9, "b": 10**6, "c": 3}, 3000)
+    assert sum(min(q, n) for (_, q, _), n in zip(quotas, (10**9, 10**6, 3), strict=True)) <= 3000 and min(q for _, q, _ in quotas) >= 100
+    assert [e == 2**63 - 1 for *_, e in quotas] == [False, False, True]
+
+
 def test_ftrl_is_sparse():
     rng = np.random.default_rng(2)
     rows = []
