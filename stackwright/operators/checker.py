@@ -83,11 +83,28 @@ def check_repeated_words(lines: DataFrame) -> DataFrame:
     return _issue(rows, F.col("lineno"), F.col("at"), "error", TYPO, message, _context(), fix)
 
 
+def _issues(when: Column, col, level: str, category: str, message, context, suggestion="") -> Column:
+    """An array with the issue of a line, if it has it."""
+    c = lambda x: F.lit(x) if isinstance(x, str | int) else x
+    said = {"col": c(col).cast("int"), "level": F.lit(level), "category": F.lit(category), "message": c(message), "context": c(context), "suggestion": c(suggestion)}
+    return F.when(when, F.array(F.struct(*[v.alias(k) for k, v in said.items()])))
+
+
+def _each(lines: DataFrame, *found: Column) -> DataFrame:
+    """The issues of rules that look at one line alone, in one pass over the lines outside code."""
+    any_ = F.filter(F.array(*found), lambda x: x.isNotNull())
+    rows = _text(lines).select("file_path", "lineno", F.explode(F.flatten(any_)).alias("x"))
+    return rows.select("file_path", F.col("lineno").cast("int").alias("line"), *[f"x.{c}" for c in ISSUE[2:]])
+
+
+def _heading_issues() -> list[Column]:
+    r = X.rstrip("line")
+    close = _issues(r.rlike(r"^#{1,6}[^#\s\n]"), 1, "error", FORMAT, "标题 # 号后缺少空格", F.substring(r, 1, 80), _said('改为："%s"', F.regexp_replace(r, r"^(#{1,6})", "$1 ")))
+    return [close, _issues(r.rlike(r"^#{1,6}\s*$"), 1, "error", STRUCTURE, "标题内容为空", F.substring(r, 1, 80))]
+
+
 def check_heading_format(lines: DataFrame) -> DataFrame:
-    rows = _text(lines).withColumn("r", X.rstrip("line"))
-    close = _issue(rows.where(F.col("r").rlike(r"^#{1,6}[^#\s\n]")), F.col("lineno"), 1, "error", FORMAT, "标题 # 号后缺少空格", F.substring("r", 1, 80), _said('改为："%s"', F.regexp_replace("r", r"^(#{1,6})", "$1 ")))
-    empty = _issue(rows.where(F.col("r").rlike(r"^#{1,6}\s*$")), F.col("lineno"), 1, "error", STRUCTURE, "标题内容为空", F.substring("r", 1, 80))
-    return close.unionByName(empty)
+    return _each(lines, *_heading_issues())
 
 
 def check_empty_sections(lines: DataFrame) -> DataFrame:
@@ -146,18 +163,24 @@ def check_mixed_digits(lines: DataFrame) -> DataFrame:
     return _issue(per, F.col("lineno"), F.expr("instr(line, wide)"), "warning", FORMAT, _said('文档中混用了全角数字（如 "%s"）和半角数字', F.col("wide")), _context(80), "统一使用半角数字（0-9）")
 
 
-def check_note_format(lines: DataFrame, keywords=None) -> DataFrame:
+def _note_issues(keywords=None) -> Column:
     words = "|".join(re.escape(k) for k in (keywords or lexicon.CHECKER["note_keywords"]))
-    rows = _text(lines).where(F.col("stripped").rlike(rf"^(?:{words})[：:]\s*\S"))
-    return _issue(rows, F.col("lineno"), 1, "warning", NOTE, _said('提示框关键词未加粗："%s"', F.substring("stripped", 1, 30)), F.substring("stripped", 1, 80), "使用加粗格式，如：**注意**：内容")
+    return _issues(F.col("stripped").rlike(rf"^(?:{words})[：:]\s*\S"), 1, "warning", NOTE, _said('提示框关键词未加粗："%s"', F.substring("stripped", 1, 30)), F.substring("stripped", 1, 80), "使用加粗格式，如：**注意**：内容")
 
 
-def check_cjk_latin_spacing(lines: DataFrame) -> DataFrame:
-    """The first place of each line where Han and Latin characters or digits touch."""
+def check_note_format(lines: DataFrame, keywords=None) -> DataFrame:
+    return _each(lines, _note_issues(keywords))
+
+
+def _spacing_issues() -> Column:
     han, latin = r"[\x{4e00}-\x{9fff}\x{3400}-\x{4dbf}]", "[A-Za-z0-9]"
     at = F.expr(f"regexp_instr(plain, r'{han}{latin}|{latin}{han}')")
-    rows = _text(lines).withColumn("at", at).where("at > 0")
-    return _issue(rows, F.col("lineno"), F.col("at"), "info", FORMAT, "中英文之间建议添加空格", _context(), '在中文与英文/数字之间插入一个空格，如"接口 API"')
+    return _issues(at > 0, at, "info", FORMAT, "中英文之间建议添加空格", _context(), '在中文与英文/数字之间插入一个空格，如"接口 API"')
+
+
+def check_cjk_latin_spacing(lines: DataFrame) -> DataFrame:
+    """The first place of each line where Han and Latin characters or digits touch."""
+    return _each(lines, _spacing_issues())
 
 
 def check_duplicate_lines(lines: DataFrame) -> DataFrame:
@@ -176,16 +199,24 @@ def check_numbered_list(lines: DataFrame) -> DataFrame:
     return _issue(items, F.col("lineno"), 1, "warning", FORMAT, _said("有序列表编号不连续：期望 %s，实际 %s", want, F.col("n").cast("string")), _context(80), _said("将编号改为 %s", want))
 
 
-def check_terminology(lines: DataFrame, preferred: Mapping[str, list[str]] | None = None) -> DataFrame:
-    """The first place in a line of each wording that has a preferred one. The terms are a configuration."""
+def _term_issues(preferred: Mapping[str, list[str]] | None = None) -> list[Column]:
     preferred = lexicon.CHECKER["preferred_terms"] if preferred is None else preferred
     pairs = [(p, a) for p, others in preferred.items() for a in others]
     if not pairs:
-        return _issue(lines.where("false"), 0, 0, "info", TERM, "", "")
+        return []
     terms = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(a).alias("a")) for p, a in pairs])
-    rows = _text(lines).where(X.has_any("plain", [a for _, a in pairs])).withColumn("t", F.explode(F.filter(terms, lambda t: F.contains(F.col("plain"), t["a"]))))
-    p, a = F.col("t.p"), F.col("t.a")
-    return _issue(rows, F.col("lineno"), F.expr("instr(plain, t.a)"), "info", TERM, _said('建议使用"%s"替代"%s"（术语统一）', p, a), _context(80), _said('将 "%s" 改为 "%s"', a, p))
+    said = lambda t: {
+        "col": F.instr(F.col("plain"), t["a"]).cast("int"), "level": F.lit("info"), "category": F.lit(TERM), "message": _said('建议使用"%s"替代"%s"（术语统一）', t["p"], t["a"]),
+        "context": _context(80), "suggestion": _said('将 "%s" 改为 "%s"', t["a"], t["p"]),
+    }
+    found = F.transform(F.filter(terms, lambda t: F.contains(F.col("plain"), t["a"])), lambda t: F.struct(*[v.alias(k) for k, v in said(t).items()]))
+    return [F.when(X.has_any("plain", [a for _, a in pairs]), found)]
+
+
+def check_terminology(lines: DataFrame, preferred: Mapping[str, list[str]] | None = None) -> DataFrame:
+    """The first place in a line of each wording that has a preferred one. The terms are a configuration."""
+    found = _term_issues(preferred)
+    return _each(lines, *found) if found else _issue(lines.where("false"), 0, 0, "info", TERM, "", "")
 
 
 def undecodable(files: DataFrame) -> DataFrame:
@@ -198,10 +229,12 @@ def check_documents(docs: DataFrame, config: Mapping | None = None, files: DataF
     """All issues of (file_path, text), without those on links unless a listing of files (path) is given."""
     cfg = check_config(config)
     lines = explode_lines(docs)
+    # one pass for the rules on single lines; those on neighbours share one exchange of what they ask for
+    laid = lines.select("file_path", "lineno", "line", "stripped", "in_code").repartition("file_path")
     found = [
-        check_repeated_words(lines), check_heading_format(lines), check_empty_sections(lines), check_consecutive_blank_lines(lines, cfg["max_blank_lines"]),
-        check_long_paragraphs(lines, cfg["max_paragraph_length"]), check_mixed_digits(lines), check_note_format(lines, cfg["note_keywords"]),
-        check_cjk_latin_spacing(lines), check_duplicate_lines(lines), check_numbered_list(lines), check_terminology(lines, cfg["preferred_terms"]),
+        _each(lines, *_heading_issues(), _note_issues(cfg["note_keywords"]), _spacing_issues(), *_term_issues(cfg["preferred_terms"])), check_repeated_words(lines),
+        check_empty_sections(laid), check_consecutive_blank_lines(laid, cfg["max_blank_lines"]), check_long_paragraphs(laid, cfg["max_paragraph_length"]),
+        check_mixed_digits(laid), check_duplicate_lines(laid), check_numbered_list(laid),
     ]
     if files is not None:
         found.append(check_broken_links(lines, files))

@@ -127,6 +127,22 @@ def audit_log(spark, sf):
     return N.read_audit(spark, path).select("ts", "event", "question", F.round("max_rerank_score", 6).alias("max_rerank_score"), "low_confidence")
 
 
+@query
+def scan_files(spark, sf):
+    """Documents written as JSON files in a folder a department; the lines of the files that a scan finds in each."""
+    root = Scratch(spark, "scan").path("root")
+    D.kb_docs(spark, sf).select("source", "version", "department").write.partitionBy("department").json(root)
+    lines = N.scan_files(spark, root).select(F.split("source", "/")[0].alias("folder"), F.explode(F.filter(F.split(F.col("content").cast("string"), "\n"), lambda x: x != "")).alias("line"))
+    return lines.groupBy("folder").agg(F.count("*").alias("n_docs"), F.count_distinct(F.get_json_object("line", "$.version")).alias("n_versions"))
+
+
+@query
+def filter_cases(spark, sf):
+    """Retrieval cases whose id is on a list of the even ones' first ids."""
+    cases = _cases(spark, sf).withColumn("id", F.concat(F.lit("C"), F.col("query_id").cast("string")))
+    return N.filter_cases(cases, "retrieval", ["C0", "C2", "C3", "C4"]).select("id", "category")
+
+
 @query
 def case_file(spark, sf):
     """Passages as a case file of JSON lines, in the order of their ids; every second case has no id."""
