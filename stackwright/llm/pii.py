@@ -190,10 +190,22 @@ def _secret(key: bytes, text: str) -> str | None:
     return m[0] + _mixed(key, "secret", text[m.end() :])
 
 
+_NAMES = ("token", "secret", "password", "passwd", "pwd", "api_key", "apikey", "access_key")
+
+
+def _after(*separators: str) -> str:
+    """Right behind one of the names and one of the separators."""
+    return "(?i:" + "|".join(rf"(?<=\b{n}{s})" for n in _NAMES for s in separators) + ")"
+
+
+#: What is assigned to a name: anything in quotes; else a word of eight characters and more with a digit in it.
+_QUOTED = r"(?<=\")" + _after('="', '= "', ' = "', ':"', ': "') + r"[^\s\"]{8,}(?=\")"
+_BARE = "(?:(?<=[=:])" + _after("=", ":", " =", " :") + "|(?<=[=:] )" + _after("= ", ": ", " = ") + r")(?=[^\s\"]*\d)[A-Za-z0-9][A-Za-z0-9+/_=~.-]{6,}[A-Za-z0-9]"
+
 #: Tried at each place in this order; where no reading validates, the search goes on at the next place.
 PATTERNS = {
     "email": r"(?<![\w.%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+",
-    "secret": r"(?i:(?<=\btoken = \")|(?<=\btoken=\")|(?<=\btoken: \")|(?<=\bsecret = \")|(?<=\bsecret=\")|(?<=\bpassword = \")|(?<=\bpassword=\")|(?<=\bapi_key = \")|(?<=\bapi_key=\"))[^\s\"]{8,}(?=\")|\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36}\b|\bsk-[A-Za-z0-9_-]{20,}\b|\bxox[abprs]-[A-Za-z0-9-]{10,}\b",
+    "secret": rf"{_QUOTED}|{_BARE}|" + r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36}\b|\bsk-[A-Za-z0-9_-]{20,}\b|\bxox[abprs]-[A-Za-z0-9-]{10,}\b",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ipv4": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)",
     "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}-\d{1,2}-\d{4})(?![\d/-])(?!\.\d)",
@@ -202,7 +214,7 @@ PATTERNS = {
     "card": r"(?<![\d.])(?<!\d-)(?:\d{13,19}|\d{4} \d{4} \d{4} \d{1,7}|\d{4}-\d{4}-\d{4}-\d{1,7}|\d{4} \d{6} \d{5}|\d{4}-\d{6}-\d{5})(?!\d)",
 }
 #: What a text must contain to hold a value of a kind; every match of PATTERNS has it.
-NEEDS = {k: "[0-9]" for k in PATTERNS} | {"email": "@", "secret": r"[=:] ?\"|AKIA|ASIA|gh[pousr]_|sk-|xox[abprs]-"}
+NEEDS = {k: "[0-9]" for k in PATTERNS} | {"email": "@", "secret": f"(?i:{'|'.join(_NAMES)}) ?[=:]|AKIA|ASIA|gh[pousr]_|sk-|xox[abprs]-"}
 _WORK = {"card": _card, "iban": _iban, "ssn": _ssn, "phone": _phone, "ipv4": _ipv4, "date": _date, "email": _email, "secret": _secret}
 _ANY = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()), re.ASCII)
 _BY_KIND = {k: re.compile(p, re.ASCII) for k, p in PATTERNS.items()}
