@@ -283,6 +283,15 @@ def _rest(scratch: Scratch, buckets: DataFrame, sizes: DataFrame, members: DataF
     return few.union(rows.mapInPandas(_cells(k, percent), "u long, v long"))
 
 
+def _merged(scratch: Scratch, named: DataFrame, links: DataFrame) -> DataFrame:
+    """named (rep, component c) after further links (u, v): components are joined, not their documents."""
+    end = lambda x: named.select(F.col("rep").alias(x), F.col("c").alias(f"c_{x}"))
+    between = links.join(end("u"), "u").join(end("v"), "v").select(F.col("c_u").alias("u"), F.col("c_v").alias("v"))
+    joined = connected_components(scratch.spark, between, "cc", scratch=scratch).distinct().withColumnRenamed("node", "c")
+    known = named.groupBy("c").agg(F.count("*").alias("n")).join(joined, "c", "left").select("c", "n", F.coalesce("component", "c").alias("to"))
+    return join_keyed(named, scratch.keep(known, "joined"), "c", named.count()).select("rep", F.col("to").alias("c"))
+
+
 def find_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs (doc_id, text; others ignored).
 
@@ -305,15 +314,15 @@ def find_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
 
     first = _pairs(members.select(F.col("low").alias("hub"), F.col("rep").alias("leaf")))
     linked = connected_components(spark, _verified(scratch, "first", first, reps, texts, k, percent), "first-cc", scratch=scratch)
-    of = lambda rows, linked: rows.join(linked.distinct().withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
-    named = scratch.keep(of(reps.select("rep"), linked), "named")
+    named = reps.select("rep").join(linked.distinct().withColumnRenamed("node", "rep"), "rep", "left")
+    named = scratch.keep(named.select("rep", F.coalesce("component", "rep").alias("c")), "named")
     sizes = scratch.keep(members.select("bucket", "rep").join(named, "rep").groupBy("bucket", "c").agg(F.count("*").alias("n")), "sizes")
     buckets = scratch.keep(_open(sizes), "open")
     if not buckets.isEmpty():
         links = scratch.keep(_rest(scratch, buckets, sizes, members, named, reps, texts, k, percent), "links")
         if not links.isEmpty():
-            linked = connected_components(spark, links.union(named.where("rep != c")), "cc", scratch=scratch)
-    classes = of(reps.select("key", "rep", "copies"), linked).select("key", "copies", F.col("c").alias("component_id"))
+            named = scratch.keep(_merged(scratch, named, links), "merged")
+    classes = reps.select("key", "rep", "copies").join(named, "rep").select("key", "copies", F.col("c").alias("component_id"))
     known = join_keyed(digests.where(whole).select("doc_id", "n_shingles", "key"), scratch.keep(classes, "classes"), "key", digests.count(), "copies").drop("key")
     alone = digests.where(f"not ({whole})").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = Scratch(spark, "neardup-result").keep(known.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "result")
