@@ -75,17 +75,26 @@ def bits(minima: np.ndarray) -> np.ndarray:
     return np.packbits(one, axis=1).view(np.int64)
 
 
-def _most_apart(percent: int) -> int:
-    """How many bits of two signatures may differ."""
-    j = percent / 100
-    return int(PERMUTATIONS * (1 - j) / 2 + SIGMAS * (PERMUTATIONS * (1 + j) * (1 - j)) ** 0.5 / 2)
+class Minima:
+    """May two sets be as similar as percent asks: their sizes, and a bit of each minimum."""
 
+    def __init__(self, percent: int):
+        self.percent, self.words, j = percent, -(-PERMUTATIONS // 64), percent / 100
+        #: how many bits of two signatures may differ
+        self.most = int(PERMUTATIONS * (1 - j) / 2 + SIGMAS * (PERMUTATIONS * (1 + j) * (1 - j)) ** 0.5 / 2)
 
-def alike(x: str, y: str, percent: int) -> Column:
-    """May the sets behind rows x and y (sig, n) be as similar as percent asks: sizes and signatures."""
-    words = -(-PERMUTATIONS // 64)
-    apart = " + ".join(f"bit_count({x}.sig[{i}] ^ {y}.sig[{i}])" for i in range(words))
-    return F.expr(f"100L * least({x}.n, {y}.n) >= {percent}L * greatest({x}.n, {y}.n) and {apart} <= {_most_apart(percent)}")
+    def column(self, x: str, y: str) -> Column:
+        """Of rows x and y (sig, n)."""
+        return F.expr(f"100L * least({x}.n, {y}.n) >= {self.percent}L * greatest({x}.n, {y}.n) and {apart(x, y, self.words)} <= {self.most}")
+
+    def array(self, n: np.ndarray, sigs: np.ndarray, size: int, sig: np.ndarray) -> np.ndarray:
+        """Of each of many sets and one other."""
+        return (100 * np.minimum(n, size) >= self.percent * np.maximum(n, size)) & (np.bitwise_count(sigs ^ sig).sum(1) <= self.most)
+
+
+def apart(x: str, y: str, words: int) -> str:
+    """How many bits of the signatures of rows x and y differ."""
+    return " + ".join(f"bit_count({x}.sig[{i}] ^ {y}.sig[{i}])" for i in range(words))
 
 
 def _digests(k: int):
@@ -127,18 +136,18 @@ def _confirmed(k: int, percent: int):
     return run
 
 
-def _verified(scratch: Scratch, name: str, pairs: DataFrame, reps: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+def _verified(scratch: Scratch, name: str, pairs: DataFrame, reps: DataFrame, texts: DataFrame, k: int, test) -> DataFrame:
     """Those of the pairs (hub, leaf) whose full sets are as similar as percent asks."""
     pairs = scratch.keep(pairs, f"{name}-pairs")
     of = lambda c: reps.select(F.col("rep").alias(c), F.struct("sig", "n").alias(f"_{c}"))
     hubs = scratch.keep(pairs.groupBy("hub").agg(F.count("*").alias("leaves"), F.ceil(F.count("*") / GROUP).alias("groups")).join(of("hub"), "hub"), f"{name}-hubs")
-    likely = join_keyed(pairs, hubs, "hub", pairs.count(), "leaves").join(of("leaf"), "leaf").where(alike("_hub", "_leaf", percent))
+    likely = join_keyed(pairs, hubs, "hub", pairs.count(), "leaves").join(of("leaf"), "leaf").where(test.column("_hub", "_leaf"))
     # the leaves of a hub are dealt to groups, and its text goes to those that have one
     likely = scratch.keep(likely.select("hub", "leaf", F.expr("pmod(xxhash64(leaf), groups)").alias("salt")), f"{name}-likely")
     leaves = likely.join(texts, likely["leaf"] == texts["rep"]).select("hub", "salt", F.lit(1).alias("role"), F.col("leaf").alias("id"), "text")
     heads = likely.select("hub", "salt").distinct().join(texts, F.col("hub") == texts["rep"]).select("hub", "salt", F.lit(0).alias("role"), F.col("hub").alias("id"), "text")
     laid = heads.union(leaves).repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role", "id")
-    return laid.mapInPandas(_confirmed(k, percent), "u long, v long")
+    return laid.mapInPandas(_confirmed(k, test.percent), "u long, v long")
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
@@ -152,14 +161,14 @@ def _open(sizes: DataFrame) -> DataFrame:
     return found.where("parts > 1")
 
 
-def _listed(scratch: Scratch, buckets: DataFrame, members: DataFrame, named: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+def _listed(scratch: Scratch, buckets: DataFrame, members: DataFrame, named: DataFrame, reps: DataFrame, test) -> DataFrame:
     """Pairs (hub, leaf) of the smaller open buckets that sizes and signatures allow."""
     rows = join_keyed(members.select("bucket", "rep"), buckets.select("bucket", "main", "n"), "bucket", members.count()).join(named, "rep")
     rows = scratch.keep(rows.join(reps.select("rep", F.struct("sig", "n").alias("s")), "rep"), "of-small")
     of = lambda c: rows.select("bucket", F.col("rep").alias(c), F.col("c").alias(f"c_{c}"), F.col("main").alias(f"m_{c}"), F.col("s").alias(f"_{c}"))
     # of two members outside the largest component, the smaller id is the hub
-    apart = F.expr("c_hub != c_leaf and (c_leaf = m_hub or hub < leaf)")
-    return _pairs(of("hub").where("c_hub != m_hub").join(of("leaf"), "bucket").where(apart & alike("_hub", "_leaf", percent)).select("hub", "leaf"))
+    between = F.expr("c_hub != c_leaf and (c_leaf = m_hub or hub < leaf)")
+    return _pairs(of("hub").where("c_hub != m_hub").join(of("leaf"), "bucket").where(between & test.column("_hub", "_leaf")).select("hub", "leaf"))
 
 
 def _grouped(scratch: Scratch, buckets: DataFrame, sizes: DataFrame, members: DataFrame, named: DataFrame) -> DataFrame:
@@ -182,12 +191,11 @@ def _grouped(scratch: Scratch, buckets: DataFrame, sizes: DataFrame, members: Da
     return both.union(join_keyed(members.select("bucket", "rep"), alone, "bucket", members.count()).join(named, "rep").select("rep", "c", F.col("bucket").alias("family")))
 
 
-def _possible(percent: int):
+def _possible(test):
     """Rows sorted by (family, block, salt, role): those that sizes and signatures let link with another of their cell.
 
     What a cell holds is cut into subs of HELD rows; a row comes out once for every sub with a possible partner.
     """
-    width, most = -(-PERMUTATIONS // 64), _most_apart(percent)
     columns = ["family", "block", "salt", "sub", "role", "rep", "c"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -210,9 +218,9 @@ def _possible(percent: int):
                 if not held:
                     continue
                 if hit is None:
-                    hit, sigs = np.zeros(len(held), bool), np.stack([h[3] for h in held]).reshape(-1, width)
+                    hit, sigs = np.zeros(len(held), bool), np.stack([h[3] for h in held])
                     own, size = np.array([h[1] for h in held]), np.array([h[2] for h in held])
-                may = (own != c) & (100 * np.minimum(size, n) >= percent * np.maximum(size, n)) & (np.bitwise_count(sigs ^ sig_of[i]).sum(1) <= most)
+                may = (own != c) & test.array(size, sigs, n, sig_of[i])
                 if may.any():
                     hit |= may
                     out.extend((*cell, sub, 1, rep, c) for sub in np.unique(np.flatnonzero(may) // HELD))
@@ -224,9 +232,8 @@ def _possible(percent: int):
     return run
 
 
-def _cells(k: int, percent: int):
+def _cells(k: int, test):
     """Rows sorted by (family, block, salt, sub, role): the held texts of a cell come before those compared with them."""
-    width, most = -(-PERMUTATIONS // 64), _most_apart(percent)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, held, index = None, [], None
@@ -243,27 +250,27 @@ def _cells(k: int, percent: int):
                     continue
                 if index is None:
                     ids, own = np.array([h[0] for h in held]), np.array([h[1] for h in held])
-                    sigs, size = np.stack([h[2] for h in held]).reshape(-1, width), np.array([len(h[3]) for h in held])
+                    sigs, size = np.stack([h[2] for h in held]), np.array([len(h[3]) for h in held])
                     all_, of = np.concatenate([h[3] for h in held]), np.repeat(np.arange(len(held)), size)
                     order = np.argsort(all_, kind="stable")
                     index = all_[order], of[order]
-                may = (own != c) & (np.bitwise_count(sigs ^ sig).sum(1) <= most)
+                s = shingles(words, k)
+                may = (own != c) & test.array(size, sigs, len(s), sig)
                 if not may.any():
                     continue
-                s = shingles(words, k)
                 lo, hi = np.searchsorted(index[0], s), np.searchsorted(index[0], s, "right")
                 times = hi - lo
                 spots = np.repeat(lo, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
                 both = np.bincount(index[1][spots], minlength=len(ids))
-                linked += [(int(x), rep) for x in ids[may & (100 * both >= percent * (size + len(s) - both))]]
+                linked += [(int(x), rep) for x in ids[may & (100 * both >= test.percent * (size + len(s) - both))]]
             yield pd.DataFrame(linked, columns=["u", "v"], dtype="int64")
 
     return run
 
 
-def _rest(scratch: Scratch, buckets: DataFrame, sizes: DataFrame, members: DataFrame, named: DataFrame, reps: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+def _rest(scratch: Scratch, buckets: DataFrame, sizes: DataFrame, members: DataFrame, named: DataFrame, reps: DataFrame, texts: DataFrame, k: int, test) -> DataFrame:
     """Links between components that share one of the open buckets."""
-    few = _verified(scratch, "listed", _listed(scratch, buckets.where(F.col("n") <= LISTED), members, named, reps, percent), reps, texts, k, percent)
+    few = _verified(scratch, "listed", _listed(scratch, buckets.where(F.col("n") <= LISTED), members, named, reps, test), reps, texts, k, test)
     buckets = buckets.where(F.col("n") > LISTED)
     if buckets.isEmpty():
         return few
@@ -278,9 +285,9 @@ def _rest(scratch: Scratch, buckets: DataFrame, sizes: DataFrame, members: DataF
     seen = docs.select("family", up_to("blocks").alias("block"), part("salts").alias("salt"), F.lit(1).alias("role"), "rep", "c", "sig", "n")
     dealt = lambda rows, *cell: rows.repartition(*cell).sortWithinPartitions(*cell, "role", "rep")
     # sizes and signatures first: only rows with a possible partner in their cell come again, with their texts
-    likely = dealt(held.union(seen), "family", "block", "salt").mapInPandas(_possible(percent), "family long, block long, salt long, sub long, role int, rep long, c long")
+    likely = dealt(held.union(seen), "family", "block", "salt").mapInPandas(_possible(test), "family long, block long, salt long, sub long, role int, rep long, c long")
     rows = dealt(scratch.keep(likely, "possible").join(texts.join(reps.select("rep", "sig"), "rep"), "rep"), "family", "block", "salt", "sub")
-    return few.union(rows.mapInPandas(_cells(k, percent), "u long, v long"))
+    return few.union(rows.mapInPandas(_cells(k, test), "u long, v long"))
 
 
 def _merged(scratch: Scratch, named: DataFrame, links: DataFrame) -> DataFrame:
@@ -292,44 +299,59 @@ def _merged(scratch: Scratch, named: DataFrame, links: DataFrame) -> DataFrame:
     return join_keyed(named, scratch.keep(known, "joined"), "c", named.count()).select("rep", F.col("to").alias("c"))
 
 
-def find_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each row of docs (doc_id, text; others ignored).
+DIGESTS = "doc_id long, n_shingles long, key binary, bands array<long>, sig array<long>"
 
-    Two documents are linked if their shingle sets' similarity is at least percent / 100;
-    component_id is the smallest doc_id reachable over links, kept says that it is the row's own.
-    A text of fewer than k words is one shingle; null or blank texts have none and link with
-    nothing. Rows with a null doc_id link with nothing, have a null component and are kept.
-    Repeated rows give repeated results; ids are taken to name one text. The result is a written
-    table; everything else that was written is deleted again.
+
+def link(spark: SparkSession, docs: DataFrame, label: str, digests, k: int, test) -> DataFrame:
+    """doc_id, n_shingles and component_id of docs' rows; sets are compared if they share a bucket.
+
+    digests maps batches of (doc_id, text) to DIGESTS: bands are a set's buckets, sig is what test
+    goes by, key names the set (null: none). Of every two sets of one bucket that could join two
+    components, those that test admits are compared in full, by similarity of test.percent.
     """
-    scratch = Scratch(spark, "neardup")
-    digests = scratch.keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_digests(k), "doc_id long, n_shingles long, key binary, bands array<long>, sig array<long>"), "digests")
+    scratch = Scratch(spark, label)
+    digests = scratch.keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(digests, DIGESTS), "digests")
     # equal sets have equal bands and signatures
     whole = "key is not null and doc_id is not null"
     reps = scratch.keep(digests.where(whole).groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"), F.count("*").alias("copies")), "reps")
     rows = reps.select("rep", F.explode("bands").alias("bucket"))
     buckets = scratch.keep(rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("low")).where("n > 1"), "buckets")
-    members = scratch.keep(join_keyed(rows, buckets, "bucket", reps.count() * (PERMUTATIONS // ROWS)), "members")
+    members = scratch.keep(join_keyed(rows, buckets, "bucket", reps.agg(F.sum(F.size("bands"))).first()[0] or 0), "members")
     texts = scratch.keep(docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(members.select("rep").distinct(), "rep", "left_semi"), "texts")
 
     first = _pairs(members.select(F.col("low").alias("hub"), F.col("rep").alias("leaf")))
-    linked = connected_components(spark, _verified(scratch, "first", first, reps, texts, k, percent), "first-cc", scratch=scratch)
+    linked = connected_components(spark, _verified(scratch, "first", first, reps, texts, k, test), "first-cc", scratch=scratch)
     named = reps.select("rep").join(linked.distinct().withColumnRenamed("node", "rep"), "rep", "left")
     named = scratch.keep(named.select("rep", F.coalesce("component", "rep").alias("c")), "named")
     sizes = scratch.keep(members.select("bucket", "rep").join(named, "rep").groupBy("bucket", "c").agg(F.count("*").alias("n")), "sizes")
     buckets = scratch.keep(_open(sizes), "open")
     if not buckets.isEmpty():
-        links = scratch.keep(_rest(scratch, buckets, sizes, members, named, reps, texts, k, percent), "links")
+        links = scratch.keep(_rest(scratch, buckets, sizes, members, named, reps, texts, k, test), "links")
         if not links.isEmpty():
             named = scratch.keep(_merged(scratch, named, links), "merged")
     classes = reps.select("key", "rep", "copies").join(named, "rep").select("key", "copies", F.col("c").alias("component_id"))
     known = join_keyed(digests.where(whole).select("doc_id", "n_shingles", "key"), scratch.keep(classes, "classes"), "key", digests.count(), "copies").drop("key")
     alone = digests.where(f"not ({whole})").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    out = Scratch(spark, "neardup-result").keep(known.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "result")
+    out = Scratch(spark, f"{label}-result").keep(known.union(alone), "result")
     scratch.drop()
     return out
 
 
+def find_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for each row of docs (doc_id, text; others ignored).
+
+    Two documents are linked if their shingle sets' similarity is at least percent / 100;
+    component_id is the smallest doc_id reachable over links, kept says that it is the row's own.
+    A text of fewer than k words is one shingle; null or blank texts have none and link with
+    nothing. Texts of any length are read whole; an empty table gives an empty one. Rows with a
+    null doc_id link with nothing, have a null component and are kept. Repeated rows give repeated
+    results; ids are taken to name one text. The result is a written table; everything else that
+    was written is deleted again.
+    """
+    linked = link(spark, docs, "neardup", _digests(k), k, Minima(percent))
+    return linked.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
 def drop_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs with one row of each component, one with the smallest doc_id; rows without an id stay."""
     gone = find_duplicates(spark, docs, k, percent).where("not kept").select("doc_id").distinct()

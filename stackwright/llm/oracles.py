@@ -15,6 +15,22 @@ def _rule(host: str, path: str, what: int) -> str:
     return "case " + " ".join(f"when ({host} = '{h}' or suffix({host}, '.{h}')) and starts_with({path}, '{p}') then '{(v, r)[what]}'" for v, r, h, p in rules) + " end"
 
 
+def _alike(k: int, percent: int, more: str) -> str:
+    """Components of documents by their k-word shingles; candidates share one of the rarest, as sets of that similarity must; then full sets."""
+    return rf"""
+with recursive w as (select doc_id, regexp_extract_all({_LOW.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') w from documents),
+s as (select doc_id, list_distinct(case when len(w) < {k} then case when len(w) > 0 then [array_to_string(w, ' ')] else [] end else list_transform(range({k}, len(w) + 1), lambda i: array_to_string(w[i - {k - 1}:i], ' ')) end) s from w),
+x as (select doc_id, len(s) n, unnest(s) g from s), f as (select g, count(*) c from x group by g),
+r as (select x.doc_id, n, x.g, row_number() over (partition by x.doc_id order by c, x.g) k from x join f on x.g = f.g),
+p as (select * from r where k <= n - ceil(n * {percent} / 100) + 1),
+c as (select distinct a.doc_id a, b.doc_id b from p a join p b on a.g = b.g and a.doc_id < b.doc_id where 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)),
+i as (select a, b, len(x.s) + len(y.s) n, len(list_intersect(x.s, y.s)) i from c join s x on x.doc_id = a join s y on y.doc_id = b),
+e as (select a u, b v from i where 100 * i >= {percent} * (n - i) union all select b, a from i where 100 * i >= {percent} * (n - i)),
+t(u, v) as (select doc_id, doc_id from s union select t.u, e.v from t join e on t.v = e.u),
+m as (select u, min(v) c from t group by u)
+select doc_id, len(s)::bigint as n_shingles, c as component_id{more} from s join m on u = doc_id"""
+
+
 SQL = {
     "op5_warc_index": r"""
 with p as (select page_id, coalesce(html, '') h from pages),
@@ -22,19 +38,8 @@ d as (select page_id, octet_length(encode(h)) n, from_hex(sha1(h))::bit::varchar
 e as (select page_id, n, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + substr(b, 5 * i + 1, 5)::bit::integer, 1)), '') s from d)
 select page_id, n::bigint as payload_bytes, s as payload_digest, case when page_id = m then 'response' else 'revisit' end as record_type, case when page_id <> m then m end as refers_to
 from (select *, max(page_id) over (partition by s) m from e)""",
-    # candidates share one of the rarest shingles, as sets of that similarity must; then full sets
-    "op7_minhash_dedup": rf"""
-with recursive w as (select doc_id, regexp_extract_all({_LOW.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') w from documents),
-s as (select doc_id, list_distinct(case when len(w) < 2 then w else list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) end) s from w),
-x as (select doc_id, len(s) n, unnest(s) g from s), f as (select g, count(*) c from x group by g),
-r as (select x.doc_id, n, x.g, row_number() over (partition by x.doc_id order by c, x.g) k from x join f on x.g = f.g),
-p as (select * from r where k <= n - ceil(n * 0.8) + 1),
-c as (select distinct a.doc_id a, b.doc_id b from p a join p b on a.g = b.g and a.doc_id < b.doc_id where 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
-i as (select a, b, len(x.s) + len(y.s) n, len(list_intersect(x.s, y.s)) i from c join s x on x.doc_id = a join s y on y.doc_id = b),
-e as (select a u, b v from i where 100 * i >= 80 * (n - i) union all select b, a from i where 100 * i >= 80 * (n - i)),
-t(u, v) as (select doc_id, doc_id from s union select t.u, e.v from t join e on t.v = e.u),
-m as (select u, min(v) c from t group by u)
-select doc_id, len(s)::bigint as n_shingles, c as component_id, doc_id = c as kept from s join m on u = doc_id""",
+    "op7_minhash_dedup": _alike(2, 80, ", doc_id = c as kept"),
+    "op13_jaccard_join": _alike(3, 90, ""),
     "op9_url_filter": rf"""
 with recursive p as (
   select page_id, coalesce({_LOW.format(f"regexp_extract(url, '{_URL}', 1)")}, '') host, coalesce(regexp_extract(url, '{_URL}', 2), '') path, {_key('url')} k,

@@ -74,8 +74,8 @@ def test_a_template_of_low_similarity_is_not_one_family(spark, monkeypatch, tmp_
     rows += [(400, rows[7][1] + " x"), (401, rows[8][1] + " y")]
     cells, folder = N._cells, str(tmp_path)
 
-    def counting(k, percent):
-        real = cells(k, percent)
+    def counting(k, test):
+        real = cells(k, test)
 
         def run(batches):
             def seen():
