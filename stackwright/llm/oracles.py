@@ -31,7 +31,51 @@ m as (select u, min(v) c from t group by u)
 select doc_id, len(s)::bigint as n_shingles, c as component_id{more} from s join m on u = doc_id"""
 
 
+_TERMS = rf"regexp_extract_all({_LOW.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+def _repair() -> str:
+    """Conversations by a fold over their rows: the least (cost, audit) in each state, nothing read (z), after s, u or a."""
+    cheap = lambda *x: "case " + " ".join(f"when {a} is not null and " + " and ".join(f"({b} is null or {a} <= {b})" for b in x if b != a) + f" then {a}" for a in x) + " end"
+    plus = lambda x, n, c: f"case when {x} is not null then {{'c': {x}.c + {n}, 't': {x}.t || '{c}'}} end"
+    ins = "{'z': p.z, 's': p.s, 'u': %s, 'a': p.a}" % cheap("p.u", f"({plus('p.z', 3, 'I')})", f"({plus('p.s', 3, 'I')})", f"({plus('p.a', 3, 'I')})")
+    ins2 = "{'z': q.z, 's': q.s, 'u': q.u, 'a': %s}" % cheap("q.a", f"({plus('q.u', 3, 'I')})")
+    one = lambda x, to, i: f"(case when {x} is not null and not r.go then case when r.i = '{i}' then {{'c': {x}.c + r.x, 't': {x}.t || 'K'}} else {{'c': {x}.c + 3 + r.x, 't': {x}.t || 'R'}} end end)"
+    keep = f"(case when not r.go and r.i = 's' and q.z is not null then {{'c': q.z.c + r.x, 't': q.z.t || 'K'}} end)"
+    d = lambda x: f"({plus(x, 4, 'D')})"
+    step = "{'z': %s, 's': %s, 'u': %s, 'a': %s}" % (d("q.z"), cheap(d("q.s"), keep), cheap(d("q.u"), one("q.z", "u", "u"), one("q.s", "u", "u"), one("q.a", "u", "u")), cheap(d("q.a"), one("q.u", "a", "a")))
+    ws = r"[^\x20\x09-\x0D]"
+    return rf"""
+with recursive k as (select conv_id, turn, coalesce(role, ' ') role0, coalesce(text, ' ') text0, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') k from conversations),
+crc as (select k, (xor(list_reduce([4294967295] || list_transform(string_split(k, ''), lambda x: ascii(x)::bigint), lambda c, x: list_reduce([xor(c, x)] || range(8), lambda a, j: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end)), 4294967295) % 20)::int h from (select distinct k from k)),
+d as (select conv_id, turn, case when h = 4 then 'user' else role0 end r, case h when 1 then '' when 2 then regexp_replace(text0, '[.!?]', '', 'g') else text0 end t, unnest(range(case h when 0 then 0 when 3 then 2 else 1 end)) cp from k join crc using (k)),
+o as (select *, row_number() over w n, row_number() over (partition by conv_id, r, t order by turn nulls first, cp) again, lag(r[1]) over w before from d window w as (partition by conv_id order by turn nulls first, r, md5(t), cp)),
+f as (select *, case when not regexp_matches(t, '{ws}') then 'b' when again > 1 then 'd' when not regexp_matches(t, '[.!?][\x20\x09-\x0D]*\z') then 't' else '' end f from o),
+g as (select conv_id, count(distinct turn) turns, max(turn) hi, min(turn) lo, count(*) filter (f = 'b') blank, count(*) filter (f = 'd') duplicate, count(*) filter (f = 't') truncated,
+    count(*) filter (n > 1 and before || r[1] not in ('su', 'ua', 'au')) illegal, list({{'r': r, 't': t}} order by n) rows, list({{'i': r[1], 'go': f in ('b', 'd'), 'x': case when f = 't' then 3 else 0 end}} order by n) rs from f group by conv_id),
+w(conv_id, rs, rows, i, p) as (select conv_id, rs, rows, 0, {{'z': {{'c': 0, 't': ''}}, 's': null::struct(c int, t varchar), 'u': null::struct(c int, t varchar), 'a': null::struct(c int, t varchar)}} from g union all
+  select conv_id, rs, rows, i + 1, {step} from (select conv_id, rs, rows, i, rs[i + 1] r, {ins2} q from (select conv_id, rs, rows, i, {ins} q from w p(conv_id, rs, rows, i, p) where i < len(rs)))),
+e as (select conv_id, rows, {ins2} q from (select conv_id, rows, {ins} q from w p(conv_id, rs, rows, i, p) where i = len(rs))),
+b as (select conv_id, rows, {cheap("q.z", "q.a")} x from e),
+l as (select conv_id, rows, x, generate_subscripts(string_split_regex(x.t, ''), 1) j from b where x.t <> ''),
+m as (select conv_id, j, x.t[j] l, rows[len(replace(x.t[:j], 'I', ''))] r, len(replace(x.t[:j], 'D', '')) place from l),
+s as (select conv_id, max(case when place = 1 and l = 'K' and r.r[1] = 's' then 1 else 0 end) has from m group by conv_id),
+y as (select conv_id, string_agg(case when l = 'K' then r.r else case when (place - has) % 2 = 1 then 'user' else 'assistant' end end || ':' || case when l = 'I' then '' else r.t end, chr(10) order by j) y from m join s using (conv_id) where l <> 'D' group by conv_id)
+select c.conv_id, coalesce(hi - lo + 1 - turns, 0)::bigint gaps, coalesce(blank, 0)::bigint blank, coalesce(duplicate, 0)::bigint duplicate, coalesce(truncated, 0)::bigint truncated, coalesce(illegal, 0)::bigint illegal,
+  coalesce(x.c, 0)::bigint as cost, coalesce(x.t, '') audit, sha256(coalesce(y, '')) repaired_sha256
+from (select distinct conv_id from conversations) c left join g using (conv_id) left join b using (conv_id) left join y using (conv_id)"""
+
+
 SQL = {
+    "op11_lexical_topk": rf"""
+with x as (select row_number() over () r, doc_id, {_TERMS} w from documents),
+g as (select count(*) docs, sum(len(w))::bigint words from x where len(w) > 0),
+t as (select r, doc_id, n, u, count(*) tf from (select r, doc_id, len(w) n, unnest(w) u from x) group by all),
+f as (select u, count(*) df from t group by u),
+i as (select q, item_id, unnest(list_distinct(w)) u from (select row_number() over () q, item_id, {_TERMS} w from benchmark)),
+s as (select q, item_id, r, doc_id, sum(floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::bigint * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // words))))::bigint score from i join t using (u) join f using (u), g group by all)
+select item_id, (row_number() over (partition by q order by score desc, doc_id))::int as rank, doc_id, score from s where score > 0 qualify rank <= 10""",
+    "op12_conversation_repair": _repair(),
     "op5_warc_index": r"""
 with p as (select page_id, coalesce(html, '') h from pages),
 d as (select page_id, octet_length(encode(h)) n, from_hex(sha1(h))::bit::varchar b from p),

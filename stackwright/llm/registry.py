@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackwright.llm import decontam, jaccard_join, langid, mixing, neardup, pii, quality_mil, quality_rules, token_rollup, url_filter, warc_index
+from stackwright.llm import conversation_repair, decontam, jaccard_join, langid, lexical_topk, mixing, neardup, pii, quality_mil, quality_rules, token_rollup, url_filter, warc_index
 from stackwright.llm.common import crc_mod, table
 from stackwright.llm.oracles import SQL
 from stackwright.sources.scratch import Scratch
@@ -100,12 +100,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_topk.search(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(spark, conversation_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similarity_components(spark, table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_mil, op2_language_id, op3_token_rollup, op4_decontaminate, op5_warc_index, op6_pii, op7_minhash_dedup, op8_mix_sources, op9_url_filter, op10_quality_rules, op13_jaccard_join)}
+    return {f.__name__: f for f in (op1_quality_mil, op2_language_id, op3_token_rollup, op4_decontaminate, op5_warc_index, op6_pii, op7_minhash_dedup, op8_mix_sources, op9_url_filter, op10_quality_rules, op11_lexical_topk, op12_conversation_repair, op13_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
