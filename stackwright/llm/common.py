@@ -81,6 +81,17 @@ def join_keyed(rows: DataFrame, facts: DataFrame, key: str, total: int, count: s
     return rest.unionByName(rows.join(F.broadcast(heavy), key))
 
 
+def left_join_keyed(scratch: Scratch, name: str, rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """rows.join(facts, key, "left") that sends neither null nor frequent keys to one task; facts has at most one row a key."""
+    counts = scratch.keep(rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")), f"{name}-counts")
+    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    # fewer than HEAVY keys can be so frequent
+    often = scratch.keep(counts.where(F.col("_n") * HEAVY > total).drop("_n").join(facts, key, "left"), f"{name}-often")
+    rest = rows.where(F.col(key).isNotNull()).join(F.broadcast(often.select(key)), key, "left_anti").join(facts, key, "left")
+    nothing = rows.where(F.col(key).isNull()).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in facts.schema if f.name != key])
+    return rest.unionByName(rows.join(F.broadcast(often), key)).unionByName(nothing)
+
+
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 

@@ -128,14 +128,14 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
     return total, df
 
 
-def _quotas(counts: dict[str, int], max_docs: int) -> list[tuple[str, int, int]]:
-    """(language, rows to take, hash under which they are found) from each language's number of rows."""
-    whole, least = sum(counts.values()), min(LEAST_DOCS, max_docs // (2 * max(len(counts), 1)))
+def _quotas(counts: dict[str, tuple[int, int]], max_docs: int) -> list[tuple[str, int, int]]:
+    """(language, rows to take, hash under which they are found) from each language's numbers of rows and of different texts."""
+    whole, least = sum(n for n, _ in counts.values()), min(LEAST_DOCS, max_docs // (2 * max(len(counts), 1)))
     out = []
-    for lang, n in counts.items():
+    for lang, (n, texts) in counts.items():
         quota = max(1, least + (max_docs - least * len(counts)) * n // whole)
         # hashes are spread evenly: twice the quota and some more are under this one, of which the smallest are taken
-        share = min(1.0, (2 * quota + 100) / n)
+        share = min(1.0, (2 * quota + 100) / max(texts, 1))
         out.append((lang, quota, min(2**63 - 1, -(2**63) + int(2**64 * share))))
     return out
 
@@ -151,7 +151,8 @@ def fit(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> dict:
     usable = docs.select("text", "lang").where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     total, df = document_frequencies(usable)
     idf = (np.log((1 + total) / (1 + df)) + 1).astype(np.float32)
-    quota = _quotas({r[0]: r[1] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_docs).collect()}, max_docs)
+    different = F.approx_count_distinct(F.xxhash64("text", "lang"), 0.02)  # copies of a text have one hash
+    quota = _quotas({r[0]: (r[1], r[2]) for r in usable.groupBy("lang").agg(F.count("*").alias("n"), different).orderBy(F.desc("n"), "lang").limit(max_docs).collect()}, max_docs)
     rows = usable.select("text", "lang", F.xxhash64("text", "lang").alias("h"))
     if quota:
         known = docs.sparkSession.createDataFrame(quota, "lang string, quota long, edge long")

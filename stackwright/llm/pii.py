@@ -26,6 +26,8 @@ from stackwright.llm.common import columns_of, free_name, quoted
 #: Public, so good for tests and demonstrations only: whoever has it can undo pseudonyms. Operators take a key and have no default.
 DEMO_KEY = b"demonstration key, not a secret"
 ROUNDS = 8
+#: Characters of a secret or name that are permuted as one number (its halves are narrower than the round function's 512 bits); longer ones as characters.
+WIDE = 128
 KINDS = ("card", "iban", "ssn", "phone", "ipv4", "date", "email", "secret")
 DAY_ONE, DAYS = datetime.date(1900, 1, 1).toordinal(), 73_049  # up to 2099-12-31
 
@@ -38,10 +40,12 @@ def permute(key: bytes, tweak: str, value: int, size: int, fits: Callable[[int],
     """
     half = max(1, ((size - 1).bit_length() + 1) // 2)
     mask, salt, width = (1 << half) - 1, tweak.encode(), (half + 7) // 8
+    if width + 8 > 64:
+        raise ValueError("too wide for one round function")
     while True:
         a, b = value >> half, value & mask
         for r in range(ROUNDS):
-            f = hashlib.blake2b(b.to_bytes(width, "big") + bytes([r]) + salt, key=key, digest_size=min(64, width + 8)).digest()
+            f = hashlib.blake2b(b.to_bytes(width, "big") + bytes([r]) + salt, key=key, digest_size=width + 8).digest()
             a, b = b, a ^ (int.from_bytes(f, "big") & mask)
         value = (a << half) | b
         if value < size and fits(value):
@@ -147,7 +151,9 @@ def _date(key: bytes, text: str) -> str | None:
         d = datetime.date.fromordinal(x + DAY_ONE)
         return (how != "dmy" or d.day > 12) and (not plain or d.day < 10 or d.month < 10)
 
-    new = datetime.date.fromordinal(permute(key, f"date{how}{plain:d}", day.toordinal() - DAY_ONE, DAYS, fits) + DAY_ONE)
+    # one day is one pseudonym in every notation but those that not all days have
+    form = f"{how}{plain:d}" if plain or how == "dmy" else ""
+    new = datetime.date.fromordinal(permute(key, f"date{form}", day.toordinal() - DAY_ONE, DAYS, fits) + DAY_ONE)
     field = {"y": f"{new.year:04}", "m": str(new.month) if plain else f"{new.month:02}", "d": str(new.day) if plain else f"{new.day:02}"}
     return field[how[0]] + parts[1] + field[how[1]] + parts[3] + field[how[2]]
 
@@ -155,16 +161,36 @@ def _date(key: bytes, text: str) -> str | None:
 _SETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
+def _wide(key: bytes, tweak: str, text: str, own: list[str]) -> str:
+    """A Feistel network over the characters themselves, for texts too long for one number.
+
+    Each round adds a keyed stream of the other half, a value a character, to one half's places in
+    their sets. Every character depends on all others; time is linear.
+    """
+    at = [i for i, s in enumerate(own) if s]
+    halves = [at[: len(at) // 2], at[len(at) // 2 :]]
+    out, salt = list(text), b"%d,%d," % (len(key), len(tweak)) + key + hashlib.sha256(tweak.encode()).digest()
+    for r in range(ROUNDS):
+        to, of = halves[r % 2], halves[1 - r % 2]
+        stream = hashlib.shake_256(salt + bytes([r]) + "".join(out[i] for i in of).encode()).digest(8 * len(to))
+        for n, i in enumerate(to):
+            out[i] = own[i][(own[i].index(out[i]) + int.from_bytes(stream[8 * n : 8 * n + 8], "big")) % len(own[i])]
+    return "".join(out)
+
+
 def _mixed(key: bytes, tweak: str, text: str, sets: tuple[str, ...] = _SETS) -> str:
-    """Each character permuted within its set (all together, as one number); others stay."""
+    """Each character permuted within its set (all together); others stay."""
     own = [next((s for s in sets if c in s), "") for c in text]
+    tweak += "".join(str(len(s)) if s else c for c, s in zip(text, own, strict=True))
+    if sum(map(bool, own)) > WIDE:
+        return _wide(key, tweak, text, own)
     value, size = 0, 1
     for c, s in zip(text, own, strict=True):
         if s:
             value, size = value * len(s) + s.index(c), size * len(s)
     if size == 1:
         return text
-    value, out = permute(key, tweak + "".join(str(len(s)) if s else c for c, s in zip(text, own, strict=True)), value, size), []
+    value, out = permute(key, tweak, value, size), []
     for c, s in zip(reversed(text), reversed(own), strict=True):
         if s:
             value, k = divmod(value, len(s))
@@ -198,9 +224,9 @@ def _after(*separators: str) -> str:
     return "(?i:" + "|".join(rf"(?<=\b{n}{s})" for n in _NAMES for s in separators) + ")"
 
 
-#: What is assigned to a name: anything in quotes; else a word of eight characters and more with a digit in it.
+#: What is assigned to a name: anything in quotes; else a word of eight characters and more with a digit among its first 256.
 _QUOTED = r"(?<=\")" + _after('="', '= "', ' = "', ':"', ': "') + r"[^\s\"]{8,}(?=\")"
-_BARE = "(?:(?<=[=:])" + _after("=", ":", " =", " :") + "|(?<=[=:] )" + _after("= ", ": ", " = ") + r")(?=[^\s\"]*\d)[A-Za-z0-9][A-Za-z0-9+/_=~.-]{6,}[A-Za-z0-9]"
+_BARE = "(?:(?<=[=:])" + _after("=", ":", " =", " :") + "|(?<=[=:] )" + _after("= ", ": ", " = ") + r")(?=[^\s\"]{0,255}\d)[A-Za-z0-9][A-Za-z0-9+/_=~.-]{6,}[A-Za-z0-9]"
 
 #: Tried at each place in this order; where no reading validates, the search goes on at the next place.
 PATTERNS = {
@@ -210,7 +236,7 @@ PATTERNS = {
     "ipv4": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)",
     "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}-\d{1,2}-\d{4})(?![\d/-])(?!\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\d+])(?<!\d[.-])(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|\+[2-9]\d{0,2}(?:[ .-]?(?:\(\d{1,4}\)|\d{2,5})){2,5}|(?:1[ .-])?(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4})(?!\d)",
+    "phone": r"(?<![\d+])(?<!\d[.-])(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|\+[2-9]\d{0,2}(?:[ .-]\d(?=[ .-]))?(?:[ .-]?(?:\(\d{1,4}\)|\d{2,5})){2,5}|(?:1[ .-])?(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4})(?!\d)",
     "card": r"(?<![\d.])(?<!\d-)(?:\d{13,19}|\d{4} \d{4} \d{4} \d{1,7}|\d{4}-\d{4}-\d{4}-\d{1,7}|\d{4} \d{6} \d{5}|\d{4}-\d{6}-\d{5})(?!\d)",
 }
 #: What a text must contain to hold a value of a kind; every match of PATTERNS has it.

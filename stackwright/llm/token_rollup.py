@@ -47,7 +47,8 @@ def _counter(spark: SparkSession, vocabulary: str):
 def count_tokens(spark: SparkSession, docs: DataFrame, tokenizer: str, folder: str = TOKENIZERS, name: str = "n_tokens", column: str = "text") -> DataFrame:
     """docs with the number of tokens of a text column: 'words', or a .tiktoken file of the folder.
 
-    Null and empty texts have none. A column of the given name is replaced.
+    Null and empty texts have none; texts of any length are counted whole; repeated rows give
+    repeated counts, an empty table none. A column of the given name is replaced.
     """
     if tokenizer == "words":
         n = F.coalesce(F.regexp_count(column, F.lit(WORD)), F.lit(0)).cast("long")
@@ -60,10 +61,16 @@ def signed(changes: DataFrame) -> DataFrame:
     """Signed rows of changes: op (insert, delete, revise), the KEYS, n_tokens, and for revise
     old_source, old_lang, old_tokenizer and old_n_tokens, which may differ from the new ones.
 
-    Unknown or null ops raise: a change that cannot be applied must not be lost.
+    Unknown or null ops raise, as do revised rows without one of the old columns or with a null
+    old_n_tokens: a change that cannot be applied must not be lost. A null n_tokens counts as 0;
+    every repeated row counts; an empty table is no change.
     """
     row = lambda sign, p="": F.struct(*[F.col(p + k).cast("string").alias(k) for k in KEYS], F.lit(sign).cast("long").alias("docs"), (F.coalesce(F.col(p + "n_tokens"), F.lit(0)) * sign).cast("long").alias("tokens"))
-    old = row(-1, "old_") if "old_n_tokens" in changes.columns else row(-1)
+    lacking = [c for c in ("old_n_tokens", *("old_" + k for k in KEYS)) if c not in changes.columns]
+    if lacking:
+        old = F.raise_error(F.lit(f"a revised row needs {', '.join(lacking)}")).cast(f"struct<{', '.join(f'{k}: string' for k in KEYS)}, docs: bigint, tokens: bigint>")
+    else:
+        old = F.when(F.col("old_n_tokens").isNull(), F.raise_error(F.lit("a revised row needs old_n_tokens"))).otherwise(row(-1, "old_"))
     rows = F.when(F.col("op") == "insert", F.array(row(1))).when(F.col("op") == "delete", F.array(row(-1))).when(F.col("op") == "revise", F.array(old, row(1)))
     return changes.select(F.explode(F.coalesce(rows, F.raise_error(F.lit("a change needs op insert, delete or revise")))).alias("d")).select("d.*")
 
@@ -85,9 +92,10 @@ class Rollup:
 
     def _publish(self, df: DataFrame, name: str) -> None:
         """Written aside, then renamed: the name exists only with all of its rows."""
-        aside = f"{self.path}/.aside-{uuid.uuid4().hex}"
+        aside, target = f"{self.path}/.aside-{uuid.uuid4().hex}", self._path(f"{self.path}/{name}")
         df.write.parquet(aside)
-        if not self._fs.rename(self._path(aside), self._path(f"{self.path}/{name}")):
+        # renaming onto a folder that exists would put the table inside it
+        if self._fs.exists(target) or not self._fs.rename(self._path(aside), target) or self._fs.exists(self._path(f"{self.path}/{name}/{aside.rpartition('/')[2]}")):
             raise OSError(f"{name} could not be put in place")
 
     def _base(self) -> tuple[str | None, set[str]]:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackwright.llm.common import connected_components
+from stackwright.llm.common import connected_components, free_name, left_join_keyed
 from stackwright.sources.scratch import Scratch
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -81,7 +81,11 @@ def match_rules(spark: SparkSession, df: DataFrame, rules=RULES, inline: int = I
         .where(F.expr("startswith(path, rule_path)"))
         .groupBy("host", "path").agg(F.max_by(F.struct("rule", "rule_verdict"), "place").alias("r"))
     )
-    return df.join(found, ["host", "path"], "left").withColumns({"rule": F.col("r.rule"), "rule_verdict": F.col("r.rule_verdict")}).drop("r")
+    at = free_name(df, "_at")
+    found = found.select(F.concat("host", F.lit("\n"), "path").alias(at), "r")
+    scratch = Scratch(spark, "rules")
+    joined = left_join_keyed(scratch, "rules", df.withColumn(at, F.concat("host", F.lit("\n"), "path")), scratch.keep(found, "found"), at)
+    return joined.withColumns({"rule": F.col("r.rule"), "rule_verdict": F.col("r.rule_verdict")}).drop("r", at)
 
 
 def _resolved(base: Column, href: Column) -> Column:
@@ -111,7 +115,8 @@ def judge_urls(spark: SparkSession, pages: DataFrame, rules=RULES, redirects: Da
 
     pages: page_id, url, html (other columns are ignored). redirects: further url pairs
     (from_url, to_url), as a crawler records them. A null url has no host and is allowed; a null
-    html has no links; repeated rows give repeated results; without pages there are no rows.
+    html has no links, one of any length is read whole; repeated rows give repeated results; without
+    pages there are no rows. Null and frequent urls are dealt to all tasks.
     """
     edges = alias_edges(pages)
     if redirects is not None:
@@ -124,7 +129,8 @@ def judge_urls(spark: SparkSession, pages: DataFrame, rules=RULES, redirects: Da
     groups = judged.groupBy("component").agg(F.max(F.col("rule_verdict") == "allow").alias("allowed"), F.max(F.col("rule_verdict") == "block").alias("blocked"))
     blocked = groups.where("blocked and not coalesce(allowed, false)").select("component")
     aliases = judged.select("key", "component").join(blocked, "component", "left_semi").select("key", F.lit(True).alias("alias_block"))
-    return own.join(aliases, "key", "left").select(
+    scratch = Scratch(spark, "alias-blocks")
+    return left_join_keyed(scratch, "aliases", own, scratch.keep(aliases, "aliases"), "key").select(
         "page_id", "host", "path", "rule",
         F.coalesce("rule_verdict", F.when(F.col("alias_block"), "block").otherwise("allow")).alias("verdict"),
         F.when(F.col("rule").isNotNull(), "rule").when(F.col("alias_block"), "alias").otherwise("default").alias("via"),

@@ -156,6 +156,14 @@ def test_frequent_keys_are_joined_like_the_others(spark):
         assert got.columns == ["k", "i", "v"] and Counter(r["v"] for r in got.collect()) == {1: 500, 2: 3}
 
 
+def test_null_and_frequent_keys_of_a_left_join_are_dealt_evenly(spark):
+    rows = spark.range(8000).selectExpr("id i", "case when id % 2 = 0 then null when id % 4 = 1 then 'often' else 'k' || id end k")
+    facts = spark.createDataFrame([("often", 1), ("k3", 2), ("other", 3)], "k string, v int")
+    got = common.left_join_keyed(Scratch(spark, "dealt"), "t", rows, facts, "k")
+    assert got.where("v is not null").groupBy("v").count().orderBy("v").collect() == [(1, 2000), (2, 1)] and got.count() == 8000
+    assert max(r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()) < 3000
+
+
 def test_cleared_deletes_what_operators_leave(spark, tmp_path):
     with cleared():
         scratch = Scratch(spark, "left")

@@ -67,7 +67,7 @@ def test_a_rare_language_is_learned(spark):
     assert model["langs"] == ["de", "en", "fi"]
     seen = langid.identify(spark, spark.createDataFrame([(text["fi"],), (text["en"],)], "text string"), model).collect()
     assert [r["lang_pred"] for r in seen] == ["fi", "en"]
-    quotas = langid._quotas({"a": 10**9, "b": 10**6, "c": 3}, 3000)
+    quotas = langid._quotas({"a": (10**9, 10**9), "b": (10**6, 10**6), "c": (3, 3)}, 3000)
     assert sum(min(q, n) for (_, q, _), n in zip(quotas, (10**9, 10**6, 3), strict=True)) <= 3000 and min(q for _, q, _ in quotas) >= 100
     assert [e == 2**63 - 1 for *_, e in quotas] == [False, False, True]
 
@@ -81,3 +81,9 @@ def test_ftrl_is_sparse():
         rows.append((at, np.full(len(at), 1 / np.sqrt(len(at)))))
     w = langid.ftrl(rows, y, 2, width=50, l1=0.05)
     assert (w[:-1] == 0).mean() > 0.5 and w[0, 0] > 0 > w[0, 1]
+
+
+@pytest.mark.parametrize("text", ["la de el que en y los", "una casa y un perro", "el sol"])
+def test_a_language_of_one_text_in_many_copies_is_learned(spark, text):
+    rows = [(text, "es")] * 6000 + [(f"the house of number {i} and the dog", "en") for i in range(3000)]
+    assert langid.fit(spark.createDataFrame(rows, "text string, lang string"))["langs"] == ["en", "es"]

@@ -137,3 +137,23 @@ def test_mixing_edge_cases(spark):
     assert {r["rate"] for r in mixing.mix(spark, docs, mixing.domains_of(labels.limit(0))).collect()} == {1.0}
     assert mixing.with_rates(spark, docs, mixing.domains_of(labels)).columns == ["doc_id", "text", "rate"]
     assert mixing.mix(spark, docs.limit(0), mixing.domains_of(labels)).count() == 0
+
+
+@pytest.mark.parametrize("lacks", ["old_source", "old_n_tokens", None])
+def test_a_revision_that_cannot_be_applied_raises(spark, lacks):
+    row = {"op": "revise", "source": "a", "lang": "en", "tokenizer": "t", "n_tokens": 3, "old_source": "b", "old_lang": "en", "old_tokenizer": "t", "old_n_tokens": 5 if lacks else None}
+    row.pop(lacks, None)
+    kinds = {"n_tokens": "long", "old_n_tokens": "long"}
+    df = spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} {kinds.get(k, 'string')}" for k in row))
+    with pytest.raises(Exception, match="a revised row needs old"):
+        token_rollup.signed(df).collect()
+    assert token_rollup.signed(df.withColumn("op", F.lit("insert"))).count() == 1
+
+
+def test_publishing_onto_a_table_raises(spark):
+    rollup = token_rollup.Rollup(spark, Scratch(spark, "twice").path("r"))
+    one = spark.createDataFrame([("a", "en", "t", 1, 1)], token_rollup.DELTA)
+    rollup._publish(one, "batch-x")
+    with pytest.raises(OSError):
+        rollup._publish(one, "batch-x")
+    assert [tuple(r) for r in rollup.totals().collect()] == [("a", "en", "t", 1, 1)]
