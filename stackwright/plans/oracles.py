@@ -304,3 +304,5 @@ SQL["generate_synonym_cases"] = f"""with {CH}, d as (select trim(source) source,
 o as (select *, row_number() over (partition by source order by at_, query) n from r where length(query) >= 6), b as (select *, row_number() over (order by at_, source, query) k from o where n <= 2) select printf('T%03d', k) as id, query, [source] as expected_sources from b where k <= 100"""
 SQL["scan_files"] = f"with {KBT} select 'department=' || department as folder, count(*) as n_docs, count(distinct version) as n_versions from kb group by department"
 SQL["filter_cases"] = "select 'C' || item_id as id, 'retrieval' as category from benchmark where item_id in (0, 2, 4)"
+SQL["vector_index_topk"] = SQL["vector_topk"]
+SQL["bm25_index"] = SQL["bm25_corpus"]

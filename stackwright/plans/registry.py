@@ -17,6 +17,8 @@ from stackwright.operators import rerank as R
 from stackwright.operators import retrieval as S
 from stackwright.operators import sync as Y
 from stackwright.operators import understanding as U
+from stackwright.operators.lexical_index import LexicalIndex
+from stackwright.operators.vector_index import VectorIndex, recall
 from stackwright.plans import answer
 from stackwright.plans import fixtures as D
 from stackwright.plans.oracles import SQL
@@ -415,11 +417,36 @@ def vector_topk_filtered(spark, sf):
     return S.vector_topk(q, v, 10, ("label",)).select("query_id", "id", "rank")
 
 
+def _vector_index(spark, sf):
+    return VectorIndex.build(D.vectors(spark, sf), Scratch(spark, "ivf").path("index"))
+
+
+@query
+def vector_index_topk(spark, sf):
+    """The same neighbours as vector_topk, by an inverted list over all vectors."""
+    found = _vector_index(spark, sf).search(D.vector_queries(spark, sf), 10)
+    return found.select("query_id", "id", "rank", F.round("distance", 6).alias("distance"), F.round(1 - F.col("distance"), 4).alias("score"))
+
+
+@query
+def vector_index_recall(spark, sf):
+    """How many of each query's 10 neighbours an approximate search finds, with the cells that its sample asks for."""
+    index, q = _vector_index(spark, sf), D.vector_queries(spark, sf)
+    return recall(index.search(q, 10, probes=index.probes_for(0.95)), S.vector_topk(q, D.vectors(spark, sf), 10))
+
+
 @query
 def bm25_corpus(spark, sf):
     return S.bm25_corpus(D.passages(spark, sf), _index(D.kb_chunks(spark, sf)), 10).select("query_id", "id", "rank", F.round("bm25", 4).alias("bm25"))
 
 
+@query
+def bm25_index(spark, sf):
+    """The same ranking as bm25_corpus, by an index of impact blocks."""
+    index = LexicalIndex.build(_index(D.kb_chunks(spark, sf)), Scratch(spark, "lexical-index").path("index"))
+    return index.search(D.passages(spark, sf), 10).select("query_id", "id", "rank", F.round("bm25", 4).alias("bm25"))
+
+
 def _pool(spark, sf):
     """A pool of each passage's lexical hits, in another order."""
     hits = _hits(spark, sf).withColumn("vector_rank", F.row_number().over(S.Window.partitionBy("query_id").orderBy("id")))
