@@ -276,8 +276,11 @@ _AUDIT = "select strftime(ts, '%Y-%m-%dT%H:%M:%S') ts, event_type || ' ' || user
 SQL["audit_log"] = f"select ts, 'query' as event, question, round(s, 6) as max_rerank_score, s < 0.1 as low_confidence from ({_AUDIT})"
 SQL["knowledge_gaps_stream"] = f"select ts, question, round(s, 6) as max_rerank_score from ({_AUDIT}) where s < 0.1"
 SQL["case_file"] = "with c as (select *, row_number() over (order by item_id) n from benchmark where item_id % 5 <> 0) select case when item_id % 2 = 0 then 'B' || item_id else printf('T%03d', n) end as id, trim(text) as query, ['s' || item_id] as expected_sources from c"
-SQL["ingest_stream"] = f"""with {KBT}, tx as (select source, {PARAS.format("text")} p from kb where suffix(source, '.txt')), o as (select source, {OWN} l from kb where suffix(source, '.log')), b as (select source, l, unnest(range((len(l) + 29) // 30)) i from o),
-c as (select source, unnest(range(len(p))) i, unnest(p) content from tx union all select source, i, array_to_string(l[30 * i + 1:30 * i + 30], chr(10)) from b) select sha256(source || ':' || i) as id, source, i::int as chunk_index, sha256(content) as content_hash from c"""
+_LAST = "md as (select source, doc_id, case doc_id % 5 when 0 then replace(text, 'e', 'E') when 1 then split_part(text, chr(10) || chr(10), 1) else text end text from md0 where doc_id % 7 <> 0)"
+SQL["ingest_stream"] = f"""with {MDC.replace(MD, MD.replace(", md as (", ", md0 as (") + ", " + _LAST)}, tx as (select source, {PARAS.format("text")} p from md where suffix(source, '.txt')), o as (select source, {OWN} l from md where suffix(source, '.log')), b as (select source, l, unnest(range((len(l) + 29) // 30)) i from o),
+c as (select source, unnest(range(len(p))) i, unnest(p) content from tx union all select source, i, array_to_string(l[30 * i + 1:30 * i + 30], chr(10)) from b union all select source, chunk_index, content from mdc where suffix(source, '.md'))
+select sha256(source || ':' || i) as id, source, i::int as chunk_index, sha256(content) as content_hash from c"""
+SQL["sync_table"] = SQL["sync_incremental"]
 SQL["retrieve_with_metadata"] = f"with {BM25} select query_id, h.id, h.source, version, doc_type, round(1 - rank / 20, 4) as score from hits h join chunks c on h.id = c.id"
 SQL["report"] = f"with {SCORED} select query_id, p as score, p = 5 as passed, top1 as top1_source from sc5"
 

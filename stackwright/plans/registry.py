@@ -23,6 +23,7 @@ from stackwright.plans import answer
 from stackwright.plans import fixtures as D
 from stackwright.plans.oracles import SQL
 from stackwright.sources import files as N
+from stackwright.sources.chunk_table import ChunkTable
 from stackwright.sources.scratch import Scratch
 from stackwright.streaming import jobs as T
 
@@ -293,24 +294,28 @@ def ingest_summary(spark, sf):
     return Y.ingest_summary(D.kb_chunks(spark, sf))
 
 
-def _arriving(spark, df: DataFrame, label: str, form: str = "parquet") -> DataFrame:
-    """A table as a stream: written to a folder, and read from there as files that arrive."""
-    path = Scratch(spark, label).path("arriving")
-    df.write.format(form).save(path)
-    return spark.readStream.schema(df.schema).format(form).load(path)
-
-
 @query
 def ingest_stream(spark, sf):
-    """Plain texts and logs arrive as a stream of documents and become a chunk table."""
-    docs = D.kb_docs(spark, sf).where(K.suffix_of("source") != ".md").select("source", "text")
-    scratch, at = Scratch(spark, "ingest"), {}
-
-    def write(table: DataFrame, number: int) -> None:
-        at["now"] = scratch.keep(table, f"chunks-{number}")
-
-    T.ingest_stream(_arriving(spark, docs, "ingest"), lambda: at.get("now"), write, scratch.path("progress")).awaitTermination()
-    return at["now"].select("id", "source", "chunk_index", "content_hash")
+    """All documents arrive as a stream; then new versions of some, of which a fifth are shortened; then word that a seventh are gone."""
+    docs, scratch = D.md_docs(spark, sf).join(D.kb_docs(spark, sf).select("source", "doc_id"), "source"), Scratch(spark, "ingest")
+    table, arriving = ChunkTable(spark, scratch.path("table")), scratch.path("arriving")
+    text = F.when(F.col("doc_id") % 5 == 0, F.translate("text", "e", "E")).otherwise(F.element_at(F.split("text", "\n\n"), 1))
+    batches = docs.select("source", "text"), docs.where("doc_id % 5 < 2").select("source", text.alias("text")), docs.where("doc_id % 7 = 0").select("source", F.lit(None).cast("string").alias("text"))
+    for rows in batches:
+        rows.write.mode("append").parquet(arriving)
+        arrived = spark.readStream.schema(rows.schema).parquet(arriving)
+        T.ingest_stream(arrived, table, scratch.path("progress")).awaitTermination()
+    return table.read().select("id", "source", "chunk_index", "content_hash")
+
+
+@query
+def sync_table(spark, sf):
+    """The chunks of sync_incremental, from a table of buckets of which a sync rewrites those that hold a change, and that is synced twice."""
+    table = ChunkTable(spark, Scratch(spark, "sync").path("table"))
+    table.apply(D.old_chunks(spark, sf))
+    for _ in range(2):
+        table.sync(Y.diff_states(*D.states(spark, sf)), D.changed_chunks(spark, sf))
+    return table.read().select("id", "content_hash")
 
 
 @query

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Sequence
 from xml.etree import ElementTree
@@ -20,15 +21,20 @@ STATE = "source string, file_hash string, meta_hash string, mtime_ns long"
 META_FIELDS = tuple(f for f in lexicon.META_DEFAULTS if f not in ("parse_track", "file_format"))
 
 
+def under(root: str) -> Column:
+    """The column path, decoded, as a path under root."""
+    path = F.regexp_replace(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), r"^[a-z0-9]+:/+", "/")
+    base = "/" + re.sub(r"^[a-z0-9]+:/*", "", root).strip("/") + "/"
+    return F.when(path.startswith(base), F.substring(path, len(base) + 1, 2**31 - 1)).otherwise(path)
+
+
 def scan_files(spark: SparkSession, root: str, include_sidecars: bool = True) -> DataFrame:
     """source (path under root), modificationTime, length and content of files with a known suffix.
 
     A sidecar ends in .json and so counts as a document, unless it is left out.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    under = F.regexp_replace(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), r"^[a-z0-9]+:/+", "/")
-    base = "/" + root.split("://", 1)[-1].strip("/") + "/"
-    rows = files.withColumn("source", F.regexp_replace(under, f"^{base}", "")).where(suffix_of("source").isin(*lexicon.TRACKS))
+    rows = files.withColumn("source", under(root)).where(suffix_of("source").isin(*lexicon.TRACKS))
     if not include_sidecars:
         rows = rows.where(~F.col("source").endswith(SIDECAR))
     return rows.select("source", "modificationTime", "length", "content")

@@ -2,35 +2,38 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stackwright.operators.analytics import audit_schema, gap_events
 from stackwright.operators.chunking import load_chunks
-from stackwright.operators.sync import upsert_chunks
-
-
+from stackwright.sources.chunk_table import ChunkTable
+from stackwright.sources.files import under
+from stackwright.sources.scratch import Scratch
 
 def file_stream(spark: SparkSession, root: str) -> DataFrame:
-    """New files under root as (source, text)."""
+    """New files under root as (source, text, modificationTime); the source is the path under root."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).load(root)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("source"), F.col("content").cast("string").alias("text"))
+    return files.select(under(root).alias("source"), F.col("content").cast("string").alias("text"), "modificationTime")
 
 
-def ingest_stream(docs: DataFrame, read: Callable[[], DataFrame | None], write: Callable[[DataFrame, int], None], checkpoint: str):
-    """Starts a query that chunks arriving documents (source, text) and upserts them.
+def ingest_stream(docs: DataFrame, table: ChunkTable, checkpoint: str):
+    """Starts a query that chunks arriving documents (source, text) into a chunk table.
 
-    read gives the chunk table (None: not there yet) and write puts a new version of it, given
-    the batch id. A batch that runs again upserts the same ids, so it changes nothing.
+    A document takes the place of what the table has of its source; one with a null text is
+    deleted. Of several of one source in a batch the one with the latest modificationTime counts,
+    if docs has that column. A batch that runs again changes nothing.
     """
 
     def batch(df: DataFrame, number: int) -> None:
-        fresh = load_chunks(df.dropDuplicates(["source"])).dropDuplicates(["id"])
-        old = read()
-        write(fresh if old is None else upsert_chunks(old, fresh, prune=True), number)
+        newest = df.dropDuplicates(["source"])
+        if "modificationTime" in df.columns:
+            newest = df.groupBy("source").agg(F.max_by(F.struct("text"), "modificationTime").alias("d")).select("source", "d.text")
+        scratch = Scratch(df.sparkSession, "arrived")
+        newest = scratch.keep(newest.select("source", "text"), "documents")
+        table.apply(load_chunks(newest.where("text is not null")), newest)
+        scratch.drop()
 
     return docs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

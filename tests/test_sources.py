@@ -1,11 +1,13 @@
 import json
 import os
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from stackwright.operators import sync as Y
 from stackwright.sources import files as N
+from stackwright.sources.chunk_table import ChunkTable
 from stackwright.streaming import jobs as J
 
 
@@ -60,18 +62,90 @@ def test_audit_and_streams(spark, tmp_path, root):
     q.processAllAvailable()
     q.stop()
     assert [r["question"] for r in spark.table("gaps").collect()] == ["a"]
-    versions = {}
-    store = str(tmp_path / "chunks")
-
-    def write(df, n):
-        df.write.parquet(f"{store}/{n}")
-        versions["last"] = f"{store}/{n}"
-
-    read = lambda: spark.read.parquet(versions["last"]) if versions else None
-    docs = J.file_stream(spark, root).where(F.col("source").endswith(".md") | F.col("source").endswith(".MD"))
+    table = ChunkTable(spark, str(tmp_path / "chunks"))
+    docs = J.file_stream(spark, root).where(F.lower("source").endswith(".md"))
     for _ in range(2):  # the second run sees no new files
-        J.ingest_stream(docs, read, write, str(tmp_path / "cp")).awaitTermination()
-    assert sorted(r["source"] for r in read().collect()) == ["a b+c.md", "b.MD"]
+        J.ingest_stream(docs, table, str(tmp_path / "cp")).awaitTermination()
+    assert sorted(r["source"] for r in table.read().collect()) == ["a b+c.md", "sub/b.MD"]
+
+
+def test_files_of_one_name_are_two_documents_and_the_newest_version_counts(spark, tmp_path):
+    for i, folder in enumerate(("a", "b", "c (1)+[x]")):
+        (tmp_path / "in" / folder).mkdir(parents=True)
+        (tmp_path / "in" / folder / "readme.txt").write_text(f"text {i}")
+    table = ChunkTable(spark, str(tmp_path / "chunks"), 4)
+    docs = J.file_stream(spark, str(tmp_path / "in"))
+    J.ingest_stream(docs, table, str(tmp_path / "cp")).awaitTermination()
+    names = ["a/readme.txt", "b/readme.txt", "c (1)+[x]/readme.txt"]
+    assert sorted(r["source"] for r in table.read().collect()) == names
+    rows = [("a/readme.txt", "old", 1), ("a/readme.txt", "new\n\nlonger", 9), ("a/readme.txt", "older", 0), ("b/readme.txt", None, 3)]
+    spark.createDataFrame(rows, "source string, text string, t int").selectExpr("source", "text", "timestamp_seconds(t) modificationTime").coalesce(1).write.parquet(str(tmp_path / "more"))
+    more = spark.readStream.schema("source string, text string, modificationTime timestamp").parquet(str(tmp_path / "more"))
+    J.ingest_stream(more, table, str(tmp_path / "cp2")).awaitTermination()
+    assert sorted((r["source"], r["content"]) for r in table.read().collect()) == [(names[0], "longer"), (names[0], "new"), (names[2], "text 2")]
+
+
+CHUNK = "id string, source string, chunk_index int, content_hash string"
+
+
+def _chunks(spark, sources, version):
+    return spark.createDataFrame([(f"{s}:{i}", s, i, f"{version}{i}") for s, n in sources.items() for i in range(n)], CHUNK)
+
+
+def _files(path):
+    return {os.path.join(d, f) for d, _, names in os.walk(path) for f in names if f.startswith("part-")}
+
+
+def test_a_batch_writes_only_the_buckets_it_touches(spark, tmp_path):
+    path = str(tmp_path / "t")
+    table = ChunkTable(spark, path, 8)
+    assert table.read() is None
+    table.apply(_chunks(spark, {f"s{i}": 3 for i in range(40)}, "a"))
+    before, rows = _files(path), Counter(tuple(r) for r in table.read().collect())
+    assert table.apply(_chunks(spark, {"s1": 2, "new": 1}, "b")) <= 2
+    changed = {os.path.dirname(f) for f in before ^ _files(path)}
+    assert 1 <= len(changed) <= 2
+    after = Counter(tuple(r) for r in table.read().select(*CHUNK.replace(" string", "").replace(" int", "").split(", ")).collect())
+    want = {r for r in rows if r[1] != "s1"} | {("s1:0", "s1", 0, "b0"), ("s1:1", "s1", 1, "b1"), ("new:0", "new", 0, "b0")}
+    assert after == Counter(want)
+    for _ in range(2):  # again, and without pruning
+        table.apply(_chunks(spark, {"s1": 2, "new": 1}, "b"), prune=False)
+    assert Counter(tuple(r) for r in table.read().select("id", "source", "chunk_index", "content_hash").collect()) == after
+    assert table.apply(_chunks(spark, {}, ""), spark.createDataFrame([("s1",), ("nowhere",)], "source string")) <= 2
+    assert {r["source"] for r in table.read().collect()} == {r[1] for r in want} - {"s1"}
+    assert table.apply(_chunks(spark, {}, "")) == 0
+
+
+def test_a_table_can_become_empty_and_full_again(spark, tmp_path):
+    table = ChunkTable(spark, str(tmp_path / "t"), 2)
+    table.apply(_chunks(spark, {"a": 1, "b": 2}, "x"))
+    table.apply(_chunks(spark, {}, ""), spark.createDataFrame([("a",), ("b",)], "source string"))
+    assert table.read() is None
+    table.apply(_chunks(spark, {"a": 1}, "y"))
+    assert [r["content_hash"] for r in table.read().collect()] == ["y0"]
+
+
+def test_a_writer_that_failed_is_finished_by_the_next(spark, tmp_path, monkeypatch):
+    table = ChunkTable(spark, str(tmp_path / "t"), 4)
+    table.apply(_chunks(spark, {f"s{i}": 2 for i in range(9)}, "a"))
+    real, calls = ChunkTable._put_in_place, []
+
+    def failing(self):
+        calls.append(1)
+        if len(calls) == 2:
+            raise OSError("lost")
+        real(self)
+
+    monkeypatch.setattr(ChunkTable, "_put_in_place", failing)
+    with pytest.raises(OSError):
+        table.apply(_chunks(spark, {"s1": 1}, "b"))
+    assert {r["content_hash"] for r in table.read().where("source = 's1'").collect()} == {"a0", "a1"}
+    table.apply(_chunks(spark, {"s2": 1}, "c"))
+    got = {s: {r["content_hash"] for r in table.read().where(F.col("source") == s).collect()} for s in ("s1", "s2", "s3")}
+    assert got == {"s1": {"b0"}, "s2": {"c0"}, "s3": {"a0", "a1"}}
+    os.makedirs(tmp_path / "t/_aside/half/rows")
+    table.apply(_chunks(spark, {"s2": 1}, "d"))
+    assert not os.listdir(tmp_path / "t/_aside")
 
 
 def test_upsert_leaves_stale_chunks_unless_pruned(spark):
