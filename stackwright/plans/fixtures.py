@@ -57,6 +57,14 @@ def checked_docs(spark: SparkSession, sf: str) -> DataFrame:
     return md_docs(spark, sf).join(kb, "source").select(F.col("source").alias("file_path"), F.concat("text", fault).alias("text"))
 
 
+#: Letters become Han characters and blanks go, as in text that is written without them.
+HAN = "translate(lower(text), 'abcdefghijklmnopqrstuvwxyz ', '的一是不了在人有我他这个们中来上大为和国地到以说时要')"
+
+
+def han_docs(spark: SparkSession, sf: str) -> DataFrame:
+    return kb_docs(spark, sf).select("source", F.expr(HAN).alias("text"))
+
+
 def states(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     kb = kb_docs(spark, sf).select("doc_id", "source", F.sha2("text", 256).alias("h"))
     row = lambda h: ("source", h.alias("file_hash"), F.lit("").alias("meta_hash"), (F.col("doc_id") * 1000).alias("mtime_ns"))

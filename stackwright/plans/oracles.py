@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from stackwright.functions import lexicon
 from stackwright.operators.understanding import normalize_synonyms
-from stackwright.plans.fixtures import KB, QUESTION
+from stackwright.plans.fixtures import HAN, KB, QUESTION
 
 WS = r"[\t-\r\x1c-\x20]"
 KBT = "kb as (select doc_id, text, " + ", ".join(f"{e} as {c}" for c, e in KB.items()) + " from documents)"
@@ -309,3 +309,8 @@ SQL["scan_files"] = f"with {KBT} select 'department=' || department as folder, c
 SQL["filter_cases"] = "select 'C' || item_id as id, 'retrieval' as category from benchmark where item_id in (0, 2, 4)"
 SQL["vector_index_topk"] = SQL["vector_topk"]
 SQL["bm25_index"] = SQL["bm25_corpus"]
+_PARTS = " and ".join(f"(length(word) <= {i} or n::double * total >= 4.0 * (select any_value(x.n) from g x where x.word = substr(w.word, 1, {i})) * (select any_value(x.n) from g x where x.word = substr(w.word, {i + 1})))" for i in (1, 2, 3))
+SQL["learn_words"] = f"""with {KBT}, h as (select unnest(regexp_extract_all({HAN}, '[\u4e00-\u9fff]+')) r from kb), a as (select r, unnest(range(1, length(r) + 1)) i from h),
+g as (select word, count(*) n from (select substr(r, i, k) word from a, (values (1), (2), (3), (4)) v(k) where i + k <= length(r) + 1) group by word having count(*) >= 10 or length(word) = 1),
+s as (select sum(n) total from g where length(word) = 1), w as (select word, n, total from g, s where length(word) > 1)
+select word, n from (select word, n from w where {_PARTS} union all select word, n from g where length(word) = 1) order by n desc, word limit 5000"""

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stackwright.functions import segment as G
 from stackwright.functions import text as X
 from stackwright.operators import analytics as A
 from stackwright.operators import checker as C
@@ -335,6 +336,20 @@ def tokenize(spark, sf):
     return D.kb_docs(spark, sf).select("source", F.explode(X.tokenize("text")).alias("token")).groupBy("token").agg(F.count("*").alias("n"), F.count_distinct("source").alias("docs"))
 
 
+@query
+def learn_words(spark, sf):
+    """Words of the documents as they would be without blanks, written in Han characters."""
+    return G.learn_words(D.han_docs(spark, sf), most=5000)
+
+
+@query
+def segment(spark, sf):
+    """How often each token occurs in those documents, cut by the words learned from them, and in how many."""
+    docs = D.han_docs(spark, sf)
+    words = Scratch(spark, "words").keep(G.learn_words(docs, most=5000), "words")
+    return docs.select("source", F.explode(G.segmenter(spark, words)("text")).alias("token")).groupBy("token").agg(F.count("*").alias("n"), F.count_distinct("source").alias("docs"))
+
+
 @query
 def text_functions(spark, sf):
     t = F.col("text")
