@@ -5,9 +5,11 @@ Input texts are rows (source, text) unless a function says otherwise.
 
 from __future__ import annotations
 
+import csv
+import io
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -17,6 +19,7 @@ from pyspark.sql.window import Window
 
 from stackwright.functions import lexicon
 from stackwright.functions import text as X
+from stackwright.sources.scratch import Scratch
 
 MAX_CHARS, MIN_CHARS = 800, 60
 WINDOW, STEP, OVERLAP = 4, 2, 2
@@ -25,6 +28,8 @@ OCR_CHARS = 100
 
 # Elements whose whole text is read.
 TEXT_TAGS = ("title", "shortdesc", "p", "li", "note", "codeblock", "codeph", "term", "dd", "dt", "section", "result", "context", "steps")
+# Cells that stand for a missing value.
+MISSING = ("#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
 
 def suffix_of(source: Column | str) -> Column:
@@ -160,6 +165,24 @@ def chunk_markdown(docs: DataFrame, overlap: int = OVERLAP) -> DataFrame:
     return _chunks(_markdown(docs), _markdown_chunks(F.col("text"), F.col("blocks"), overlap))
 
 
+def numbered(rows: DataFrame, *order: Column, label: str = "numbered") -> DataFrame:
+    """rows with chunk_index: the place, from 0, of each among those of its source in the given order.
+
+    Rows are dealt by ranges of source and order, each task numbers its own, and each source's
+    counts of the tasks before are added: a source with any number of rows is numbered by many
+    tasks. Rows of one source and one order have any order among them. The rows are written once.
+    """
+    keys = [F.col("source"), *order]
+    laid = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_m", F.monotonically_increasing_id())
+    laid = Scratch(rows.sparkSession, label).keep(laid, "rows").withColumn("_p", F.shiftright("_m", 33))
+    parts = laid.groupBy("source", "_p").agg(F.min("_m").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("source").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select(F.col("source").alias("_s"), F.col("_p").alias("_q"), "_first", F.coalesce(before, F.lit(0)).alias("_before"))
+    # a source that is null has its numbers too
+    joined = laid.join(parts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_p") == F.col("_q")))
+    return joined.withColumn("chunk_index", (F.col("_before") + F.col("_m") - F.col("_first")).cast("int")).drop("_m", "_p", "_s", "_q", "_first", "_before")
+
+
 def chunk_rows(rows: DataFrame, columns: list[str], order: str = "row_no") -> DataFrame:
     """Table rows (source, row_no, columns) as a line of the columns' names, then a chunk a row.
 
@@ -168,8 +191,43 @@ def chunk_rows(rows: DataFrame, columns: list[str], order: str = "row_no") -> Da
     cell = lambda c: F.when(X.strip(F.col(c).cast("string")) != "", F.concat(F.lit(f"{c}: "), F.col(c).cast("string")))
     body = rows.select("source", F.col(order).alias("at"), F.array_join(F.filter(F.array(*[cell(c) for c in columns]), lambda x: x.isNotNull()), " | ").alias("content")).where("content != ''")
     head = rows.select("source").distinct().select("source", F.lit(None).alias("at"), F.lit("字段: " + " | ".join(columns)).alias("content"))
-    place = F.row_number().over(Window.partitionBy("source").orderBy(F.col("at").asc_nulls_first())) - 1
-    return head.unionByName(body).select("source", place.alias("chunk_index"), "content")
+    return numbered(head.unionByName(body), F.col("at").asc_nulls_first(), label="table-rows").select("source", "chunk_index", "content")
+
+
+def csv_names(header: list[str]) -> list[str]:
+    """Column names of a header: blank ones are called by their place, a repeated one gets a number."""
+    out: list[str] = []
+    for i, h in enumerate(header):
+        name, n = h if h.strip() else f"Unnamed: {i}", 0
+        while name in out:
+            n += 1
+            name = f"{h}.{n}"
+        out.append(name)
+    return out
+
+
+def csv_chunks(text: str, missing: Sequence[str] = MISSING) -> list[str]:
+    """A table's own header, then its rows as 'name: value'; blank and missing values and rows of these are left out.
+
+    Quoted cells may hold commas, quotes (doubled) and line breaks; a row may lack its last cells;
+    cells beyond the header are called by their place. A text without a header has no chunks.
+    """
+    csv.field_size_limit(2**31 - 1)
+    records = (r for r in csv.reader(io.StringIO(text.removeprefix("\ufeff"), newline="")) if any(c.strip() for c in r))
+    names = csv_names(next(records, []))
+    if not names:
+        return []
+    out = ["字段: " + " | ".join(names)]
+    for r in records:
+        cells = zip(names + [f"Unnamed: {i}" for i in range(len(names), len(r))], r, strict=False)
+        row = " | ".join(f"{n}: {c}" for n, c in cells if c.strip() and c not in missing)
+        out += [row] if row else []
+    return out
+
+
+def chunk_csv(docs: DataFrame) -> DataFrame:
+    """Texts of comma-separated values, each with a header of its own, by rows."""
+    return _chunks(docs, _cutter(csv_chunks)("text"))
 
 
 def _log_chunks(text: Column, n: int = LOG_LINES) -> Column:
@@ -255,20 +313,19 @@ def route_pdf_pages(pages: DataFrame, least: int = OCR_CHARS) -> tuple[DataFrame
     """Pages (source, page_no, text): chunks of files with enough text a page, and the sources that need OCR."""
     mean = pages.groupBy("source").agg((F.sum(F.length(X.strip(F.coalesce("text", F.lit(""))))) / F.greatest(F.count("*"), F.lit(1))).alias("mean"))
     text = pages.join(mean.where(F.col("mean") >= least), "source", "left_semi").select("source", "page_no", F.posexplode(paragraphs("text")).alias("p", "content"))
-    place = F.row_number().over(Window.partitionBy("source").orderBy("page_no", "p")) - 1
-    return text.select("source", place.alias("chunk_index"), "content"), mean.where(F.col("mean") < least).select("source")
+    return numbered(text, F.col("page_no"), F.col("p"), label="pages").select("source", "chunk_index", "content"), mean.where(F.col("mean") < least).select("source")
 
 
 def chunk_dispatch(docs: DataFrame) -> DataFrame:
-    """Each document by the chunker of its suffix; unknown ones as plain text. Tables come as rows elsewhere.
+    """Each document by the chunker of its suffix; unknown ones as plain text. Sheets come as rows elsewhere (chunk_rows).
 
     One scan: a row is read by one chunker only, the others get a null.
     """
     suffix, text = F.col("suffix"), F.col("text")
-    md, xml, js = suffix == ".md", suffix.isin(".xml", ".dita", ".ditamap"), suffix == ".json"
+    md, xml, js, table = suffix == ".md", suffix.isin(".xml", ".dita", ".ditamap"), suffix == ".json", suffix == ".csv"
     rows = docs.select("source", "text", suffix_of("source").alias("suffix"))
-    rows = rows.select("*", _blocks(F.when(md, text)).alias("blocks"), _cutter(xml_chunks)(F.when(xml, text)).alias("xml"), _cutter(json_chunks)(F.when(js, text)).alias("json"))
-    own = F.when(md, _markdown_chunks(text, F.col("blocks"))).when(xml, F.col("xml")).when(js, F.col("json")).when(suffix == ".log", _log_chunks(text)).otherwise(paragraphs(text))
+    rows = rows.select("*", _blocks(F.when(md, text)).alias("blocks"), _cutter(xml_chunks)(F.when(xml, text)).alias("xml"), _cutter(json_chunks)(F.when(js, text)).alias("json"), _cutter(csv_chunks)(F.when(table, text)).alias("csv"))
+    own = F.when(md, _markdown_chunks(text, F.col("blocks"))).when(xml, F.col("xml")).when(js, F.col("json")).when(table, F.col("csv")).when(suffix == ".log", _log_chunks(text)).otherwise(paragraphs(text))
     return _chunks(rows, own)
 
 

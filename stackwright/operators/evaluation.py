@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stackwright.functions import text as X
+from stackwright.operators.contain import holding
 
 UPLIFT = 0.15
 
@@ -17,17 +18,16 @@ def generate_synonym_cases(chunks: DataFrame, synonyms: DataFrame, size: int = 1
     Chunks (source, content) come in the order of a seeded hash. In each, the first synonym group
     with a term in the text gives a query: the text around the term, with the group's longest other
     term in its place; else the first 36 characters are it. At most per_source of each source and
-    size in all. synonyms: the small table of groups, which goes to every task.
+    size in all. synonyms: groups of terms, of any number.
     """
     rows = chunks.where("coalesce(source, '') != ''").select(X.strip("source").alias("source"), X.clean_text("content").alias("doc")).where(F.length("doc") >= 20).withColumn("at", F.md5(F.concat_ws(":", F.lit(str(seed)), "source", "doc")))
-    groups = synonyms.groupBy("group_id").agg(F.transform(F.array_sort(F.collect_list(F.struct((F.col("text") != F.col("canonical")).alias("c"), "place", "text"))), lambda x: x["text"]).alias("terms"))
-    # one row: all groups in order
-    table = groups.agg(F.array_sort(F.collect_list(F.struct("group_id", "terms"))).alias("groups"))
-    hit = lambda g: F.get(F.filter(g["terms"], lambda t: F.contains(F.col("doc"), t)), 0)
-    longest = lambda g, h: F.get(F.array_sort(F.filter(g["terms"], lambda t: t != h), lambda a, b: F.length(b) - F.length(a)), 0)
-    rows = rows.join(F.broadcast(table), F.lit(True))  # table: one row of a configuration
-    options = F.transform("groups", lambda g: X.let(hit(g), lambda h: F.when(h.isNotNull(), F.struct(h.alias("hit"), longest(g, h).alias("to")))))
-    rows = rows.withColumn("options", F.filter(options, lambda o: o.isNotNull() & o["to"].isNotNull())).drop("groups")
+    order = F.struct((F.col("text") != F.col("canonical")).alias("c"), "place")
+    terms = synonyms.select("group_id", order.alias("order"), "text")
+    # of each group the first term in the text, and the longest other one, the first of equals
+    first = holding(rows.select("at", "doc").distinct(), terms, "doc", "text").groupBy("at", "group_id").agg(F.min_by("text", "order").alias("hit"))
+    other = first.join(terms, "group_id").where(F.col("text") != F.col("hit")).groupBy("at", "group_id", "hit").agg(F.min_by("text", F.struct((-F.length("text")).alias("l"), "order")).alias("to"))
+    found = other.groupBy("at").agg(F.array_sort(F.collect_list(F.struct("group_id", "hit", "to"))).alias("options"))
+    rows = rows.join(found, "at", "left").withColumn("options", F.coalesce("options", F.array().cast("array<struct<group_id:int,hit:string,to:string>>")))
     place = lambda o: F.instr(F.col("doc"), o["hit"])
     around = lambda o: F.substring(F.col("doc"), F.greatest(place(o) - window, F.lit(1)), F.least(place(o) - 1, F.lit(window)) + F.length(o["hit"]) + window)
     swapped = lambda o: X.let(around(o), lambda s: X.clean_text(F.concat(F.substring(s, F.lit(1), F.instr(s, o["hit"]) - 1), o["to"], F.substring(s, F.instr(s, o["hit"]) + F.length(o["hit"]), F.length(s)))))

@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from stackwright.functions import lexicon
 from stackwright.functions import text as X
+from stackwright.operators.contain import holding
 
 # How identifiers look.
 MODEL_CASED = r"(?U)\b[A-Z]{2,6}-\d{3,5}\b"
@@ -138,10 +139,6 @@ def where_matches(where: Column, row) -> Column:
 
 # ---- synonyms
 
-#: Rows of a synonym table that may go to every task, a few MB.
-MOST_TERMS = 50_000
-
-
 def normalize_synonyms(payload: Mapping | str, weak: Sequence[str] = lexicon.WEAK_WORDS) -> list[tuple[int, str, str, float, int]]:
     """(group, canonical, text, weight, place) rows of a synonym dictionary: a small configuration.
 
@@ -184,17 +181,15 @@ def expand_queries(questions: DataFrame, synonyms: DataFrame, rewrites: DataFram
     In each group the heaviest contained term is replaced, at its first occurrence, by at most
     per_group other terms that are heavy enough and not lighter. Variants that are equal but for
     case and white space are dropped; max_variants stay. rewrites: query_id, place, rewrite.
-    The synonym table is a configuration and goes to every task; one of more than MOST_TERMS rows is refused.
+    A synonym table may have any size: questions and terms meet by equality.
     """
-    if synonyms.limit(MOST_TERMS + 1).count() > MOST_TERMS:
-        raise ValueError(f"a synonym table of more than {MOST_TERMS} terms is no configuration")
     base = questions.select("query_id", X.strip("question").alias("base")).where("base != ''")
     terms = synonyms.select("group_id", "text", "weight", "place")
-    hits = base.join(F.broadcast(terms), F.contains(F.col("base"), F.col("text")))
+    hits = holding(base, terms, "base", "text")
     first = Window.partitionBy("query_id", "group_id").orderBy("place")
     hit = hits.withColumn("r", F.row_number().over(first)).where("r = 1").where(F.col("weight") >= min_weight).select("query_id", "base", "group_id", F.col("text").alias("hit"), F.col("weight").alias("hit_weight"))
     other = terms.select("group_id", F.col("text").alias("to"), F.col("weight").alias("to_weight"), "place")
-    options = hit.join(F.broadcast(other), "group_id").where(F.col("to") != F.col("hit")).where((F.col("to_weight") >= min_weight) & (F.col("to_weight") + 1e-9 >= F.col("hit_weight")))
+    options = hit.join(other, "group_id").where(F.col("to") != F.col("hit")).where((F.col("to_weight") >= min_weight) & (F.col("to_weight") + 1e-9 >= F.col("hit_weight")))
     options = options.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "group_id").orderBy("place"))).where(F.col("r") <= per_group)
     replaced = F.concat(F.expr("substring(base, 1, instr(base, hit) - 1)"), F.col("to"), F.expr("substring(base, instr(base, hit) + length(hit))"))
     rows = base.select("query_id", F.struct(F.lit(0).alias("kind"), F.lit(0).alias("a"), F.lit(0).alias("b")).alias("at"), F.col("base").alias("variant"))

@@ -314,3 +314,7 @@ SQL["learn_words"] = f"""with {KBT}, h as (select unnest(regexp_extract_all({HAN
 g as (select word, count(*) n from (select substr(r, i, k) word from a, (values (1), (2), (3), (4)) v(k) where i + k <= length(r) + 1) group by word having count(*) >= 10 or length(word) = 1),
 s as (select sum(n) total from g where length(word) = 1), w as (select word, n, total from g, s where length(word) > 1)
 select word, n from (select word, n from w where {_PARTS} union all select word, n from g where length(word) = 1) order by n desc, word limit 5000"""
+SQL["csv_documents"] = f"""with {KBT}, own as (select doc_id, {OWN} l from kb), r as (select doc_id, unnest(l) x, unnest(range(1, len(l) + 1)) i from own),
+n as (select doc_id, 0 i, '字段: ' || case when doc_id % 2 = 0 then 'no | line | size' else 'id | Unnamed: 1 | id.1' end c from kb union all
+select doc_id, i, case when doc_id % 2 = 0 then 'no: ' else 'id: ' end || i || case when doc_id % 2 = 0 then ' | line: ' else ' | Unnamed: 1: ' end || x || chr(10) || '."q"' || case when i % 3 = 2 then '' else case when doc_id % 2 = 0 then ' | size: ' else ' | id.1: ' end || length(x) end from r where i % 5 <> 4)
+select 't' || doc_id || '.csv' as source, (row_number() over (partition by doc_id order by i) - 1)::int as chunk_index, md5(c) as content from n"""

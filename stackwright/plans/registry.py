@@ -212,6 +212,12 @@ def chunk_rows(spark, sf):
     return K.chunk_rows(p, ["p_name", "p_size"])
 
 
+@query
+def csv_documents(spark, sf):
+    """Documents as files of comma-separated values, of two headers, with quoted line breaks and rows that lack cells."""
+    return K.chunk_dispatch(D.csv_docs(spark, sf)).select("source", "chunk_index", F.md5("content").alias("content"))
+
+
 @query
 def chunk_json(spark, sf):
     return K.chunk_json(D.table(spark, sf, "events").select(F.col("event_id").alias("source"), F.col("props").alias("text")))

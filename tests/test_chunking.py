@@ -78,3 +78,26 @@ def test_records_and_dispatch(spark):
     rows = K.load_chunks(df).collect()
     assert {(r["source"], r["chunk_index"], r["content"], r["parse_track"], r["file_format"]) for r in rows} == {("a/x.md", 0, "# t\n\nbody", "structured_doc", "md"), ("y.LOG", 0, "l1\nl2", "log", "log"), ("z.json", 0, "k: 1", "log", "json"), ("plain", 0, "p", "rich_text", ""), ("plain", 1, "q", "rich_text", "")}
     assert len({r["id"] for r in rows}) == 5
+
+
+def test_csv_documents(spark):
+    rows = [("a.csv", '﻿name,note\r\nx,"one, ""two""\nthree"\r\n\r\n , \r\ny\r\n'), ("b.csv", "p;q,p;q\n1,NA\n2,3,4\n"), ("c.csv", ""), ("d.csv", " \n"), ("e.csv", None), ("f.csv", "only")]
+    got = {}
+    for r in K.chunk_dispatch(spark.createDataFrame(rows, "source string, text string")).orderBy("source", "chunk_index").collect():
+        got.setdefault(r["source"], []).append(r["content"])
+    assert got == {
+        "a.csv": ["字段: name | note", 'name: x | note: one, "two"\nthree', "name: y"],
+        "b.csv": ["字段: p;q | p;q.1", "p;q: 1", "p;q: 2 | p;q.1: 3 | Unnamed: 2: 4"],
+        "f.csv": ["字段: only"],
+    }
+
+
+def test_rows_are_numbered_by_many_tasks(spark):
+    rows = spark.range(5000).selectExpr("case when id % 3 = 0 then 'hot' when id % 3 = 1 then concat('s', id % 50) end source", "cast(5000 - id as int) row_no", "cast(id as string) a").repartition(7)
+    got = K.numbered(rows, F.col("row_no")).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["source"], []).append((r["row_no"], r["chunk_index"]))
+    assert len(got) == 5000
+    for own in by.values():
+        assert [i for _, i in sorted(own)] == list(range(len(own)))
