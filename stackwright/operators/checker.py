@@ -1,11 +1,13 @@
 """Twelve rules for Markdown documents: documents become issues.
 
-All rules read one table of lines (file_path, lineno, line, plain, in_code). Rules on a single line
-shuffle nothing; those that look at neighbours shuffle only the lines and columns they ask for.
+The rules by themselves read a table of lines (file_path, lineno, line, plain, in_code): those on a
+single line shuffle nothing, those that look at neighbours the lines and columns they ask for.
+check_documents, which applies them all, scans neighbours within the documents (see line_scan).
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator, Mapping
 
@@ -16,6 +18,7 @@ from pyspark.sql.window import Window
 
 from stackwright.functions import lexicon
 from stackwright.functions import text as X
+from stackwright.operators.line_scan import Scan, neighbour_issues
 
 FENCE = r"^(?:`{3,}|~{3,})"
 HEADING = r"^#{1,6}\s+\S"
@@ -30,6 +33,11 @@ def check_config(overrides: Mapping | None = None) -> dict:
     return {**lexicon.CHECKER, **(overrides or {})}
 
 
+def read_config(spark: SparkSession, path: str) -> dict:
+    """The configuration of a JSON file, a small one, over the defaults."""
+    return check_config(json.loads(spark.read.text(path, wholetext=True).first()[0].removeprefix("\ufeff")))
+
+
 def explode_lines(docs: DataFrame) -> DataFrame:
     """file_path, lineno (from 1), line, stripped, plain and in_code of every line of (file_path, text).
 
@@ -226,18 +234,22 @@ def undecodable(files: DataFrame) -> DataFrame:
 
 
 def check_documents(docs: DataFrame, config: Mapping | None = None, files: DataFrame | None = None) -> DataFrame:
-    """All issues of (file_path, text), without those on links unless a listing of files (path) is given."""
+    """All issues of (file_path, text), without those on links unless a listing of files (path) is given.
+
+    Nothing is shuffled but links and very long documents: one pass over the lines for the rules on
+    single ones, one over the documents for the rules on neighbours, and one over what may have a
+    repeated word.
+    """
     cfg = check_config(config)
     lines = explode_lines(docs)
-    # one pass for the rules on single lines; those on neighbours share one exchange of what they ask for
-    laid = lines.select("file_path", "lineno", "line", "stripped", "in_code").repartition("file_path")
+    scan = Scan({"typo": TYPO, "format": FORMAT, "structure": STRUCTURE, "readability": READABILITY}, cfg["max_blank_lines"], cfg["max_paragraph_length"])
+    some = docs.where(F.col("text").rlike(f"[{X.HAN}]"))  # without a Han character no word is repeated
     found = [
-        _each(lines, *_heading_issues(), _note_issues(cfg["note_keywords"]), _spacing_issues(), *_term_issues(cfg["preferred_terms"])), check_repeated_words(lines),
-        check_empty_sections(laid), check_consecutive_blank_lines(laid, cfg["max_blank_lines"]), check_long_paragraphs(laid, cfg["max_paragraph_length"]),
-        check_mixed_digits(laid), check_duplicate_lines(laid), check_numbered_list(laid),
+        _each(lines, *_heading_issues(), _note_issues(cfg["note_keywords"]), _spacing_issues(), *_term_issues(cfg["preferred_terms"])),
+        check_repeated_words(explode_lines(some)), neighbour_issues(docs, scan).select(*ISSUE),
     ]
     if files is not None:
-        found.append(check_broken_links(lines, files))
+        found.append(check_broken_links(explode_lines(docs.where(F.contains("text", F.lit("](")))), files))
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
