@@ -6,8 +6,10 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from stackwright.functions import lexicon
@@ -36,7 +38,7 @@ def rerank_bonus(query: Column | str) -> Column:
 
 
 def pair_scorer(model: Callable[[Sequence[str], Sequence[str]], np.ndarray]):
-    """A column function (query, text) -> score from a model of pairs, loaded once a task."""
+    """A column function (query, text) -> score from a model of pairs, which is sent to every task."""
 
     @F.pandas_udf("double")
     def of(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -46,6 +48,16 @@ def pair_scorer(model: Callable[[Sequence[str], Sequence[str]], np.ndarray]):
     return of
 
 
+def scorer_by(load: Callable[[], Callable[[Sequence[str], Sequence[str]], np.ndarray]], batch: int = 64):
+    """A column function (query, text) -> score from a model of pairs that each Python worker loads once."""
+
+    def make():
+        model = load()
+        return lambda q, t: np.asarray(model(q.tolist(), t.tolist()), np.float64)
+
+    return predict_batch_udf(make, return_type=DoubleType(), batch_size=batch)
+
+
 def token_share(query: Column, text: Column) -> Column:
     """A scorer without a model: the share of the query's terms that the text contains."""
     terms = X.overlap_terms(query)

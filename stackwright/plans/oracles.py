@@ -318,3 +318,14 @@ SQL["csv_documents"] = f"""with {KBT}, own as (select doc_id, {OWN} l from kb),
 n as (select doc_id, 0 i, '字段: ' || case when doc_id % 2 = 0 then 'no | line | size' else 'id | Unnamed: 1 | id.1' end c from kb union all
 select doc_id, i, case when doc_id % 2 = 0 then 'no: ' else 'id: ' end || i || case when doc_id % 2 = 0 then ' | line: ' else ' | Unnamed: 1: ' end || x || chr(10) || '."q"' || case when i % 3 = 2 then '' else case when doc_id % 2 = 0 then ' | size: ' else ' | id.1: ' end || length(x) end from r where i % 5 <> 4)
 select 't' || doc_id || '.csv' as source, (row_number() over (partition by doc_id order by i) - 1)::int as chunk_index, md5(c) as content from n"""
+SQL["gap_counts"] = f"select substr(ts, 1, 13) as hour, count(*) as questions, count(*) filter (s < 0.1) as gaps from ({_AUDIT}) group by 1"
+SQL["cases_json"] = f"with {CASES} select 'R' || query_id as id, case when query_id % 2 = 0 then 'retrieval' else 'metadata_filter' end as category, passage as question, case when query_id % 2 = 0 then 'V1.0' end as version, len(want)::int as n_sources from ex"
+SQL["changed_states"] = f"with {KBT} select distinct 'department=' || department as folder, true as same from kb"
+_FOUR = SQL["check_consecutive_blank_lines"].replace("n % 3 = 0", "n % 5 = 0").replace("lineno - 2", "lineno - 4").replace("连续空行超过 2 行（共 3 行）", "连续空行超过 4 行（共 5 行）")
+_SHORTER = SQL["check_long_paragraphs"].replace("n > 400", "n > 200").replace("建议不超过 400", "建议不超过 200")
+SQL["check_config"] = f"select level, category, regexp_replace(message, '[0-9]+ 字符', 'n 字符') as message, count(*) as n from (select level, category, message from ({_FOUR}) union all select level, category, message from ({_SHORTER}) union all select level, category, message from ({SQL['check_terminology']}) where message like '%替代\"assertion\"%') group by all"
+_VECTOR = "list_transform(range(64), lambda d: list_sum([0] || list_transform(list_filter(h, lambda x: x % 64 = d), lambda x: case when (x & 64) <> 0 then 1 else -1 end)))"
+_HASHES = "list_transform(list_filter(string_split_regex(lower({}), '[\\t-\\r\\x1c-\\x20]+'), lambda w: w <> ''), lambda w: ('0x' || substr(md5(w), 1, 7))::bigint)"
+SQL["embed"] = f"""with {NEW.replace("content_hash from nl)", "content_hash, content from nl)").replace("select id, source, content_hash from chunks where", "select id, source, content_hash, content from chunks where")}, u as (select content_hash, min(r) r, any_value(content) content from (select content_hash, content, 1 r from oc union all select content_hash, content, 2 from nc) group by content_hash),
+v as (select content_hash, r, {_VECTOR} v from (select content_hash, r, {_HASHES.format("content")} h from u)), l as (select *, sqrt(list_sum(list_transform(v, lambda x: x * x))) n from v)
+select content_hash, r::int as round, list_transform(v, lambda x: case when n > 0 then round((x / n)::float::double, 4) else 0.0 end) as embedding from l"""

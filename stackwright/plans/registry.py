@@ -157,6 +157,28 @@ def case_file(spark, sf):
     return N.read_cases_jsonl(spark, path).select("id", "query", "expected_sources")
 
 
+@query
+def cases_json(spark, sf):
+    """Passages as one document of cases, read again."""
+    path = Scratch(spark, "cases").path("document")
+    rows = _cases(spark, sf).select(F.concat(F.lit("R"), F.col("query_id").cast("string")).alias("id"), "category", "question", F.struct(F.when(F.col("query_id") % 2 == 0, "V1.0").alias("version")).alias("filters"), "expected_sources", "expected_keywords")
+    rows.agg(F.collect_list(F.struct("*")).alias("cases")).select(F.to_json(F.struct("cases"), {"pretty": "true"}).alias("value")).coalesce(1).write.text(path)
+    return N.read_cases_json(spark, path).select("id", "category", "question", F.col("filters.version").alias("version"), F.size("expected_sources").alias("n_sources"))
+
+
+@query
+def changed_states(spark, sf):
+    """The state of the documents' files, by a scan that opens those only that a manifest of half of them lacks."""
+    root, path = Scratch(spark, "scan").path("root"), Scratch(spark, "manifest").path("state")
+    D.kb_docs(spark, sf).select("source", "version", "department").write.partitionBy("department").json(root)
+    whole = N.doc_state(N.scan_files(spark, root))
+    N.write_manifest(whole.where(F.col("source").like("%department=dept1%") | F.col("source").like("%department=dept3%")), path)
+    got = N.changed_states(spark, root, N.read_manifest(spark, path))
+    # names of files are Spark's: what is compared is whether both scans agree, by folder
+    both = whole.select(F.split("source", "/")[0].alias("folder"), F.struct("*").alias("a")).join(got.select(F.struct("*").alias("b")), F.col("a.source") == F.col("b.source"), "full_outer")
+    return both.groupBy("folder").agg(F.min(F.col("a").eqNullSafe(F.col("b"))).alias("same"))
+
+
 # ---- chunking
 
 
@@ -334,6 +356,20 @@ def knowledge_gaps_stream(spark, sf):
     return spark.read.schema(gaps.schema).parquet(scratch.path("gaps"))
 
 
+@query
+def gap_counts(spark, sf):
+    """Questions and gaps an hour, from a log that arrives in three parts: every event twice, half of them again, and late ones."""
+    log, scratch, events = Scratch(spark, "audit").path("log"), Scratch(spark, "gap-counts"), D.audit(spark, sf)
+    # an event long after all others ends their windows
+    end = events.limit(1).withColumn("ts", F.lit("2099-01-01T00:00:00"))
+    late = events.withColumn("question", F.concat(F.lit("late "), "question"))
+    for part in (events.unionByName(events), events.where(F.crc32(F.col("question").cast("binary")) % 2 == 0).unionByName(end), late):
+        N.write_audit(part, log)
+        counts = T.gap_counts(T.audit_stream(spark, log))
+        counts.writeStream.format("parquet").option("checkpointLocation", scratch.path("progress")).option("path", scratch.path("counts")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(counts.schema).parquet(scratch.path("counts")).select(F.date_format("start", "yyyy-MM-dd'T'HH").alias("hour"), "questions", "gaps")
+
+
 # ---- text
 
 
@@ -517,16 +553,26 @@ def rerank_bonus(spark, sf):
 
 def hashed_vectors(texts) -> np.ndarray:
     """A stand-in for an embedding model: hashed words, 64 dimensions."""
-    from zlib import crc32
+    from hashlib import md5
 
     out = np.zeros((len(texts), 64), np.float32)
     for i, t in enumerate(texts):
         for w in t.lower().split():
-            h = crc32(w.encode())
+            h = int(md5(w.encode()).hexdigest()[:7], 16)
             out[i, h % 64] += 1 if h & 64 else -1
     return out
 
 
+@query
+def embed(spark, sf):
+    """Vectors of all chunks' contents, in two rounds: of the old chunks, then of what is new in the changed ones."""
+    scratch, load = Scratch(spark, "embed"), lambda: hashed_vectors
+    first = scratch.keep(S.embed_contents(D.old_chunks(spark, sf), load), "first")
+    more = scratch.keep(S.embed_contents(D.changed_chunks(spark, sf), load, first), "more")
+    both = first.withColumn("round", F.lit(1)).unionByName(more.withColumn("round", F.lit(2)))
+    return both.select("content_hash", "round", F.transform("embedding", lambda x: F.round(x.cast("double"), 4)).alias("embedding"))
+
+
 def _vectors(spark, sf):
     chunks = D.kb_chunks(spark, sf)
     return chunks, S.embed(chunks.select("id", "content"), hashed_vectors).select("id", "embedding")
@@ -692,6 +738,15 @@ def check_documents(spark, sf):
     return C.filter_level(C.check_documents(D.checked_docs(spark, sf), files=files), "warning").select("file_path", "line", "col", "level", "category", "message")
 
 
+@query
+def check_config(spark, sf):
+    """Issues under a configuration file: blank runs of more than four lines, paragraphs of more than 200 characters, and one pair of terms."""
+    path = Scratch(spark, "config").path("file")
+    spark.range(1).select(F.lit('{"max_blank_lines": 4, "max_paragraph_length": 200, "preferred_terms": {"断言": ["assertion"]}}')).write.text(path)
+    issues = C.check_documents(D.checked_docs(spark, sf), C.read_config(spark, path))
+    return issues.groupBy("level", "category", F.regexp_replace("message", "[0-9]+ 字符", "n 字符").alias("message")).agg(F.count("*").alias("n")).where("message like '连续空行%' or message like '段落过长%' or category = '术语一致性'")
+
+
 @query
 def check_summary(spark, sf):
     return C.check_summary(C.check_documents(D.checked_docs(spark, sf)))

@@ -15,6 +15,7 @@ from stackwright.functions import lexicon
 from stackwright.functions import text as X
 from stackwright.operators.analytics import audit_schema
 from stackwright.operators.chunking import suffix_of
+from stackwright.sources.scratch import Scratch
 
 SIDECAR = ".meta.json"
 STATE = "source string, file_hash string, meta_hash string, mtime_ns long"
@@ -22,8 +23,8 @@ META_FIELDS = tuple(f for f in lexicon.META_DEFAULTS if f not in ("parse_track",
 
 
 def under(root: str) -> Column:
-    """The column path, decoded, as a path under root."""
-    path = F.regexp_replace(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), r"^[a-z0-9]+:/+", "/")
+    """The column path as a path under root."""
+    path = F.regexp_replace("path", r"^[a-z0-9]+:/+", "/")
     base = "/" + re.sub(r"^[a-z0-9]+:/*", "", root).strip("/") + "/"
     return F.when(path.startswith(base), F.substring(path, len(base) + 1, 2**31 - 1)).otherwise(path)
 
@@ -43,6 +44,37 @@ def scan_files(spark: SparkSession, root: str, include_sidecars: bool = True) ->
 def doc_state(files: DataFrame) -> DataFrame:
     """source, file_hash, meta_hash ('' without a sidecar) and mtime_ns of every file."""
     hashed = files.select("source", F.sha2("content", 256).alias("file_hash"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"))
+    return _with_sidecars(hashed)
+
+
+def changed_states(spark: SparkSession, root: str, manifest: DataFrame, at_once: int = 10_000) -> DataFrame:
+    """doc_state() of all files under root, where only those are opened whose time differs from the manifest's, or that it lacks.
+
+    Files are listed without their content and compared with the manifest; the others' paths pass
+    through the driver ``at_once`` at a time. A file that is rewritten within one tick of its
+    modification time, as a copy that keeps the time, is taken for unchanged.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "modificationTime")
+    listed = files.select("path", under(root).alias("source"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns")).where(suffix_of("source").isin(*lexicon.TRACKS))
+    scratch = Scratch(spark, "changed-files")
+    known = manifest.select("source", F.col("mtime_ns").alias("_was"), "file_hash")
+    both = scratch.keep(listed.join(known, "source", "left").withColumn("file_hash", F.when(F.col("_was") == F.col("mtime_ns"), F.col("file_hash"))), "listed")
+    hashed, paths = both.where("file_hash is not null").select("source", "mtime_ns", "file_hash"), []
+
+    def read(n: int) -> DataFrame:
+        own = spark.read.format("binaryFile").load(paths).select(under(root).alias("source"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), F.sha2("content", 256).alias("file_hash"))
+        return scratch.keep(own, f"hashed{n}")
+
+    for n, r in enumerate(both.where("file_hash is null").select("path").toLocalIterator(), 1):
+        paths.append(re.sub(r"([*?\[\]{}\\])", r"\\\1", r["path"]))
+        if n % at_once == 0:
+            hashed, paths = hashed.unionByName(read(n)), []
+    if paths:
+        hashed = hashed.unionByName(read(0))
+    return _with_sidecars(hashed)
+
+
+def _with_sidecars(hashed: DataFrame) -> DataFrame:
     side = hashed.where(F.col("source").endswith(SIDECAR)).select(F.col("source").alias("_side"), F.col("file_hash").alias("_hash"))
     joined = hashed.join(side, F.concat("source", F.lit(SIDECAR)) == F.col("_side"), "left")
     return joined.select("source", "file_hash", F.coalesce("_hash", F.lit("")).alias("meta_hash"), "mtime_ns")

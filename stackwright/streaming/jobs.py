@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,9 +49,14 @@ def knowledge_gaps_stream(audit: DataFrame) -> DataFrame:
     return gap_events(audit)
 
 
-def gap_counts(audit: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Questions and gaps in tumbling windows of event time; events later than ``late`` are not counted."""
+def gap_counts(audit: DataFrame, window: str = "1 hour", late: str = "10 minutes", ids: Sequence[str] = ("ts", "question")) -> DataFrame:
+    """Questions and gaps in tumbling windows of event time, each once it is over, for an append sink.
+
+    Events are the same if they agree in ids: of those that arrive within ``late`` of each other
+    one counts. Events later than ``late`` are not counted.
+    """
     rows = audit.where("event = 'query'").withColumn("at", F.to_timestamp("ts")).withWatermark("at", late)
+    rows = rows.dropDuplicatesWithinWatermark(list(ids))
     return rows.groupBy(F.window("at", window).alias("w")).agg(F.count("*").alias("questions"), F.count_if("low_confidence").alias("gaps")).select("w.start", "w.end", "questions", "gaps")
 
 

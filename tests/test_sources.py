@@ -154,3 +154,19 @@ def test_upsert_leaves_stale_chunks_unless_pruned(spark):
     new = spark.createDataFrame([row("a", 0, "n")], old.schema)
     assert sorted(r["id"] for r in Y.upsert_chunks(old, new).collect()) == ["a0", "a1", "b0"]
     assert sorted(r["id"] for r in Y.upsert_chunks(old, new, prune=True).collect()) == ["a0", "b0"]
+
+
+def test_only_changed_files_are_opened(spark, tmp_path):
+    names = ["a.md", "b c+d%20.txt", "sub/x[1]{y}*?.md", "sub/new.log", "a.md.meta.json", "no.exe"]
+    (tmp_path / "in/sub").mkdir(parents=True)
+    for n in names:
+        (tmp_path / "in" / n).write_text(n)
+    root = str(tmp_path / "in")
+    whole = {r["source"]: tuple(r) for r in N.doc_state(N.scan_files(spark, root)).collect()}
+    assert set(whole) == set(names) - {"no.exe"}
+    none = N.read_manifest(spark, str(tmp_path / "manifest"))
+    assert {r["source"]: tuple(r) for r in N.changed_states(spark, root, none, at_once=2).collect()} == whole
+    # what a manifest knows by its time is not read again: its hash is taken as it is
+    known = [("a.md", "known", "", whole["a.md"][3]), ("sub/new.log", "old", "", 1), ("gone.md", "g", "", 2)]
+    got = {r["source"]: tuple(r) for r in N.changed_states(spark, root, spark.createDataFrame(known, N.STATE)).collect()}
+    assert got == whole | {"a.md": ("a.md", "known", whole["a.md"][2], whole["a.md"][3])}
