@@ -53,7 +53,7 @@ def answer_questions(questions: DataFrame, chunks: DataFrame, vectors: DataFrame
     """
     plans = keep(U.execution_plan(U.build_query_plans(questions, rewrites)), "plans")
     kb = plans.where("route = 'kb'")
-    extras = kb.select("query_id", F.posexplode(F.concat(F.slice("variants", 2, 1000), "sub_queries")).alias("place", "rewrite"))
+    extras = kb.select("query_id", F.posexplode(F.concat(F.expr("slice(variants, 2, size(variants))"), "sub_queries")).alias("place", "rewrite"))
     variants = U.expand_queries(kb.select("query_id", F.col("rewritten").alias("question")), synonyms, extras).join(kb.select("query_id", "where"), "query_id")
     asked = kb.select("query_id", "question")
     first = keep(_ranked(_retrieve(variants, chunks, vectors, embed, retrieve_k), asked, rerank_k, scorer), "first")

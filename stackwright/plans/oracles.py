@@ -329,3 +329,37 @@ _HASHES = "list_transform(list_filter(string_split_regex(lower({}), '[\\t-\\r\\x
 SQL["embed"] = f"""with {NEW.replace("content_hash from nl)", "content_hash, content from nl)").replace("select id, source, content_hash from chunks where", "select id, source, content_hash, content from chunks where")}, u as (select content_hash, min(r) r, any_value(content) content from (select content_hash, content, 1 r from oc union all select content_hash, content, 2 from nc) group by content_hash),
 v as (select content_hash, r, {_VECTOR} v from (select content_hash, r, {_HASHES.format("content")} h from u)), l as (select *, sqrt(list_sum(list_transform(v, lambda x: x * x))) n from v)
 select content_hash, r::int as round, list_transform(v, lambda x: case when n > 0 then round((x / n)::float::double, 4) else 0.0 end) as embedding from l"""
+
+
+# ---- hybrid retrieval
+
+
+def _hybrid(variants: str) -> str:
+    """Ranked evidence of variants va (query_id, variant_idx, variant): vector pools, BM25 in each, their fusion and the boosts."""
+    unit = f"list_transform({_VECTOR}, lambda x: x::float)"
+    has = lambda words: " or ".join(f"contains(lower(variant), '{w}')" for w in words)
+    kind = lambda words, a, x, b, y: f"case when {has(words)} then case doc_type when '{a}' then {x} when '{b}' then {y} else 0 end else 0 end"
+    ids = IDS.removeprefix("list_distinct(").removesuffix(")").replace("question", "variant")
+    return f"""{CH}, {variants}, hs as (select t, {_HASHES.format("t")} h from (select content t from chunks union select variant from va)), us as (select t, {unit} v from hs),
+un as (select t, list_transform(v, lambda x: (x / greatest(sqrt(list_sum(list_transform(v, lambda y: (y * y)::double)))::float, 1e-12::float))::float::double) e from us), nn as (select t, e, list_dot_product(e, e) sq from un),
+ds as (select query_id, variant_idx, a.t variant, c.id, a.sq + b.sq - 2 * list_dot_product(a.e, b.e) d from va join nn a on a.t = va.variant, chunks c join nn b on b.t = c.content),
+po as (select * from (select query_id, variant_idx, variant, id, row_number() over (partition by query_id, variant_idx order by round(d, 12), id) vr from ds) where vr <= 75),
+pt as (select query_id, variant_idx, po.id, {TOK.format("content")} t from po join chunks on chunks.id = po.id), pn as (select query_id, variant_idx, count(*) n, avg(len(t)) avgdl from pt group by all),
+px as (select query_id, variant_idx, id, len(t) dl, unnest(t) term from pt), pf as (select query_id, variant_idx, id, dl, term, count(*) tf from px group by all),
+pd as (select query_id, variant_idx, term, ln(n - df + 0.5) - ln(df + 0.5) raw from (select query_id, variant_idx, term, count(*) df from pf group by all) join pn using (query_id, variant_idx)),
+pm as (select query_id, variant_idx, avg(raw) m from pd group by all), pa as (select query_id, variant_idx, term, count(*) times from (select query_id, variant_idx, unnest({TOK.format("variant")}) term from va) group by all),
+pb as (select query_id, variant_idx, id, sum(times * case when raw < 0 then 0.25 * m else raw end * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) b from pf join pd using (query_id, variant_idx, term) join pa using (query_id, variant_idx, term) join pm using (query_id, variant_idx) join pn using (query_id, variant_idx) group by all),
+br as (select query_id, variant_idx, variant, po.id, vr, row_number() over (partition by query_id, variant_idx order by round(coalesce(b, 0), 9) desc, vr) br from po left join pb using (query_id, variant_idx, id)),
+z as (select br.*, c.* exclude (id), list_filter({ids} || regexp_extract_all(variant, '{_DASHED}'), lambda x: length(x) >= 3) xs from br join chunks c on c.id = br.id),
+e as (select *, coalesce(least(list_sum(list_transform(list_filter(xs, lambda x, i: list_position(list_transform(xs, lambda y: upper(y)), upper(x)) = i), lambda x: 1.2 * {HAS.format("source")} + {HAS.format("version")} + {HAS.format("model_type")} + 0.6 * {HAS.format("content")}
+  + case when regexp_matches(x, '^[^-]*-\\d+-\\d+$') then 0.9 * regexp_matches(source, '(?:^|[^A-Za-z0-9])' || regexp_extract(x, '-(.*)$', 1) || '(?:$|[^A-Za-z0-9])')::int else 0 end)), 3.0), 0) ex from z),
+tt as (select *, (1.0 / (60 + vr) + 1.0 / (60 + br) + ex + case when contains(variant, model_type) then 1.0 else -1.6 end + {kind(lexicon.SPEC_WORDS, "test_spec", 1.2, "test_case", -0.6)} + {kind(lexicon.CASE_WORDS, "test_case", 1.2, "test_spec", -0.4)}
+  + least(0.12 * len(list_filter(list_distinct(list_transform(regexp_extract_all(variant, '[A-Za-z0-9_À-ÿ]{{2,}}'), lambda x: lower(x))), lambda x: contains(lower(source), x) and x not in ({", ".join(f"'{w}'" for w in lexicon.WEAK_WORDS)}))), 0.84))::double s from e),
+hy as (select *, row_number() over (partition by query_id, variant_idx order by round(s, 12) desc, vr) as rank from tt)"""
+
+
+SQL["retrieve_hybrid"] = f"with {_hybrid(f'{Q}, va as (select query_id, 0 variant_idx, question variant from q)')} select query_id, rank, id, round(s, 6) as score from hy where rank <= 75"
+_EXPANDED = SQL["expand_queries"].removeprefix("with ").replace("\nselect query_id, i as variant_idx, v as variant from n where i < 5", ", va as (select query_id, i variant_idx, v variant from n where i < 5)")
+SQL["retrieve_hybrid_multi"] = f"""with {_hybrid(_EXPANDED)}, wi as (select *, case when variant_idx = 0 then 1.8 else 1.0 end / (60 + rank) w, source || ':' || doc_id || ':' || substr(content, 1, 64) k from hy where rank <= case when variant_idx = 0 then 30 else 8 end),
+fu as (select query_id, k, sum(w) s, min((variant_idx, rank)) at_, arg_min(id, (variant_idx, rank)) id from wi group by all), ra as (select *, row_number() over (partition by query_id order by round(s, 12) desc, at_) as rank from fu)
+select query_id, rank, id, round(s, 6)::double as score from ra where rank <= 75"""

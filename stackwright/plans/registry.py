@@ -582,9 +582,18 @@ def _embed(variants: DataFrame) -> DataFrame:
     return S.embed(variants, hashed_vectors, "variant")
 
 
+@query
+def retrieve_hybrid(spark, sf):
+    """The hybrid ranking of each question by itself, without variants."""
+    chunks, vectors = _vectors(spark, sf)
+    variants = D.questions(spark, sf).select("query_id", F.lit(0).alias("variant_idx"), F.col("question").alias("variant"))
+    return S.retrieve_hybrid(_embed(variants), chunks, vectors, 5).select("query_id", "rank", "id", "score")
+
+
 @query
 def retrieve_hybrid_multi(spark, sf):
     chunks, vectors = _vectors(spark, sf)
+    vectors = Scratch(spark, "hybrid").keep(vectors, "vectors")
     variants = U.expand_queries(D.questions(spark, sf), U.synonym_table(spark))
     return S.retrieve_hybrid_multi(_embed(variants), chunks, vectors, 5).select("query_id", "rank", "id", "score")
 
