@@ -350,11 +350,11 @@ pd as (select query_id, variant_idx, term, ln(n - df + 0.5) - ln(df + 0.5) raw f
 pm as (select query_id, variant_idx, avg(raw) m from pd group by all), pa as (select query_id, variant_idx, term, count(*) times from (select query_id, variant_idx, unnest({TOK.format("variant")}) term from va) group by all),
 pb as (select query_id, variant_idx, id, sum(times * case when raw < 0 then 0.25 * m else raw end * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) b from pf join pd using (query_id, variant_idx, term) join pa using (query_id, variant_idx, term) join pm using (query_id, variant_idx) join pn using (query_id, variant_idx) group by all),
 br as (select query_id, variant_idx, variant, po.id, vr, row_number() over (partition by query_id, variant_idx order by round(coalesce(b, 0), 9) desc, vr) br from po left join pb using (query_id, variant_idx, id)),
-z as (select br.*, c.* exclude (id), list_filter({ids} || regexp_extract_all(variant, '{_DASHED}'), lambda x: length(x) >= 3) xs from br join chunks c on c.id = br.id),
-e as (select *, coalesce(least(list_sum(list_transform(list_filter(xs, lambda x, i: list_position(list_transform(xs, lambda y: upper(y)), upper(x)) = i), lambda x: 1.2 * {HAS.format("source")} + {HAS.format("version")} + {HAS.format("model_type")} + 0.6 * {HAS.format("content")}
-  + case when regexp_matches(x, '^[^-]*-\\d+-\\d+$') then 0.9 * regexp_matches(source, '(?:^|[^A-Za-z0-9])' || regexp_extract(x, '-(.*)$', 1) || '(?:$|[^A-Za-z0-9])')::int else 0 end)), 3.0), 0) ex from z),
+hz as (select br.*, c.* exclude (id), list_filter({ids} || regexp_extract_all(variant, '{_DASHED}'), lambda x: length(x) >= 3) xs from br join chunks c on c.id = br.id),
+he as (select *, coalesce(least(list_sum(list_transform(list_filter(xs, lambda x, i: list_position(list_transform(xs, lambda y: upper(y)), upper(x)) = i), lambda x: 1.2 * {HAS.format("source")} + {HAS.format("version")} + {HAS.format("model_type")} + 0.6 * {HAS.format("content")}
+  + case when regexp_matches(x, '^[^-]*-\\d+-\\d+$') then 0.9 * regexp_matches(source, '(?:^|[^A-Za-z0-9])' || regexp_extract(x, '-(.*)$', 1) || '(?:$|[^A-Za-z0-9])')::int else 0 end)), 3.0), 0) ex from hz),
 tt as (select *, (1.0 / (60 + vr) + 1.0 / (60 + br) + ex + case when contains(variant, model_type) then 1.0 else -1.6 end + {kind(lexicon.SPEC_WORDS, "test_spec", 1.2, "test_case", -0.6)} + {kind(lexicon.CASE_WORDS, "test_case", 1.2, "test_spec", -0.4)}
-  + least(0.12 * len(list_filter(list_distinct(list_transform(regexp_extract_all(variant, '[A-Za-z0-9_À-ÿ]{{2,}}'), lambda x: lower(x))), lambda x: contains(lower(source), x) and x not in ({", ".join(f"'{w}'" for w in lexicon.WEAK_WORDS)}))), 0.84))::double s from e),
+  + least(0.12 * len(list_filter(list_distinct(list_transform(regexp_extract_all(variant, '[A-Za-z0-9_À-ÿ]{{2,}}'), lambda x: lower(x))), lambda x: contains(lower(source), x) and x not in ({", ".join(f"'{w}'" for w in lexicon.WEAK_WORDS)}))), 0.84))::double s from he),
 hy as (select *, row_number() over (partition by query_id, variant_idx order by round(s, 12) desc, vr) as rank from tt)"""
 
 
@@ -363,3 +363,7 @@ _EXPANDED = SQL["expand_queries"].removeprefix("with ").replace("\nselect query_
 SQL["retrieve_hybrid_multi"] = f"""with {_hybrid(_EXPANDED)}, wi as (select *, case when variant_idx = 0 then 1.8 else 1.0 end / (60 + rank) w, source || ':' || doc_id || ':' || substr(content, 1, 64) k from hy where rank <= case when variant_idx = 0 then 30 else 8 end),
 fu as (select query_id, k, sum(w) s, min((variant_idx, rank)) at_, arg_min(id, (variant_idx, rank)) id from wi group by all), ra as (select *, row_number() over (partition by query_id order by round(s, 12) desc, at_) as rank from fu)
 select query_id, rank, id, round(s, 6)::double as score from ra where rank <= 75"""
+_MULTI = SQL["retrieve_hybrid_multi"].rpartition("\n")[0].replace("ra as (select *,", "hits as (select query_id, id, rank from (select *,").replace(" as rank from fu)", " as rank from fu) where rank <= 75)")
+SQL["answer_evidence"] = f"""{_MULTI}, {RERANKED.removeprefix(f"{BM25}, {Q}, ")}, mx as (select query_id, max(s) best from rr where rank <= 12 group by query_id),
+ca as (select *, row_number() over (partition by query_id, source order by rank) k from rr where rank <= 12), ev as (select *, row_number() over (partition by query_id order by rank) place from ca where k <= 5)
+select query_id, place as rank, id, round(s, 3) as rerank_score, round(best, 3) as max_score, best < 0.1 as low_confidence from ev join mx using (query_id) where place <= 3"""

@@ -598,6 +598,17 @@ def retrieve_hybrid_multi(spark, sf):
     return S.retrieve_hybrid_multi(_embed(variants), chunks, vectors, 5).select("query_id", "rank", "id", "score")
 
 
+@query
+def answer_evidence(spark, sf):
+    """The evidence of every question's first pass: hybrid retrieval over its variants, reranked and capped, with what is in doubt."""
+    chunks, vectors = _vectors(spark, sf)
+    vectors = Scratch(spark, "hybrid").keep(vectors, "vectors")
+    questions = D.questions(spark, sf)
+    evidence = S.retrieve_hybrid_multi(_embed(U.expand_queries(questions, U.synonym_table(spark))), chunks, vectors, 5)
+    top = R.dedupe_sources(R.rerank_with_scores(evidence, questions, R.rerank_pool(3)), 3)
+    return top.select("query_id", "rank", "id", F.round("rerank_score", 3).alias("rerank_score"), F.round("max_score", 3).alias("max_score"), R.low_confidence(F.col("max_score")).alias("low_confidence"))
+
+
 @query
 def answer_questions(spark, sf):
     chunks, vectors = _vectors(spark, sf)
