@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from stackwright.functions import lexicon
 from stackwright.functions import text as X
+from stackwright.sources.scratch import Scratch
 
 #: Words of a learned dictionary at most (it goes to every task), and characters of one.
 MOST_WORDS, LONGEST = 200_000, 4
@@ -33,12 +34,15 @@ def learn_words(docs: DataFrame, least: int = 10, cohesion: float = 4.0, most: i
     often as its parts would meet by chance. The most frequent words stay. Null texts hold none.
     """
     runs = X.find_all(F.coalesce(F.col(column), F.lit("")), f"[{X.HAN}]+")
-    windows = lambda r, n: F.when(F.length(r) >= n, F.transform(F.sequence(F.lit(1), F.length(r) - (n - 1)), lambda i: F.substring(r, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    grams = F.flatten(F.transform(runs, lambda r: F.concat(*[windows(r, n) for n in range(1, LONGEST + 1)])))
+    none = F.array().cast("array<string>")
+    windows = lambda a, n: F.when(F.size(a) >= n, F.transform(F.sequence(F.lit(1), F.size(a) - (n - 1)), lambda i: F.array_join(F.slice(a, i, n), ""))).otherwise(none)
+    # by arrays of characters: finding a place in a long string would start from its beginning each time
+    chars = lambda r: F.filter(F.split(r, ""), lambda c: c != "")
+    grams = F.flatten(F.transform(runs, lambda r: X.let(chars(r), lambda a: F.concat(*[windows(a, n) for n in range(1, LONGEST + 1)]))))
     counts = docs.select(F.explode(grams).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     # grams are as many as the corpus is varied; those that are too rare go before anything is joined
-    counts = counts.where((F.col("n") >= least) | (F.length("word") == 1))
-    singles = counts.where(F.length("word") == 1).agg(F.sum("n").alias("total"))
+    counts = Scratch(docs.sparkSession, "grams").keep(counts.where((F.col("n") >= least) | (F.length("word") == 1)), "counts")
+    total = counts.where(F.length("word") == 1).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     words = counts.where(F.length("word") > 1)
     for cut in range(1, LONGEST):
         left = counts.select(F.col("word").alias("a"), F.col("n").alias(f"a{cut}"))
@@ -46,9 +50,9 @@ def learn_words(docs: DataFrame, least: int = 10, cohesion: float = 4.0, most: i
         words = words.withColumns({"a": F.substring("word", 1, cut), "b": F.expr(f"substring(word, {cut + 1})")}).join(left, "a", "left").join(right, "b", "left").drop("a", "b")
     holds = F.lit(True)
     for cut in range(1, LONGEST):
-        chance = F.col("n").cast("double") * F.col("total") >= F.lit(cohesion) * F.col(f"a{cut}") * F.col(f"b{cut}")
+        chance = F.col("n").cast("double") * F.lit(total) >= F.lit(cohesion) * F.col(f"a{cut}") * F.col(f"b{cut}")
         holds &= F.when(F.length("word") > cut, chance).otherwise(True)
-    words = words.crossJoin(F.broadcast(singles)).where(holds).select("word", "n")  # one row
+    words = words.where(holds).select("word", "n")
     return words.unionByName(counts.where(F.length("word") == 1)).orderBy(F.desc("n"), "word").limit(most)
 
 

@@ -14,9 +14,10 @@ _INNER = r"(?<=[^\p{L}\p{N}])[\p{L}\p{N}]+(?=[^\p{L}\p{N}])"
 
 
 def _grams(text: Column, n: int) -> Column:
-    """The distinct windows of n characters."""
-    windows = F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.concat(F.lit("g"), F.substring(text, i, F.lit(n))))
-    return F.when(F.length(text) >= n, F.array_distinct(windows)).otherwise(F.array().cast("array<string>"))
+    """The distinct windows of n characters, from an array of characters: a place in a long string is not found at once."""
+    none = F.array().cast("array<string>")
+    windows = lambda a: F.when(F.size(a) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(a) - (n - 1)), lambda i: F.concat(F.lit("g"), F.array_join(F.slice(a, i, n), ""))))).otherwise(none)
+    return X.let(F.filter(F.split(text, ""), lambda c: c != ""), windows)
 
 
 def holding(texts: DataFrame, terms: DataFrame, text: str, term: str) -> DataFrame:
