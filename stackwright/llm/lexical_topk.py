@@ -216,6 +216,19 @@ def blocks(items: DataFrame) -> Iterator[tuple[list, Asked]]:
         yield close()
 
 
+def _longest(vectors: DataFrame, n: int | None = None) -> DataFrame:
+    """About n of the rows with the greatest norms, left where they are: whole bins of norms, and of the last bin a part by hash."""
+    n, bin_ = n or FIRST, F.floor(F.log2(F.col("norm") + 1) * 16)
+    counts = sorted(((r["b"], r["n"]) for r in vectors.groupBy(bin_.alias("b")).agg(F.count("*").alias("n")).collect()), reverse=True)  # at most some hundred bins
+    above = 0
+    for b, own in counts:
+        if above + own >= n:
+            part = int(1_000_000 * (n - above) / own) + 1
+            return vectors.where((bin_ > b) | ((bin_ == b) & (F.pmod(F.xxhash64("doc"), F.lit(1_000_000)) < part)))
+        above += own
+    return vectors
+
+
 def _one_block(spark: SparkSession, scratch: Scratch, name: str, docs: DataFrame, ids: list, asked: Asked, k: int, stats: tuple[int, int] | None) -> tuple[DataFrame, tuple[int, int]]:
     sc = spark.sparkContext
     asked.k = k
@@ -228,10 +241,10 @@ def _one_block(spark: SparkSession, scratch: Scratch, name: str, docs: DataFrame
     asked.weight, asked.edge = weights(df, n), np.zeros(asked.n, np.int64)
     vectors = found.where("size(terms) > 0").mapInPandas(_impacts(sc.broadcast(asked.weight), n, max(words, 1)), "doc long, norm double, terms array<int>, xs array<long>")
     vectors = scratch.keep(vectors, f"{name}-vectors")
-    # the first edges, from the longest vectors of all
-    longest = vectors.orderBy(F.desc("norm")).limit(FIRST)
-    first = longest.sortWithinPartitions(F.desc("norm")).mapInPandas(_search(sc.broadcast(asked)), HITS)
-    edges = first.groupBy("query").agg(F.count("*").alias("n"), F.min("score").alias("edge")).where(F.col("n") >= k).collect()
+    # the first edges, from about FIRST of the longest vectors of all, wherever they are
+    first = _longest(vectors).sortWithinPartitions(F.desc("norm")).mapInPandas(_search(sc.broadcast(asked)), HITS)
+    kth = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc"))
+    edges = first.withColumn("r", kth).where(F.col("r") == k).select("query", F.col("score").alias("edge")).collect()
     for r in edges:
         asked.edge[r["query"]] = r["edge"]
     hits = vectors.sortWithinPartitions(F.desc("norm")).mapInPandas(_search(sc.broadcast(asked)), HITS)

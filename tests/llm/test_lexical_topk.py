@@ -93,3 +93,12 @@ def test_odd_rows(spark):
     assert [tuple(r) for r in X.search(spark, docs, items).orderBy("rank").collect()] == brute([(1, long), (2, "w" * 3_000_000), (3, "Needle")], [(1, "needle")])
     for d, i in ((docs.limit(0), items), (docs, items.limit(0)), (docs.where("doc_id > 9"), items)):
         assert X.search(spark, d, i).columns == ["item_id", "rank", "doc_id", "score"] and X.search(spark, d, i).count() == 0
+
+
+def test_the_longest_vectors_are_taken_where_they_are(spark):
+    rows = spark.range(20_000).selectExpr("id doc", "case when id < 15000 then 7.0D else cast(id as double) end norm")
+    for n in (100, 1000, 5000, 12_000):
+        got = X._longest(rows, n)
+        assert 0.8 * n <= got.count() <= 1.2 * n + 50
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert X._longest(rows, 10**6).count() == 20_000 and X._longest(rows.limit(0), 5).count() == 0
