@@ -42,6 +42,14 @@ def _operators(spark, docs, labels):
     }
 
 
+@pytest.mark.parametrize("name", ["op1", "op2", "op3", "op4", "op6", "op8"])
+def test_one_very_long_word(spark, labels, name):
+    words = [("w" * 2_000_000), ("7" * 1_000_000), ("aB3" * 500_000)]
+    rows = [(2, "the house and the garden", "en", "s"), (3, "of and to in is", "en", "s"), *[(10 + i, w, "en", "s") for i, w in enumerate(words)]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert sorted(r["doc_id"] for r in _operators(spark, df, labels)[name](df).collect()) == [2, 3, 10, 11, 12]
+
+
 def _carried(rows):
     """What a caller's own columns hold, however often."""
     return Counter(tuple(r[c] for c in ("doc_id", "lang", "source", *OWN)) for r in rows)
