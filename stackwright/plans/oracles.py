@@ -367,3 +367,9 @@ _MULTI = SQL["retrieve_hybrid_multi"].rpartition("\n")[0].replace("ra as (select
 SQL["answer_evidence"] = f"""{_MULTI}, {RERANKED.removeprefix(f"{BM25}, {Q}, ")}, mx as (select query_id, max(s) best from rr where rank <= 12 group by query_id),
 ca as (select *, row_number() over (partition by query_id, source order by rank) k from rr where rank <= 12), ev as (select *, row_number() over (partition by query_id order by rank) place from ca where k <= 5)
 select query_id, place as rank, id, round(s, 3) as rerank_score, round(best, 3) as max_score, best < 0.1 as low_confidence from ev join mx using (query_id) where place <= 3"""
+_FUSED = _MULTI.partition(", wi as (")[2]
+SQL["supplement_pass"] = f"""with f0 as ({SQL["answer_evidence"].replace("select query_id, place as rank, id,", "select query_id, place, id, source,")}), c0 as ({SQL["critique_answer"]}), q0 as (with {Q} select query_id, question from q),
+w0 as (select query_id, array_to_string(missing_keywords, ' ') || ' ' || question question from c0 join q0 using (query_id) where not passed and len(missing_keywords) > 0),
+m0 as (with {_hybrid("q as (select query_id, question from w0), va as (select query_id, 0 variant_idx, question variant from q)")}, wi as ({_FUSED}, {RERANKED.removeprefix(f"{BM25}, {Q}, ")} select query_id, rank, id, source from rr where rank <= 12),
+b0 as (select query_id, 0 part, place r, id, source from f0 union all select query_id, 1, rank, id, source from m0), k0 as (select *, row_number() over (partition by query_id, source order by part, r) k from b0),
+n0 as (select *, row_number() over (partition by query_id order by part, r) place from k0 where k <= 5) select query_id, place as rank, id, part = 1 as added from n0 where place <= 5"""

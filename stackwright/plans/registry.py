@@ -598,17 +598,31 @@ def retrieve_hybrid_multi(spark, sf):
     return S.retrieve_hybrid_multi(_embed(variants), chunks, vectors, 5).select("query_id", "rank", "id", "score")
 
 
+def _first_pass(spark, sf):
+    chunks, vectors = _vectors(spark, sf)
+    vectors, questions = Scratch(spark, "hybrid").keep(vectors, "vectors"), D.questions(spark, sf)
+    evidence = S.retrieve_hybrid_multi(_embed(U.expand_queries(questions, U.synonym_table(spark))), chunks, vectors, 5)
+    return R.dedupe_sources(R.rerank_with_scores(evidence, questions, R.rerank_pool(3)), 3), chunks, vectors
+
+
 @query
 def answer_evidence(spark, sf):
     """The evidence of every question's first pass: hybrid retrieval over its variants, reranked and capped, with what is in doubt."""
-    chunks, vectors = _vectors(spark, sf)
-    vectors = Scratch(spark, "hybrid").keep(vectors, "vectors")
-    questions = D.questions(spark, sf)
-    evidence = S.retrieve_hybrid_multi(_embed(U.expand_queries(questions, U.synonym_table(spark))), chunks, vectors, 5)
-    top = R.dedupe_sources(R.rerank_with_scores(evidence, questions, R.rerank_pool(3)), 3)
+    top, _, _ = _first_pass(spark, sf)
     return top.select("query_id", "rank", "id", F.round("rerank_score", 3).alias("rerank_score"), F.round("max_score", 3).alias("max_score"), R.low_confidence(F.col("max_score")).alias("low_confidence"))
 
 
+@query
+def supplement_pass(spark, sf):
+    """That evidence with what a second search adds for answers that miss their keys: the answers of critique_answer."""
+    first, chunks, vectors = _first_pass(spark, sf)
+    first = Scratch(spark, "supplement").keep(first, "first")
+    answers = D.passages(spark, sf).select("query_id", F.concat("question", F.lit(" wps-3000 vis-1001")).alias("answer"))
+    both = answer.supplement_pass(first, _plans(spark, sf), answers, chunks, vectors, _embed, rerank_k=5)
+    own = first.groupBy("query_id").agg(F.max("rank").alias("_n"))
+    return both.join(own, "query_id", "left").select("query_id", "rank", "id", (F.col("rank") > F.coalesce("_n", F.lit(0))).alias("added"))
+
+
 @query
 def answer_questions(spark, sf):
     chunks, vectors = _vectors(spark, sf)
