@@ -9,9 +9,8 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator, Mapping
+from collections.abc import Mapping
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,7 +19,7 @@ from stackwright.functions import lexicon
 from stackwright.functions import text as X
 from stackwright.operators.line_scan import Scan, neighbour_issues
 
-FENCE = r"^(?:`{3,}|~{3,})"
+FENCE = rf"^[{X.WS}]*(?:`{{3,}}|~{{3,}})"
 HEADING = r"^#{1,6}\s+\S"
 ISSUE = ("file_path", "line", "col", "level", "category", "message", "context", "suggestion")
 
@@ -44,10 +43,10 @@ def explode_lines(docs: DataFrame) -> DataFrame:
     A document is cut at its fences, and every second part is code: all of it within the row, so
     that rules which look at one line alone need no shuffle at all.
     """
-    fenced = lambda a: F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: X.strip(F.get(a, i)).rlike(FENCE))
+    fenced = lambda a: F.filter(F.sequence(F.lit(0), F.size(a) - 1), lambda i: F.get(a, i).rlike(FENCE))
     parts = lambda a, f: X.runs(a, F.array_distinct(F.concat(F.array(F.lit(0)), f)))
     # a part that begins with a fence is code if an even number of fences came before it; the fence that ends code is code itself
-    flags = lambda p: F.transform(p, lambda x, i: X.let(F.when(X.strip(F.get(p, 0)[0]).rlike(FENCE), i).otherwise(i - 1), lambda n: F.transform(x, lambda y, j: F.struct(y.alias("line"), ((n >= 0) & ((n % 2 == 0) | (j == 0))).alias("in_code")))))
+    flags = lambda p: F.transform(p, lambda x, i: X.let(F.when(F.get(p, 0)[0].rlike(FENCE), i).otherwise(i - 1), lambda n: F.transform(x, lambda y, j: F.struct(y.alias("line"), ((n >= 0) & ((n % 2 == 0) | (j == 0))).alias("in_code")))))
     own = X.let(X.lines("text"), lambda a: F.when(F.size(a) > 0, F.flatten(X.let(X.let(fenced(a), lambda f: parts(a, f)), flags))))
     rows = docs.select("file_path", F.posexplode(own).alias("p", "x")).select("file_path", (F.col("p") + 1).alias("lineno"), "x.line", X.strip("x.line").alias("stripped"), "x.in_code")
     return rows.withColumn("plain", X.strip_inline_markup("line"))
@@ -74,23 +73,6 @@ def _text(lines: DataFrame) -> DataFrame:
     return lines.where("not in_code")
 
 
-def check_repeated_words(lines: DataFrame) -> DataFrame:
-    """A group of 2 to 4 Han characters twice in a row, and a doubled particle; each match is an error."""
-    phrase, particle = re.compile(r"([一-鿿]{2,4})\1"), re.compile(r"([的了着过地得也都就还])\1")
-
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            got = [(f, n, m.start() + 1, kind, m[1], line) for f, n, plain, line in pdf.itertuples(index=False) for kind, p in ((0, phrase), (1, particle)) for m in p.finditer(plain)]
-            yield pd.DataFrame(got, columns=["file_path", "lineno", "at", "kind", "word", "line"])
-
-    some = _text(lines).where(F.col("plain").rlike(rf"([{X.HAN}]{{1,4}})\1")).select("file_path", "lineno", "plain", "line")
-    rows = some.mapInPandas(find, "file_path string, lineno int, at int, kind int, word string, line string")
-    w = F.col("word")
-    message = F.when(F.col("kind") == 0, _said('疑似重复词语："%s%s"', w, w)).otherwise(_said('助词/副词重复："%s%s"', w, w))
-    fix = F.when(F.col("kind") == 0, _said('检查是否误写重复，应为："%s"', w)).otherwise(_said('删除多余的"%s"', w))
-    return _issue(rows, F.col("lineno"), F.col("at"), "error", TYPO, message, _context(), fix)
-
-
 def _issues(when: Column, col, level: str, category: str, message, context, suggestion="") -> Column:
     """An array with the issue of a line, if it has it."""
     c = lambda x: F.lit(x) if isinstance(x, str | int) else x
@@ -105,6 +87,28 @@ def _each(lines: DataFrame, *found: Column) -> DataFrame:
     return rows.select("file_path", F.col("lineno").cast("int").alias("line"), *[f"x.{c}" for c in ISSUE[2:]])
 
 
+def _repeated_issues() -> list[Column]:
+    """Every match is an issue, at its own place: it is looked for from the end of the one before, as what reads the same is a match itself."""
+    none = "array<struct<at:int,w:string>>"
+
+    def of(pattern: str, message: str, fix: str) -> Column:
+        found = F.regexp_extract_all("plain", F.lit(pattern), F.lit(0))
+        half = lambda m: F.substring(m, F.lit(1), (F.length(m) / 2).cast("int"))
+        step = lambda s, m: X.let(F.call_function("locate", m, F.col("plain"), s["p"]), lambda at: F.struct((at + F.length(m)).alias("p"), F.concat(s["x"], F.array(F.struct(at.alias("at"), half(m).alias("w")))).alias("x")))
+        placed = F.aggregate(found, F.struct(F.lit(1).alias("p"), F.array().cast(none).alias("x")), step)["x"]
+        said = lambda x: {
+            "col": x["at"], "level": F.lit("error"), "category": F.lit(TYPO), "message": F.format_string(message, *[x["w"]] * message.count("%s")), "context": _context(), "suggestion": F.format_string(fix, x["w"]),
+        }
+        return F.when(F.col("plain").rlike(pattern), F.transform(placed, lambda x: F.struct(*[v.alias(k) for k, v in said(x).items()])))
+
+    return [of(rf"([{X.HAN}]{{2,4}})\1", '疑似重复词语："%s%s"', '检查是否误写重复，应为："%s"'), of(r"([的了着过地得也都就还])\1", '助词/副词重复："%s%s"', '删除多余的"%s"')]
+
+
+def check_repeated_words(lines: DataFrame) -> DataFrame:
+    """A group of 2 to 4 Han characters twice in a row, and a doubled particle; each match is an error."""
+    return _each(lines, *_repeated_issues())
+
+
 def _heading_issues() -> list[Column]:
     r = X.rstrip("line")
     close = _issues(r.rlike(r"^#{1,6}[^#\s\n]"), 1, "error", FORMAT, "标题 # 号后缺少空格", F.substring(r, 1, 80), _said('改为："%s"', F.regexp_replace(r, r"^(#{1,6})", "$1 ")))
@@ -237,16 +241,14 @@ def check_documents(docs: DataFrame, config: Mapping | None = None, files: DataF
     """All issues of (file_path, text), without those on links unless a listing of files (path) is given.
 
     Nothing is shuffled but links and very long documents: one pass over the lines for the rules on
-    single ones, one over the documents for the rules on neighbours, and one over what may have a
-    repeated word.
+    single ones, and one over the documents for the rules on neighbours.
     """
     cfg = check_config(config)
     lines = explode_lines(docs)
     scan = Scan({"typo": TYPO, "format": FORMAT, "structure": STRUCTURE, "readability": READABILITY}, cfg["max_blank_lines"], cfg["max_paragraph_length"])
-    some = docs.where(F.col("text").rlike(f"[{X.HAN}]"))  # without a Han character no word is repeated
     found = [
-        _each(lines, *_heading_issues(), _note_issues(cfg["note_keywords"]), _spacing_issues(), *_term_issues(cfg["preferred_terms"])),
-        check_repeated_words(explode_lines(some)), neighbour_issues(docs, scan).select(*ISSUE),
+        _each(lines, *_repeated_issues(), *_heading_issues(), _note_issues(cfg["note_keywords"]), _spacing_issues(), *_term_issues(cfg["preferred_terms"])),
+        neighbour_issues(docs, scan).select(*ISSUE),
     ]
     if files is not None:
         found.append(check_broken_links(explode_lines(docs.where(F.contains("text", F.lit("](")))), files))

@@ -1,5 +1,9 @@
+import random
+import re
+
 import pytest
 
+from stackwright.functions import text as X
 from stackwright.operators import checker as C
 
 CASES = {
@@ -48,3 +52,17 @@ def test_undecodable_and_summary(spark):
     assert {(r["file_path"], r["total"]) for r in C.check_summary(issues).collect()} == {("a", 1), ("b", 1), (None, 2)}
     assert C.filter_level(issues, "error").count() == 2
     assert C.check_config({"max_blank_lines": 5})["max_blank_lines"] == 5
+
+
+def test_blanks_are_trimmed_and_repeats_placed_as_python_has_it(spark):
+    rng = random.Random(5)
+    blanks = [c for c in map(chr, range(0x3001)) if c.isspace()]
+    assert sorted(blanks) == sorted(X.BLANKS)
+    texts = ["".join(rng.choices([*blanks, "a", "é", "中", "😀"], k=rng.randint(0, 9))) for _ in range(500)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.strip("t").alias("s"), X.rstrip("t").alias("r")).collect()
+    assert all(r["s"] == r["t"].strip() and r["r"] == r["t"].rstrip() for r in rows)
+    docs = [(str(i), "".join(rng.choices("进行的的了中 进😀", k=rng.randint(0, 24)))) for i in range(500)]
+    got = C.check_repeated_words(C.explode_lines(spark.createDataFrame(docs, "file_path string, text string"))).collect()
+    rules = ((r"([一-鿿]{2,4})\1", '疑似重复词语："%s%s"'), (r"([的了着过地得也都就还])\1", '助词/副词重复："%s%s"'))
+    want = [(f, m.start() + 1, said % (m[1], m[1])) for f, t in docs for p, said in rules for m in re.finditer(p, t)]
+    assert sorted((r["file_path"], r["col"], r["message"]) for r in got) == sorted(want)
