@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stackwright.functions import text as X
+from stackwright.operators import rerank
 from stackwright.operators.contain import holding
 
 UPLIFT = 0.15
@@ -133,3 +134,48 @@ def routing_scorecard(plans: DataFrame, expected: DataFrame) -> DataFrame:
         F.count_if((F.col("expected_route") == "kb") & ~ok).alias("kb_misrouted"), wrong("expected_tools", F.col("tools")).alias("tool_mismatch"),
         wrong("expected_strategy", F.col("policy.strategy")).alias("strategy_mismatch"), wrong("expected_filters", F.col("filters")).alias("filter_mismatch"),
     )
+
+
+#: What a case of the self-check may expect of its step; null expects nothing. Listed issues, missing entities and parts of a query
+#: must all be there; doc_type is that of the new filter, empty for a filter that must have none; coverage is to 2 places.
+EXPECT = "passed boolean, issues array<string>, missing array<string>, retry boolean, query string, query_has array<string>, doc_type string, coverage double"
+STEPS = ("evidence", "decision", "retry", "answer")
+
+
+def self_check(cases: DataFrame, evidence: DataFrame) -> DataFrame:
+    """query_id, step, passed and missed: what each case expects of its critique or retry, and which expectations fail.
+
+    cases: query_id (one case each), step (evidence: its critique; decision: is there a retry; retry:
+    its query and filter; answer: its critique), the plan (intent, question, rewritten, variants,
+    sub_queries, entities, where), what the step is given (issues, missing_entities, policy, attempt,
+    answer) and expect (fields of EXPECT). evidence: query_id, rank, doc_type, content and max_score of
+    the first step's cases; it is shuffled with them once, other cases meet no evidence. A case of
+    another step, or that expects what its step does not tell, fails; one that expects nothing passes.
+    """
+    critique = rerank.critique_evidence(cases.where(F.col("step") == "evidence"), evidence)
+    seen = critique.select("query_id", F.struct("passed", "issues", "missing_entities").alias("_seen"))
+    of = lambda step, value: F.when(F.col("step") == step, value)
+    query, where = rerank.build_retry_query(F.col("policy.strategy"))
+    found = cases.where(F.col("step") == "evidence").join(seen, "query_id", "left")
+    rest = cases.where(~F.col("step").eqNullSafe(F.lit("evidence"))).withColumn("_seen", F.lit(None).cast(found.schema["_seen"].dataType))
+    answer = rerank.critique_answer(F.col("entities"), F.col("answer"))
+    rows = found.unionByName(rest).withColumns({
+        "_answer": of("answer", answer), "_retry": of("decision", rerank.should_retry(F.col("issues"), F.col("policy"), F.coalesce("attempt", F.lit(0)))),
+        "_query": of("retry", query), "_type": of("retry", F.coalesce(where["doc_type"], F.lit(""))),
+    })
+    e = lambda name: F.col("expect")[name]
+    within = lambda name, got: F.size(F.array_except(e(name), got)) == 0
+    met = {
+        "passed": F.coalesce(F.col("_seen.passed"), F.col("_answer.passed")) == e("passed"), "issues": within("issues", F.col("_seen.issues")), "missing": within("missing", F.col("_seen.missing_entities")),
+        "retry": F.col("_retry") == e("retry"), "query": F.col("_query") == e("query"), "query_has": F.forall(e("query_has"), lambda x: F.contains(F.col("_query"), x)),
+        "doc_type": F.col("_type") == e("doc_type"), "coverage": F.col("_answer.coverage_rate") == e("coverage"),
+    }
+    failed = [F.when(~F.coalesce(F.col("step").isin(*STEPS), F.lit(False)), "step"), *[F.when(e(name).isNotNull() & ~F.coalesce(ok, F.lit(False)), name) for name, ok in met.items()]]
+    out = rows.select("query_id", "step", F.filter(F.array(*failed), lambda x: x.isNotNull()).alias("missed"))
+    return out.select("query_id", "step", (F.size("missed") == 0).alias("passed"), "missed")
+
+
+def gate(checks: DataFrame) -> DataFrame:
+    """Cases, passed ones, their rate (4 places) and whether all passed, of each step and in a row with a null step of all; no case, no pass."""
+    rows = checks.select(F.coalesce("step", F.lit("")).alias("step"), "passed").rollup("step")
+    return rows.agg(F.count("*").alias("n"), F.count_if("passed").alias("n_passed"), F.round(F.avg(F.col("passed").cast("int")), 4).alias("rate"), F.coalesce(F.bool_and("passed"), F.lit(False)).alias("accepted"))

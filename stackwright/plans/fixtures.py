@@ -125,3 +125,28 @@ def vectors(spark: SparkSession, sf: str) -> DataFrame:
 def vector_queries(spark: SparkSession, sf: str) -> DataFrame:
     """The stated query set: every vector whose id is a multiple of 100."""
     return table(spark, sf, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+def reflection_cases(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """A case of the self-check for each document, and the evidence of every fourth; some expect what does not come."""
+    none, code = "cast(array() as array<string>)", "concat('VIS-', 1000 + doc_id % 50)"
+    docs = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    n, want = "(doc_id div 4)", lambda step, value, kind: f"case when doc_id % 4 = {step} then cast({value} as {kind}) end"
+    expect = {
+        "passed": "case doc_id % 4 when 0 then doc_id % 20 >= 10 when 3 then doc_id % 3 = 0 end", "issues": want(0, "case when doc_id % 20 < 10 then array('low_confidence') end", "array<string>"),
+        "missing": want(0, f"case when doc_id % 8 <> 0 then array({code}) end", "array<string>"), "retry": want(1, "doc_id % 3 = 0", "boolean"),
+        "query": want(2, f"case {n} % 4 when 2 then 'part ' || doc_id when 3 then md5(text) end", "string"), "query_has": want(2, "array(md5(text))", "array<string>"),
+        "doc_type": want(2, "''", "string"), "coverage": want(3, "0.5", "double"),
+    }
+    cases = docs.select(
+        F.col("doc_id").alias("query_id"), F.expr("case doc_id % 4 when 0 then 'evidence' when 1 then 'decision' when 2 then 'retry' else 'answer' end").alias("step"),
+        F.expr("if(doc_id % 3 = 0, 'release_note', 'general')").alias("intent"), F.md5("text").alias("question"), F.expr("'r ' || md5(text)").alias("rewritten"),
+        F.expr("array(md5(text), 'v ' || doc_id)").alias("variants"), F.expr(f"if(doc_id % 3 = 0, array('part ' || doc_id), {none})").alias("sub_queries"),
+        F.expr(f"named_struct('fault_codes', array({code}), 'doc_ids', {none}, 'model_types', if(doc_id % 4 = 3, array('WPS-3000'), {none}), 'versions', {none})").alias("entities"),
+        F.expr("named_struct('doc_type', 'spec', 'version', 'V1.0')").alias("where"), F.expr("array(if(doc_id % 3 = 0, 'low_confidence', 'type_mismatch'))").alias("issues"), F.expr(none).alias("missing_entities"),
+        F.expr(f"named_struct('max_retries', 1, 'trigger_conditions', array('low_confidence'), 'strategy', element_at(array('exact_match_boost', 'tighten_filter', 'expand_query', 'relax_filter'), cast({n} % 4 + 1 as int)))").alias("policy"),
+        F.expr(f"cast({n} % 2 as int)").alias("attempt"), F.expr(f"text || if(doc_id % 3 = 0, lower({code}), '') || if(doc_id % 5 = 0, ' WPS-3000', '')").alias("answer"),
+        F.struct(*[F.expr(x).alias(name) for name, x in expect.items()]).alias("expect"),
+    )
+    evidence = docs.where("doc_id % 4 = 0").select(F.col("doc_id").alias("query_id"), F.lit(1).alias("rank"), F.expr("if(doc_id % 5 = 0, 'release_note', 'spec')").alias("doc_type"), F.expr(f"text || if(doc_id % 8 = 0, ' ' || lower({code}), '')").alias("content"), F.expr("(doc_id % 20) / 100.0D").alias("max_score"))
+    return cases, evidence

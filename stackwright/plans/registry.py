@@ -851,3 +851,13 @@ def report(spark, sf):
 def routing_scorecard(spark, sf):
     want = D.questions(spark, sf).select("query_id", F.expr("case query_id % 8 when 4 then 'sql' when 6 then 'web' when 7 then 'manual' else 'kb' end").alias("expected_route"), F.expr("case when query_id % 8 = 2 then 'exact_match_boost' end").alias("expected_strategy"))
     return E.routing_scorecard(U.execution_plan(_plans(spark, sf)), want)
+
+
+@query
+def self_check(spark, sf):
+    return E.self_check(*D.reflection_cases(spark, sf))
+
+
+@query
+def self_check_gate(spark, sf):
+    return E.gate(E.self_check(*D.reflection_cases(spark, sf)))
