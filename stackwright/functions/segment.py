@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from stackwright.functions import lexicon
 from stackwright.functions import text as X
+from stackwright.functions.batches import text_runs
 from stackwright.sources.scratch import Scratch
 
 #: Words of a learned dictionary at most (it goes to every task), and characters of one.
@@ -169,9 +170,7 @@ def segmenter(spark: SparkSession, words: DataFrame, user_words: Sequence[str] =
 
     @F.pandas_udf("array<string>")
     def of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in parts:
-            own = texts.tolist()
-            # some texts at a time, so that what is built of a batch stays small
-            yield pd.Series([t for a in range(0, len(own), 256) for t in held.value.cut(own[a : a + 256])], index=texts.index, dtype=object)
+        for texts in text_runs(parts):
+            yield pd.Series(held.value.cut(texts.tolist()), index=texts.index, dtype=object)
 
     return lambda c: of(X.col(c))

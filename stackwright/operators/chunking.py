@@ -19,6 +19,7 @@ from pyspark.sql.window import Window
 
 from stackwright.functions import lexicon
 from stackwright.functions import text as X
+from stackwright.functions.batches import text_runs
 from stackwright.sources.scratch import Scratch
 
 MAX_CHARS, MIN_CHARS = 800, 60
@@ -105,7 +106,7 @@ def blocks_of(text: str) -> list[tuple[str, str]]:
 def _blocks(text: Column | str) -> Column:
     @F.pandas_udf("array<struct<kind: string, body: string>>")
     def of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in parts:
+        for texts in text_runs(parts):
             yield pd.Series([[{"kind": k, "body": b} for k, b in blocks_of(t)] if t else [] for t in texts], index=texts.index, dtype=object)
 
     return of(text)
@@ -276,7 +277,7 @@ def xml_chunks(text: str) -> list[str]:
 def _cutter(cut: Callable[[str], list[str]]):
     @F.pandas_udf("array<string>")
     def of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in parts:
+        for texts in text_runs(parts):
             yield pd.Series([cut(t) if t else [] for t in texts], index=texts.index, dtype=object)
 
     return of

@@ -119,3 +119,19 @@ def test_supplement(spark):
     judged = answers.withColumn("judge", F.lit('{"relevant": false, "confidence": "high", "reason": "x"}'))
     off = answer.supplement_pass(first, plans, judged, chunks, vectors, lambda v: S.embed(v, hashed_vectors, "variant")).where("query_id = 2").count()
     assert off > 1
+
+
+def test_texts_are_worked_on_in_small_runs(spark):
+    """What Python makes of a batch is at most that of some texts at a time; all rows keep their places."""
+    import pandas as pd
+
+    from stackwright.functions import batches
+
+    texts = ["a" * n if n else None for n in (3, 0, 4, 50, 1, 1, 1, 1, 1)]
+    got = [list(r) for r in batches.text_runs(iter([pd.Series(texts, dtype=object), pd.Series([], dtype=object)]), 4, 10)]
+    assert got == [texts[:3], texts[3:4], texts[4:8], texts[8:], []]
+    docs = spark.createDataFrame([(f"s{i}", None if i % 9 == 4 else f"# h{i}\n\np{i}") for i in range(200)], "source string, text string").coalesce(1)
+    want = sorted(map(tuple, K.md_blocks(docs).collect()))
+    assert len(want) == 2 * sum(i % 9 != 4 for i in range(200))
+    xml = K.chunk_xml(docs.withColumn("text", F.format_string("<t><title>%s</title></t>", "source")))
+    assert sorted(map(tuple, xml.collect())) == sorted((f"s{i}", 0, f"s{i}") for i in range(200))
