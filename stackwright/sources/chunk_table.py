@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,28 +53,38 @@ class ChunkTable:
             if self._fs.exists(self._path(f"{at}/touched/_SUCCESS")):
                 touched = self.spark.read.schema("bucket int, n long").parquet(f"{at}/touched").collect()
                 if any(r["n"] for r in touched):
-                    rows = self.spark.read.parquet(f"{at}/rows").hint("rebalance", F.col("bucket"))
-                    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
+                    # its files hold a bucket each, so nothing is dealt out again
+                    self.spark.read.parquet(f"{at}/rows").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
                 for r in touched:
                     if not r["n"]:
                         self._fs.delete(self._path(f"{self.path}/bucket={r['bucket']}"), True)
             self._fs.delete(self._path(at), True)
 
+    @staticmethod
+    def _repeated(*hashes: DataFrame) -> bool:
+        """May an id be there twice? By its 64-bit hash, so that no whole row is shuffled to find that none is."""
+        return not reduce(DataFrame.union, hashes).groupBy("_hash").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+
     def apply(self, incoming: DataFrame, gone: DataFrame | None = None, prune: bool = True) -> int:
         """Puts chunks in the place of those of their sources (without prune: of their ids) and deletes those of the sources in gone; says how many buckets that touched."""
         self._put_in_place()
         scratch = Scratch(self.spark, "chunk-batch")
-        incoming = scratch.keep(incoming.dropDuplicates(["id"]).withColumn("bucket", self._bucket()), "incoming")
+        incoming = scratch.keep(incoming.withColumn("bucket", self._bucket()), "incoming")
+        if self._repeated(incoming.select(F.xxhash64("id").alias("_hash"))):
+            incoming = scratch.keep(incoming.dropDuplicates(["id"]), "distinct")
         leaving = scratch.keep(gone.select("source").distinct().withColumn("bucket", self._bucket()), "gone") if gone is not None else None
         buckets = incoming.select("bucket") if leaving is None else incoming.select("bucket").union(leaving.select("bucket"))
         touched = sorted(r[0] for r in buckets.distinct().collect())  # at most self.buckets numbers
         if touched:
             merged, old = incoming, self._rows()
             if old is not None:
-                old = old.where(F.col("bucket").isin(touched))
-                if leaving is not None:
-                    old = old.join(leaving.select("source"), "source", "left_anti")
-                merged = upsert_chunks(old.select(*incoming.columns), incoming, prune)
+                # whole rows go through one join by source; by id only where an id is met again
+                leave = [d.select("source") for d in (leaving, incoming if prune else None) if d is not None]
+                old = old.where(F.col("bucket").isin(touched)).select(*incoming.columns, F.xxhash64("id").alias("_hash"))
+                if leave:
+                    old = old.join(reduce(DataFrame.union, leave).distinct(), "source", "left_anti")
+                met, old = self._repeated(old.select("_hash"), incoming.select(F.xxhash64("id").alias("_hash"))), old.drop("_hash")
+                merged = upsert_chunks(old, incoming) if met else old.unionByName(incoming)
             aside = f"{self.path}/_aside/{uuid.uuid4().hex}"
             merged.hint("rebalance", F.col("bucket")).write.partitionBy("bucket").parquet(f"{aside}/rows")
             there = set(self._names(f"{aside}/rows", "bucket="))

@@ -170,3 +170,17 @@ def test_only_changed_files_are_opened(spark, tmp_path):
     known = [("a.md", "known", "", whole["a.md"][3]), ("sub/new.log", "old", "", 1), ("gone.md", "g", "", 2)]
     got = {r["source"]: tuple(r) for r in N.changed_states(spark, root, spark.createDataFrame(known, N.STATE)).collect()}
     assert got == whole | {"a.md": ("a.md", "known", whole["a.md"][2], whole["a.md"][3])}
+
+
+def test_whole_rows_are_joined_by_id_only_where_ids_meet(spark, tmp_path, monkeypatch):
+    from stackwright.sources import chunk_table as T
+
+    rows = lambda *r: spark.createDataFrame(list(r), "id string, source string, content string")
+    table, real, calls = ChunkTable(spark, str(tmp_path / "t"), 2), T.upsert_chunks, []
+    monkeypatch.setattr(T, "upsert_chunks", lambda *a: (calls.append(1), real(*a))[1])
+    got = lambda: {tuple(r) for r in table.read().select("id", "source", "content").collect()}
+    table.apply(rows(("1", "a", "x"), ("1", "a", "x"), ("2", "a", "y"), ("3", "b", "z"), ("6", None, "n")))
+    table.apply(rows(("1", "a", "new"), ("4", "c", "w")), rows(("0", "b", "")).select("source"))
+    assert got() == {("1", "a", "new"), ("4", "c", "w"), ("6", None, "n")} and not calls
+    table.apply(rows(("4", "d", "moved"), ("5", "d", "v")))
+    assert got() == {("1", "a", "new"), ("4", "d", "moved"), ("5", "d", "v"), ("6", None, "n")} and calls
