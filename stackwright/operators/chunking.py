@@ -334,11 +334,12 @@ def make_chunk_records(chunks: DataFrame, meta: DataFrame | None = None) -> Data
     """Chunks with id, content_hash and the metadata columns.
 
     meta: source and any metadata fields; track and format follow from the suffix whatever it says.
+    Without meta, chunks may have such fields themselves; then nothing is joined.
     """
-    suffix = suffix_of("source")
-    rows = chunks.select("source", "chunk_index", "content")
-    given = [f for f in lexicon.META_DEFAULTS if meta is not None and f in meta.columns and f not in ("parse_track", "file_format")]
-    if given:
+    suffix, fixed = suffix_of("source"), ("parse_track", "file_format")
+    given = [f for f in lexicon.META_DEFAULTS if f in (chunks if meta is None else meta).columns and f not in fixed]
+    rows = chunks.select("source", "chunk_index", "content", *(given if meta is None else []))
+    if given and meta is not None:
         rows = rows.join(meta.select("source", *given), "source", "left")
     fields = {f: F.coalesce(F.col(f), F.lit(d)) if f in given else F.lit(d) for f, d in lexicon.META_DEFAULTS.items()}
     fields |= {"parse_track": parse_track(suffix), "file_format": file_format(suffix)}

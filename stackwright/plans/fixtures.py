@@ -36,9 +36,13 @@ def kb_docs(spark: SparkSession, sf: str) -> DataFrame:
 
 def kb_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """A chunk a line that is not blank, as full records."""
-    docs = kb_docs(spark, sf)
-    rows = docs.select("source", F.posexplode(F.filter(X.lines("text"), lambda x: X.strip(x) != "")).alias("chunk_index", "content"))
-    return chunking.make_chunk_records(rows, docs)
+    return _line_chunks(kb_docs(spark, sf))
+
+
+def _line_chunks(docs: DataFrame) -> DataFrame:
+    """Chunks that have their documents' fields from the row itself."""
+    rows = docs.select("doc_id", *KB, F.posexplode(F.filter(X.lines("text"), lambda x: X.strip(x) != "")).alias("chunk_index", "content"))
+    return chunking.make_chunk_records(rows)
 
 
 def md_docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -89,8 +93,7 @@ def states(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 def changed_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """A new version of the chunks: documents with ids of 5's multiples have their letters e changed, 13's are gone."""
     docs = kb_docs(spark, sf).where("doc_id % 13 != 0").withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.regexp_replace("text", "e", "E")).otherwise(F.col("text")))
-    rows = docs.select("source", F.posexplode(F.filter(X.lines("text"), lambda x: X.strip(x) != "")).alias("chunk_index", "content"))
-    return chunking.make_chunk_records(rows, docs)
+    return _line_chunks(docs)
 
 
 def old_chunks(spark: SparkSession, sf: str) -> DataFrame:

@@ -135,3 +135,21 @@ def test_texts_are_worked_on_in_small_runs(spark):
     assert len(want) == 2 * sum(i % 9 != 4 for i in range(200))
     xml = K.chunk_xml(docs.withColumn("text", F.format_string("<t><title>%s</title></t>", "source")))
     assert sorted(map(tuple, xml.collect())) == sorted((f"s{i}", 0, f"s{i}") for i in range(200))
+
+
+def test_chunks_take_their_documents_fields_without_a_shuffle(spark, tmp_path):
+    """Chunks that have the fields themselves are not joined with their documents; what is found among them is joined with them where they lie."""
+    from stackwright.plans import fixtures, registry
+
+    texts = [(i, f"one word {i}\n\nother line of {i % 3}\n", "en", f"s{i}", 9) for i in range(30)]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "word 7"), (2, "line of 2")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = fixtures.kb_docs(spark, str(tmp_path))
+    chunks = fixtures.kb_chunks(spark, str(tmp_path))
+    assert "Exchange" not in chunks._jdf.queryExecution().executedPlan().toString()
+    joined = K.make_chunk_records(chunks.select("source", "chunk_index", "content"), docs)
+    assert sorted(map(tuple, chunks.collect())) == sorted(map(tuple, joined.collect())) and chunks.count() == 60
+    rows = registry._hits(spark, str(tmp_path)).select("query_id", "id", "rank").join(chunks, "id")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    assert rows.count() == registry._hits(spark, str(tmp_path)).count() > 0
