@@ -24,16 +24,17 @@ def generate_synonym_cases(chunks: DataFrame, synonyms: DataFrame, size: int = 1
     rows = chunks.where("coalesce(source, '') != ''").select(X.strip("source").alias("source"), X.clean_text("content").alias("doc")).where(F.length("doc") >= 20).withColumn("at", F.md5(F.concat_ws(":", F.lit(str(seed)), "source", "doc")))
     order = F.struct((F.col("text") != F.col("canonical")).alias("c"), "place")
     terms = synonyms.select("group_id", order.alias("order"), "text")
-    # of each group the first term in the text, and the longest other one, the first of equals
-    first = holding(rows.select("at", "doc").distinct(), terms, "doc", "text").groupBy("at", "group_id").agg(F.min_by("text", "order").alias("hit"))
-    other = first.join(terms, "group_id").where(F.col("text") != F.col("hit")).groupBy("at", "group_id", "hit").agg(F.min_by("text", F.struct((-F.length("text")).alias("l"), "order")).alias("to"))
-    found = other.groupBy("at").agg(F.array_sort(F.collect_list(F.struct("group_id", "hit", "to"))).alias("options"))
-    rows = rows.join(found, "at", "left").withColumn("options", F.coalesce("options", F.array().cast("array<struct<group_id:int,hit:string,to:string>>")))
-    place = lambda o: F.instr(F.col("doc"), o["hit"])
-    around = lambda o: F.substring(F.col("doc"), F.greatest(place(o) - window, F.lit(1)), F.least(place(o) - 1, F.lit(window)) + F.length(o["hit"]) + window)
-    swapped = lambda o: X.let(around(o), lambda s: X.clean_text(F.concat(F.substring(s, F.lit(1), F.instr(s, o["hit"]) - 1), o["to"], F.substring(s, F.instr(s, o["hit"]) + F.length(o["hit"]), F.length(s)))))
+    at = F.instr("doc", F.col("text"))
+    around = F.substring(F.col("doc"), F.greatest(at - window, F.lit(1)), F.least(at - 1, F.lit(window)) + F.length("text") + window)
+    # of each group the first term in the text, with what stands around it, and the longest other one, the first of equals
+    first = holding(rows.select("at", "doc"), terms, "doc", "text").select("at", "group_id", "order", F.struct(F.col("text").alias("hit"), around.alias("around")).alias("h")).groupBy("at", "group_id").agg(F.min_by("h", "order").alias("h")).select("at", "group_id", "h.*")
+    other = first.join(terms, "group_id").where(F.col("text") != F.col("hit")).groupBy("at", "group_id", "hit", "around").agg(F.min_by("text", F.struct((-F.length("text")).alias("l"), "order")).alias("to"))
+    found = other.groupBy("at").agg(F.array_sort(F.collect_list(F.struct("group_id", "hit", "to", "around"))).alias("options"))
+    # no whole text goes further than here
+    rows = rows.select("source", "at", F.substring("doc", 1, 36).alias("begins")).join(found, "at", "left")
+    swapped = lambda o: X.let(o["around"], lambda s: X.clean_text(F.concat(F.substring(s, F.lit(1), F.instr(s, o["hit"]) - 1), o["to"], F.substring(s, F.instr(s, o["hit"]) + F.length(o["hit"]), F.length(s)))))
     made = F.get(F.filter(F.transform("options", swapped), lambda q: F.length(q) >= 6), 0)
-    rows = rows.select("source", "at", F.coalesce(made, X.clean_text(F.substring("doc", 1, 36))).alias("query")).where(F.length("query") >= 6)
+    rows = rows.select("source", "at", F.coalesce(made, X.clean_text("begins")).alias("query")).where(F.length("query") >= 6)
     own = rows.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy("at", "query"))).where(F.col("r") <= per_source)
     best = own.orderBy("at", "source", "query").limit(size)
     number = F.row_number().over(Window.orderBy("at", "source", "query"))  # over at most size rows

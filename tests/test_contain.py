@@ -1,10 +1,18 @@
 import random
+import re
 
+import pytest
+
+from stackwright.operators import contain
+from stackwright.operators import evaluation as E
 from stackwright.operators import understanding as U
 from stackwright.operators.contain import holding
 
 
-def test_against_every_pair(spark):
+@pytest.mark.parametrize(("known", "sought"), [(0, 0), (1000, 0), (1000, 200)])
+def test_against_every_pair(spark, monkeypatch, known, sought):
+    monkeypatch.setattr(contain, "KNOWN", known)
+    monkeypatch.setattr(contain, "SOUGHT", sought)
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abxy") for _ in range(rng.randint(1, 4)))
     texts = [" ".join(word() for _ in range(12)).replace("a b", "a,b") for _ in range(60)] + ["数据库连接超时", "aab", "", None, "a b", "  "]
@@ -24,3 +32,10 @@ def test_synonym_tables_of_any_size(spark):
     got = U.expand_queries(spark.createDataFrame([(1, "so t29999a it")], "query_id long, question string"), synonyms, max_variants=99)
     assert "so t29999b it" in {r["variant"] for r in got.collect()}
     assert "NestedLoop" not in got._jdf.queryExecution().toString()
+
+
+def test_synonym_cases_shuffle_no_whole_text(spark):
+    chunks = spark.createDataFrame([(f"s{i}", "some words here with an assertion and more") for i in range(9)], "source string, content string")
+    lines = E.generate_synonym_cases(chunks, U.synonym_table(spark))._jdf.queryExecution().executedPlan().toString().split("\n")
+    below = [y for x, y in zip(lines, lines[1:], strict=False) if "Exchange" in x]
+    assert below and not [y for y in below if re.search(r"(\[|, |AS )doc#\d+[,\]]", y)]
