@@ -114,6 +114,14 @@ def _small_star(scratch: Scratch, name: str, edges: DataFrame, total: int) -> Da
     return down.select(F.when(F.col("v") != F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v"))
 
 
+def _settled(edges: DataFrame) -> tuple[int, bool]:
+    """How many edges (u above v) there are, and whether they are stars: every upper end has one edge and is no lower end."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up")).union(edges.select(F.col("v").alias("x"), F.lit(0).alias("up")))
+    nodes = ends.groupBy("x").agg(F.sum("up").alias("up"), F.min("up").alias("low"))
+    total, odd = nodes.agg(F.coalesce(F.sum("up"), F.lit(0)), F.count_if((F.col("up") > 1) | (F.col("up") > 0) & (F.col("low") == 0))).first()
+    return total, not odd
+
+
 def connected_components(spark: SparkSession, edges: DataFrame, label: str = "cc", most_rounds: int = 60, scratch: Scratch | None = None) -> DataFrame:
     """Components of an undirected graph by alternating large-star and small-star.
 
@@ -126,19 +134,15 @@ def connected_components(spark: SparkSession, edges: DataFrame, label: str = "cc
     """
     scratch = scratch or Scratch(spark, label)
     at = lambda name: f"{label}-{name}"
-    now = scratch.keep(edges.where("u != v").select("u", "v").distinct(), at("e0"))
-    count = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    was = count(now)
+    now = scratch.keep(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), at("e0"))
     for i in range(1, most_rounds + 1):
-        if not was[0]:
+        total, settled = _settled(now)
+        if settled:
             break
-        half = scratch.keep(_large_star(scratch, at(f"l{i}"), now, was[0]).distinct(), at(f"h{i}"))
-        after = scratch.keep(_small_star(scratch, at(f"s{i}"), half, was[0]).distinct(), at(f"e{i}"))
+        half = scratch.keep(_large_star(scratch, at(f"l{i}"), now, total).distinct(), at(f"h{i}"))
+        after = scratch.keep(_small_star(scratch, at(f"s{i}"), half, total).distinct(), at(f"e{i}"))
         scratch.drop(at(f"e{i - 1}"), at(f"l{i}"), at(f"h{i}"), at(f"s{i}"))
-        now, mark = after, count(after)
-        if mark == was:
-            break
-        was = mark
+        now = after
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

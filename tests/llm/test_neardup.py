@@ -94,3 +94,14 @@ def test_a_template_of_low_similarity_is_not_one_family(spark, monkeypatch, tmp_
     got = {r["doc_id"]: r["component_id"] for r in N.find_duplicates(spark, spark.createDataFrame(rows, DOCS), 1).collect()}
     assert got == {i: i for i in range(400)} | {400: 7, 401: 8}
     assert sum(int(f.read_text()) for f in tmp_path.iterdir()) <= most
+
+
+@pytest.mark.parametrize(("edges", "rounds"), [([(5, 1), (1, 3), (7, 2)], 0), ([(2, 1), (2, 3)], 1), ([], 0)])
+def test_components_take_no_round_once_edges_are_stars(spark, monkeypatch, edges, rounds):
+    from stackwright.llm import common
+
+    made, real = [], common._large_star
+    monkeypatch.setattr(common, "_large_star", lambda *a: made.append(1) or real(*a))
+    got = {r["node"]: r["component"] for r in connected_components(spark, spark.createDataFrame([*edges, (4, 4), (None, 1)], "u long, v long")).collect()}
+    assert len(made) == rounds
+    assert got == {n: min(x for e in edges if any(n in f and set(e) & set(f) for f in edges) for x in e) for n in {n for e in edges for n in e}}
