@@ -24,23 +24,34 @@ from stackwright.sources.scratch import Scratch
 
 #: Words of a learned dictionary at most (it goes to every task), and characters of one.
 MOST_WORDS, LONGEST = 200_000, 4
+#: Texts whose groups of characters are counted together at most (1 M characters together, as in batches).
+GRAM_TEXTS = 4096
 _HAN = "一-鿿"
 _ATOM = re.compile(f"[{_HAN}]|(?:(?![{_HAN}])\\w)+")
 
 
+def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Groups of 1 to LONGEST Han characters of each run of texts with their numbers; a group is a number of 15 bits a character."""
+    for texts in text_runs((pdf["text"] for pdf in batches), rows=GRAM_TEXTS):
+        code = np.frombuffer("\n".join(t for t in texts if t).encode("utf-32-le"), np.uint32).astype(np.int64) - 0x4E00
+        own = (code >= 0) & (code < 0x5200)
+        key, whole = code, own
+        for n in range(1, LONGEST + 1):
+            if n > 1:
+                key, whole = (key[:-1] << 15) | code[n - 1 :], whole[:-1] & own[n - 1 :]
+            seen, times = np.unique(key[whole], return_counts=True)
+            if len(seen):
+                chars = (seen[:, None] >> (15 * np.arange(n - 1, -1, -1))) & 0x7FFF
+                yield pd.DataFrame({"word": (chars + 0x4E00).astype(np.uint32).view(f"<U{n}").ravel().astype(object), "n": times})
+
+
 def learn_words(docs: DataFrame, least: int = 10, cohesion: float = 4.0, most: int = MOST_WORDS, column: str = "text") -> DataFrame:
     """word and n: Han characters, and what holds together of 2 to LONGEST of them, by how often they occur.
 
     A group is a word if it occurs least times and, wherever it is cut in two, cohesion times as
     often as its parts would meet by chance. The most frequent words stay. Null texts hold none.
     """
-    runs = X.find_all(F.coalesce(F.col(column), F.lit("")), f"[{X.HAN}]+")
-    none = F.array().cast("array<string>")
-    windows = lambda a, n: F.when(F.size(a) >= n, F.transform(F.sequence(F.lit(1), F.size(a) - (n - 1)), lambda i: F.array_join(F.slice(a, i, n), ""))).otherwise(none)
-    # by arrays of characters: finding a place in a long string would start from its beginning each time
-    chars = lambda r: F.filter(F.split(r, ""), lambda c: c != "")
-    grams = F.flatten(F.transform(runs, lambda r: X.let(chars(r), lambda a: F.concat(*[windows(a, n) for n in range(1, LONGEST + 1)]))))
-    counts = docs.select(F.explode(grams).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    counts = docs.select(F.col(column).alias("text")).mapInPandas(_grams, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     # grams are as many as the corpus is varied; those that are too rare go before anything is joined
     counts = Scratch(docs.sparkSession, "grams").keep(counts.where((F.col("n") >= least) | (F.length("word") == 1)), "counts")
     total = counts.where(F.length("word") == 1).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
