@@ -181,9 +181,10 @@ def _judged(scan: Scan):
 
 def neighbour_issues(docs: DataFrame, scan: Scan, whole: int = WHOLE, block: int = BLOCK) -> DataFrame:
     """Issues of the rules on neighbouring lines of (file_path, text); documents of over ``whole`` characters are scanned in blocks. Paths name one document each."""
-    short = F.coalesce(F.length("text") <= whole, F.lit(True))
-    out = docs.where(short).select("file_path", "text").mapInPandas(_whole(scan), ISSUES)
-    long = docs.where(~short)
+    # a condition on the rows would work out a derived text once more
+    short = X.let(F.col("text"), lambda t: F.when(F.length(t) <= whole, t))
+    out = docs.select("file_path", short.alias("text")).mapInPandas(_whole(scan), ISSUES)
+    long = docs.where(F.length("text") > whole)
     if long.isEmpty():
         return out
     scratch = Scratch(docs.sparkSession, "long-documents")

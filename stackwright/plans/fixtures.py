@@ -45,21 +45,20 @@ def _line_chunks(docs: DataFrame) -> DataFrame:
     return chunking.make_chunk_records(rows)
 
 
-def md_docs(spark: SparkSession, sf: str) -> DataFrame:
+def md_docs(spark: SparkSession, sf: str, *also: str) -> DataFrame:
     """Lines become headings, items, table rows and paragraphs by their place, with blank lines between."""
     mark = lambda x, i: F.when((i + 1) % 6 == 1, F.concat(F.lit("# "), x)).when((i + 1) % 6 == 3, F.concat(F.lit("- "), x)).when((i + 1) % 6 == 4, F.concat(F.lit("| "), x, F.lit(" |"))).otherwise(x)
     own = F.filter(X.lines("text"), lambda x: X.strip(x) != "")
-    return kb_docs(spark, sf).select("source", F.array_join(F.transform(own, mark), "\n\n").alias("text"))
+    return kb_docs(spark, sf).select("source", F.array_join(F.transform(own, mark), "\n\n").alias("text"), *also)
 
 
 def checked_docs(spark: SparkSession, sf: str) -> DataFrame:
     """(file_path, text): the Markdown texts with defects at places that follow from the ids."""
-    kb = table(spark, sf, "documents").select(F.expr(KB["source"]).alias("source"), "doc_id")
     fault = F.expr(
         "case doc_id % 9 when 0 then '\n\n\n\n\nAPI response\n' when 1 then '\n#bad\n#  \n# a\n# b\n' when 2 then '\n```\n# code\nAPI\n```\n注意: x\n' when 3 then '\n1. a\n2. b\n4. c\n\n7. d\n' "
         "when 4 then '\n中文abc 和 １２ 34\n' when 5 then '\nsame line here\nsame line here\n' when 6 then '\n[a](missing.md) [b](../dir1/none.md#x) [c](http://x.y)\n' when 7 then '\n进行进行 的的\n' else '\nassertion timeout\n' end"
     )
-    return md_docs(spark, sf).join(kb, "source").select(F.col("source").alias("file_path"), F.concat("text", fault).alias("text"))
+    return md_docs(spark, sf, "doc_id").select(F.col("source").alias("file_path"), F.concat("text", fault).alias("text"))
 
 
 #: A line of a document as a record: every third lacks its last cell, every fifth is blank.
