@@ -14,6 +14,8 @@ from stackwright.functions import lexicon
 WS = r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
 HAN = r"\x{4e00}-\x{9fff}"
+#: A character of the Han script: all are from U+2E80 on, so that others are told without a look at the tables of scripts.
+HAN_SCRIPT = r"[\x{2e80}-\x{10ffff}&&\p{IsHan}]"
 #: The characters of WS one by one: trimming them takes linear time, a pattern tries every place of a run of blanks.
 BLANKS = "".join(map(chr, (*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
@@ -61,9 +63,10 @@ def has_any(c: Column | str, words: Sequence[str]) -> Column:
 
 def unique_by(array: Column, key=F.upper) -> Column:
     """The first of each group of equal keys, in order."""
-    placed = F.array_sort(F.transform(array, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x"))))
+    # equal strings go by hash before the sort; sort_array compares values, array_sort evaluates an expression for every two
+    placed = F.sort_array(F.transform(F.array_distinct(array), lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x"))))
     firsts = let(placed, lambda p: F.filter(p, lambda x, i: ~F.coalesce(F.get(p, i - 1)["k"] == x["k"], F.lit(False))))
-    return F.transform(F.array_sort(F.transform(firsts, lambda x: F.struct(x["i"], x["x"]))), lambda x: x["x"])
+    return F.transform(F.sort_array(F.transform(firsts, lambda x: F.struct(x["i"], x["x"]))), lambda x: x["x"])
 
 
 def runs(array: Column, first: Column) -> Column:
@@ -75,7 +78,7 @@ def counts(array: Column) -> Column:
     """Each of an array's strings once, with how often it occurs: structs of term and n."""
     heads = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: ~F.coalesce(F.get(s, i - 1) == F.get(s, i), F.lit(False)))
     of = lambda s: let(heads(s), lambda h: F.transform(h, lambda a, i: F.struct(F.get(s, a).alias("term"), (F.coalesce(F.get(h, i + 1), F.size(s)) - a).cast("long").alias("n"))))
-    return let(F.array_sort(array), lambda s: F.when(F.size(s) > 0, of(s)).otherwise(F.array().cast("array<struct<term:string,n:bigint>>")))
+    return let(F.sort_array(array), lambda s: F.when(F.size(s) > 0, of(s)).otherwise(F.array().cast("array<struct<term:string,n:bigint>>")))
 
 
 def normalize_version(c: Column | str) -> Column:
@@ -89,7 +92,8 @@ def norm_query(c: Column | str) -> Column:
 
 def clean_text(c: Column | str) -> Column:
     """Runs of white space become one blank; none at the ends."""
-    return strip(F.regexp_replace(col(c), f"[{WS}]+", " "))
+    # a single blank is left as it is
+    return strip(F.regexp_replace(col(c), f"[{WS}]{{2,}}|[{WS}&&[^ ]]", " "))
 
 
 def normalize_source(c: Column | str) -> Column:
@@ -103,7 +107,7 @@ def token_pattern(user_words: Sequence[str] = lexicon.USER_WORDS) -> str:
     known = "|".join(re.escape(w) for w in words if not begins_han(w))
     han = "|".join(re.escape(w) for w in words if begins_han(w))
     # words that begin with a Han character are only tried where one stands
-    return (f"{known}|" if known else "") + (rf"(?=\p{{IsHan}})(?:{han})|" if han else "") + r"[\p{L}\p{N}_&&[^\p{IsHan}]]+|\p{IsHan}"
+    return (f"{known}|" if known else "") + (rf"(?={HAN_SCRIPT})(?:{han})|" if han else "") + rf"[A-Za-z0-9_[\p{{L}}\p{{N}}&&[^{HAN_SCRIPT}]]]+|{HAN_SCRIPT}"
 
 
 def tokenize(c: Column | str, user_words: Sequence[str] = lexicon.USER_WORDS) -> Column:
@@ -113,17 +117,18 @@ def tokenize(c: Column | str, user_words: Sequence[str] = lexicon.USER_WORDS) ->
 
 def overlap_tokens(c: Column | str, user_words: Sequence[str] = lexicon.USER_WORDS) -> Column:
     """Tokens of two characters and more, and every pair of neighbouring Han characters."""
-    han = F.flatten(F.transform(find_all(c, r"\p{IsHan}{2,}"), lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))))
+    han = F.flatten(F.transform(find_all(c, HAN_SCRIPT + "{2,}"), lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))))
     return F.concat(F.filter(tokenize(c, user_words), lambda t: F.length(t) >= 2), han)
 
 
-def query_tokens_for_source(c: Column | str, weak: Sequence[str] = lexicon.WEAK_WORDS) -> Column:
-    """Tokens that a source path is compared with: no weak words, the first form of each."""
-    return unique_by(F.filter(overlap_tokens(c), lambda t: ~t.isin(*weak)), F.lower)
+def query_tokens_for_source(c: Column | str, weak: Sequence[str] = lexicon.WEAK_WORDS, tokens: Column | None = None) -> Column:
+    """Tokens that a source path is compared with: no weak words, the first form of each. tokens: the text's overlap_tokens, if they are at hand."""
+    return unique_by(F.filter(F.array_distinct(overlap_tokens(c) if tokens is None else tokens), lambda t: ~t.isin(*weak)), F.lower)
 
 
-def overlap_terms(c: Column | str, stop: Sequence[str] = lexicon.STOP_WORDS) -> Column:
-    return unique_by(F.filter(overlap_tokens(c), lambda t: ~F.lower(t).isin(*stop) & ~t.rlike(r"(?U)^[\W_]+$")), F.lower)
+def overlap_terms(c: Column | str, stop: Sequence[str] = lexicon.STOP_WORDS, tokens: Column | None = None) -> Column:
+    """Tokens that texts are compared by: no stop words, the first form of each. tokens: as above."""
+    return unique_by(F.filter(F.array_distinct(overlap_tokens(c) if tokens is None else tokens), lambda t: ~F.lower(t).isin(*stop) & ~t.rlike(r"(?U)^[\W_]+$")), F.lower)
 
 
 def count_token_hits(tokens: Column, text: Column | str) -> Column:
@@ -169,7 +174,8 @@ def strip_inline_markup(c: Column | str) -> Column:
     out = col(c)
     for pattern, to in _MARKUP:
         out = F.regexp_replace(out, pattern, to)
-    return out
+    # most lines have none of the characters that a mark needs
+    return F.when(col(c).rlike(r"[`\[*_]|^(?:[#>+-]|\d+\.)"), out).otherwise(col(c))
 
 
 def json_strings(c: Column | str, most: int, fallback: Column) -> Column:
