@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from stackwright.functions import lexicon
 from stackwright.functions import text as X
-from stackwright.operators.retrieval import _by_model, doc_type_adjustment
+from stackwright.operators.retrieval import _by_model, doc_type_adjustment, with_chunks
 from stackwright.operators.understanding import drop_doc_type
 
 LOW_CONFIDENCE = 0.1
@@ -96,7 +96,7 @@ def dedupe_sources(evidence: DataFrame, top_k: int, max_per_source: int = MAX_PE
 
 def simple_answer_pool(questions: DataFrame, hits: DataFrame, chunks: DataFrame, top_k: int = 3, scorer=token_share) -> DataFrame:
     """The plain flow: the texts of vector hits, reranked to top_k."""
-    return rerank(hits.join(chunks.select("id", "content"), "id"), questions, top_k, scorer)
+    return rerank(with_chunks(hits, chunks.select("id", "content")), questions, top_k, scorer)
 
 
 def low_confidence(max_score: Column) -> Column:
