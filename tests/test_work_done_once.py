@@ -138,7 +138,7 @@ def asked(spark, tmp_path_factory):
     return str(at)
 
 
-@pytest.mark.parametrize("name", ["passage_sources", "pass_rate_summary", "report", "candidate_pool", "retrieve_text", "retrieve_with_metadata", "rerank_texts", "rerank_bonus", "rerank_with_scores", "critique_evidence"])
+@pytest.mark.parametrize("name", ["passage_sources", "pass_rate_summary", "report", "candidate_pool", "retrieve_text", "retrieve_with_metadata", "rerank_texts", "rerank_bonus", "rerank_with_scores", "critique_evidence", "build_retry_query"])
 def test_hits_meet_chunks_where_these_lie(spark, asked, monkeypatch, name):
     plans, keep = [], Scratch.keep
     monkeypatch.setattr(Scratch, "keep", lambda self, df, label: plans.append(_plan(df)) or keep(self, df, label))
