@@ -126,7 +126,7 @@ class VectorIndex:
                             for f, v in zip(filters, wants[i], strict=True):
                                 if v is not None:
                                     d[j, part[f].to_numpy() != v] = np.inf
-                        best.add(own, d, ids)
+                        best.add(own, d, ids, q[own], x)
             yield pd.DataFrame([(*names[n], i, d, n) for n, i, d in best.rows()], columns=[*keys, "id", "distance", "_n"])
 
         return lists.select("cell", "id", "embedding", *filters).mapInPandas(local, f"{schema}, _n int")

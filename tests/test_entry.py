@@ -37,6 +37,11 @@ def test_query_against_sql(spark, name):
     assert _rows(df.columns, df.collect()) == _rows(names, con.fetchall())
 
 
+def test_hybrid_ranks_against_sql(spark):
+    """Vectors of equal direction tie or not by the last digits of their floats, as the SQL's norm has them."""
+    test_query_against_sql(spark, "retrieve_hybrid")
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
