@@ -69,3 +69,65 @@ def test_the_segmenter_is_a_tokenizer_of_bm25(spark):
     questions = spark.createDataFrame([(1, "重启网络")], "query_id long, question string")
     top = R.bm25_corpus(questions, R.postings(chunks, tokens), 3, tokens).orderBy("rank").collect()
     assert [r["id"] for r in top] == ["b", "a"]
+
+
+def _plain(trie, text):
+    """The best cut of each run by a loop over its places from the end, the longest first words of equal ones."""
+    out, runs, end = [], [], -1
+    for m in S._ATOM.finditer(text):
+        if m.start() != end:
+            runs.append([])
+        runs[-1].append(m[0])
+        end = m.end()
+    for run in runs:
+        best, step = [0.0] * (len(run) + 1), [1] * len(run)
+        for i in range(len(run) - 1, -1, -1):
+            top = -float("inf")
+            for w in range(min(trie.depth, len(run) - i), 0, -1):
+                own = "".join(run[i : i + w])
+                value = trie.rows.get(own, S.log(1 / trie.total) if w == 1 else -float("inf")) + best[i + w]
+                if value > top + 1e-12:
+                    top, step[i] = value, w
+            best[i] = top
+        i = 0
+        while i < len(run):
+            out.append("".join(run[i : i + step[i]]))
+            i += step[i]
+    return out
+
+
+@pytest.mark.parametrize(("together", "table", "part"), [(16, 1 << 23, 1 << 17), (1, 0, 40), (10**6, 1 << 23, 7)])
+def test_cuts_of_many_texts_against_a_plain_loop(monkeypatch, together, table, part):
+    """However many pieces go together, however the trie is read, wherever a text is parted."""
+    for name, value in (("TOGETHER", together), ("TABLE", table), ("PART", part)):
+        monkeypatch.setattr(S, name, value)
+    rng = random.Random(7)
+    words = {"".join(rng.choices("数据库连接a", k=rng.randint(1, 4))): rng.randint(1, 500) for _ in range(90)} | {"CPU占用": 9, "ab": 4, "x数": 6}
+    trie = S.Trie(words, ["Token刷新"])
+    texts = ["".join(rng.choices([*"数据库连接数据库连接aX ，\n\U0001f600é", "CPU占用", "ab", "Token刷新"], k=rng.choice([0, 1, 3, 30, 400]))) for _ in range(120)]
+    assert trie.cut(texts) == [_plain(trie, t) for t in texts]
+
+
+def test_tokens_are_counted_where_they_are_cut(spark):
+    rng = random.Random(3)
+    words = spark.createDataFrame([("数据", 9), ("数据库", 5), ("连接", 7), ("库", 1)], "word string, n long")
+    texts = ["".join(rng.choices("数据库连接xyé ，12", k=rng.randint(0, 60))) for _ in range(80)] + [None, "", "，", "数据" * 9]
+    sources = [None if i % 9 == 0 else f"s{i // 2}" if i % 4 < 2 else f"t{i}" for i in range(len(texts))]
+    docs = spark.createDataFrame(list(zip(sources, texts, strict=True)), "source string, text string").repartition(3)
+    trie, n, holds = S.Trie({"数据": 9, "数据库": 5, "连接": 7, "库": 1}, lexicon.USER_WORDS), {}, {}
+    for s, t in zip(sources, texts, strict=True):
+        for token in trie.cut([t])[0]:
+            n[token] = n.get(token, 0) + 1
+            holds.setdefault(token, set()).update({s} - {None})
+    got = S.token_counts(docs, words).collect()
+    assert {r["token"]: (r["n"], r["docs"]) for r in got} == {t: (k, len(holds[t])) for t, k in n.items()} and len(got) == len(n)
+    assert S.token_counts(docs.limit(0), words).count() == 0
+
+
+def test_texts_of_sources_with_one_row_give_a_row_a_token():
+    trie, texts = S.Trie({"数据": 9}, ()), S.pd.Series(["数据 数据 x12"] * 500)
+    names = S.np.array([f"s{i}" for i in range(500)], object)
+    one = S.pd.concat(S._token_rows(texts, names, S.np.zeros(500, bool), trie))
+    assert sorted(one[["token", "n", "docs"]].itertuples(index=False, name=None)) == [("x12", 500, 500), ("数据", 1000, 500)] and one["source"].isna().all()
+    again = S.pd.concat(S._token_rows(texts, names, S.np.arange(500) == 7, trie))
+    assert sorted(again.query("source == 's7'")[["token", "n", "docs"]].itertuples(index=False, name=None)) == [("x12", 1, 0), ("数据", 2, 0)] and len(again) == 4
