@@ -108,7 +108,9 @@ def test_cuts_of_many_texts_against_a_plain_loop(monkeypatch, together, table, p
     assert trie.cut(texts) == [_plain(trie, t) for t in texts]
 
 
-def test_tokens_are_counted_where_they_are_cut(spark):
+@pytest.mark.parametrize("at_once", [100_000, 0])
+def test_tokens_are_counted_where_they_are_cut(spark, monkeypatch, at_once):
+    monkeypatch.setattr(S, "SOURCES_AT_ONCE", at_once)
     rng = random.Random(3)
     words = spark.createDataFrame([("数据", 9), ("数据库", 5), ("连接", 7), ("库", 1)], "word string, n long")
     texts = ["".join(rng.choices("数据库连接xyé ，12", k=rng.randint(0, 60))) for _ in range(80)] + [None, "", "，", "数据" * 9]
